@@ -155,12 +155,12 @@ def test_url_filter(spark):
 
 
 def test_url_filter_odd(spark):
-    rows = [(1, "https://WWW.Example.com/en/x?a=1"), (2, "http://example.com/en/"), (3, None), (4, "no scheme"), (5, "http://x.net/es/://y"), (6, "http://x.com"), (7, "a://b.xnet/fr/"), (None, "http://notexample.com/en/#f"), (1, "https://WWW.Example.com/en/x?a=1")]
+    rows = [(1, "https://WWW.Example.com/en/x?a=1"), (2, "http://example.com/en/"), (3, None), (4, "no scheme"), (5, "http://x.net/es/://y"), (6, "http://y.com"), (7, "a://b.xnet/fr/"), (None, "http://notexample.com/en/#f"), (1, "https://WWW.Example.com/en/x?a=1")]
     got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
-    assert sorted((r.page_id or 0, r.host, r.path, r.rule, r.verdict) for r in got) == sorted(
-        [(1, "www.example.com", "/en/x", "www.example.com/en/", "allow")] * 2
-        + [(2, "example.com", "/en/", "example.com/en/", "block"), (3, "", "", None, "allow"), (4, "", "", None, "allow"), (5, "x.net", "/es/://y", "net/es/", "block"), (6, "x.com", "", None, "allow"), (7, "b.xnet", "/fr/", None, "allow"), (0, "notexample.com", "/en/", "com/", "allow")], key=str
-    ) or {(r.page_id, r.verdict, r.rule) for r in got} >= {(1, "allow", "www.example.com/en/"), (2, "block", "example.com/en/"), (5, "block", "net/es/"), (6, "allow", None), (None, "allow", "com/")}
+    want = [(1, "www.example.com", "/en/x", "www.example.com/en/", "allow")] * 2
+    want += [(2, "example.com", "/en/", "example.com/en/", "block"), (3, "", "", None, "allow"), (4, "", "", None, "allow"), (5, "x.net", "/es/://y", "net/es/", "block")]
+    want += [(6, "y.com", "", None, "allow"), (7, "b.xnet", "/fr/", None, "allow"), (None, "notexample.com", "/en/", "com/", "allow")]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
@@ -237,7 +237,7 @@ def test_viterbi_fold(spark):
     model = object.__new__(pieces.Model)
     model.kind, model.byte0, model.unk, model.prefix = "unigram", None, 0, True
     model.pieces = ["<unk>", "a", "b", "ab", "abc", "c", "bc"]
-    model.scores = [0.0, -3.0, -3.0, -2.0, -9.0, -3.5, -2.5]
+    model.scores = [0.0, -3.0, -3.0, -1.9, -9.0, -3.5, -2.5]
     model.table, model.longest = {p: i for i, p in enumerate(model.pieces) if i}, 3
     words = ["abc", "aab", "xab", "c", "bcbc"]
     got = {r.word: r.ids for r in pieces.fold_words(spark, spark.createDataFrame([(w,) for w in words], "word string"), model).collect()}
@@ -461,7 +461,7 @@ def test_pipeline(spark):
     docs = table(spark, "documents", SMALL)
     rows = docs
     for name, stage in cp.STAGES[:-1]:
-        after = stage(spark, rows, SMALL).localCheckpoint() if False else spark.createDataFrame(stage(spark, rows, SMALL).collect(), docs.schema)
+        after = spark.createDataFrame(stage(spark, rows, SMALL).collect(), docs.schema)
         assert after.columns == docs.columns and after.count() <= rows.count(), name
         rows = after
     want = {r.doc_id: r.text for r in rows.collect()}
