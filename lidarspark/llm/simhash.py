@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import Shingler, cut, mix64, partitions, slices, text_array, text_bytes, union
 from .components import connected_components
 
+#: Bytes of text whose shingles are spread into bits at once: 64 or 256 bytes for each shingle.
+BITS_BYTES = 1 << 18
 #: Rows of a bucket that are compared in one piece; larger buckets are dealt out as pairs of tiles.
 TILE = 4096
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
@@ -244,7 +246,7 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4, id_col:
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_array(batch.column(1))
-            done = [fingerprints(texts.slice(lo, hi - lo), words) for lo, hi in slices(texts)]
+            done = [fingerprints(texts.slice(lo, hi - lo), words) for lo, hi in slices(texts, BITS_BYTES)]
             rows = np.concatenate(done) if done else np.zeros((0, 8), np.uint8)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "print"])
 
@@ -279,7 +281,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, keys:
         shingle = Shingler(words)
         for batch in batches:
             texts = text_array(batch.column(1))
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, BITS_BYTES):
                 hashes, off = shingle(texts.slice(lo, hi - lo))
                 counts = np.diff(off)
                 some = np.flatnonzero(counts)
