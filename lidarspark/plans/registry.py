@@ -1,7 +1,442 @@
-"""The registered queries over the driver's tables, with their oracles in SQL."""
+"""The registered queries over the driver's tables, with their oracles in SQL.
 
-QUERIES, ORACLES = {}, {}
+The cloud comes from ``events``. Oracles are written for DuckDB from the definitions, apart from
+the expressions of the Spark side; figures are rounded where the engines' last digits differ.
+"""
 
+from __future__ import annotations
 
-def terrain_metrics(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import radio, utm
+from ..operators import coverage, paths, spatial, summaries, terrain
+from ..operators.cuts import cut
+from ..operators.spatial import Box
+from ..schema import ANTENNAS, CLASS_LABELS, classifications, default_antennas
+from ..sources.tables import CLOUD_SQL, antenna_list, cloud
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+BOX = Box(518810.0, 518830.0, 4252301.0, 4252304.0)
+_BOX = f"easting BETWEEN {BOX.xmin!r}::DOUBLE AND {BOX.xmax!r}::DOUBLE AND northing BETWEEN {BOX.ymin!r}::DOUBLE AND {BOX.ymax!r}::DOUBLE"
+_CLOUD = f"WITH points AS ({CLOUD_SQL} FROM events)"
+ZONES = ((1, "15N"), (2, "12N"), (3, "13N"))
+_ZONES = ", ".join(f"({i}, '{z}')" for i, z in ZONES)
+#: A radio setup over the cloud: two transmitters, a 15 by 9 grid, both inside its extent at every size.
+SITES = ((0, 518812.3, 4252301.7, 1300.9, 20.0, 2.4e9, 90.0, "AM-2G16-90"), (1, 518838.9, 4252303.1, 1305.0, 17.0, 2.45e9, 270.0, "AMY-9M16"))
+GRID = coverage.Grid(518800.0, 518849.0, 4252300.0, 4252304.5, 15, 9)
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    """Columns rounded half away from zero, with minus zero as zero."""
+    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
+
+
+def _sql_round(x: str, digits: int) -> str:
+    return f"round({x}, {digits}) + 0.0::DOUBLE"
+
+
+# -- filters and projections ------------------------------------------------------------------------
+
+
+@query(f"{_CLOUD} SELECT * FROM points WHERE {_BOX}")
+def points_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.in_box(cloud(spark, sf_dir), BOX)
+
+
+@query(f"{_CLOUD} SELECT * FROM points WHERE {_BOX} AND class_code <> 2")
+def points_nonground(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.in_box(cloud(spark, sf_dir), BOX).where("class_code <> 2")
+
+
+@query(f"{_CLOUD} SELECT * FROM points WHERE {_BOX} AND class_code = 2")
+def points_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.in_box(cloud(spark, sf_dir), BOX).where("class_code = 2")
+
+
+@query(f"{_CLOUD} SELECT * FROM points WHERE {_BOX} AND altitude BETWEEN 1301::DOUBLE AND 1301.5::DOUBLE")
+def points_altitude_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.in_box(cloud(spark, sf_dir), BOX).where(F.col("altitude").between(1301.0, 1301.5))
+
+
+_STORED = "CASE WHEN {0}::FLOAT::DOUBLE > {0} THEN ({0} * (1e0 - 1e0 / 8388608e0))::FLOAT::DOUBLE ELSE {0}::FLOAT::DOUBLE END"
+
+
+@query(f"{_CLOUD} SELECT * FROM points WHERE {_BOX.replace('easting', _STORED.format('easting')).replace('northing', _STORED.format('northing'))}")
+def rtree_compat_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.in_box(cloud(spark, sf_dir), BOX, rtree_compat=True)
+
+
+@query(f"{_CLOUD} SELECT p.*, z.label AS zone, c.label AS class_label FROM points p LEFT JOIN (VALUES {_ZONES}) z(id, label) ON p.zone_id = z.id LEFT JOIN (VALUES {', '.join(f'({k}, {chr(39)}{v}{chr(39)})' for k, v in CLASS_LABELS.items())}) c(code, label) ON p.class_code = c.code")
+def zone_class_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.decode(cloud(spark, sf_dir), spark.createDataFrame(ZONES, "id int, label string"), classifications(spark))
+
+
+@query("""WITH old AS (SELECT * FROM (VALUES (1, 'AIR'), (2, 'RAIL')) t(id, label)),
+fresh AS (SELECT DISTINCT upper(l_shipmode) AS label FROM (SELECT CASE l_linenumber % 4 WHEN 0 THEN 'rail' WHEN 1 THEN 'ship' WHEN 2 THEN 'truck' ELSE 'mail' END AS l_shipmode FROM lineitem))
+SELECT id, label FROM old UNION ALL SELECT (2 + row_number() OVER (ORDER BY label))::INTEGER, label FROM fresh WHERE label NOT IN (SELECT label FROM old)""")
+def zone_get_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    modes = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("upper(case l_linenumber % 4 when 0 then 'rail' when 1 then 'ship' when 2 then 'truck' else 'mail' end) as label")
+    return summaries.get_or_create_zones(modes, spark.createDataFrame([(1, "AIR"), (2, "RAIL")], "id int, label string"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{v}')" for k, v in CLASS_LABELS.items()) + ") t(code, label)")
+def classification_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.insert_or_ignore(classifications(spark), classifications(spark), "code")
+
+
+# -- summaries ---------------------------------------------------------------------------------------
+
+@query(
+    f"{_CLOUD} SELECT count(*) AS n, round(avg(easting), 6) AS cx, round(avg(northing), 6) AS cy, round(avg(altitude), 6) AS cz, min(easting) AS xmin, max(easting) AS xmax, min(northing) AS ymin, max(northing) AS ymax, min(altitude) AS zmin, max(altitude) AS zmax FROM points"
+)
+def cloud_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(summaries.cloud_summary(cloud(spark, sf_dir)), 6, "cx", "cy", "cz")
+
+
+@query(f"{_CLOUD}, m AS (SELECT round(avg(easting), 6) AS e, round(avg(northing), 6) AS n, round(avg(altitude), 6) AS a FROM points) SELECT id, easting - e AS x, northing - n AS y, altitude - a AS z FROM points, m")
+def points_recentred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.recentred(cloud(spark, sf_dir))
+
+
+@query()
+def reservoir_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.reservoir(cloud(spark, sf_dir), 500)
+
+
+@query(
+    f"{_CLOUD} SELECT 0 AS meta, id, round(easting, 3) AS x, round(northing, 3) AS y, round(altitude, 3) AS z, NULL::BIGINT AS n FROM points WHERE {_BOX} UNION ALL SELECT 1, NULL, round(avg(easting), 3), round(avg(northing), 3), round(avg(altitude), 3), count(*) FROM points WHERE {_BOX}"
+)
+def ndjson_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = summaries.ndjson(spatial.in_box(cloud(spark, sf_dir), BOX))
+    read = F.from_json("line", "x double, y double, z double, _meta struct<centroid:array<double>,bounds:array<double>,count:bigint>")
+    row = lines.withColumn("j", read)
+    axes = [F.round(F.coalesce(F.col(f"j.{a}"), F.col("j._meta.centroid")[i]), 3).alias(a) for i, a in enumerate("xyz")]
+    return row.select("meta", "id", *axes, F.col("j._meta.count").alias("n"))
+
+
+# -- terrain -----------------------------------------------------------------------------------------
+
+_PAIRS = """p AS (SELECT *, floor(easting / 1e0)::BIGINT AS gx, floor(northing / 1e0)::BIGINT AS gy FROM points),
+probes AS (SELECT p.*, gx + ox AS jx, gy + oy AS jy FROM p, (VALUES (-1), (0), (1)) a(ox), (VALUES (-1), (0), (1)) b(oy)),
+pairs AS (SELECT a.id, b.easting - a.easting AS dx, b.northing - a.northing AS dy, b.altitude - a.altitude AS dz FROM probes a JOIN p b ON a.jx = b.gx AND a.jy = b.gy
+  WHERE b.easting BETWEEN a.easting - 1e0 AND a.easting + 1e0 AND b.northing BETWEEN a.northing - 1e0 AND a.northing + 1e0)"""
+_MOMENTS = f"""{_CLOUD}, {_PAIRS},
+m AS (SELECT id, count(*) AS n, covar_pop(dx, dx) AS sxx, covar_pop(dx, dy) AS sxy, covar_pop(dy, dy) AS syy, covar_pop(dx, dz) AS sxz, covar_pop(dy, dz) AS syz, covar_pop(dz, dz) AS szz FROM pairs GROUP BY id HAVING count(*) >= 3),
+fit AS (SELECT *, (sxz * syy - syz * sxy) / (sxx * syy - sxy * sxy) AS a, (syz * sxx - sxz * sxy) / (sxx * syy - sxy * sxy) AS b, (sxx + syy + szz) / 3e0 AS q FROM m),
+sp AS (SELECT *, sqrt(((sxx - q) ** 2 + (syy - q) ** 2 + (szz - q) ** 2 + 2e0 * (sxy ** 2 + sxz ** 2 + syz ** 2)) / 6e0) AS w FROM fit),
+ev AS (SELECT *, greatest(-1e0, least(1e0, ((sxx - q) * ((syy - q) * (szz - q) - syz * syz) - sxy * (sxy * (szz - q) - syz * sxz) + sxz * (sxy * syz - (syy - q) * sxz)) / (2e0 * w * w * w))) AS r FROM sp),
+raw AS (SELECT id, n, -a / sqrt(a * a + b * b + 1) AS normal_x, -b / sqrt(a * a + b * b + 1) AS normal_y, 1 / sqrt(a * a + b * b + 1) AS normal_z, degrees(atan(sqrt(a * a + b * b))) AS slope,
+  sqrt(greatest(0e0, szz - a * sxz - b * syz)) AS rough, greatest(0e0, (q + 2e0 * w * cos(acos(r) / 3e0 + 2e0 * pi() / 3e0)) / (3e0 * q)) AS curvature FROM ev),
+metrics AS (SELECT *, greatest(0e0, 1e0 - (least(1e0, slope / 90e0) + least(1e0, rough / 1e0) + curvature)) AS trav_score FROM raw)"""
+_METRICS = ("normal_x", "normal_y", "normal_z", "slope", "rough", "curvature", "trav_score")
+_ROUNDED = ", ".join(f"{_sql_round(c, 6)} AS {c}" for c in _METRICS)
+
+
+def _terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terrain.terrain_metrics(cloud(spark, sf_dir), radius=1.0)
+
+
+@query(f"{_MOMENTS} SELECT id, n, {_ROUNDED} FROM metrics")
+def terrain_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_terrain(spark, sf_dir), 6, *_METRICS)
+
+
+@query(f"{_CLOUD}, {_PAIRS} SELECT id, count(*) AS n FROM pairs GROUP BY id HAVING count(*) >= 3")
+def neighbourhood_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slim = cloud(spark, sf_dir).select("id", "easting", "northing")
+    return spatial.neighbour_join(slim, slim, 1.0, keep=("id", "easting", "northing")).groupBy("id").agg(F.count("*").alias("n")).where("n >= 3")
+
+
+@query(f"{_MOMENTS} SELECT id, {_sql_round('a', 6)} AS a, {_sql_round('b', 6)} AS b FROM fit")
+def terrain_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slim = cloud(spark, sf_dir).select("id", "easting", "northing", "altitude")
+    fitted = terrain.plane(terrain.moments(spatial.neighbour_join(slim, slim, 1.0)).where("n >= 3"))
+    return rounded(fitted.select("id", "a", "b"), 6, "a", "b")
+
+
+@query(f"{_MOMENTS} SELECT p.id, p.easting, p.northing, p.altitude, {_sql_round('m.trav_score', 6)} AS trav_score FROM points p JOIN metrics m USING (id) WHERE {_BOX} AND round(m.trav_score, 6) >= 0.8::DOUBLE")
+def points_bbox_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = rounded(terrain.with_metrics(cloud(spark, sf_dir), cut(_terrain(spark, sf_dir))), 6, "trav_score")
+    return spatial.in_box(scored, BOX).where(F.col("trav_score") >= 0.8).select("id", "easting", "northing", "altitude", "trav_score")
+
+
+@query(f"{_MOMENTS} SELECT p.*, {_ROUNDED} FROM points p LEFT JOIN metrics m USING (id)")
+def metrics_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(terrain.with_metrics(cloud(spark, sf_dir), _terrain(spark, sf_dir)), 6, *_METRICS)
+
+
+@query(f"{_MOMENTS} SELECT id, {_sql_round('1e0 - trav_score', 6)} AS red, {_sql_round('trav_score', 6)} AS green, 0.0::DOUBLE AS blue FROM metrics")
+def score_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    red, green, blue = radio.score_rgb(F.col("trav_score"))
+    return rounded(_terrain(spark, sf_dir).select("id", red.alias("red"), green.alias("green"), blue.alias("blue")), 6, "red", "green")
+
+
+@query(f"{_MOMENTS} SELECT id, {_sql_round('(trav_score - min(trav_score) OVER ()) / (max(trav_score) OVER () - min(trav_score) OVER () + 1e-8)', 5)} AS norm FROM metrics")
+def score_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(summaries.normalised(_terrain(spark, sf_dir)).select("id", "norm"), 5, "norm")
+
+
+# -- nearest neighbours and paths ---------------------------------------------------------------------
+
+_KNN = f"""{_CLOUD}, p AS (SELECT *, floor(easting / 4e0)::BIGINT AS gx, floor(northing / 4e0)::BIGINT AS gy FROM points),
+probes AS (SELECT p.*, gx + ox AS jx, gy + oy AS jy FROM p, (VALUES (-1), (0), (1)) a(ox), (VALUES (-1), (0), (1)) b(oy)),
+near AS (SELECT a.id AS src, b.id AS dst, (b.easting - a.easting) * (b.easting - a.easting) + (b.northing - a.northing) * (b.northing - a.northing) AS d2 FROM probes a JOIN p b ON a.jx = b.gx AND a.jy = b.gy AND a.id <> b.id),
+edges AS (SELECT src, dst, sqrt(d2) AS dist FROM near QUALIFY row_number() OVER (PARTITION BY src ORDER BY d2, dst) <= 8)"""
+
+
+@query(f"{_KNN} SELECT src, dst, round(dist, 6) AS dist FROM edges")
+def knn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(paths.knn_edges(cloud(spark, sf_dir), 8, start=2.0), 6, "dist")
+
+
+@query(f"{_KNN} SELECT src, dst, {_sql_round('dist * (1e0 + 5e0 * (1e0 - ((dst * 37) % 101) / 100e0))', 6)} AS cost FROM edges")
+def edge_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _scored(spark, sf_dir)
+    return rounded(paths.costed(paths.knn_edges(points, 8, start=2.0), points, 5.0).select("src", "dst", "cost"), 6, "cost")
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cloud(spark, sf_dir).withColumn("trav_score", F.expr("((id * 37) % 101) / 100e0"))
+
+
+@query(f"{_CLOUD} SELECT id, easting, northing, altitude, zone_id, class_code, round((easting - 518820e0) * (easting - 518820e0) + (northing - 4252302e0) * (northing - 4252302e0), 8) AS d2 FROM points ORDER BY (easting - 518820e0) * (easting - 518820e0) + (northing - 4252302e0) * (northing - 4252302e0), id LIMIT 1")
+def nearest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(spatial.nearest_point(cloud(spark, sf_dir), 518820.0, 4252302.0), 8, "d2")
+
+
+_CELLS = f"""cells AS (SELECT (iy * {GRID.nx} + ix)::BIGINT AS cell, iy::INTEGER AS iy, ix::INTEGER AS ix, {GRID.xmin!r}::DOUBLE + ix * {(GRID.xmax - GRID.xmin) / (GRID.nx - 1)!r}::DOUBLE AS x, {GRID.ymin!r}::DOUBLE + iy * {(GRID.ymax - GRID.ymin) / (GRID.ny - 1)!r}::DOUBLE AS y FROM range({GRID.ny}) a(iy), range({GRID.nx}) b(ix)),
+ground AS (SELECT cell, iy, ix, x, y, arg_min(altitude, ((easting - x) * (easting - x) + (northing - y) * (northing - y), id)) AS z FROM cells, points GROUP BY ALL)"""
+
+
+@query(f"{_CLOUD}, {_CELLS} SELECT iy, ix, round(x, 6) AS x, round(y, 6) AS y FROM cells")
+def raster_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(GRID.cells(spark).drop("cell"), 6, "x", "y")
+
+
+@query(f"{_CLOUD}, {_CELLS} SELECT iy, ix, round(z, 6) AS z FROM ground")
+def grid_ground_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(coverage.ground(GRID.cells(spark), cloud(spark, sf_dir)).select("iy", "ix", "z"), 6, "z")
+
+
+@query(f"{_CLOUD} SELECT min(easting) - 20e0 AS xmin, max(easting) + 20e0 AS xmax, min(northing) - 20e0 AS ymin, max(northing) + 20e0 AS ymax, greatest(8, ceil((max(easting) - min(easting) + 40e0) / 2e0))::INTEGER AS nx, greatest(8, ceil((max(northing) - min(northing) + 40e0) / 2e0))::INTEGER AS ny FROM points")
+def grid_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = coverage.Grid.over(cloud(spark, sf_dir), 2.0, 20.0)
+    return spark.createDataFrame([(g.xmin, g.xmax, g.ymin, g.ymax, g.nx, g.ny)], "xmin double, xmax double, ymin double, ymax double, nx int, ny int")
+
+
+@query()
+def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region = spatial.in_box(_scored(spark, sf_dir), Box(518800.0, 518830.0, 4252300.0, 4252305.0))
+    return paths.shortest_path(region, (518802.0, 4252301.0), (518814.0, 4252304.0), 8, 5.0, start=2.0)
+
+
+# -- projection ---------------------------------------------------------------------------------------
+
+_TEXT = "SELECT id, CASE WHEN id % 97 = 0 THEN 'x' ELSE printf('%.3f', easting) END AS easting, printf('%.3f', northing) AS northing, CASE WHEN id % 101 = 0 THEN '' WHEN id % 3 = 0 THEN '15N' WHEN id % 3 = 1 THEN '33S' ELSE '12n' END AS zone FROM points"
+
+
+def _text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cloud(spark, sf_dir).selectExpr("id", "case when id % 97 = 0 then 'x' else format_string('%.3f', easting) end as easting", "format_string('%.3f', northing) as northing", "case when id % 101 = 0 then '' when id % 3 = 0 then '15N' when id % 3 = 1 then '33S' else '12n' end as zone")
+
+
+def _latlon_sql() -> str:
+    """The inverse projection by series, then four Newton steps, in SQL."""
+    m = utm.SCALE * utm.RECTIFYING
+    x = "xi" + "".join(f" - {b!r}::DOUBLE * sin({2 * j}e0 * xi) * cosh({2 * j}e0 * eta)" for j, b in enumerate(utm.BETA, 1))
+    y = "eta" + "".join(f" - {b!r}::DOUBLE * cos({2 * j}e0 * xi) * sinh({2 * j}e0 * eta)" for j, b in enumerate(utm.BETA, 1))
+    e = utm.ECCENTRICITY
+    steps = ["t0 AS (SELECT *, sin(x) / sqrt(sinh(y) * sinh(y) + cos(x) * cos(x)) AS tp, sin(x) / sqrt(sinh(y) * sinh(y) + cos(x) * cos(x)) AS tau FROM xy)"]
+    for k in range(4):
+        steps.append(f"s{k} AS (SELECT *, sqrt(1 + tau * tau) AS rt, sinh({e!r}::DOUBLE * atanh({e!r}::DOUBLE * tau / sqrt(1 + tau * tau))) AS sg FROM t{k})")
+        steps.append(f"t{k + 1} AS (SELECT * EXCLUDE (tau, rt, sg), tau + (tp - (tau * sqrt(1 + sg * sg) - sg * rt)) / sqrt(1 + (tau * sqrt(1 + sg * sg) - sg * rt) ** 2) * (1 + {1 - e * e!r}::DOUBLE * tau * tau) / ({1 - e * e!r}::DOUBLE * rt) AS tau FROM s{k})")
+    return f"""{_CLOUD}, text AS ({_TEXT}),
+num AS (SELECT id, easting, northing, zone, try_cast(easting AS DOUBLE) AS e, try_cast(northing AS DOUBLE) AS n, try_cast(left(zone, -1) AS INTEGER) AS k, upper(right(zone, 1)) = 'N' AS north FROM text),
+good AS (SELECT *, (e - 500000e0) / {m!r}::DOUBLE AS eta, (n - CASE WHEN north THEN 0e0 ELSE 10000000e0 END) / {m!r}::DOUBLE AS xi FROM num WHERE e IS NOT NULL AND n IS NOT NULL AND k BETWEEN 1 AND 60),
+xy AS (SELECT *, {x} AS x, {y} AS y FROM good), {", ".join(steps)}
+SELECT id, easting, northing, zone, printf('%.6f', degrees(atan(tau))) AS latitude, printf('%.6f', degrees(atan2(sinh(y), cos(x))) + 6e0 * k - 183e0) AS longitude FROM t4"""
+
+
+@query(_latlon_sql())
+def utm_to_latlon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return utm.project_rows(_text_rows(spark, sf_dir))
+
+
+@query(f"{_CLOUD}, text AS ({_TEXT}) SELECT id, easting, northing, zone FROM text WHERE id % 97 = 0 OR id % 101 = 0")
+def utm_error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return utm.project_rows(_text_rows(spark, sf_dir), errors=True)
+
+
+@query(f"{_CLOUD}, text AS ({_TEXT}) SELECT id, try_cast(left(zone, -1) AS INTEGER) AS number, coalesce(upper(right(zone, 1)) = 'N', false) AS north, regexp_full_match(zone, '[0-9]{{1,2}}[NS]') AS valid FROM text")
+def parse_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zone = F.col("zone")
+    return _text_rows(spark, sf_dir).select("id", utm.zone_number(zone).alias("number"), utm.is_north(zone).alias("north"), utm.valid_zone(zone).alias("valid"))
+
+
+# -- radio --------------------------------------------------------------------------------------------
+
+
+@query(f"{_CLOUD}, r AS (SELECT id, -30e0 - (id % 90) AS rssi FROM points) SELECT id, rssi, CASE WHEN rssi >= -55 THEN 'Excellent' WHEN rssi >= -65 THEN 'Good' WHEN rssi >= -75 THEN 'Fair' WHEN rssi >= -85 THEN 'Poor' ELSE 'Unusable' END AS quality FROM r")
+def rssi_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cloud(spark, sf_dir).selectExpr("id", "-30e0 - (id % 90) as rssi").withColumn("quality", radio.quality(F.col("rssi")))
+
+
+@query(
+    f"""{_CLOUD}, r AS (SELECT id, greatest(-100e0, least(-55e0, -30e0 - (id % 900) / 10e0)) AS v FROM points),
+stops AS (SELECT * FROM (VALUES (-100e0, -85e0, 0e0, 0e0, 0e0, 1e0, 0e0, 0e0), (-85e0, -75e0, 1e0, 0e0, 0e0, 1e0, 1e0, 0e0), (-75e0, -65e0, 1e0, 1e0, 0e0, 0e0, 1e0, 0e0), (-65e0, -55e0, 0e0, 1e0, 0e0, 0e0, 0e0, 1e0)) t(lo, hi, r0, g0, b0, r1, g1, b1))
+SELECT id, {_sql_round('r0 + (v - lo) / (hi - lo) * (r1 - r0)', 6)} AS red, {_sql_round('g0 + (v - lo) / (hi - lo) * (g1 - g0)', 6)} AS green, {_sql_round('b0 + (v - lo) / (hi - lo) * (b1 - b0)', 6)} AS blue FROM r JOIN stops ON v >= lo AND (v < hi OR (v = hi AND hi = -55e0))"""
+)
+def rssi_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    red, green, blue = radio.rssi_rgb(F.col("rssi"))
+    df = cloud(spark, sf_dir).selectExpr("id", "-30e0 - (id % 900) / 10e0 as rssi").select("id", red.alias("red"), green.alias("green"), blue.alias("blue"))
+    return rounded(df, 6, "red", "green", "blue")
+
+
+def _values(pattern: list) -> str:
+    """SQL rows (k, a0, g0, a1, g1) of the segments of a pattern, closed at 360 degrees."""
+    pairs = sorted((a % 360.0, g) for a, g in pattern)
+    pairs.append((pairs[0][0] + 360.0, pairs[0][1]))
+    return ", ".join(f"({a0!r}::DOUBLE, {g0!r}::DOUBLE, {a1!r}::DOUBLE, {g1!r}::DOUBLE)" for (a0, g0), (a1, g1) in zip(pairs, pairs[1:]))
+
+
+def _gain_sql(antenna: dict, rel: str, el: str) -> str:
+    """Scalar SQL of an antenna's gain; below a pattern's first angle its first gain holds."""
+    def interp(pattern: list, angle: str) -> str:
+        first = min((a % 360.0, g) for a, g in pattern)
+        a = f"((({angle}) % 360e0 + 360e0) % 360e0)"
+        return f"(CASE WHEN {a} < {first[0]!r} THEN {first[1]!r}::DOUBLE ELSE (SELECT g0 + ({a} - a0) / (a1 - a0) * (g1 - g0) FROM (VALUES {_values(pattern)}) s(a0, g0, a1, g1) WHERE {a} >= a0 AND {a} < a1) END)"
+
+    az, elev = antenna["azimuth_pattern"], antenna["elevation_pattern"]
+    top = max(g for _, g in elev)
+    return f"({interp(az, rel)} + {antenna['gain_db'] - max(g for _, g in az)!r}::DOUBLE + {interp(elev, el)} + {0.0 if abs(top) <= 2 else -top!r}::DOUBLE)"
+
+
+@query(
+    f"{_CLOUD}, a AS (SELECT id, (id * 7.3e0) % 360e0 AS rel, (id % 121) - 60e0 AS el FROM points WHERE id < 2000) "
+    + " UNION ALL ".join(f"SELECT id, '{a['name']}' AS name, round({_gain_sql(a, 'rel', 'el')}, 6) AS gain FROM a" for a in ANTENNAS)
+)
+def antenna_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    angles = cloud(spark, sf_dir).where("id < 2000").selectExpr("id", "(id * 7.3e0) % 360e0 as rel", "(id % 121) - 60e0 as el")
+    specs = F.broadcast(default_antennas(spark).select("name", "gain_db", radio.normal_pattern(F.col("azimuth_pattern")).alias("az"), radio.normal_pattern(F.col("elevation_pattern")).alias("elp")))
+    gain = radio.antenna_gain(F.col("az"), F.col("elp"), F.col("gain_db"), F.col("rel"), F.col("el"))
+    return rounded(angles.crossJoin(specs).select("id", "name", gain.alias("gain")), 6, "gain")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(repr(a[c]) if c != "notes" else "'" + a[c].replace("'", "''") + "'" for c in ("name", "model", "type", "notes", "gain_db", "hp_bw_deg", "vp_bw_deg", "freq_hz_min", "freq_hz_max")).replace('"', "'") + ")" for a in ANTENNAS) + ") t(name, model, type, notes, gain_db, hp_bw_deg, vp_bw_deg, freq_hz_min, freq_hz_max)")
+def antenna_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return antenna_list(default_antennas(spark))
+
+
+@query(
+    f"{_CLOUD}, k AS (SELECT id, (id % 41) / 4e0 - 3e0 AS h, (id % 23) * 1e0 AS d1, (id % 31) * 2e0 AS d2 FROM points), v AS (SELECT *, CASE WHEN d1 > 0 AND d2 > 0 THEN h * sqrt(2e0 * (d1 + d2) / (0.125e0 * d1 * d2)) END AS v FROM k) SELECT id, {_sql_round('CASE WHEN v IS NULL OR v <= -0.78e0 THEN 0e0 ELSE greatest(0e0, 6.9e0 + 20e0 * log10(sqrt((v - 0.1e0) * (v - 0.1e0) + 1e0) + v - 0.1e0)) END', 6)} AS loss FROM v"
+)
+def knife_edge_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = cloud(spark, sf_dir).selectExpr("id", "(id % 41) / 4e0 - 3e0 as h", "(id % 23) * 1e0 as d1", "(id % 31) * 2e0 as d2")
+    return rounded(k.select("id", radio.knife_edge_loss(F.col("h"), F.col("d1"), F.col("d2"), F.lit(0.125)).alias("loss")), 6, "loss")
+
+
+@query(
+    f"""{_CLOUD}, f AS (SELECT id, (id % 101) / 100e0 AS c, CASE WHEN id % 2 = 0 THEN 6e0 ELSE 0.5e0 END AS eps FROM points),
+g AS (SELECT *, sqrt(eps) AS n2, sqrt(greatest(0e0, 1e0 - c * c)) / sqrt(eps) AS st FROM f), h AS (SELECT *, sqrt(greatest(0e0, 1e0 - st * st)) AS ct FROM g),
+r AS (SELECT *, (c - n2 * ct) / nullif(c + n2 * ct, 0e0) AS rs, (n2 * c - ct) / nullif(n2 * c + ct, 0e0) AS rp FROM h)
+SELECT id, {_sql_round('CASE WHEN st > 1 THEN 1e0 ELSE (abs(rs) + abs(rp)) / 2e0 END', 6)} AS magnitude, CASE WHEN st > 1 OR (rs + rp) / 2e0 < 0 THEN -1e0 ELSE 1e0 END AS sign FROM r"""
+)
+def fresnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = cloud(spark, sf_dir).selectExpr("id", "(id % 101) / 100e0 as c", "case when id % 2 = 0 then 6e0 else 0.5e0 end as eps")
+    size, sign = radio.fresnel(F.col("c"), F.col("eps"))
+    return rounded(f.select("id", size.alias("magnitude"), sign.alias("sign")), 6, "magnitude")
+
+
+def _sites(spark: SparkSession) -> DataFrame:
+    bare = spark.createDataFrame(SITES, "tx int, x double, y double, h_m double, power_dbm double, freq_hz double, heading_deg double, ant_config string")
+    specs = default_antennas(spark).select(F.col("name").alias("ant_config"), "gain_db", radio.normal_pattern(F.col("azimuth_pattern")).alias("az"), radio.normal_pattern(F.col("elevation_pattern")).alias("el"))
+    defaults = {"aperture_m": 0.1, "eps_r": 6.0, "roughness_m": 0.02, "reflect": True, "rx_aperture_m": 0.0, "n_freq": 5, "frac": 0.005}
+    return bare.join(F.broadcast(specs), "ant_config", "left").withColumn("gain_db", F.coalesce("gain_db", F.lit(0.0))).withColumns({k: F.lit(v) for k, v in defaults.items()})
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({s[0]}, '{s[7]}', {16.0!r}::DOUBLE, {len(next(a for a in ANTENNAS if a['name'] == s[7])['azimuth_pattern'])})" for s in SITES) + ") t(tx, ant_config, gain_db, n_azimuth)")
+def tx_antenna_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sites(spark).select("tx", "ant_config", "gain_db", F.size("az").alias("n_azimuth"))
+
+
+def _rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.rays(coverage.ground(GRID.cells(spark), cloud(spark, sf_dir)), _sites(spark))
+
+
+_TXS = ", ".join(f"({s[0]}, {s[1]!r}::DOUBLE, {s[2]!r}::DOUBLE, {s[3]!r}::DOUBLE, {s[4]!r}::DOUBLE, {s[5]!r}::DOUBLE, {s[6]!r}::DOUBLE)" for s in SITES)
+_RAYS = f"""{_CLOUD}, {_CELLS}, tx AS (SELECT * FROM (VALUES {_TXS}) t(tx, tx_x, tx_y, tx_h, p, f, heading)),
+rays AS (SELECT tx, cell, iy, ix, x, y, z, tx_x, tx_y, tx_h, p, f, heading, sqrt((x - tx_x) ** 2 + (y - tx_y) ** 2 + (z - tx_h) ** 2) AS d, 299792458e0 / f AS lam FROM ground, tx),
+samples AS (SELECT tx, cell, d, lam, t, tx_x + t * (x - tx_x) AS sx, tx_y + t * (y - tx_y) AS sy, tx_h + t * (z - tx_h) AS sz FROM rays, (SELECT 0.1e0 + k * {0.8 / 7!r}::DOUBLE AS t FROM range(8) r(k))),
+tops AS (SELECT tx, cell, t, d, lam, sz, max(altitude) AS top FROM samples JOIN points ON easting BETWEEN sx - 0.6e0 AND sx + 0.6e0 AND northing BETWEEN sy - 0.6e0 AND sy + 0.6e0 WHERE (easting - sx) * (easting - sx) + (northing - sy) * (northing - sy) <= 0.36e0 AND altitude > sz + 0.05e0 GROUP BY ALL),
+edges AS (SELECT tx, cell, (top - sz) * sqrt(2e0 * d / (lam * d * t * (d - d * t))) AS v FROM tops),
+losses AS (SELECT tx, cell, max(CASE WHEN v <= -0.78e0 THEN 0e0 ELSE greatest(0e0, 6.9e0 + 20e0 * log10(sqrt((v - 0.1e0) * (v - 0.1e0) + 1e0) + v - 0.1e0)) END + 15e0) AS loss FROM edges GROUP BY tx, cell)"""
+
+
+@query(f"{_RAYS} SELECT tx, cell, round(loss, 5) AS loss FROM losses")
+def ray_diffraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(coverage.diffraction(_rays(spark, sf_dir), cloud(spark, sf_dir)), 5, "loss")
+
+
+def _direct_sql() -> str:
+    by_name = {a["name"]: a for a in ANTENNAS}
+    rel = "(degrees(atan2(y - tx_y, x - tx_x)) - (90e0 - heading))"
+    el = "degrees(atan2(z - tx_h, sqrt((x - tx_x) * (x - tx_x) + (y - tx_y) * (y - tx_y))))"
+    gain = "CASE tx " + " ".join(f"WHEN {s[0]} THEN {_gain_sql(by_name[s[7]], rel, el)}" for s in SITES) + " END"
+    mw = "1000e0 * pow(10e0, p / 10e0) / 1000e0 * pow(10e0, g / 10e0) * pow(299792458e0 / fi / (4e0 * pi() * greatest(d, 0.02e0 / lam)) * pow(10e0, -coalesce(loss, 0e0) / 20e0), 2)"
+    return f"""{_RAYS}, gains AS (SELECT *, {gain} AS g FROM rays),
+freqs AS (SELECT r.*, l.loss, r.f * (1e0 - 0.005e0 + k * 0.0025e0) AS fi FROM gains r LEFT JOIN losses l USING (tx, cell), range(5) q(k)),
+power AS (SELECT tx, iy, ix, avg({mw}) AS mw FROM freqs GROUP BY ALL)
+SELECT iy, ix, round(10e0 * log10(greatest(sum(mw), 1e-12)), 4) AS rssi_dbm FROM power GROUP BY iy, ix"""
+
+
+@query(_direct_sql())
+def rf_coverage_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    power = coverage.coverage(cloud(spark, sf_dir), _sites(spark), GRID, reflections=False)
+    return rounded(power.select("iy", "ix", "rssi_dbm"), 4, "rssi_dbm")
+
+
+@query()
+def rf_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.coverage(cloud(spark, sf_dir), _sites(spark), GRID)
+
+
+@query()
+def coarse_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.planes(spark, GRID, cloud(spark, sf_dir))
+
+
+@query()
+def heatmap_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.heatmap_json(coverage.coverage(cloud(spark, sf_dir), _sites(spark), GRID, reflections=False))
+
+
+@query(f"{_CLOUD}, {_CELLS} SELECT iy * {GRID.nx} + ix AS at, round(z, 6) AS z FROM ground")
+def raster_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raster = coverage.ground(GRID.cells(spark), cloud(spark, sf_dir))
+    return rounded(coverage.raster_order(raster).select("at", "z"), 6, "z")
+
+
+@query(
+    f"""{_CLOUD}, probes AS (SELECT id, easting + 0.3e0 AS x, northing - 0.2e0 AS y FROM points WHERE id % 500 = 0),
+near AS (SELECT q.id, arg_min(p.altitude, ((p.easting - x) * (p.easting - x) + (p.northing - y) * (p.northing - y), p.id)) AS z FROM probes q JOIN points p
+  ON abs(floor(p.easting / 5e0) - floor(x / 5e0)) <= 2 AND abs(floor(p.northing / 5e0) - floor(y / 5e0)) <= 2 GROUP BY q.id)
+SELECT id, round(coalesce(z, 0.15e0), 6) AS z FROM probes LEFT JOIN near USING (id)"""
+)
+def client_height(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = cloud(spark, sf_dir)
+    probes = points.where("id % 500 = 0").selectExpr("id", "easting + 0.3e0 as easting", "northing - 0.2e0 as northing")
+    return rounded(spatial.nearest_height(probes, points, 5.0, 2, 0.15).select("id", "z"), 6, "z")
