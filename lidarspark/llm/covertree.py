@@ -25,6 +25,8 @@ SAMPLE, TOP, TILE = 4096, 256, 6144
 #: Children that one node gets at most, besides one for what they don't cover; points of a leaf.
 FAN, LEAF = 48, 96
 _SLACK = 1e-9
+#: Error of a product of unit vectors in single precision, up to many thousand components.
+_SINGLE = 1e-3
 
 
 class Node:
@@ -86,14 +88,18 @@ def dual(x: np.ndarray, a: Node, y: np.ndarray, b: Node, cosine: float, same: bo
         if (2 * p.radius if own else apart + p.radius + q.radius) <= reach - _SLACK:
             yield ("all", p.points, q.points)
         elif not p.kids and not q.kids:
+            others = y[q.points].astype(np.float32).T
             for lo in range(0, len(p.points), 512):
                 rows = p.points[lo : lo + 512]
-                hit = x[rows] @ y[q.points].T >= cosine
+                # single precision rules out what lies clearly below; the rest is computed in double
+                i, j = np.nonzero(x[rows].astype(np.float32) @ others >= np.float32(cosine - _SINGLE))
                 if own:
-                    hit &= np.arange(len(q.points))[None, :] > lo + np.arange(len(rows))[:, None]
-                i, j = np.nonzero(hit)
-                if len(i):
-                    yield ("pairs", rows[i], q.points[j])
+                    i, j = i[later := j > lo + i], j[later]
+                for at in range(0, len(i), 1 << 16):
+                    a, b = rows[i[at : at + (1 << 16)]], q.points[j[at : at + (1 << 16)]]
+                    sure = np.einsum("ij,ij->i", x[a], y[b]) >= cosine
+                    if sure.any():
+                        yield ("pairs", a[sure], b[sure])
         elif own:
             stack += [(p.kids[i], p.kids[j]) for i in range(len(p.kids)) for j in range(i, len(p.kids))]
         elif q.kids and (not p.kids or q.radius >= p.radius):
