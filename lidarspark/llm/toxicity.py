@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from math import comb, log
+from math import lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -87,7 +87,9 @@ def learn_lexicon(texts: list[str], labels: list[int], most: int = 3000) -> tupl
         tried, out = max(1, len(counts[0].keys() | counts[1].keys())), []
         for w, k in counts[1].items():
             n = k + counts[0][w]
-            if k >= 4 and k >= 0.9 * n and comb(n, k) * base**k * tried < 0.05:
+            # in logarithms: the number of ways to choose k of n texts outgrows a double
+            ways = lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+            if k >= 4 and k >= 0.9 * n and ways + k * log(base) + log(tried) < log(0.05):
                 out.append((k, w))
         return frozenset(w for _, w in sorted(out, reverse=True)[:most])
 

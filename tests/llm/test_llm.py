@@ -445,6 +445,12 @@ def test_toxicity(spark, odd, empty):
     assert kept.columns == odd.columns and kept.count() == len(ODD)
 
 
+def test_lexicon_of_common_words():
+    toxic = ["vile thing"] * 4000
+    learned, _ = toxicity.learn_lexicon(toxic + ["vile weather"] * 300 + ["fine weather"] * 15000, [1] * 4000 + [0] * 15300)
+    assert learned == {"vile", "thing"}
+
+
 def test_isotonic():
     xs, ps = toxicity.isotonic(np.array([0.0, 1, 2, 3, 4, 4]), np.array([0, 1, 0, 1, 1, 1]))
     assert (np.diff(ps) >= 0).all() and (np.diff(xs) >= 0).all() and 0 < ps[0] < ps[-1] < 1
