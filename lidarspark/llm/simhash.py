@@ -23,6 +23,8 @@ from .components import connected_components
 
 #: Bytes of text whose shingles are spread into bits at once: 64 or 256 bytes for each shingle.
 BITS_BYTES = 1 << 18
+#: Hashes that are spread into bits at once, so that a text of any length takes bounded memory there.
+MAJORITY_ROWS = 1 << 14
 #: Rows of a bucket that are compared in one piece; larger buckets are dealt out as pairs of tiles.
 TILE = 4096
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
@@ -33,14 +35,24 @@ _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """One fingerprint per run of ``counts`` big-endian hashes: the bits set in over half of them."""
+    """One fingerprint per run of ``counts`` big-endian hashes: the bits set in over half of them.
+
+    MAJORITY_ROWS hashes are spread into bits at a time, also within one text, whose sums go on.
+    """
     width = hashes.dtype.itemsize * 8 if hashes.ndim == 1 else hashes.shape[1] * 64
     out = np.zeros((len(counts), width // 8), np.uint8)
     some = np.flatnonzero(counts)
-    if len(some):
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, width // 8), axis=1)
-        starts = (np.cumsum(counts) - counts)[some]
-        out[some] = np.packbits(np.add.reduceat(bits, starts, axis=0, dtype=np.int32) * 2 > counts[some, None], axis=1)
+    raw, own, ends = hashes.view(np.uint8).reshape(-1, width // 8), counts[some], np.cumsum(counts[some])
+    begun = np.zeros(width, np.int64)
+    for lo in range(0, len(raw), MAJORITY_ROWS):
+        hi = min(lo + MAJORITY_ROWS, len(raw))
+        first, last = np.searchsorted(ends, [lo, hi - 1], side="right")
+        here = slice(first, last + 1)
+        ones = np.add.reduceat(np.unpackbits(raw[lo:hi], axis=1), np.maximum(ends[here] - own[here], lo) - lo, axis=0, dtype=np.int64)
+        ones[0] += begun
+        out[some[here]] = np.packbits(ones * 2 > own[here, None], axis=1)
+        # of an unfinished text, what was written is written again when it ends
+        begun = ones[-1] if ends[last] > hi else np.zeros(width, np.int64)
     return out
 
 

@@ -93,6 +93,20 @@ def test_simhash(spark, odd, empty):
     assert simhash.simhash_components(empty).count() == 0
 
 
+@pytest.mark.parametrize("rows", [1, 7, 1 << 14])
+def test_majority_in_parts(monkeypatch, rows):
+    monkeypatch.setattr(simhash, "MAJORITY_ROWS", rows)
+    rng = np.random.default_rng(rows)
+    counts = np.array([0, 3, 7, 0, 1, 40, 6, 1, 0])
+    hashes = rng.integers(0, 2**63, (counts.sum(), 4), dtype=np.uint64)
+    got, at = simhash.majority(hashes, counts), 0
+    for row, n in zip(got, counts):
+        bits = np.unpackbits(hashes[at : at + n].view(np.uint8).reshape(n, 32), axis=1)
+        assert (np.unpackbits(row) == (bits.sum(axis=0) * 2 > n)).all()
+        at += n
+    assert simhash.majority(hashes[:0], counts[:1]).tolist() == [[0] * 32]
+
+
 @pytest.mark.parametrize(("width", "radius"), [(64, 4), (64, 0), (64, 9), (256, 44)])
 def test_bit_sliced_links(width, radius):
     rng = np.random.default_rng(width + radius)
