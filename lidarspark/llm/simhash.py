@@ -10,7 +10,9 @@ once, and a block of rows is abandoned as soon as all its lanes exceed the radiu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ BITS_BYTES = 1 << 18
 MAJORITY_ROWS = 1 << 14
 #: Rows of a bucket that are compared in one piece; larger buckets are dealt out as pairs of tiles.
 TILE = 4096
+#: Bytes of shingle sets in such a piece.
+TILE_BYTES = 1 << 25
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -176,20 +180,28 @@ def _pigeonhole(prints: np.ndarray, tables: list[tuple[int, ...]]) -> list[np.nd
     return [(bits[:, list(t)].astype(np.uint64) * weight(len(t))).sum(axis=1).astype(np.uint64).view(np.int64) for t in tables]
 
 
-def linked(keyed: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+def dealt(keyed: DataFrame, group: list[str], name: str, tiles) -> DataFrame:
+    """Rows of the groups with the pair of tiles ``i``, ``j`` they meet in and ``t``, their own; groups of more than one tile are dealt out as pairs."""
+    hot = keyed.groupBy(*group).agg(tiles.cast("int").alias("tiles")).where("tiles > 1")
+    return (
+        keyed.join(hot, group, "left")
+        .withColumn("t", F.when(F.col("tiles") > 1, F.pmod(F.xxhash64(name), F.col("tiles")).cast("int")).otherwise(0))
+        .withColumn("other", F.explode(F.when(F.col("tiles") > 1, F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(F.lit(0)))))
+        .withColumn("i", F.least("t", "other"))
+        .withColumn("j", F.greatest("t", "other"))
+        .drop("tiles", "other")
+    )
+
+
+def linked(keyed: DataFrame, radius: int, tile: int = TILE, width: int | None = None) -> DataFrame:
     """Links ``(a, b)`` that join all prints of a bucket within the radius, as spanning forests.
 
     keyed: (tab int, key long, print binary), prints distinct within a bucket. Buckets over
-    ``tile`` rows are dealt out as pairs of tiles, so that no task holds more than two.
+    ``tile`` rows are dealt out as pairs of tiles, so that no task holds more than two. Only the
+    first ``width`` bytes of a print are compared, if given; the others are part of its name.
     """
     n = partitions(keyed.sparkSession)
-    hot = keyed.groupBy("tab", "key").count().where(F.col("count") > tile).select("tab", "key", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    dealt = (
-        keyed.join(hot, ["tab", "key"], "left")
-        .withColumn("t", F.when(F.col("tiles") > 1, F.pmod(F.xxhash64("print"), F.col("tiles")).cast("int")).otherwise(0))
-        .withColumn("other", F.explode(F.when(F.col("tiles") > 1, F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(F.lit(0)))))
-        .select("tab", "key", F.least("t", "other").alias("i"), F.greatest("t", "other").alias("j"), "print")
-    )
+    pairs = dealt(keyed, ["tab", "key"], "print", F.ceil(F.count("*") / tile)).drop("t")
     group = ["tab", "key", "i", "j"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,13 +213,13 @@ def linked(keyed: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
             starts = np.flatnonzero(new)
             ends = np.repeat(np.append(starts[1:], len(piece)), np.diff(np.append(starts, len(piece))))
             labels = np.arange(len(piece))
-            for a, b in bit_sliced_links(prints, ends, radius):
+            for a, b in bit_sliced_links(np.ascontiguousarray(prints[:, :width]), ends, radius):
                 labels = union(labels, a, b)
             moved = np.flatnonzero(labels != np.arange(len(piece)))
             column = piece.column("print")
             yield pa.RecordBatch.from_arrays([column.take(pa.array(moved)), column.take(pa.array(labels[moved]))], ["a", "b"])
 
-    return dealt.repartition(n, *group).sortWithinPartitions(*group).mapInArrow(compare, "a binary, b binary")
+    return pairs.repartition(n, *group).sortWithinPartitions(*group).mapInArrow(compare, "a binary, b binary")
 
 
 def _changes(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
@@ -226,7 +238,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str], held: l
     for batch in batches:
         held.append(batch)
         rows += len(batch)
-        if rows >= at_least:
+        if rows >= at_least or sum(b.nbytes for b in held) >= TILE_BYTES:
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             cut_at = int(np.flatnonzero(_changes(whole, columns))[-1])
             if cut_at:
@@ -276,36 +288,141 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4, id_col:
     return group_rows(printed, links).select("doc_id", F.lower(F.hex("print")).alias("fingerprint"), "component_id")
 
 
+@cache
+def _worst_share(similarity: float, most: int = 40) -> float:
+    """The largest chance that a bit differs in two sets at the similarity or above, over all unions of up to ``most`` shingles.
+
+    Small sets are worst, as their ties read as zero; large ones come down to acos(2s / (1 + s)) / pi.
+    """
+    worst = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    over = lambda own, ones, size: sum(comb(own, k) for k in range(own + 1) if 2 * (ones + k) > size) / 2**own
+    for whole in range(1, most + 1):
+        for both in (b for b in range(1, whole + 1) if b / whole >= similarity):
+            for left in range((whole - both) // 2 + 1):
+                right, share = whole - both - left, 0.0
+                for ones in range(both + 1):
+                    p, q = over(left, ones, both + left), over(right, ones, both + right)
+                    share += comb(both, ones) / 2**both * (p * (1 - q) + q * (1 - p))
+                worst = max(worst, share)
+    return worst
+
+
+def similar_links(prints: np.ndarray, ends: np.ndarray, tiles: np.ndarray, cross: np.ndarray, hashes: np.ndarray, off: np.ndarray, radius: int, similarity: float) -> np.ndarray:
+    """Labels that join rows of a group over all pairs within the radius whose sets' Jaccard is at least the similarity.
+
+    hashes[off[i]:off[i + 1]] is the set of row i. Where ``cross``, only rows of two tiles are
+    compared. Pairs that are joined already needn't be looked up.
+    """
+    labels, sizes = np.arange(len(prints)), np.diff(off)
+    named = np.unique(hashes, return_inverse=True)[1]
+    mark = np.zeros(len(hashes), bool)
+    for a, b in bit_sliced_links(prints, ends, radius):
+        few, many = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+        may = (few / many >= similarity) & ~(cross[a] & (tiles[a] == tiles[b]))
+        a, b = a[may], b[may]
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        for own in np.split(np.arange(len(a)), np.flatnonzero(np.diff(a)) + 1) if len(a) else []:
+            x = a[own[0]]
+            y = b[own][labels[b[own]] != labels[x]]
+            if not len(y):
+                continue
+            mine = named[off[x] : off[x + 1]]
+            mark[mine] = True
+            for lo in range(0, len(y), 256):
+                part = y[lo : lo + 256]
+                starts = np.cumsum(sizes[part]) - sizes[part]
+                at = np.repeat(off[part] - starts, sizes[part]) + np.arange(sizes[part].sum())
+                shared = np.add.reduceat(mark[named[at]], starts, dtype=np.int64)
+                same = part[shared / (sizes[x] + sizes[part] - shared) >= similarity]
+                labels = union(labels, np.full(len(same), x), same)
+            mark[mine] = False
+    return labels
+
+
+def shingle_sets(shingle: Shingler, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text in order, and how many each has."""
+    hashes, off = shingle(texts)
+    text = np.repeat(np.arange(len(texts)), np.diff(off))
+    order = np.lexsort((hashes, text))
+    hashes, text = hashes[order], text[order]
+    first = np.ones(len(hashes), bool)
+    first[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+    return hashes[first], np.bincount(text[first], minlength=len(texts))
+
+
+def verified(candidates: DataFrame, texts: DataFrame, words: int, radius: int, similarity: float, tile: int = TILE) -> DataFrame:
+    """Links ``(a, b)`` of texts in a group whose exact Jaccard is at least the similarity, as spanning forests.
+
+    candidates: (component binary, sig binary, print binary, name binary, size int), one row for
+    each sig; texts: (name, text), one row for each name. Groups over ``tile`` rows or TILE_BYTES
+    of shingles are dealt out as pairs of tiles; only candidates' texts are sent there.
+    """
+    n = partitions(candidates.sparkSession)
+    group = ["component", "i", "j"]
+    tiles = F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("size") * 8 / TILE_BYTES))
+    pairs = dealt(candidates, ["component"], "sig", tiles).join(texts, "name").select(*group, "t", "sig", "print", "text")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(words)
+        for piece in _whole_groups(batches, group, []):
+            prints = np.frombuffer(b"".join(piece.column("print").to_pylist()), np.uint8).reshape(len(piece), -1)
+            starts = np.flatnonzero(_changes(piece, group))
+            ends = np.repeat(np.append(starts[1:], len(piece)), np.diff(np.append(starts, len(piece))))
+            column = text_array(piece.column("text"))
+            sets = [shingle_sets(shingle, column.slice(lo, hi - lo)) for lo, hi in slices(column, BITS_BYTES)]
+            off = np.concatenate([[0], *[counts for _, counts in sets]]).cumsum()
+            own, i, j = (piece.column(c).to_numpy(zero_copy_only=False) for c in ("t", "i", "j"))
+            labels = similar_links(prints, ends, own, i != j, np.concatenate([hashes for hashes, _ in sets]), off, radius, similarity)
+            moved = np.flatnonzero(labels != np.arange(len(piece)))
+            column = piece.column("sig")
+            yield pa.RecordBatch.from_arrays([column.take(pa.array(moved)), column.take(pa.array(labels[moved]))], ["a", "b"])
+
+    return pairs.repartition(n, *group).sortWithinPartitions(*group).mapInArrow(compare, "a binary, b binary")
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, keys: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of texts alike on word shingles, for a similarity below SimHash's exact reach.
+    """(doc_id, component_id) of texts whose sets of word shingles have a Jaccard of ``similarity`` or more, and of chains of such.
 
-    A 256-bit fingerprint tells the cosine of two shingle multisets: Jaccard s is cosine
-    2s / (1 + s) for sets of one size, so the radius is 256 * acos(2s / (1 + s)) / pi bits plus
-    one standard deviation of the estimate. Pairs are compared in buckets of ``keys``
+    Candidates are found by 256-bit fingerprints of the sets, compared in buckets of ``keys``
     min-shingles, of which a pair at similarity 0.8 shares none with probability 0.2**keys
-    (3e-6). Case, punctuation and white space don't count. Null and wordless texts are alone.
+    (3e-6). The radius is the mean distance at the similarity, for the sizes of sets where it is
+    largest, and three standard deviations: at similarity 0.8 exactly, 0.22 % of pairs of 4 and 5
+    shingles are beyond it and 4 in a million pairs of large sets of one size. Every link is then
+    verified on the sets themselves, so that no two texts below the similarity are linked. Case,
+    punctuation and white space don't count. Null and wordless texts are alone.
     """
-    angle = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    radius = int(256 * angle + (256 * angle * (1 - angle)) ** 0.5)
-    odd = np.random.default_rng(5).integers(1, 2**63, keys + 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    share = _worst_share(similarity)
+    radius = int(256 * share + 3 * (256 * share * (1 - share)) ** 0.5)
+    odd = np.random.default_rng(5).integers(1, 2**63, keys + 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for batch in batches:
             texts = text_array(batch.column(1))
             for lo, hi in slices(texts, BITS_BYTES):
-                hashes, off = shingle(texts.slice(lo, hi - lo))
-                counts = np.diff(off)
+                hashes, counts = shingle_sets(shingle, texts.slice(lo, hi - lo))
                 some = np.flatnonzero(counts)
+                at = (np.cumsum(counts) - counts)[some]
                 wide = np.stack([mix64(hashes * o) for o in odd[:4]], axis=1).reshape(-1, 4) if len(hashes) else np.zeros((0, 4), np.uint64)
                 rows = majority(np.ascontiguousarray(wide), counts)[some]
-                least = [np.minimum.reduceat(hashes * o, off[:-1][some]).view(np.int64) for o in odd[4:]] if len(some) else [np.zeros(0, np.int64)] * keys
-                sets = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(least, axis=1).ravel()), keys).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(some)), pa.array([r.tobytes() for r in rows], pa.binary()), sets], ["doc_id", "print", "mins"])
-
-    printed = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(prints, "doc_id long, print binary, mins array<long>"))
-    keyed = printed.select(F.posexplode("mins").alias("tab", "key"), "print").distinct()
-    return group_rows(printed.drop("mins"), linked(keyed, radius)).select("doc_id", "component_id")
+                least = [np.minimum.reduceat(hashes * o, at).view(np.int64) for o in odd[6:]] if len(some) else [np.zeros(0, np.int64)] * keys
+                sums = np.stack([np.add.reduceat(mix64(hashes * o), at) for o in odd[4:6]], axis=1) if len(some) else np.zeros((0, 2), np.uint64)
+                mins = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(least, axis=1).ravel()), keys).cast(pa.list_(pa.int64()))
+                own, names = (batch.column(k).slice(lo, hi - lo).take(pa.array(some)) for k in (0, 2))
+                yield pa.RecordBatch.from_arrays(
+                    [own, pa.array([r.tobytes() for r in sums], pa.binary()), pa.array([r.tobytes() for r in rows], pa.binary()), mins, names, pa.array(counts[some].astype(np.int32))],
+                    ["doc_id", "sig", "print", "mins", "name", "size"],
+                )
+
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.unhex(F.md5(F.col(text_col))).alias("name"))
+    printed = cut(named.mapInArrow(prints, "doc_id long, sig binary, print binary, mins array<long>, name binary, size int"))
+    # texts of equal sets are one row from here on; a print carries its set's name
+    keyed = printed.select(F.posexplode("mins").alias("tab", "key"), F.concat("print", "sig").alias("print")).distinct()
+    roots = connected_components(linked(keyed, radius, width=32)).select(F.substring("node", 33, 16).alias("sig"), "component")
+    one = printed.groupBy("sig").agg(F.min(F.struct("name", "print", "size")).alias("o")).select("sig", "o.*")
+    links = verified(one.join(roots, "sig"), named.select("name", "text").dropDuplicates(["name"]), words, radius, similarity)
+    return group_rows(printed.select("doc_id", F.col("sig").alias("print")), links).select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:

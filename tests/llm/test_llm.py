@@ -157,6 +157,54 @@ def test_near_copies(spark, odd, empty):
     assert simhash.drop_near_copies(empty).count() == 0
 
 
+def test_near_copies_are_verified(spark):
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+
+    def pair(a, b, alike):
+        i = len(rows)
+        rows.extend([(i, " ".join(a)), (i + 1, " ".join(b))])
+        want[i] = i
+        want[i + 1] = i if alike else i + 1
+
+    for k in range(300):  # the first n shingles are shared, m more are each text's own
+        n, m = [(300, 50), (302, 49), (400, 50), (392, 49)][k % 4]
+        common, mine, yours = ([f"w{k}x{x}" for x in rng.integers(0, 10**9, size)] for size in (n + 4, m, m))
+        pair(common + mine, common + yours, n / (n + 2 * m) >= 0.8)
+    for k in range(60):  # four shingles of five, then three of four
+        base = [f"s{k}x{x}" for x in range(9)]
+        pair(base[:8], base, True)
+        base = [f"t{k}x{x}" for x in range(8)]
+        pair(base[:7], base, False)
+    often = [f"o{x}" for x in range(100)]  # a repeated passage counts once
+    pair(often * 30 + ["end"], often * 2, True)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert [i for i in want if want[i] == i and got[i] != i] == []
+    assert [i for i in want if got[i] != want[i]] == []
+
+
+@pytest.mark.parametrize("tile", [4096, 40])
+def test_near_copies_are_exact_groups(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash.verified, "__defaults__", (tile,))
+    docs = table(spark, "documents")
+    sh = Shingler(5)
+    ids, sets, held = [], [], defaultdict(list)
+    for r in docs.collect():
+        s = set(sh(text_array(pa.array([r.text])))[0].tolist())
+        for x in s:
+            held[x].append(len(ids))
+        ids.append(r.doc_id)
+        sets.append(s)
+    pairs = {(a, b) for v in held.values() for a in v for b in v if a < b}
+    root = components(len(ids), [(a, b) for a, b in pairs if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8])
+    least = {}
+    for i, r in zip(ids, root):
+        least[r] = min(i, least.get(r, i))
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert got == {i: least[r] for i, r, s in zip(ids, root, sets) if s}
+
+
 # -- 2: URL filters -------------------------------------------------------------------------------
 
 
