@@ -330,12 +330,22 @@ def _gain_sql(antenna: dict, rel: str, el: str) -> str:
     + " UNION ALL ".join(f"SELECT id, '{a['name']}' AS name, round({_gain_sql(a, 'rel', 'el')}, 6) AS gain FROM a" for a in ANTENNAS)
 )
 def antenna_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    angles = cloud(spark, sf_dir).where("id < 2000").selectExpr("id", "(id * 7.3e0) % 360e0 as rel", "(id % 121) - 60e0 as el")
+    return _gains(spark, cloud(spark, sf_dir).where("id < 2000"))
+
+
+def _gains(spark: SparkSession, points: DataFrame) -> DataFrame:
+    angles = points.selectExpr("id", "(id * 7.3e0) % 360e0 as rel", "(id % 121) - 60e0 as el")
     specs = F.broadcast(default_antennas(spark).select("name", "gain_db", radio.normal_pattern(F.col("azimuth_pattern")).alias("az"), radio.normal_pattern(F.col("elevation_pattern")).alias("elp")))
     gain = radio.antenna_gain(F.col("az"), F.col("elp"), F.col("gain_db"), F.col("rel"), F.col("el"))
     return rounded(angles.crossJoin(specs).select("id", "name", gain.alias("gain")), 6, "gain")
 
 
+@query()
+def antenna_gain_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """antenna_gain for every point; the oracle there holds the first 2,000 ids only."""
+    return _gains(spark, cloud(spark, sf_dir))
+
+
 @query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(repr(a[c]) if c != "notes" else "'" + a[c].replace("'", "''") + "'" for c in ("name", "model", "type", "notes", "gain_db", "hp_bw_deg", "vp_bw_deg", "freq_hz_min", "freq_hz_max")).replace('"', "'") + ")" for a in ANTENNAS) + ") t(name, model, type, notes, gain_db, hp_bw_deg, vp_bw_deg, freq_hz_min, freq_hz_max)")
 def antenna_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return antenna_list(default_antennas(spark))

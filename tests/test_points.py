@@ -17,6 +17,7 @@ import __spark_entry__ as entry
 from lidarspark.functions import radio, utm
 from lidarspark.operators import coverage, paths, spatial, summaries, terrain
 from lidarspark.operators.spatial import Box
+from lidarspark.plans import registry
 from lidarspark.schema import ANTENNAS, POINTS, default_antennas
 from lidarspark.session import Survey
 from lidarspark.sources import las, tables
@@ -260,3 +261,22 @@ def test_stream_of_tiles(spark, tmp_path):
     got = tiles.latest(spark, str(tmp_path / "metrics")).select("id", "n", "slope").toPandas().sort_values("id", ignore_index=True)
     want = terrain.terrain_metrics(cloud, 1.0).select("id", "n", "slope").toPandas().sort_values("id", ignore_index=True)
     pd.testing.assert_frame_equal(got, want)
+
+
+def close(got, want, digits):
+    assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want) > 0
+    keys = [c for c in got.columns if not pd.api.types.is_float_dtype(got[c])]
+    got, want = (df[list(got.columns)].sort_values(keys, ignore_index=True) for df in (got, want))
+    for c in got.columns:
+        if c in keys:
+            assert (got[c] == want[c]).all()
+        else:
+            assert np.allclose(got[c], want[c], atol=1.1 * 10.0**-digits)
+
+
+def test_gains_of_all_points(spark):
+    sf = "/root/testdata/sf0.01"
+    sql = registry.ORACLES["antenna_gain"].replace(" WHERE id < 2000", "").replace("FROM events", f"FROM '{sf}/events.parquet'")
+    got = registry.QUERIES["antenna_gain_all"](spark, sf).toPandas()
+    assert got.id.nunique() == tables.cloud(spark, sf).count() > 2000
+    close(got, duckdb.sql(sql).df(), 6)
