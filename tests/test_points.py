@@ -280,3 +280,10 @@ def test_gains_of_all_points(spark):
     got = registry.QUERIES["antenna_gain_all"](spark, sf).toPandas()
     assert got.id.nunique() == tables.cloud(spark, sf).count() > 2000
     close(got, duckdb.sql(sql).df(), 6)
+
+
+def test_heights_at_all_points(spark):
+    sql = registry.ORACLES["client_height"].replace(" WHERE id % 500 = 0", "").replace("FROM events", f"FROM '{SF}/events.parquet'")
+    got = registry.QUERIES["client_height_all"](spark, SF).toPandas()
+    assert len(got) == tables.cloud(spark, SF).count()
+    close(got, duckdb.sql(sql).df(), 6)
