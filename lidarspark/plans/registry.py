@@ -31,6 +31,14 @@ SITES = ((0, 518812.3, 4252301.7, 1300.9, 20.0, 2.4e9, 90.0, "AM-2G16-90"), (1,
 GRID = coverage.Grid(518800.0, 518849.0, 4252300.0, 4252304.5, 15, 9)
 
 
+def whole_grid(points: DataFrame) -> coverage.Grid:
+    """The raster over the whole cloud: 20 m beyond its extent, a cell each 2 m. Fixed SQL can't follow it."""
+    grid = coverage.Grid.over(points, 2.0, 20.0)
+    if grid is None:
+        raise ValueError("no points")
+    return grid
+
+
 def query(oracle: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -421,17 +429,20 @@ def rf_coverage_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rf_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage.coverage(cloud(spark, sf_dir), _sites(spark), GRID)
+    points = cloud(spark, sf_dir)
+    return coverage.coverage(points, _sites(spark), whole_grid(points))
 
 
 @query()
 def coarse_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage.planes(spark, GRID, cloud(spark, sf_dir))
+    points = cloud(spark, sf_dir)
+    return coverage.planes(spark, whole_grid(points), points)
 
 
 @query()
 def heatmap_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.heatmap_json(coverage.coverage(cloud(spark, sf_dir), _sites(spark), GRID, reflections=False))
+    points = cloud(spark, sf_dir)
+    return summaries.heatmap_json(coverage.coverage(points, _sites(spark), whole_grid(points), reflections=False))
 
 
 @query(f"{_CLOUD}, {_CELLS} SELECT iy * {GRID.nx} + ix AS at, round(z, 6) AS z FROM ground")
@@ -461,3 +472,39 @@ def client_height_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """client_height for every point; the oracle there holds every 500th id only."""
     points = cloud(spark, sf_dir)
     return _heights(points, points)
+
+
+# -- the raster queries over the whole cloud, where those with an oracle keep to GRID -----------------
+
+
+@query()
+def raster_grid_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(whole_grid(cloud(spark, sf_dir)).cells(spark).drop("cell"), 6, "x", "y")
+
+
+def _whole_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = cloud(spark, sf_dir)
+    return coverage.ground(whole_grid(points).cells(spark), points)
+
+
+@query()
+def grid_ground_z_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_whole_ground(spark, sf_dir).select("iy", "ix", "z"), 6, "z")
+
+
+@query()
+def raster_flat_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(coverage.raster_order(_whole_ground(spark, sf_dir)).select("at", "z"), 6, "z")
+
+
+@query()
+def ray_diffraction_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rays = coverage.rays(_whole_ground(spark, sf_dir), _sites(spark))
+    return rounded(coverage.diffraction(rays, cloud(spark, sf_dir)), 5, "loss")
+
+
+@query()
+def rf_coverage_direct_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = cloud(spark, sf_dir)
+    power = coverage.coverage(points, _sites(spark), whole_grid(points), reflections=False)
+    return rounded(power.select("iy", "ix", "rssi_dbm"), 4, "rssi_dbm")

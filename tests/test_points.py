@@ -287,3 +287,26 @@ def test_heights_at_all_points(spark):
     got = registry.QUERIES["client_height_all"](spark, SF).toPandas()
     assert len(got) == tables.cloud(spark, SF).count()
     close(got, duckdb.sql(sql).df(), 6)
+
+
+@pytest.mark.parametrize(("name", "digits"), [("raster_grid", 6), ("grid_ground_z", 6), ("raster_flat", 6), ("ray_diffraction", 5), ("rf_coverage_direct", 4)])
+def test_rasters_over_the_whole_cloud(spark, name, digits):
+    old, new = registry.GRID, coverage.Grid.over(tables.cloud(spark, SF), 2.0, 20.0)
+    sql = registry.ORACLES[name].replace("FROM events", f"FROM '{SF}/events.parquet'")
+
+    def parts(g):
+        return (f"iy * {g.nx} + ix", f"range({g.ny}) a(iy), range({g.nx}) b(ix)", f"{g.xmin!r}::DOUBLE + ix * {(g.xmax - g.xmin) / (g.nx - 1)!r}::DOUBLE", f"{g.ymin!r}::DOUBLE + iy * {(g.ymax - g.ymin) / (g.ny - 1)!r}::DOUBLE")
+
+    for a, b in zip(parts(old), parts(new)):
+        assert a in sql
+        sql = sql.replace(a, b)
+    close(registry.QUERIES[f"{name}_all"](spark, SF).toPandas(), duckdb.sql(sql).df(), digits)
+
+
+def test_coverage_and_planes_span_the_cloud(spark):
+    g = coverage.Grid.over(tables.cloud(spark, SF), 2.0, 20.0)
+    got = registry.QUERIES["rf_coverage"](spark, SF).toPandas()
+    assert len(got) == g.nx * g.ny > 135
+    assert (got.x.min(), got.x.max(), got.y.min(), got.y.max()) == pytest.approx((g.xmin, g.xmax, g.ymin, g.ymax))
+    assert registry.QUERIES["coarse_planes"](spark, SF).count() == math.ceil((g.xmax - g.xmin) / 10) * math.ceil((g.ymax - g.ymin) / 10)
+    assert got.groupby(["iy", "ix"]).size().max() == 1
