@@ -11,9 +11,14 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` as computed once, written to the checkpoint folder.
 
     What follows neither repeats its work nor is folded into its expressions. The folder is the
-    one named in ``spark.checkpoint.dir``; only where that is unset a local one is made.
+    one named in ``spark.checkpoint.dir``. Where that is unset, a local master makes its own
+    folder; a cluster, whose executors couldn't see it, is refused.
     """
     spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cuts-"))
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cuts-"))
     return df.checkpoint()
