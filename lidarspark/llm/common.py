@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.cuts import cut
 
 #: Bytes of text that one vectorised step handles; a single longer text is still handled whole.
 SLICE_BYTES = 1 << 21
@@ -20,25 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner", share: int = 1000) -> DataFrame:
+    """``rows`` joined to ``facts``, which has one row for each key; ``rows`` must have been cut.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``; only where
-    that is unset (tests, a laptop) a local one is made.
+    Keys with over a ``share``-th of the rows, of which there are fewer than ``share``, are dealt
+    out over as many slices as they have such parts, and their facts repeated for each slice.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished rounds: it does so once their plans are garbage."""
-    for _ in range(2):  # the first collection ends plans, the second what only they held
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    total = rows.count()
+    hot = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.ceil(F.count("*") * share / max(1, total)).cast("int").alias("_slices")).where("_slices > 1")
+    hot = F.broadcast(cut(hot.select(F.col(key).alias("_hot"), "_slices")))
+    dealt = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_slice", F.coalesce(F.monotonically_increasing_id() % F.col("_slices"), F.lit(0)).cast("int")).drop("_hot", "_slices")
+    repeated = facts.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1))).drop("_hot", "_slices")
+    return dealt.join(repeated, [key, "_slice"], how).drop("_slice")
 
 
 def partitions(spark: SparkSession) -> int:

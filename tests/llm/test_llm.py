@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lidarspark.llm import covertree, decontaminate, licenses, pieces, pii, resharding, simhash, suffix_dedup, toxicity, url_filter
 from lidarspark.llm.common import Roller, Shingler, text_array
@@ -465,26 +466,58 @@ def test_removed(spark, sf):
     assert got == brute_removed(rows) and sum(r[2] for r in got) > 0
 
 
+def test_removed_in_small_blocks(spark):
+    docs = table(spark, "documents", SMALL)
+    copies = docs.select("doc_id", "text").union(docs.select(F.col("doc_id") % 7, "text")).union(docs.select(F.lit(3), "text").limit(40))
+    rows = [(r.doc_id, r.text) for r in copies.collect()]
+    got = suffix_dedup.removed(copies, block_bytes=5000, kept_text=True).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == brute_removed(rows)
+    assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
+
+
 def test_removed_odd(spark, odd, empty, monkeypatch):
     rng = np.random.default_rng(3)
     shared = bytes(rng.integers(97, 101, 160).tolist()).decode()
     rows = ODD + [(20 + i, shared[i : i + 49 + i % 9] + str(i) * 3 + "a" * (40 + 9 * i) + "é" * 30) for i in range(40)] + [(70, "ab" * 200), (71, "ab" * 90), (71, "ab" * 60), (72, shared * 3), (None, shared), (None, shared), (73, "z" * 49)]
     monkeypatch.setattr(suffix_dedup, "PIECE", 300)
-    made = suffix_dedup.removed(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted((tuple(r) for r in made.collect()), key=str) == brute_removed(rows)
+    extra = spark.createDataFrame([(*r, 1, 2, b"d", 3, "n") for r in rows], "doc_id long, text string, block int, bucket int, digest binary, doc int, n string")
+    assert sorted((tuple(r) for r in suffix_dedup.removed(extra).collect()), key=str) == brute_removed(rows)
     assert suffix_dedup.removed(empty).count() == 0
 
 
+def one_block(texts):
+    rows = pa.table({"digest": pa.array([hashlib.md5(t.encode()).digest() for t in texts]), "doc": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    block = suffix_dedup.Block(rows)
+    block.sample(Roller())
+    return block
+
+
 def test_pieces_overlap(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 200)
-    data = np.frombuffer(np.random.default_rng(1).bytes(900), np.uint8)
-    texts = text_array(pa.array([data.tobytes().hex(), "short", "x" * 77]))
-    got = list(suffix_dedup.send(texts, np.arange(3), np.arange(3), 0, 1, 1, Roller()))
-    records = np.concatenate([np.frombuffer(b, suffix_dedup._RECORD, int(np.frombuffer(b, np.uint32, 1)[0]), 4) for _, b in got])
-    windows = {(int(r["doc"]), int(r["first"]) + k) for r in records for k in range(r["windows"])}
+    data = np.random.default_rng(1).bytes(900).hex()
+    block = one_block([data, "short", "x" * 77])
+    windows = {(int(block.least[t]), int(f - block.off[t]) + k) for t, f, m in zip(block.text, block.first, block.windows) for k in range(m)}
     assert windows == {(0, p) for p in range(1800 - 49)} | {(2, p) for p in range(28)}
 
 
+@pytest.mark.parametrize("hashing", ["mixed", "one value", "two values"])
+def test_removed_with_clashing_hashes(spark, monkeypatch, hashing):
+    rng = np.random.default_rng(8)
+    shared = [bytes(rng.integers(97, 123, 90).tolist()).decode() for _ in range(3)]
+    rows = [(i, "".join(rng.permutation(shared).tolist()) + str(i) * 30) for i in range(6)]
+    blocks = [one_block([t]) for _, t in rows]
+    for (i, _), b in zip(rows, blocks):
+        b.least[:] = i
+    bits = suffix_dedup.meet_names([x for b in blocks for _, x in suffix_dedup.send_names(b, 1)])
+    sent = [x for k, b in enumerate(blocks) for _, x in suffix_dedup.send_classes(b, k, {0: bits[k]}, 1, Roller())]
+    if hashing != "mixed":
+        monkeypatch.setattr(suffix_dedup, "mix64", lambda x: x * np.uint64(0) + (x & np.uint64(1) if hashing == "two values" else np.uint64(0)))
+    at, found = suffix_dedup.meet_classes(sent, Roller(), chunk=100)
+    monkeypatch.undo()
+    got = [(int(b.least[0]), n, gone, spans, hashlib.sha256(kept).hexdigest()) for k, b in enumerate(blocks) for _, _, n, gone, spans, _, kept in suffix_dedup.cleaned(b, found[at == k], Roller())]
+    assert sorted(got, key=str) == brute_removed(rows)
+
+
 # -- 10: toxicity ----------------------------------------------------------------------------------
 
 
