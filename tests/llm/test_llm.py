@@ -394,12 +394,36 @@ def test_near_vectors_odd(spark):
     rows = [(i, (hub + rng.normal(size=8) * 0.04 * (i % 9)).tolist()) for i in range(400)] + [(400 + i, rng.normal(size=8).tolist()) for i in range(300)]
     rows += [(900 + i, [1.0] * 8) for i in range(40)] + [(950, [2.0] * 8), (951, None), (952, [0.0] * 8), (953, [float("nan")] * 8), (954, [None, 1.0]), (955, [float("inf"), 1.0]), (956, []), (957, [1.0] * 7), (958, [1e300] * 8), (None, [1.0] * 8)]
     for tile in (covertree.TILE, 64):
-        got = covertree.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tile=tile).collect()
+        extra = spark.createDataFrame([(*r, 1, b"u", 2, 3, 4) for r in rows], "vec_id long, embedding array<double>, c int, unit binary, cell int, tile int, root int")
+        got = covertree.near_vectors(extra, tile=tile).collect()
         want = [(i, n, c) for i, n, c in brute_vectors([(i, [x / 1e290 if x and abs(x) > 1e200 and np.isfinite(x) else x for x in v] if v else v) for i, v in rows])]
         assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == want
     assert covertree.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.02, 0.3, 2.0])
+def test_cover_tree(spread):
+    rng = np.random.default_rng(int(spread * 100))
+    x = rng.normal(size=(30, 12))[rng.integers(0, 30, 900)] + rng.normal(size=(900, 12)) * spread
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    order, root = covertree.build(x, leaf=20)
+    assert sorted(order.tolist()) == list(range(900))
+    x, stack = x[order], [covertree.unpack(covertree.pack(root))]
+    while stack:
+        n = stack.pop()
+        assert (np.sqrt(((x[n.lo : n.hi] - x[n.center]) ** 2).sum(axis=1)) <= n.radius + 1e-9).all() and n.lo <= n.center < n.hi
+        assert not n.kids or [n.lo, *(k.hi for k in n.kids)] == [*(k.lo for k in n.kids), n.hi]
+        stack += n.kids
+    got = set()
+    for kind, i, j in covertree.dual(x, root, x, root, 0.9, True):
+        if kind == "all":
+            got |= {(a, b) for a in range(i.start, i.stop) for b in range(j.start, j.stop) if i != j or a < b}
+        else:
+            got |= set(zip(i.tolist(), j.tolist()))
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(x @ x.T >= 0.9, 1)))}
+    assert {(min(p), max(p)) for p in got} == want
+
+
 # -- 8: resharding --------------------------------------------------------------------------------
 
 
