@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import cut, text_array
 
 SPACE = "▁"
-#: A word: a run of spaces with what follows up to the next space or line end; or one line end or other blank.
-_WORD = re.compile(f"{SPACE}+[^{SPACE}\\n]*|[^{SPACE}\\n]+|\\n")
+#: A word of a line: a run of spaces with what follows up to the next space.
+_WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Words of the broadcast table at most, the most frequent ones; the others are folded where they stand.
 DICTIONARY = 1 << 18
 #: Longest word, in characters, that goes into the lattice table.
@@ -76,6 +76,8 @@ class Model:
         special = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)}
         self.table = {p: i for i, p in enumerate(self.pieces) if i not in special}
         self.longest = max(map(len, self.table), default=1)
+        #: The cost of making a piece by a merge: the smallest comes first.
+        self.cost = {p: -self.scores[i] for p, i in self.table.items()}
         self.raw = [bytes([i - self.byte0]) if sp.is_byte(i) else b"" if sp.is_control(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         if not any(SPACE in p.strip(SPACE) or (p.endswith(SPACE) and p.strip(SPACE)) or "\n" in p for p in self.table):
             return
@@ -89,18 +91,7 @@ class Model:
         table, scores = self.table, self.scores
         parts = list(word)
         if self.kind == "bpe":
-            if len(parts) > 200:
-                parts = self._merge_long(parts)
-            else:
-                while len(parts) > 1:
-                    best, at = None, -1
-                    for i in range(len(parts) - 1):
-                        k = table.get(parts[i] + parts[i + 1])
-                        if k is not None and (best is None or scores[k] > best):
-                            best, at = scores[k], i
-                    if best is None:
-                        break
-                    parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            parts = self._merge_long(parts) if len(parts) > 200 else self._merge(parts)
         else:
             floor = min(self.scores) - 10
             best = [(0.0, 0, "")] + [(-1e300, 0, "")] * len(word)
@@ -117,6 +108,23 @@ class Model:
             parts.reverse()
         return [i for p in parts for i in ([table[p]] if p in table else self.fallback(p))]
 
+    def _merge(self, parts: list[str]) -> list[str]:
+        """BPE merges: the best pair first, the leftmost of equals."""
+        cost, none = self.cost.get, float("inf")
+        pairs = [cost(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs:
+            least = min(pairs)
+            if least == none:
+                break
+            i = pairs.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = cost(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = cost(parts[i] + parts[i + 1], none)
+        return parts
+
     def _merge_long(self, parts: list[str]) -> list[str]:
         """BPE merges with a heap and linked places, for very long words."""
         import heapq
@@ -147,17 +155,49 @@ class Model:
         return [p for p in parts if p]
 
     def words(self, text: str) -> list[str]:
-        text = text.replace(" ", SPACE)
-        return _WORD.findall(SPACE + text if self.prefix and text else text)
+        """Runs of spaces, as space marks, with what follows up to the next space or line end; and line ends."""
+        if SPACE in text:
+            text = text.replace(SPACE, " ")
+        if self.prefix and text:
+            text = " " + text
+        out: list[str] = []
+        for k, line in enumerate(text.split("\n")):
+            if k:
+                out.append("\n")
+            if "  " in line or line[-1:] == " ":
+                out += _WORD.findall(line.replace(" ", SPACE))
+            elif line:
+                # single spaces only: the first word is empty where the line begins with one
+                own = line.replace(" ", " " + SPACE).split(" ")
+                out += own if own[0] else own[1:]
+        return out
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
+        return self.plain(b"".join(map(self.raw.__getitem__, ids)))
+
+    def plain(self, raw: bytes) -> str:
+        text = raw.decode("utf-8", "replace")
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
+class Looked(dict):
+    """What a function gave for the words asked last, ``most`` of them at most after :meth:`trim`."""
+
+    def __init__(self, find: Callable[[str], bytes], most: int = 200_000):
+        super().__init__()
+        self.find, self.most = find, most
+
+    def __missing__(self, word: str) -> bytes:
+        got = self[word] = self.find(word)
+        return got
+
+    def trim(self) -> None:
+        if len(self) > self.most:
+            self.clear()
+
+
 def word_counts(docs: DataFrame, model: Model, text_col: str = "text", flush: int = 200_000) -> DataFrame:
     """(word, n) over all texts; counted in each task first, in tables of bounded size."""
-    prefix = model.prefix
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -169,11 +209,9 @@ def word_counts(docs: DataFrame, model: Model, text_col: str = "text", flush: in
 
         for batch in batches:
             for text in text_array(batch.column(0)).to_pylist():
-                if text:
-                    text = text.replace(" ", SPACE)
-                    seen.update(_WORD.findall(SPACE + text if prefix else text))
-                    if len(seen) > flush:
-                        yield out()
+                seen.update(model.words(text))
+                if len(seen) > flush:
+                    yield out()
         yield out()
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -244,29 +282,26 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = shared.value
-        rare: dict[str, bytes] = {}
-
-        def look(word: str) -> bytes:
-            got = known.get(word) or rare.get(word)
-            if got is None:
-                if len(rare) > 50_000:
-                    rare.clear()
-                got = rare[word] = np.array(model.fold(word), np.int32).tobytes()
-            return got
+        ids = Looked(lambda word: known.get(word) or np.array(model.fold(word), np.int32).tobytes())
+        # a word's pieces decoded, once for each word that a task remembers
+        plain = Looked(lambda word: b"".join(map(model.raw.__getitem__, np.frombuffer(ids[word], np.int32).tolist())))
 
         for batch in batches:
             column = batch.column(1)
             for lo in range(0, len(column), 500):
                 texts = column.slice(lo, 500).to_pylist()
-                blobs = [None if t is None else b"".join(map(look, model.words(t))) for t in texts]
+                words = [None if t is None else model.words(t) for t in texts]
+                blobs = [None if w is None else b"".join(map(ids.__getitem__, w)) for w in words]
                 sizes = np.array([0 if b is None else len(b) // 4 for b in blobs], np.int64)
                 flat = np.frombuffer(b"".join(b for b in blobs if b), np.int32)
                 off = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 null = pa.array([b is None for b in blobs], pa.bool_())
                 lists = pa.ListArray.from_arrays(pa.array(off), pa.array(flat), mask=null)
-                decoded = [None if b is None else model.decode(np.frombuffer(b, np.int32).tolist()) for b in blobs]
+                decoded = [None if w is None else model.plain(b"".join(map(plain.__getitem__, w))) for w in words]
                 counts = pa.array([None if b is None else len(b) // 4 for b in blobs], pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 500), lists, counts, pa.array(decoded, pa.string())], ["doc_id", "ids", "n_pieces", "decoded"])
+                ids.trim()
+                plain.trim()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_pieces int, decoded string")
 

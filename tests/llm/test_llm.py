@@ -286,16 +286,28 @@ def test_pieces(spark, odd, empty, dictionary):
     for r in docs.collect():
         assert got[r.doc_id].ids == sp.encode(r.text) and got[r.doc_id].decoded == r.text and got[r.doc_id].n_pieces == len(got[r.doc_id].ids)
     if dictionary > 500:
-        for r in pieces.encode(odd.select("doc_id", "text"), path).collect():
-            if r.ids is None:
-                assert r.doc_id == 2
-            elif r.doc_id != 9:
-                assert r.ids == sp.encode(r.decoded)
+        clashing = odd.selectExpr("*", "1 as ids", "2 as n_pieces", "'x' as decoded", "'y' as word", "3 as n")
+        texts = dict(ODD)
+        for r in pieces.encode(clashing, path).collect():
+            assert r.ids == (None if texts[r.doc_id] is None else sp.encode(texts[r.doc_id])), r.doc_id
+            assert r.decoded == (None if r.ids is None else sp.decode(r.ids)), r.doc_id
         assert pieces.encode(empty, path).count() == 0
         spaced = spark.createDataFrame([(1, "  two  spaces   end "), (2, "\n\n a\tb\r\n")], "doc_id long, text string")
         assert [r.ids for r in pieces.encode(spaced, path).orderBy("doc_id").collect()] == [sp.encode("  two  spaces   end "), sp.encode("\n\n a\tb\r\n")]
 
 
+@pytest.mark.parametrize("prefix", [True, False])
+def test_words(prefix):
+    model = object.__new__(pieces.Model)
+    model.prefix = prefix
+    rng = np.random.default_rng(0)
+    mark = pieces.SPACE
+    for _ in range(3000):
+        text = "".join(rng.choice(list("ab é\n\t\r " + mark), rng.integers(0, 12)))
+        whole = (mark if prefix and text else "") + text.replace(" ", mark)
+        assert model.words(text) == re.findall(f"{mark}+[^{mark}\n]*|[^{mark}\n]+|\n", whole)
+
+
 def test_viterbi_fold(spark):
     model = object.__new__(pieces.Model)
     model.kind, model.byte0, model.unk, model.prefix = "unigram", None, 0, True
@@ -316,7 +328,7 @@ def test_long_merges():
         if best is None:
             break
         parts[-best[1] : -best[1] + 2] = ["".join(parts[-best[1] : -best[1] + 2])]
-    assert model._merge_long(list(word)) == parts
+    assert model._merge_long(list(word)) == parts == model._merge(list(word))
 
 
 # -- 5: decontamination ---------------------------------------------------------------------------
