@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -154,6 +155,93 @@ class Model:
                 offer(left[i])
         return [p for p in parts if p]
 
+    def merge_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, int]]:
+        """Keys of the pairs of symbols that make a piece, in order, with its id and its rank; and the symbols of the characters.
+
+        A symbol is a piece's id, or a number from the pieces' count on for a character that is
+        no piece but part of some.
+        """
+        symbols = dict(self.table)
+        for p in self.table:
+            for c in p:
+                symbols.setdefault(c, len(self.pieces) + len(symbols))
+        ranks = dict(zip(sorted(set(self.cost.values())), range(len(self.table))))
+        pairs = {(symbols[p[:k]] << 24) + symbols[p[k:]]: p for p in self.table for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols}
+        keys = np.array(sorted(pairs), np.int64)
+        made = [pairs[k] for k in keys.tolist()]
+        return keys, np.array([self.table[p] for p in made], np.int64), np.array([ranks[self.cost[p]] for p in made], np.int64), {c: i for c, i in symbols.items() if len(c) == 1}
+
+    def fold_many(self, words: list[str], chunk: int = 4096, longest: int = 64) -> list[bytes]:
+        """The ids of many words, as :meth:`fold` gives them; BPE merges step by step in all words of a chunk at once."""
+        if self.kind != "bpe":
+            return [np.array(self.fold(w), np.int32).tobytes() for w in words]
+        if not hasattr(self, "_merges"):
+            keys, made, rank, characters = self.merge_table()
+            known = np.full(0x110000, -1, np.int64)
+            known[[ord(c) for c in characters]] = list(characters.values())
+            self._merges = keys, made, rank, known
+        keys, made, rank, known = self._merges
+        none = np.iinfo(np.int64).max
+        out: list[bytes] = [b""] * len(words)
+
+        def look(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            key = (a << 24) + b
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = (keys[at] == key) & (a >= 0) & (b >= 0)
+            return np.where(hit, rank[at], none), made[at]
+
+        def done(rows: np.ndarray, symbols: np.ndarray, sizes: np.ndarray) -> None:
+            inside = np.arange(symbols.shape[1]) < sizes[:, None]
+            flat, ends = symbols[inside], np.cumsum(sizes)
+            if ((flat < 0) | (flat >= len(self.pieces))).any():
+                for r, e, n in zip(rows.tolist(), ends.tolist(), sizes.tolist()):
+                    # characters that are no piece
+                    out[r] = np.array([i for s in flat[e - n : e].tolist() for i in ([s] if 0 <= s < len(self.pieces) else self.fallback(chr(-2 - s) if s < 0 else plain[s]))], np.int32).tobytes()
+                return
+            raw = flat.astype(np.int32).tobytes()
+            for r, e, n in zip(rows.tolist(), ends.tolist(), sizes.tolist()):
+                out[r] = raw[4 * (e - n) : 4 * e]
+
+        plain = {int(known[ord(c)]): c for c in map(chr, np.flatnonzero(known >= len(self.pieces)).tolist())} if len(keys) else {}
+        size = np.array([len(w) for w in words], np.int64)
+        for i in np.flatnonzero((size > longest) | (size == 0)).tolist():
+            out[i] = np.array(self.fold(words[i]), np.int32).tobytes()
+        order = np.flatnonzero((size > 0) & (size <= longest))
+        order = order[np.argsort(size[order], kind="stable")]
+        for lo in range(0, len(order), chunk):
+            rows = order[lo : lo + chunk]
+            sizes = size[rows]
+            point = np.frombuffer("".join([words[i] for i in rows.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            symbol = known[point]
+            symbols = np.full((len(rows), int(sizes[-1]) + 1), -1, np.int64)
+            symbols[np.arange(symbols.shape[1]) < sizes[:, None]] = np.where(symbol < 0, -2 - point, symbol)
+            costs, joined = look(symbols[:, :-1], symbols[:, 1:])
+            while len(rows):
+                at = costs.argmin(axis=1)
+                every = np.arange(len(rows))
+                more = costs[every, at] != none
+                if not more.all():
+                    done(rows[~more], symbols[~more], sizes[~more])
+                    rows, symbols, sizes, costs, joined, at = rows[more], symbols[more], sizes[more], costs[more], joined[more], at[more]
+                    every = np.arange(len(rows))
+                    if not len(rows):
+                        break
+                symbols[every, at] = joined[every, at]
+                # the places after the pair move up by one
+                place = np.arange(costs.shape[1] - 1)
+                symbols = np.take_along_axis(symbols, np.arange(symbols.shape[1] - 1) + (np.arange(symbols.shape[1] - 1) > at[:, None]), axis=1)
+                moved = place + (place >= at[:, None])
+                costs, joined = np.take_along_axis(costs, moved, axis=1), np.take_along_axis(joined, moved, axis=1)
+                sizes = sizes - 1
+                if not costs.shape[1]:
+                    done(rows, symbols, sizes)
+                    break
+                for shift in (-1, 0):
+                    some = np.flatnonzero((at + shift >= 0) & (at + shift < costs.shape[1]))
+                    k = at[some] + shift
+                    costs[some, k], joined[some, k] = look(symbols[some, k], symbols[some, k + 1])
+        return out
+
     def words(self, text: str) -> list[str]:
         """Runs of spaces, as space marks, with what follows up to the next space or line end; and line ends."""
         if SPACE in text:
@@ -173,27 +261,15 @@ class Model:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        return self.plain(b"".join(map(self.raw.__getitem__, ids)))
-
-    def plain(self, raw: bytes) -> str:
-        text = raw.decode("utf-8", "replace")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
 class Looked(dict):
-    """What a function gave for the words asked last, ``most`` of them at most after :meth:`trim`."""
-
-    def __init__(self, find: Callable[[str], bytes], most: int = 200_000):
-        super().__init__()
-        self.find, self.most = find, most
+    """The ids of the dictionary's words, and of the words of the texts at hand."""
 
     def __missing__(self, word: str) -> bytes:
-        got = self[word] = self.find(word)
-        return got
-
-    def trim(self) -> None:
-        if len(self) > self.most:
-            self.clear()
+        return self.rare[word]
 
 
 def word_counts(docs: DataFrame, model: Model, text_col: str = "text", flush: int = 200_000) -> DataFrame:
@@ -282,26 +358,22 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = shared.value
-        ids = Looked(lambda word: known.get(word) or np.array(model.fold(word), np.int32).tobytes())
-        # a word's pieces decoded, once for each word that a task remembers
-        plain = Looked(lambda word: b"".join(map(model.raw.__getitem__, np.frombuffer(ids[word], np.int32).tolist())))
-
+        ids = Looked(known)
         for batch in batches:
             column = batch.column(1)
             for lo in range(0, len(column), 500):
                 texts = column.slice(lo, 500).to_pylist()
                 words = [None if t is None else model.words(t) for t in texts]
+                ids.rare = dict(zip(rare := list(set(chain.from_iterable(w for w in words if w)) - known.keys()), model.fold_many(rare)))
                 blobs = [None if w is None else b"".join(map(ids.__getitem__, w)) for w in words]
                 sizes = np.array([0 if b is None else len(b) // 4 for b in blobs], np.int64)
                 flat = np.frombuffer(b"".join(b for b in blobs if b), np.int32)
                 off = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 null = pa.array([b is None for b in blobs], pa.bool_())
                 lists = pa.ListArray.from_arrays(pa.array(off), pa.array(flat), mask=null)
-                decoded = [None if w is None else model.plain(b"".join(map(plain.__getitem__, w))) for w in words]
+                decoded = [None if b is None else model.decode(np.frombuffer(b, np.int32).tolist()) for b in blobs]
                 counts = pa.array([None if b is None else len(b) // 4 for b in blobs], pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 500), lists, counts, pa.array(decoded, pa.string())], ["doc_id", "ids", "n_pieces", "decoded"])
-                ids.trim()
-                plain.trim()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_pieces int, decoded string")
 

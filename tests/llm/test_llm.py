@@ -296,6 +296,20 @@ def test_pieces(spark, odd, empty, dictionary):
         assert [r.ids for r in pieces.encode(spaced, path).orderBy("doc_id").collect()] == [sp.encode("  two  spaces   end "), sp.encode("\n\n a\tb\r\n")]
 
 
+@pytest.mark.parametrize("byte_fallback", [True, False])
+def test_fold_many(byte_fallback):
+    model = pieces.Model(pieces.default_model())
+    if not byte_fallback:
+        model.byte0 = None
+        for p in ("e", "q"):  # a character that is part of pieces but none itself
+            model.table.pop(p), model.cost.pop(p)
+    rng = np.random.default_rng(5)
+    letters = list("etaoinshrdlu" * 4 + "EQéß漢😀" + pieces.SPACE + "'-.0123456789q")
+    words = ["".join(rng.choice(letters, n)) for n in rng.integers(0, 30, 4000).tolist() + [64, 65, 210, 1, 2]] + list(model.table)[::7]
+    assert model.fold_many(words, chunk=100) == [np.array(model.fold(w), np.int32).tobytes() for w in words]
+    assert model.fold_many([]) == []
+
+
 @pytest.mark.parametrize("prefix", [True, False])
 def test_words(prefix):
     model = object.__new__(pieces.Model)
