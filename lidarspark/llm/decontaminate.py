@@ -1,12 +1,13 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.
 
-Benchmark items are partitioned by their number of distinct word shingles, in powers of two.
-For a class whose items have up to m shingles, every document is read as half-overlapping
-segments of 2 m shingles, so an item of the class always meets a segment of a size like its
-own and a containment of 0.8 means a Jaccard similarity of about 0.2 or more, however long the
-document is. An item and a document are candidates if any of the MinHash values of a segment
-equals the item's; a candidate is then judged by the exact share of the item's shingles that
-the whole document holds.
+Benchmark items are partitioned by their number of distinct word shingles. The smallest class,
+under 8 shingles, is looked up by the shingles themselves; the others are powers of two. For a
+class whose items have up to m shingles, every document is read as half-overlapping segments of
+2 m shingles, so an item of the class always meets a segment of a size like its own, and a
+containment of 0.8 means a Jaccard similarity of 0.19 or more, however long the document is. An
+item and a document are candidates if any of the MinHash values of a segment equals the item's;
+a candidate is then judged by the exact share of the item's shingles that the whole document
+holds.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ from pyspark.sql import functions as F
 
 from .common import Shingler, slices, text_array
 
-#: MinHash functions. With r = 1 a pair at Jaccard j is missed with probability (1 - j)**HASHES: 0.1 % at 0.2.
-HASHES = 32
-#: Items that are sent to the executors at once; larger benchmarks are searched in blocks of so many.
-BLOCK_ITEMS = 50_000
-_BITS = 16
+#: MinHash functions. A pair at Jaccard j is missed with probability (1 - j)**HASHES: 4e-5 at 0.19, 1e-6 at 0.25.
+HASHES = 48
+#: Items under so many shingles are looked up exactly.
+SMALL = 8
+#: Items, and bytes of them, that are sent to the executors at once; larger benchmarks are searched in such blocks.
+BLOCK_ITEMS, BLOCK_BYTES = 50_000, 1 << 26
+_BITS, _SMALL_BITS = 16, 22
 
 
 class ItemIndex:
@@ -35,9 +38,17 @@ class ItemIndex:
         self.ids, self.sets, self.threshold = ids, sets, threshold
         self.odd = rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         classes: dict[int, list[int]] = {}
+        few: list[tuple[int, int]] = []
         for i, s in enumerate(sets):
-            if len(s):
-                classes.setdefault(max(4, int(len(s)).bit_length()), []).append(i)
+            if 0 < len(s) < SMALL:
+                # whoever holds enough of them holds one of these
+                few += [(int(x), i) for x in s[: len(s) - max(1, int(np.ceil(threshold * len(s) - 1e-9))) + 1]]
+            elif len(s):
+                classes.setdefault(int(len(s)).bit_length(), []).append(i)
+        few.sort()
+        self.few, self.few_owner = np.array([x for x, _ in few], np.uint64), np.array([i for _, i in few], np.int64)
+        self.few_seen = np.zeros(1 << _SMALL_BITS, bool)
+        self.few_seen[self.few >> np.uint64(64 - _SMALL_BITS)] = True
         #: class c has items of under 2**c shingles
         self.classes = sorted(classes)
         self.seen, self.values, self.owners = {}, {}, {}
@@ -53,8 +64,13 @@ class ItemIndex:
         """(document, item, containment) of the verified pairs, for documents as runs of shingle hashes."""
         found: set[tuple[int, int]] = set()
         counts = np.diff(off)
-        if not len(hashes) or not self.classes:
+        if not len(hashes):
             return []
+        maybe = np.flatnonzero(self.few_seen[hashes >> np.uint64(64 - _SMALL_BITS)]) if len(self.few) else np.zeros(0, np.int64)
+        lo, hi = np.searchsorted(self.few, hashes[maybe], "left"), np.searchsorted(self.few, hashes[maybe], "right")
+        doc, many = np.searchsorted(off, maybe, "right") - 1, hi - lo
+        own = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        found.update(zip(np.repeat(doc, many).tolist(), self.few_owner[own].tolist()))
         for h in range(HASHES):
             values, spans = hashes * self.odd[h], counts
             step = 1
@@ -89,16 +105,19 @@ def _runs(counts: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.nda
 def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, containment) of all items of which a document holds ``threshold`` of the word shingles.
 
-    Shingles are sets; an item of fewer than ``words`` words is one shingle. Items or texts that
-    are null or without words match nothing; rows that repeat come back as often; empty tables
-    give an empty result. Only the id and text columns are read.
+    Shingles are sets; an item or text of fewer than ``words`` words is one shingle, its whole
+    sequence, so that such an item is found only in a text that is no more than it. Items under
+    SMALL shingles are found without exception. Items or texts that are null or without words
+    match nothing; a null doc_id is found under null; rows that repeat come back as often; empty
+    tables give an empty result. Only the id and text columns are read.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null")
     out = None
     # the stated query set, in blocks of a bounded size, against all rows
-    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+    many, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-many // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
         rows = part.collect()
