@@ -234,6 +234,27 @@ def test_mined_rules_judge(spark):
     assert {r.page_id: r.verdict for r in got.collect()} == {1: "block", 2: "allow", 3: "allow"}
 
 
+def test_templates_of_shared_keys(spark):
+    query = "&".join(f"utm{i}=1" for i in range(40))
+    labels = [(f"http://a{i}.biz/{'win' if i % 2 else 'read'}/{i}?{query}", "block" if i % 2 else "allow") for i in range(200)]
+    pages = [(1, f"http://b.biz/win/1?{query}"), (2, f"http://b.biz/read/1?{query}"), (3, "http://b.biz/?utm3=1")]
+    got = url_filter.judge(spark.createDataFrame([(*p, "x", "y", 1) for p in pages], "page_id long, url string, host string, tokens string, row int"), spark.createDataFrame(labels, "url string, label string"))
+    assert {r.page_id: r.verdict for r in got.collect()} == {1: "block", 2: "allow", 3: "allow"}
+
+
+def test_mined_rules_are_all_rules(spark):
+    rng = np.random.default_rng(12)
+    rows = [(sorted(rng.choice([f"t{k}" for k in range(9)], rng.integers(0, 7), replace=False).tolist()), str(rng.choice(["allow", "block"], p=[0.3, 0.7]))) for _ in range(150)]
+    want = {}
+    for a, b in [(a, b) for a in range(9) for b in range(a, 9)]:
+        held = [label for tokens, label in rows if {f"t{a}", f"t{b}"} <= set(tokens)]
+        for label in ("allow", "block"):
+            if held.count(label) >= 8 and held.count(label) / len(held) >= 0.6:
+                want[tuple(sorted({f"t{a}", f"t{b}"})), label] = held.count(label) / len(held)
+    got = {(tuple(r.tokens), r.label): r.confidence for r in url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, label string"), 0.05, 0.6).collect()}
+    assert got == pytest.approx(want) and {len(t) for t, _ in got} == {1, 2}
+
+
 # -- 3: PII ---------------------------------------------------------------------------------------
 
 TEXT = "Mail jo.ann_7@mail7.example.com or +1 (017) 555-7713, card 4111 1111 1111 1111 or 4111111111111111, not 4111111111111112; host 97.51.17.173, not 300.1.1.1; born 1980-02-29 or 13/04/1999 or 04/13/1999; ssn 123-45-6789; DE89 3704 0044 0532 0130 00; token b44e15e09fd311c3cf3163b66d5a9875b883d8ce; version 4.0."
@@ -369,6 +390,33 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate.decontaminate(odd, some).columns == odd.columns
 
 
+def test_short_items_in_long_documents(spark):
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    items, docs, want = [], [], set()
+    for n in range(5, 21):
+        for k in range(40):
+            item = [word() for _ in range(n)]
+            at = int(rng.integers(0, 600))
+            filler = [word() for _ in range(600)]
+            items.append((len(items), " ".join(item)))
+            docs.append((len(docs), " ".join(filler[:at] + item + filler[at:])))
+            want.add((len(docs) - 1, len(items) - 1))
+    items.append((len(items), "two words"))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    small = {p for p in want if len(items[p[1]][1].split()) - 4 < decontaminate.SMALL}
+    assert got <= want and small <= got and len(got) >= 0.999 * len(want)
+
+
+def test_parts_of_small_items(spark):
+    # four of five and six of seven shingles are enough, three of four and five of seven aren't
+    words = [f"w{i}" for i in range(11)]
+    docs = [(0, " ".join(words[:8]) + " x"), (1, "x " + " ".join(words[1:9])), (2, " ".join(words[:7])), (3, " ".join(words[:10]) + " z"), (4, " ".join(words[:9]))]
+    items = [(0, " ".join(words[:9])), (1, " ".join(words[:8])), (2, " ".join(words))]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(0, 0), (1, 0), (3, 0), (4, 0), (0, 1), (3, 1), (4, 1), (3, 2)}
+
+
 # -- 6: licences ----------------------------------------------------------------------------------
 
 
