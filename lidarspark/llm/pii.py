@@ -17,7 +17,7 @@ from datetime import date, timedelta
 from math import isqrt
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -195,26 +195,46 @@ def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, dict[s
     for kind, pattern in _PATTERNS.items():
         if kind == "email" and "@" not in text:
             continue
+        # finds come in order, as the spans of earlier kinds stand: one walk along both
+        found, k = [], 0
         for m in pattern.finditer(text):
-            if any(m.start() < e and s < m.end() for s, e, _ in spans):
+            while k < len(spans) and spans[k][1] <= m.start():
+                k += 1
+            if k < len(spans) and spans[k][0] < m.end():
                 continue
             new = getattr(names, kind)(m)
             if new is not None:
-                spans.append((m.start(), m.end(), new))
+                found.append((m.start(), m.end(), new))
                 counts[kind] += 1
+        spans = sorted(spans + found)
     out, at = [], 0
-    for s, e, new in sorted(spans):
+    for s, e, new in spans:
         out += [text[at:s], new]
         at = e
     return "".join([*out, text[at:]]), counts
 
 
-def pseudonymise_docs(docs: DataFrame, key: bytes = b"corpus pseudonyms", text_col: str = "text", counts: bool = False, back: bool = False) -> DataFrame:
+#: The Spark setting that holds the key.
+KEY_SETTING = "spark.pseudonyms.key"
+
+
+def key_of(spark: SparkSession, default: bytes | None = None) -> bytes:
+    """The secret key of the session, from its setting KEY_SETTING. Without one, and without a default, nothing runs."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key and not default:
+        raise ValueError(f"set {KEY_SETTING}, or give a key: whoever knows it can read the values again")
+    return key.encode() if key else default
+
+
+def pseudonymise_docs(docs: DataFrame, key: bytes | None = None, text_col: str = "text", counts: bool = False, back: bool = False) -> DataFrame:
     """``docs`` with the text column pseudonymised, all other columns as they are; no shuffle.
 
     With ``counts`` a column ``pii`` (map of kind to number) is added, or replaces one of that
-    name. Null texts stay null, empty ones empty; overlapping finds go to the first kind of KINDS.
+    name. Without ``key`` the session's setting is used. Null texts stay null, empty ones empty;
+    overlapping finds go to the first kind of KINDS; repeated rows are replaced alike; an empty
+    table gives an empty result.
     """
+    key = key or key_of(docs.sparkSession)
     field = docs.schema[text_col]
     kept = [f for f in docs.schema.fields if not (counts and f.name == "pii")]
     source = docs.select(*[F.col(f"`{f.name}`") for f in kept])
