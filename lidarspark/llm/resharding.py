@@ -1,9 +1,10 @@
 """Resharding by minimum-cost flow: from old shard sizes and new capacities, move the fewest bytes.
 
-Old shards are read as blocks of documents. Documents above a thousandth of a new shard are
-placed one by one; the mass of light ones is moved in blocks: a flow from old shard sizes to
-the room that is left says how many bytes each old shard keeps and sends where, and running
-sums over its blocks cut it there. Only sizes by shard and block reach the driver.
+A flow over all bytes says how many of an old shard stay and how many go where. Documents above a
+thousandth of a new shard are rounded to these targets one by one, largest first; a second flow
+says the same of the light ones and the room that is left, and running sums over blocks of
+documents cut their mass there. Only sizes by shard and block, and the heavy documents, of which
+there are at most HEAVY times the shards, reach the driver.
 """
 
 from __future__ import annotations
@@ -84,12 +85,21 @@ def plan(docs: DataFrame, shards: int = 24, old_shards: int = 16, id_col: str =
     olds = max(shards, old_shards)
     room = [total * (s + 1) // shards - total * s // shards for s in range(shards)]
 
-    # the heavy ones, largest first: stay where there is room, else go to the roomiest shard
+    # targets for all bytes; the heavy ones are rounded to them, largest first
+    whole = [sum(b for (o, _), (b, _) in light.items() if o == s) + sum(size * n for size, o, _, _, n in heavy if o == s) for s in range(olds)]
+    cost = [[0 if i == j else 1 for j in range(shards)] for i in range(olds)]
+    target = min_cost_flow(whole, room, cost)
     placed: dict[tuple, list[int]] = {}
     for size, old, h, doc, n in sorted(heavy, key=lambda x: (-x[0], x[1], x[2], x[3] is None, x[3] or 0)):
         for _ in range(n):
-            to = old if old < shards and room[old] >= size else max(range(shards), key=lambda s: (room[s], -s))
+            own = target[old]
+            if old < shards and room[old] >= size and 2 * own[old] >= size:
+                to = old
+            else:
+                some = [s for s in range(shards) if own[s] > 0] or list(range(shards))
+                to = max(some, key=lambda s: (min(room[s], own[s]) if own[s] > 0 else room[s], s == old, -s))
             room[to] -= size
+            own[to] -= size
             placed.setdefault((size, old, h, doc), []).append(to)
     # rooms that a document has overfilled give up what the others must take
     over = -sum(r for r in room if r < 0)
@@ -101,7 +111,7 @@ def plan(docs: DataFrame, shards: int = 24, old_shards: int = 16, id_col: str =
         over -= take
     supply = [sum(b for (o, _), (b, _) in light.items() if o == s) for s in range(olds)]
     room[0] += max(0, sum(supply) - sum(room))
-    flow = min_cost_flow(supply, room, [[0 if i == j else 1 for j in range(shards)] for i in range(olds)])
+    flow = min_cost_flow(supply, room, cost)
 
     # places of the blocks in their old shard, and the cuts: first what stays
     spark = docs.sparkSession
@@ -149,17 +159,44 @@ def plan(docs: DataFrame, shards: int = 24, old_shards: int = 16, id_col: str =
     return laid.join(offsets, ["shard", "block"]).select("doc_id", "size", "text_crc32", "old_shard", "shard", slot.alias("slot"))
 
 
-def rewrite(docs: DataFrame, planned: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """Write the affected files: one folder for each new shard that gains or loses a document.
+def rewrite(docs: DataFrame, planned: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", file_rows: int = 1_000_000) -> DataFrame:
+    """Write the affected shards of the layout at ``path``, a folder shard=N each; return (shard, moved_in, moved_out) of them.
 
-    Rows are ordered by slot within a file; returns (shard, moved_in, moved_out) of the shards
-    written. doc_id must name one row here.
+    ``docs`` may be the layout itself. A shard that neither gains nor loses a document is left as
+    it is, one that loses all is removed. A shard is written in files of ``file_rows`` rows, in
+    the order of the slots. Rows are found again by id, size and checksum of the text; rows alike
+    in these, nulls included, are interchangeable. Columns ``shard`` and ``slot`` of ``docs`` are
+    replaced by the new ones, all others kept. An empty plan writes nothing.
     """
+    spark = docs.sparkSession
     flows = planned.where("shard <> old_shard")
     gain = flows.groupBy("shard").agg(F.count("*").alias("moved_in"))
     lose = flows.groupBy(F.col("old_shard").alias("shard")).agg(F.count("*").alias("moved_out"))
-    touched = gain.join(lose, "shard", "full").select("shard", F.coalesce("moved_in", F.lit(0)).alias("moved_in"), F.coalesce("moved_out", F.lit(0)).alias("moved_out"))
-    own = planned.join(F.broadcast(touched.select("shard")), "shard", "left_semi").select(F.col("doc_id").alias("_id"), "shard", "slot")
-    whole = docs.join(own, docs[id_col].cast("long") == own["_id"]).drop("_id")
-    whole.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+    touched = cut(gain.join(lose, "shard", "full").select("shard", F.coalesce("moved_in", F.lit(0)).alias("moved_in"), F.coalesce("moved_out", F.lit(0)).alias("moved_out")))
+    # a row for each shard
+    own = planned.join(F.broadcast(touched.select("shard")), "shard", "left_semi")
+    left = {r.shard for r in touched.select("shard").collect()} - {r.shard for r in own.select("shard").distinct().collect()}
+    key = ["_doc", "_size", "_crc"]
+    copies = lambda *order: F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    own = own.select(F.col("doc_id").alias("_doc"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+    # every copy of a row is counted, those of shards left alone last
+    others = planned.join(F.broadcast(touched.select("shard")), "shard", "left_anti").select(F.col("doc_id").alias("_doc"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), F.lit(None).cast("int").alias("_shard"), F.lit(None).cast("long").alias("_slot"))
+    own = own.union(others).withColumn("_k", copies(F.col("_shard").asc_nulls_last(), "_slot")).where("_shard is not null")
+    # all columns under names of their own, so that none clashes
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    named = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])
+    text, own_names = F.col(f"c{kept.index(text_col)}"), [f"c{i}" for i in range(len(kept))]
+    rows = named.select(
+        "*",
+        F.col(f"c{kept.index(id_col)}").cast("long").alias("_doc"),
+        (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("_size"),
+        F.crc32(text.cast("binary")).alias("_crc"),
+    ).withColumn("_k", copies(F.xxhash64(*own_names)))
+    alike = [rows[c].eqNullSafe(own[c]) for c in [*key, "_k"]]
+    whole = rows.join(own, alike).select(*[F.col(c).alias(k) for c, k in zip(own_names, kept)], F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
+    dealt = whole.repartition("shard", F.floor(F.col("slot") / file_rows)).sortWithinPartitions("shard", "slot")
+    dealt.write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", file_rows).parquet(path)
+    for shard in left:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return touched
