@@ -22,6 +22,8 @@ from .common import text_array
 
 #: Labelled rows that are learned from at most, taken in the order of a hash of doc_id.
 TRAIN_ROWS = 20_000
+#: Bytes of their texts together at most.
+TRAIN_BYTES = 1 << 28
 
 # Common insults and second-person words of English, German, French and Spanish.
 INSULTS = frozenset(
@@ -205,20 +207,28 @@ def fold_of(id_col: Column, folds: int = 5) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % folds
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> Scorer:
     """A scorer from labelled documents whose crc32(doc_id) mod 5 is not 0, of which 1 calibrates.
 
-    At most ``rows`` labels are used, those with the smallest hash of doc_id, so that what the
-    driver holds is bounded; rows with a null id, label or text are not learned from, and
-    without any labelled row the score is 0.5.
+    At most ``rows`` labels, and texts of ``size`` bytes together, are used, those with the
+    smallest hash of doc_id, so that what the driver holds is bounded. Rows with a null id, label
+    or text are not learned from; of contradicting labels of one doc_id toxic counts; repeated
+    rows of one text count once; without any labelled row the score is 0.5.
     """
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     chosen = named.where("doc_id is not null and toxic in (0, 1)").where(fold_of(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     picked = {r.doc_id: r.toxic for r in chosen.collect()}
-    ids = docs.sparkSession.createDataFrame([(i,) for i in picked], "doc_id long")
+    spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     # the sample is bounded by ``rows``, so it may be sent to all executors
-    own = source.join(F.broadcast(ids), "doc_id", "left_semi").withColumn("fold", fold_of(F.col("doc_id")))
+    among = lambda ids: source.join(F.broadcast(spark.createDataFrame([(i,) for i in ids], "doc_id long")), "doc_id", "left_semi")
+    sizes = {r.doc_id: r.n for r in among(picked).groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    held, total = [], 0
+    for i in picked:  # in the order of the hashes
+        if i in sizes and total + sizes[i] <= size:
+            held.append(i)
+            total += sizes[i]
+    own = among(held).withColumn("fold", fold_of(F.col("doc_id")))
     got = sorted({(r.doc_id, r.text, r.fold) for r in own.toLocalIterator()})
     return Scorer([t for _, t, _ in got], [picked[i] for i, _, _ in got], [int(f != 1) for _, _, f in got])
 
@@ -226,8 +236,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Scorer:
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out boolean, score double, predicted int of every row of ``docs``.
 
-    Scores depend on the text alone; a null text scores as an empty one. A null doc_id has a
-    null held_out. Repeated rows each come back. Other columns are not read.
+    Scores depend on the text alone, so that equal texts tie; a null text scores as an empty one.
+    A null doc_id has a null held_out. Repeated rows each come back; an empty table gives an empty
+    result. Other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows))
 
@@ -243,7 +254,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """``docs`` without the texts scored 0.5 or more; one pass, all columns as they are."""
+    """``docs`` without the texts scored 0.5 or more; all columns as they are.
+
+    A null text is scored as an empty one; repeated rows go or stay together; an empty table gives
+    an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows))
     place = docs.schema.names.index("text")
 
