@@ -348,7 +348,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     than WORD_CHARS, are folded in the task that reads them, so that the table sent to the
     executors has a fixed bound. A null text gives null ids, count and text; an empty text an
     empty list. Texts that hold the model's own space mark come back with spaces, as they do
-    from the library. Other columns are not read.
+    from the library. Repeated rows each come back; an empty table gives an empty result. Other
+    columns are not read.
     """
     spark = docs.sparkSession
     model = Model(path)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shingler, cut, mix64, partitions, slices, text_array, text_bytes, union
+from .common import Shingler, cut, mix64, partitions, slices, spread_join, text_array, text_bytes, union
 from .components import connected_components
 
 #: Bytes of text whose shingles are spread into bits at once: 64 or 256 bytes for each shingle.
@@ -250,12 +250,12 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str], held: l
 
 
 def group_rows(printed: DataFrame, links: DataFrame) -> DataFrame:
-    """``printed`` (doc_id, print, ...) with component_id: the smallest doc_id reachable over the links."""
+    """``printed`` (doc_id, print, ...), which has been cut, with component_id: the smallest doc_id reachable over the links."""
     roots = connected_components(links)
     classes = printed.groupBy("print").agg(F.min("doc_id").alias("least"))
-    placed = classes.join(roots, classes["print"] == roots["node"], "left").select("print", "least", F.coalesce("component", "print").alias("root"))
+    placed = cut(classes.join(roots, classes["print"] == roots["node"], "left").select("print", "least", F.coalesce("component", "print").alias("root")))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return printed.join(placed.join(named, "root").select("print", "component_id"), "print")
+    return spread_join(printed, spread_join(placed, named, "root").select("print", "component_id"), "print")
 
 
 def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -425,15 +425,18 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, keys:
     return group_rows(printed.select("doc_id", F.col("sig").alias("print")), links).select("doc_id", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
+def drop_near_copies(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each group of near copies, the one with the smallest doc_id.
 
     Texts without words are nobody's copies, and rows without a doc_id can't be named: both
-    stay. Rows that repeat a doc_id count as one document, of which one row stays. All columns
-    are returned as they are.
+    stay. Rows that repeat a doc_id count as one document, of which the row with the smallest
+    text stays (a null text is smallest), and of equal texts the one with the smallest hash of
+    the other columns. An empty table gives an empty result. All columns are returned as they are.
     """
-    groups = near_copies(docs, **options)
+    groups = near_copies(docs, text_col=text_col, **options)
     gone = groups.where("doc_id is not null and component_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("_least")).where("doc_id <> _least").select(F.col("doc_id").alias("_gone"))
-    named = docs.where(F.col("doc_id").isNotNull())
-    kept = named.join(gone, named["doc_id"] == gone["_gone"], "left_anti").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    order = F.struct(F.col(text_col).isNotNull().alias("a"), F.col(text_col).alias("b"), F.xxhash64(*plain).alias("c"))
+    one = kept.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("_row")).select("_row.*")
+    return one.unionByName(kept.where("doc_id is null"))

@@ -157,6 +157,8 @@ def test_near_copies(spark, odd, empty):
     assert kept.columns == odd.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 3, 4, 5, 7, 8, 9]
     assert simhash.drop_near_copies(empty).count() == 0
+    again = spark.createDataFrame([(1, "b c"), (1, "a"), (1, "d e f"), (2, None), (2, ""), (None, "a"), (None, "a")], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.drop_near_copies(again.repartition(3)).collect()), key=str) == [(1, "a"), (2, None), (None, "a"), (None, "a")]
 
 
 def test_near_copies_are_verified(spark):
@@ -761,6 +763,7 @@ def test_toxicity(spark, odd, empty):
     print("held-out AUC", auc, "accuracy", hits)
     assert auc > 0.93 and hits > 0.95 and got.score.between(0, 1).all() and ((got.score >= 0.5) == (got.predicted == 1)).all()
     small = labels.where("doc_id < 500")
+    assert toxicity.toxicity(docs, labels, rows=300).count() == docs.count() and toxicity.train(docs, small, size=0)(["any"])[0] == 0.5
     out = toxicity.toxicity(odd, small).collect()
     assert len(out) == len(ODD) and {r.held_out for r in out if r.doc_id is None} == {None}
     assert toxicity.toxicity(empty, small).count() == 0
