@@ -8,7 +8,7 @@ from math import ceil, pi
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import radio
@@ -198,7 +198,7 @@ def add_transmitter(txs: DataFrame, points: DataFrame, antennas: DataFrame, **gi
     """
     spark = points.sparkSession
     spec = {"h_m": 2.0, "power_dbm": 20.0, "freq_hz": 2.4e9, "heading_deg": 0.0, "aperture_m": 0.1, "eps_r": 6.0, "roughness_m": 0.02, "reflect": True, "rx_aperture_m": 0.0, "n_freq": 5, "frac": 0.005}
-    config = antennas.where(F.col("name") == given.get("ant_config", "")).select("gain_db", radio.normal_pattern(F.col("azimuth_pattern")).alias("az"), radio.normal_pattern(F.col("elevation_pattern")).alias("el"))
+    config = antennas.where(F.col("name") == F.lit(given.get("ant_config", ""))).select("gain_db", radio.normal_pattern(F.col("azimuth_pattern")).alias("az"), radio.normal_pattern(F.col("elevation_pattern")).alias("el"))
     found = [r.asDict(recursive=True) for r in config.limit(1).collect()]
     spec |= {"gain_db": 0.0, "az": None, "el": None} | (found[0] if found else {})
     for name in ("az", "el"):
@@ -215,5 +215,5 @@ def add_transmitter(txs: DataFrame, points: DataFrame, antennas: DataFrame, **gi
 
 def raster_order(df: DataFrame) -> DataFrame:
     """Rows as a flat raster: ``at`` = iy * nx + ix, x fastest."""
-    nx = F.max("ix").over(Window.partitionBy()) + 1
-    return df.withColumn("at", F.col("iy") * nx + F.col("ix")).orderBy("at")
+    wide = F.broadcast(df.agg((F.max("ix") + 1).alias("_nx")))
+    return df.join(wide).withColumn("at", F.col("iy") * F.col("_nx") + F.col("ix")).drop("_nx").orderBy("at")

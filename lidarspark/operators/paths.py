@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cuts import cut
@@ -36,7 +36,8 @@ def distances(edges: DataFrame, start: int, every: int = 4, most: int = 100_000)
 
     A round joins only the points that got cheaper to their edges; the state is written to the
     checkpoint folder every few rounds, so that plans stay short and lost executors cost little.
-    Of equally cheap ways the one over the smaller id counts.
+    Of equally cheap ways the one over the smaller id counts, whenever it is found; only an edge
+    of no cost never replaces another, so that no two points lead to each other.
     """
     spark = edges.sparkSession
     links = cut(edges.select("src", "dst", "cost"))
@@ -44,9 +45,10 @@ def distances(edges: DataFrame, start: int, every: int = 4, most: int = 100_000)
     frontier = state
     for i in range(most):
         step = frontier.select(F.col("id").alias("src"), F.col("cost").alias("so_far")).join(links, "src")
-        offer = step.select(F.col("dst").alias("id"), (F.col("so_far") + F.col("cost")).alias("cost"), F.col("src").alias("prev")).groupBy("id").agg(F.min(F.struct("cost", "prev")).alias("o"))
-        known = state.select("id", F.col("cost").alias("old"))
-        better = cut(offer.join(known, "id", "left").where(F.col("old").isNull() | (F.col("o.cost") < F.col("old"))).select("id", F.col("o.cost").alias("cost"), F.col("o.prev").alias("prev")))
+        offer = step.select(F.col("dst").alias("id"), F.struct((F.col("so_far") + F.col("cost")).alias("cost"), F.col("src").alias("prev"), (F.col("cost") > 0).alias("far")).alias("o")).groupBy("id").agg(F.min("o").alias("o"))
+        known = state.select("id", F.col("cost").alias("old"), F.col("prev").alias("old_prev"))
+        again = (F.col("o.cost") == F.col("old")) & F.col("o.far") & (F.col("o.prev") < F.col("old_prev"))
+        better = cut(offer.join(known, "id", "left").where(F.col("old").isNull() | (F.col("o.cost") < F.col("old")) | again).select("id", F.col("o.cost").alias("cost"), F.col("o.prev").alias("prev")))
         if better.isEmpty():
             return state
         state = state.join(better.select("id"), "id", "left_anti").unionByName(better)
@@ -59,7 +61,8 @@ def distances(edges: DataFrame, start: int, every: int = 4, most: int = 100_000)
 def dijkstra(edges: DataFrame, start: int, goal: int | None = None) -> DataFrame:
     """The same as :func:`distances`, in one task with a heap; for a bounded number of edges.
 
-    With a goal the search ends there, and (id, cost, prev) of the path's points alone come back.
+    With a goal the search ends there, and the path's points alone come back; ``hops`` counts
+    them from the start, and is null without a goal.
     """
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
@@ -77,18 +80,22 @@ def dijkstra(edges: DataFrame, start: int, goal: int | None = None) -> DataFrame
                 break
             for to, c in after.get(at, ()):
                 way = (cost + c, at)
-                if to not in best or way[0] < best[to][0] or (way[0] == best[to][0] and best[to][1] is not None and at < best[to][1]):
+                if to not in best or way[0] < best[to][0]:
                     best[to] = way
                     heapq.heappush(heap, (way[0], to))
+                elif c > 0 and way[0] == best[to][0] and best[to][1] is not None and at < best[to][1]:
+                    best[to] = way
+        hops: dict[int, int] = {}
         if goal is not None:
-            way, at = {}, goal if goal in done else None
+            way, at = [], goal if goal in done else None
             while at is not None:
-                way[at] = best[at]
+                way.append(at)
                 at = best[at][1]
-            best = way
-        return pd.DataFrame({"id": list(best), "cost": [b[0] for b in best.values()], "prev": pd.array([b[1] for b in best.values()], "Int64")})
+            hops = {at: i for i, at in enumerate(reversed(way))}
+            best = {at: best[at] for at in way}
+        return pd.DataFrame({"id": list(best), "cost": [b[0] for b in best.values()], "prev": pd.array([b[1] for b in best.values()], "Int64"), "hops": pd.array([hops.get(at) for at in best], "Int32")})
 
-    return edges.select("src", "dst", "cost", F.lit(0).alias("all")).groupBy("all").applyInPandas(run, "id long, cost double, prev long")
+    return edges.select("src", "dst", "cost", F.lit(0).alias("all")).groupBy("all").applyInPandas(run, "id long, cost double, prev long, hops int")
 
 
 def shortest_path(points: DataFrame, a: tuple[float, float], b: tuple[float, float], k: int = 8, penalty: float = 5.0, start: float = 1.0) -> DataFrame:
@@ -106,10 +113,7 @@ def shortest_path(points: DataFrame, a: tuple[float, float], b: tuple[float, flo
     links = cut(costed(knn_edges(points, k, start), points, penalty))
     small = links.limit(TASK_EDGES + 1).count() <= TASK_EDGES
     if small:
-        way = dijkstra(links, first, last)
-        # costs grow along a path; of equal ones the predecessor comes first
-        order = Window.orderBy("cost", F.col("id") == F.lit(last))
-        walk = way.withColumn("step", (F.row_number().over(order) - 1).cast("int"))
+        walk = dijkstra(links, first, last).withColumnRenamed("hops", "step")
         return walk.join(points.select("id", "easting", "northing", "altitude"), "id").select("step", "id", "easting", "northing", "altitude", "cost")
     found = cut(distances(links, first))
     found.createOrReplaceTempView("_reached")

@@ -49,7 +49,7 @@ def recentred(points: DataFrame) -> DataFrame:
 
 def reservoir(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """k rows, each set as likely as any: the smallest of seeded hashes, so the same rows on any layout."""
-    return points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k)
+    return points.orderBy(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed)))), "id").limit(k)
 
 
 def ndjson(points: DataFrame) -> DataFrame:

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import radio, utm
 from ..operators import coverage, paths, spatial, summaries, terrain
-from ..operators.cuts import cut
+from ..operators.cuts import cut, scratch
 from ..operators.spatial import Box
 from ..schema import ANTENNAS, CLASS_LABELS, classifications, default_antennas
+from ..sources import las, tables
 from ..sources.tables import CLOUD_SQL, antenna_list, cloud
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,13 +27,12 @@ _BOX = f"easting BETWEEN {BOX.xmin!r}::DOUBLE AND {BOX.xmax!r}::DOUBLE AND north
 _CLOUD = f"WITH points AS ({CLOUD_SQL} FROM events)"
 ZONES = ((1, "15N"), (2, "12N"), (3, "13N"))
 _ZONES = ", ".join(f"({i}, '{z}')" for i, z in ZONES)
-#: A radio setup over the cloud: two transmitters, a 15 by 9 grid, both inside its extent at every size.
+#: A radio setup over the cloud: two transmitters, inside its extent at every size.
 SITES = ((0, 518812.3, 4252301.7, 1300.9, 20.0, 2.4e9, 90.0, "AM-2G16-90"), (1, 518838.9, 4252303.1, 1305.0, 17.0, 2.45e9, 270.0, "AMY-9M16"))
-GRID = coverage.Grid(518800.0, 518849.0, 4252300.0, 4252304.5, 15, 9)
 
 
 def whole_grid(points: DataFrame) -> coverage.Grid:
-    """The raster over the whole cloud: 20 m beyond its extent, a cell each 2 m. Fixed SQL can't follow it."""
+    """The raster over the whole cloud: 20 m beyond its extent, a cell each 2 m."""
     grid = coverage.Grid.over(points, 2.0, 20.0)
     if grid is None:
         raise ValueError("no points")
@@ -121,7 +121,7 @@ def points_recentred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.recentred(cloud(spark, sf_dir))
 
 
-@query()
+@query(f"{_CLOUD} SELECT * FROM points ORDER BY md5(id || ':42'), id LIMIT 500")
 def reservoir_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.reservoir(cloud(spark, sf_dir), 500)
 
@@ -196,7 +196,8 @@ def score_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_MOMENTS} SELECT id, {_sql_round('(trav_score - min(trav_score) OVER ()) / (max(trav_score) OVER () - min(trav_score) OVER () + 1e-8)', 5)} AS norm FROM metrics")
 def score_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(summaries.normalised(_terrain(spark, sf_dir)).select("id", "norm"), 5, "norm")
+    # the bounds need all scores first: they are computed once
+    return rounded(summaries.normalised(cut(_terrain(spark, sf_dir).select("id", "trav_score"))).select("id", "norm"), 5, "norm")
 
 
 # -- nearest neighbours and paths ---------------------------------------------------------------------
@@ -227,30 +228,52 @@ def nearest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spatial.nearest_point(cloud(spark, sf_dir), 518820.0, 4252302.0), 8, "d2")
 
 
-_CELLS = f"""cells AS (SELECT (iy * {GRID.nx} + ix)::BIGINT AS cell, iy::INTEGER AS iy, ix::INTEGER AS ix, {GRID.xmin!r}::DOUBLE + ix * {(GRID.xmax - GRID.xmin) / (GRID.nx - 1)!r}::DOUBLE AS x, {GRID.ymin!r}::DOUBLE + iy * {(GRID.ymax - GRID.ymin) / (GRID.ny - 1)!r}::DOUBLE AS y FROM range({GRID.ny}) a(iy), range({GRID.nx}) b(ix)),
+_EXTENT = "SELECT min(easting) - 20e0 AS xmin, max(easting) + 20e0 AS xmax, min(northing) - 20e0 AS ymin, max(northing) + 20e0 AS ymax, greatest(8, ceil((max(easting) - min(easting) + 40e0) / 2e0))::INTEGER AS nx, greatest(8, ceil((max(northing) - min(northing) + 40e0) / 2e0))::INTEGER AS ny FROM points"
+_CELLS = f"""g AS ({_EXTENT}), ys AS (SELECT unnest(range(ny)) AS iy FROM g), xs AS (SELECT unnest(range(nx)) AS ix FROM g),
+cells AS (SELECT (iy * nx + ix)::BIGINT AS cell, iy::INTEGER AS iy, ix::INTEGER AS ix, xmin + ix * ((xmax - xmin) / (nx - 1)) AS x, ymin + iy * ((ymax - ymin) / (ny - 1)) AS y FROM g, ys, xs),
 ground AS (SELECT cell, iy, ix, x, y, arg_min(altitude, ((easting - x) * (easting - x) + (northing - y) * (northing - y), id)) AS z FROM cells, points GROUP BY ALL)"""
 
 
+def _ground(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = cloud(spark, sf_dir)
+    return coverage.ground(whole_grid(points).cells(spark), points)
+
+
 @query(f"{_CLOUD}, {_CELLS} SELECT iy, ix, round(x, 6) AS x, round(y, 6) AS y FROM cells")
 def raster_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(GRID.cells(spark).drop("cell"), 6, "x", "y")
+    return rounded(whole_grid(cloud(spark, sf_dir)).cells(spark).drop("cell"), 6, "x", "y")
 
 
 @query(f"{_CLOUD}, {_CELLS} SELECT iy, ix, round(z, 6) AS z FROM ground")
 def grid_ground_z(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(coverage.ground(GRID.cells(spark), cloud(spark, sf_dir)).select("iy", "ix", "z"), 6, "z")
+    return rounded(_ground(spark, sf_dir).select("iy", "ix", "z"), 6, "z")
 
 
-@query(f"{_CLOUD} SELECT min(easting) - 20e0 AS xmin, max(easting) + 20e0 AS xmax, min(northing) - 20e0 AS ymin, max(northing) + 20e0 AS ymax, greatest(8, ceil((max(easting) - min(easting) + 40e0) / 2e0))::INTEGER AS nx, greatest(8, ceil((max(northing) - min(northing) + 40e0) / 2e0))::INTEGER AS ny FROM points")
+@query(f"{_CLOUD} {_EXTENT}")
 def grid_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = coverage.Grid.over(cloud(spark, sf_dir), 2.0, 20.0)
     return spark.createDataFrame([(g.xmin, g.xmax, g.ymin, g.ymax, g.nx, g.ny)], "xmin double, xmax double, ymin double, ymax double, nx int, ny int")
 
 
-@query()
+def _path_sql(rounds: int = 80) -> str:
+    """Distances by rounds of relaxation over a region's edges, each way with its last point; then the way back."""
+    steps = ["d0 AS MATERIALIZED (SELECT first AS id, 0e0 AS cost, NULL::BIGINT AS prev FROM ends)"]
+    for k in range(rounds):
+        steps.append(f"""d{k + 1} AS MATERIALIZED (SELECT id, min(w).c AS cost, min(w).p AS prev FROM (
+  SELECT id, {{'c': cost, 'p': prev}} AS w FROM d{k} UNION ALL SELECT dst, {{'c': d.cost + e.cost, 'p': src}} FROM d{k} d JOIN costs e ON d.id = e.src WHERE dst <> (SELECT first FROM ends)) GROUP BY id)""")
+    nearest = "(SELECT id FROM points ORDER BY (easting - {0}) * (easting - {0}) + (northing - {1}) * (northing - {1}), id LIMIT 1)"
+    return f"""WITH RECURSIVE points AS (SELECT * FROM ({CLOUD_SQL} FROM events) WHERE easting BETWEEN 518800e0 AND 518830e0 AND northing BETWEEN 4252300e0 AND 4252305e0),
+{_KNN.removeprefix(_CLOUD + ", ")},
+costs AS MATERIALIZED (SELECT src, dst, dist * (1e0 + 5e0 * (1e0 - ((dst * 37) % 101) / 100e0)) AS cost FROM edges),
+ends AS MATERIALIZED (SELECT {nearest.format("518802e0", "4252301e0")} AS first, {nearest.format("518814e0", "4252304e0")} AS last), {", ".join(steps)},
+back AS (SELECT d.id, d.cost, d.prev, 0 AS hops FROM d{rounds} d JOIN ends ON d.id = last UNION ALL SELECT d.id, d.cost, d.prev, hops + 1 FROM back JOIN d{rounds} d ON back.prev = d.id)
+SELECT (max(hops) OVER () - hops)::INTEGER AS step, id, easting, northing, altitude, {_sql_round("cost", 6)} AS cost FROM back JOIN points USING (id)"""
+
+
+@query(_path_sql())
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = spatial.in_box(_scored(spark, sf_dir), Box(518800.0, 518830.0, 4252300.0, 4252305.0))
-    return paths.shortest_path(region, (518802.0, 4252301.0), (518814.0, 4252304.0), 8, 5.0, start=2.0)
+    return rounded(paths.shortest_path(region, (518802.0, 4252301.0), (518814.0, 4252304.0), 8, 5.0, start=2.0), 6, "cost")
 
 
 # -- projection ---------------------------------------------------------------------------------------
@@ -334,26 +357,16 @@ def _gain_sql(antenna: dict, rel: str, el: str) -> str:
 
 
 @query(
-    f"{_CLOUD}, a AS (SELECT id, (id * 7.3e0) % 360e0 AS rel, (id % 121) - 60e0 AS el FROM points WHERE id < 2000) "
-    + " UNION ALL ".join(f"SELECT id, '{a['name']}' AS name, round({_gain_sql(a, 'rel', 'el')}, 6) AS gain FROM a" for a in ANTENNAS)
+    f"{_CLOUD}, a AS (SELECT id, (id * 7.3e0) % 360e0 AS rel, (id % 121) - 60e0 AS el FROM points) "
+    + " UNION ALL ".join(f"SELECT id, '{a['name']}' AS name, {_sql_round(_gain_sql(a, 'rel', 'el'), 6)} AS gain FROM a" for a in ANTENNAS)
 )
 def antenna_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gains(spark, cloud(spark, sf_dir).where("id < 2000"))
-
-
-def _gains(spark: SparkSession, points: DataFrame) -> DataFrame:
-    angles = points.selectExpr("id", "(id * 7.3e0) % 360e0 as rel", "(id % 121) - 60e0 as el")
+    angles = cloud(spark, sf_dir).selectExpr("id", "(id * 7.3e0) % 360e0 as rel", "(id % 121) - 60e0 as el")
     specs = F.broadcast(default_antennas(spark).select("name", "gain_db", radio.normal_pattern(F.col("azimuth_pattern")).alias("az"), radio.normal_pattern(F.col("elevation_pattern")).alias("elp")))
     gain = radio.antenna_gain(F.col("az"), F.col("elp"), F.col("gain_db"), F.col("rel"), F.col("el"))
     return rounded(angles.crossJoin(specs).select("id", "name", gain.alias("gain")), 6, "gain")
 
 
-@query()
-def antenna_gain_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """antenna_gain for every point; the oracle there holds the first 2,000 ids only."""
-    return _gains(spark, cloud(spark, sf_dir))
-
-
 @query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(repr(a[c]) if c != "notes" else "'" + a[c].replace("'", "''") + "'" for c in ("name", "model", "type", "notes", "gain_db", "hp_bw_deg", "vp_bw_deg", "freq_hz_min", "freq_hz_max")).replace('"', "'") + ")" for a in ANTENNAS) + ") t(name, model, type, notes, gain_db, hp_bw_deg, vp_bw_deg, freq_hz_min, freq_hz_max)")
 def antenna_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return antenna_list(default_antennas(spark))
@@ -392,7 +405,7 @@ def tx_antenna_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage.rays(coverage.ground(GRID.cells(spark), cloud(spark, sf_dir)), _sites(spark))
+    return coverage.rays(_ground(spark, sf_dir), _sites(spark))
 
 
 _TXS = ", ".join(f"({s[0]}, {s[1]!r}::DOUBLE, {s[2]!r}::DOUBLE, {s[3]!r}::DOUBLE, {s[4]!r}::DOUBLE, {s[5]!r}::DOUBLE, {s[6]!r}::DOUBLE)" for s in SITES)
@@ -423,7 +436,8 @@ SELECT iy, ix, round(10e0 * log10(greatest(sum(mw), 1e-12)), 4) AS rssi_dbm FROM
 
 @query(_direct_sql())
 def rf_coverage_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    power = coverage.coverage(cloud(spark, sf_dir), _sites(spark), GRID, reflections=False)
+    points = cloud(spark, sf_dir)
+    power = coverage.coverage(points, _sites(spark), whole_grid(points), reflections=False)
     return rounded(power.select("iy", "ix", "rssi_dbm"), 4, "rssi_dbm")
 
 
@@ -439,72 +453,132 @@ def coarse_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.planes(spark, whole_grid(points), points)
 
 
-@query()
+@query(_direct_sql().replace("SELECT iy, ix, round(", "SELECT 'heatmap' AS type, (iy * (SELECT nx FROM g) + ix)::BIGINT AS at, round(any_value(x), 4) AS x, round(any_value(y), 4) AS y, round(").replace("power AS (SELECT tx, iy, ix,", "power AS (SELECT tx, iy, ix, x, y,"))
 def heatmap_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON of the raster, read again: a row for each cell in its order."""
     points = cloud(spark, sf_dir)
-    return summaries.heatmap_json(coverage.coverage(points, _sites(spark), whole_grid(points), reflections=False))
+    made = summaries.heatmap_json(coverage.coverage(points, _sites(spark), whole_grid(points), reflections=False))
+    read = made.select(F.from_json("json", "type string, grid struct<xs:array<double>,ys:array<double>,rssi:array<double>>").alias("j")).select("j.type", "j.grid.*")
+    cells = read.select("type", "xs", "ys", F.posexplode("rssi").alias("at", "rssi_dbm")).withColumn("at", F.col("at").cast("long"))
+    nx = F.size("xs")
+    placed = cells.select("type", "at", F.get("xs", (F.col("at") % nx).cast("int")).alias("x"), F.get("ys", F.floor(F.col("at") / nx).cast("int")).alias("y"), "rssi_dbm")
+    return rounded(placed, 4, "x", "y", "rssi_dbm")
 
 
-@query(f"{_CLOUD}, {_CELLS} SELECT iy * {GRID.nx} + ix AS at, round(z, 6) AS z FROM ground")
+@query(f"{_CLOUD}, {_CELLS} SELECT iy * nx + ix AS at, round(z, 6) AS z FROM ground, g")
 def raster_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raster = coverage.ground(GRID.cells(spark), cloud(spark, sf_dir))
-    return rounded(coverage.raster_order(raster).select("at", "z"), 6, "z")
+    return rounded(coverage.raster_order(_ground(spark, sf_dir)).select("at", "z"), 6, "z")
 
 
 @query(
-    f"""{_CLOUD}, probes AS (SELECT id, easting + 0.3e0 AS x, northing - 0.2e0 AS y FROM points WHERE id % 500 = 0),
+    f"""{_CLOUD}, probes AS (SELECT id, easting + 0.3e0 AS x, northing - 0.2e0 AS y FROM points),
 near AS (SELECT q.id, arg_min(p.altitude, ((p.easting - x) * (p.easting - x) + (p.northing - y) * (p.northing - y), p.id)) AS z FROM probes q JOIN points p
   ON abs(floor(p.easting / 5e0) - floor(x / 5e0)) <= 2 AND abs(floor(p.northing / 5e0) - floor(y / 5e0)) <= 2 GROUP BY q.id)
 SELECT id, round(coalesce(z, 0.15e0), 6) AS z FROM probes LEFT JOIN near USING (id)"""
 )
 def client_height(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = cloud(spark, sf_dir)
-    return _heights(points.where("id % 500 = 0"), points)
+    probes = points.selectExpr("id", "easting + 0.3e0 as easting", "northing - 0.2e0 as northing")
+    return rounded(spatial.nearest_height(probes, points, 5.0, 2, 0.15).select("id", "z"), 6, "z")
 
 
-def _heights(asked: DataFrame, points: DataFrame) -> DataFrame:
-    probes = asked.selectExpr("id", "easting + 0.3e0 as easting", "northing - 0.2e0 as northing")
-    return rounded(spatial.nearest_height(probes, points, 5.0, 2, 0.15).select("id", "z"), 6, "z")
+# -- files and stores: written to a folder of their own, read again ---------------------------------------
 
 
-@query()
-def client_height_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """client_height for every point; the oracle there holds every 500th id only."""
-    points = cloud(spark, sf_dir)
-    return _heights(points, points)
+@query(f"{_CLOUD} SELECT round(easting, 3) AS easting, round(northing, 3) AS northing, round(altitude, 3) AS altitude, class_code, '12N' AS zone, 1 AS files FROM points")
+def las_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    las.register(spark)
+    path = scratch(spark, "las")
+    cloud(spark, sf_dir).select("easting", "northing", "altitude", "class_code").coalesce(1).write.format("las").option("zone", "12N").mode("append").save(path)
+    back = spark.read.format("las").option("range", 3000).option("strict", "true").load(path)
+    return rounded(back.select("easting", "northing", "altitude", "class_code", "zone", (F.shiftright("id", las.ID_BITS) + 1).cast("int").alias("files")), 3, "easting", "northing", "altitude")
 
 
-# -- the raster queries over the whole cloud, where those with an oracle keep to GRID -----------------
+@query(f"WITH done AS ({_latlon_sql()}) SELECT id, easting, northing, zone, latitude, longitude, false AS failed FROM done UNION ALL SELECT id, easting, northing, nullif(zone, ''), NULL, NULL, true FROM ({_CLOUD}, text AS ({_TEXT}) SELECT * FROM text WHERE id % 97 = 0 OR id % 101 = 0)")
+def utm_csv_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV in, CSV in parts of 1,000 rows out, and the rows that failed."""
+    source, target = scratch(spark, "csv"), scratch(spark, "latlon")
+    _text_rows(spark, sf_dir).write.option("header", True).csv(source)
+    failed = tables.project_csv(spark, source, target, 1000)
+    done = spark.read.csv(target, header=True)
+    names = ["id", "easting", "northing", "zone"]
+    both = done.select(*names, "latitude", "longitude", F.lit(False).alias("failed")).unionByName(failed.select(*names, F.lit(None).cast("string").alias("latitude"), F.lit(None).cast("string").alias("longitude"), F.lit(True).alias("failed")))
+    return both.withColumn("id", F.col("id").cast("long"))
 
 
-@query()
-def raster_grid_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(whole_grid(cloud(spark, sf_dir)).cells(spark).drop("cell"), 6, "x", "y")
+#: Two specs as files: one beside the built-in ones, one in place of one.
+_FILED = (("ZZ-own", "own dish", "dish", None, 23.5, 7.0, 7.5, 5e9, 6e9), ("AMY-9M16", "AMY-9M16 rev B", "yagi", "remeasured", 15.5, 30.0, 30.0, 902e6, 928e6))
+_LISTED = ("name", "model", "type", "notes", "gain_db", "hp_bw_deg", "vp_bw_deg", "freq_hz_min", "freq_hz_max")
 
 
-def _whole_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = cloud(spark, sf_dir)
-    return coverage.ground(whole_grid(points).cells(spark), points)
+def _quoted(v) -> str:
+    return "''" if v is None else repr(v) + "::DOUBLE" if isinstance(v, float) else "'" + v.replace("'", "''") + "'"
 
 
-@query()
-def grid_ground_z_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_whole_ground(spark, sf_dir).select("iy", "ix", "z"), 6, "z")
+@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_quoted, r)) + ")" for r in [*_FILED, *[tuple(a[c] for c in _LISTED) for a in ANTENNAS if a["name"] != "AMY-9M16"]]) + f") t({', '.join(_LISTED)})")
+def antenna_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "antennas")
+    for row in _FILED:
+        spark.createDataFrame([row], "name string, model string, type string, notes string, gain_db double, hp_bw_deg double, vp_bw_deg double, freq_hz_min double, freq_hz_max double").coalesce(1).write.mode("append").json(folder)
+    return antenna_list(tables.antenna_configs(spark, folder))
 
 
-@query()
-def raster_flat_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(coverage.raster_order(_whole_ground(spark, sf_dir)).select("at", "z"), 6, "z")
+@query("SELECT * FROM (VALUES " + ", ".join(f"('AM-2G16-90', {i}, {a!r}::DOUBLE, {g!r}::DOUBLE)" for i, (a, g) in enumerate(next(a for a in ANTENNAS if a["name"] == "AM-2G16-90")["azimuth_pattern"])) + ") t(name, k, angle, gain)")
+def antenna_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tables.antenna_named(tables.antenna_configs(spark), "AM-2G16-90")
+    return found.select("name", F.posexplode("azimuth_pattern").alias("k", "p")).select("name", "k", F.col("p")[0].alias("angle"), F.col("p")[1].alias("gain"))
 
 
-@query()
-def ray_diffraction_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rays = coverage.rays(_whole_ground(spark, sf_dir), _sites(spark))
-    return rounded(coverage.diffraction(rays, cloud(spark, sf_dir)), 5, "loss")
+_FOOT = "(SELECT altitude FROM points ORDER BY (easting - {0}) * (easting - {0}) + (northing - {1}) * (northing - {1}), id LIMIT 1)"
 
 
-@query()
-def rf_coverage_direct_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = cloud(spark, sf_dir)
-    power = coverage.coverage(points, _sites(spark), whole_grid(points), reflections=False)
-    return rounded(power.select("iy", "ix", "rssi_dbm"), 4, "rssi_dbm")
+@query(f"""{_CLOUD} SELECT * FROM (VALUES {", ".join(f"({s[0]}, {s[1]!r}::DOUBLE, {s[2]!r}::DOUBLE, {s[3]!r}::DOUBLE, {s[4]!r}::DOUBLE, {s[6]!r}::DOUBLE, 16e0, {len(next(a for a in ANTENNAS if a['name'] == s[7])['azimuth_pattern'])})" for s in SITES)}) t(tx, x, y, h_m, power_dbm, heading_deg, gain_db, n_azimuth)
+UNION ALL SELECT 2, 518820.5e0, 4252302.5e0, round(3.5e0 + {_FOOT.format("518820.5e0", "4252302.5e0")}, 6), 11e0, 0e0, 9.25e0, 18
+UNION ALL SELECT 3, 518825e0, 4252301e0, round(2e0 + {_FOOT.format("518825e0", "4252301e0")}, 6), 20e0, 45e0, 0e0, -1""")
+def add_transmitter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One with an antenna whose gain the caller overrides, one with an unknown antenna."""
+    points, antennas = cloud(spark, sf_dir), default_antennas(spark)
+    txs = _sites(spark).select(*[f.split()[0] for f in coverage.TX.replace("array<struct<angle:double,gain:double>>", "p").split(", ")])
+    txs = coverage.add_transmitter(txs, points, antennas, x=518820.5, y=4252302.5, h_m=3.5, power_dbm=11.0, ant_config="AM-2G16-90", gain_db=9.25)
+    txs = coverage.add_transmitter(txs, points, antennas, x=518825.0, y=4252301.0, heading_deg=45.0, ant_config="none such")
+    return rounded(txs.select("tx", "x", "y", "h_m", "power_dbm", "heading_deg", "gain_db", F.coalesce(F.size("az"), F.lit(-1)).alias("n_azimuth")), 6, "h_m")
+
+
+def _smooth_sql(aperture: float = 6.0, reach_of: float = 4.0) -> str:
+    """Two passes of a normal curve over a picture that is mirrored at its edges."""
+    def blur(source: str, axis: str, other: str, n: str, lo: str, hi: str) -> str:
+        return f"""SELECT {other}, {axis}, sum(w * v) / sum(w) AS v FROM (
+  SELECT t.{axis}, s.{other}, exp(-0.5e0 * (k / sigma) ** 2) AS w, s.mw AS v FROM {source} s JOIN (
+    SELECT a.i AS {axis}, k, sigma, CASE WHEN a.i + k < 0 THEN -1 - a.i - k WHEN a.i + k >= {n} THEN 2 * {n} - 1 - a.i - k ELSE a.i + k END AS at
+    FROM (SELECT unnest(range({n})) AS i, {n}, greatest(1e0, {aperture!r}::DOUBLE / (({hi} - {lo}) / ({n} - 1))) AS sigma FROM g) a, (SELECT unnest(range(-20, 21)) AS k) o WHERE abs(k) <= floor({reach_of!r}::DOUBLE * sigma + 0.5e0)) t ON s.{axis} = t.at) GROUP BY ALL"""
+    return f"""{_CLOUD}, {_CELLS}, mw AS (SELECT iy, ix, 1e0 + (cell * 37) % 101 AS mw FROM cells),
+down AS (SELECT ix, iy, v AS mw FROM ({blur("mw", "iy", "ix", "ny", "ymin", "ymax")})), over_ AS ({blur("down", "ix", "iy", "nx", "xmin", "xmax")})
+SELECT 0 AS tx, iy::INTEGER AS iy, ix::INTEGER AS ix, round(v, 6) AS mw FROM over_"""
+
+
+@query(_smooth_sql())
+def rx_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = whole_grid(cloud(spark, sf_dir))
+    picture = grid.cells(spark).selectExpr("0 as tx", "iy", "ix", "1e0 + (cell * 37) % 101 as mw")
+    return rounded(coverage.smooth(picture, grid, 6.0).select("tx", "iy", "ix", "mw"), 6, "mw")
+
+
+@query(f"{_CLOUD} SELECT id, floor(easting / 50e0)::BIGINT AS cell_x, floor(northing / 50e0)::BIGINT AS cell_y, altitude FROM points")
+def append_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cloud in two batches, appended to one table in the order of its cells."""
+    path, points = scratch(spark, "points"), cloud(spark, sf_dir)
+    for batch in ("id % 3 = 0", "id % 3 <> 0"):
+        tables.write_points(points.where(batch), path, mode="append")
+    return tables.read_points(spark, path).selectExpr("id", "cast(cell_x as long) as cell_x", "cast(cell_y as long) as cell_y", "altitude")
+
+
+@query("SELECT * FROM (VALUES ('points', 13, 0::BIGINT), ('zones', 2, 1::BIGINT), ('classifications', 2, 24::BIGINT)) t(name, n_columns, n)")
+def create_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An empty store, created again after a zone was added: what is there stays."""
+    folder = scratch(spark, "store")
+    tables.create(spark, folder)
+    spark.createDataFrame([(1, "12N")], "id int, label string").write.mode("append").parquet(f"{folder}/zones")
+    tables.create(spark, folder)
+    found = [spark.read.parquet(f"{folder}/{name}") for name in ("points", "zones", "classifications")]
+    rows = [t.agg(F.lit(name).alias("name"), F.lit(len(t.columns)).alias("n_columns"), F.count("*").alias("n")) for name, t in zip(("points", "zones", "classifications"), found)]
+    return rows[0].union(rows[1]).union(rows[2])

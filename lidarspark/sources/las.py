@@ -61,8 +61,14 @@ def zone_of(vlrs: list[tuple[str, int, bytes, str]]) -> str | None:
     return None
 
 
+def plain(path: str) -> str:
+    """The path without a file scheme. The folder must be mounted alike on driver and executors."""
+    return re.sub("^file:/+", "/", path)
+
+
 def files_of(path: str) -> list[str]:
     """The file itself, or the .las files of a folder in the order of their names."""
+    path = plain(path)
     if os.path.isdir(path):
         found = sorted(glob.glob(os.path.join(path, "*.las")))
     else:
@@ -139,7 +145,7 @@ class LasWriter(DataSourceWriter):
     """One file for each task; overwriting clears the folder's .las files once all tasks are done."""
 
     def __init__(self, options: dict, overwrite: bool):
-        self.path, self.zone, self.overwrite = options["path"], options.get("zone"), overwrite
+        self.path, self.zone, self.overwrite = plain(options["path"]), options.get("zone"), overwrite
 
     def write(self, rows: Iterator) -> Written:
         from pyspark import TaskContext

@@ -48,6 +48,17 @@ def compact(spark: SparkSession, path: str, target: str, files: int) -> None:
     points.repartitionByRange(files, "cell_x", "cell_y").sortWithinPartitions("cell_x", "cell_y", "id").write.mode("overwrite").parquet(target)
 
 
+def create(spark: SparkSession, folder: str) -> None:
+    """The tables of an empty store, with the classification labels; tables that are there stay as they are."""
+    from ..schema import CLASSES, PROCESSED, ZONES, classifications
+
+    system = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    first = {"points": spark.createDataFrame([], PROCESSED), "zones": spark.createDataFrame([], ZONES), "classifications": classifications(spark).to(CLASSES)}
+    for name, rows in first.items():
+        if not system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/_SUCCESS")):
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
 def views(points: DataFrame, boxes: dict[str, str]) -> None:
     """Temporary views of predicates over the point table."""
     for name, predicate in boxes.items():
@@ -85,6 +96,11 @@ def antenna_configs(spark: SparkSession, path: str | None = None) -> DataFrame:
     return last.select("s.*")
 
 
+def antenna_named(antennas: DataFrame, name: str | None) -> DataFrame:
+    """The spec of a name, upper and lower case told apart; no row for an unknown or null one."""
+    return antennas.where(F.col("name") == F.lit(name)) if name is not None else antennas.where("false")
+
+
 def antenna_list(antennas: DataFrame) -> DataFrame:
     """The listing: texts that are missing are empty, numbers that are missing null."""
     texts = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("name", "model", "type", "notes")]
