@@ -1,12 +1,14 @@
 """LAS files as a Spark data source, read by ranges of points and written as format 6.
 
 Layout by the public ASPRS LAS 1.4 standard. Partitions are ranges of points, so one large file
-is read by many tasks. Register with :func:`register`, then ``spark.read.format("las")``.
+is read by many tasks, and no task holds more than a range or one file of ``FILE`` points.
+Register with :func:`register`, then ``spark.read.format("las")``. Paths are local ones, which the
+executors must see too, or URIs of a file system that Arrow knows (``s3://``, ``gs://``, ``hdfs://``).
 """
 
 from __future__ import annotations
 
-import glob
+import hashlib
 import os
 import re
 import struct
@@ -14,19 +16,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 SCHEMA = "id bigint, easting double, northing double, altitude double, class_code int, zone string, file string"
-#: Points of a partition, and bits of an id that number the points of a file.
-RANGE, ID_BITS = 1_000_000, 40
+#: Points of a partition, points of a written file at most, and bits of an id that number the points of a file.
+RANGE, FILE, ID_BITS = 1_000_000, 4_000_000, 34
+#: A point of format 6: what is written of it.
+RECORD = np.dtype({"names": ["xyz", "code"], "formats": ["3<i4", "u1"], "offsets": [0, 16], "itemsize": 30})
+
+
+def plain(path: str) -> str:
+    """An absolute local path, without a file scheme, or the URI as it is."""
+    path = re.sub("^file:/+", "/", path)
+    return path if "://" in path else os.path.abspath(path)
+
+
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, and the path in it."""
+    path = plain(path)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 class Header:
     """What reading needs of a header: layout, scales, offsets, number of points, zone."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as f:
+        system, inner = opened(path)
+        with system.open_input_file(inner) as f:
             head = f.read(375)
             if head[:4] != b"LASF" or len(head) < 227:
                 raise ValueError(f"{path}: not a LAS file")
@@ -61,16 +80,13 @@ def zone_of(vlrs: list[tuple[str, int, bytes, str]]) -> str | None:
     return None
 
 
-def plain(path: str) -> str:
-    """The path without a file scheme. The folder must be mounted alike on driver and executors."""
-    return re.sub("^file:/+", "/", path)
-
-
 def files_of(path: str) -> list[str]:
     """The file itself, or the .las files of a folder in the order of their names."""
     path = plain(path)
-    if os.path.isdir(path):
-        found = sorted(glob.glob(os.path.join(path, "*.las")))
+    system, inner = opened(path)
+    if system.get_file_info(inner).type == fs.FileType.Directory:
+        names = sorted(f.base_name for f in system.get_file_info(fs.FileSelector(inner)) if f.is_file)
+        found = [f"{path.rstrip('/')}/{name}" for name in names if name.endswith(".las") and not name.startswith(".")]
     else:
         found = [path] if path.lower().endswith(".las") else []
     if not found:
@@ -78,9 +94,43 @@ def files_of(path: str) -> list[str]:
     return found
 
 
+def numbers_of(paths: list[str]) -> list[int]:
+    """A number for each file, by the hash of its name, so that files that come later don't renumber points.
+
+    Where two names share a hash, which takes tens of thousands of files, the later name moves to the next free number.
+    """
+    limit = 1 << (63 - ID_BITS)
+    taken: dict[int, str] = {}
+    for path in sorted(paths, key=os.path.basename):
+        at = int.from_bytes(hashlib.blake2b(os.path.basename(path).encode(), digest_size=8).digest(), "little") % limit
+        while at in taken:
+            at = (at + 1) % limit
+        taken[at] = path
+    number = {path: at for at, path in taken.items()}
+    return [number[path] for path in paths]
+
+
+def chunks(path: str, head: Header, first: int, count: int) -> Iterator[np.ndarray]:
+    """The bytes of points first, first + 1, ..., a row each, at most ``RANGE`` points at a time."""
+    system, inner = opened(path)
+    with system.open_input_file(inner) as f:
+        f.seek(head.start + first * head.record)
+        for done in range(0, count, RANGE):
+            wanted = min(RANGE, count - done)
+            data = f.read(wanted * head.record)
+            if len(data) < wanted * head.record:
+                raise ValueError(f"{path}: ends before point {first + done + wanted} of {head.count}")
+            yield np.frombuffer(data, np.uint8).reshape(wanted, head.record)
+
+
+def fields(raw: np.ndarray, head: Header) -> tuple[np.ndarray, np.ndarray]:
+    """Unscaled coordinates and class codes of rows of bytes."""
+    return np.ascontiguousarray(raw[:, :12]).view("<i4"), raw[:, 16] if head.format >= 6 else raw[:, 15] & 31
+
+
 class Range(InputPartition):
-    def __init__(self, path: str, ordinal: int, first: int, count: int):
-        self.path, self.ordinal, self.first, self.count = path, ordinal, first, count
+    def __init__(self, path: str, number: int, first: int, count: int):
+        self.path, self.number, self.first, self.count = path, number, first, count
 
 
 class LasReader(DataSourceReader):
@@ -90,86 +140,138 @@ class LasReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         out = []
-        for k, path in enumerate(files_of(self.path)):
+        paths = files_of(self.path)
+        for number, path in zip(numbers_of(paths), paths):
             head = Header(path)
+            if head.count >> ID_BITS:
+                raise ValueError(f"{path}: {head.count} points; a file can have {1 << ID_BITS} at most")
             zone = self.zone or head.zone
             if self.strict and not (zone and re.fullmatch(r"\d{1,2}[NS]", zone)):
                 raise ValueError(f"{path}: no UTM zone; give one with option('zone', '15N')")
-            out += [Range(path, k, i, min(self.range, head.count - i)) for i in range(0, head.count, self.range)]
+            out += [Range(path, number, i, min(self.range, head.count - i)) for i in range(0, head.count, self.range)]
         return out
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         head = Header(part.path)
-        with open(part.path, "rb") as f:
-            f.seek(head.start + part.first * head.record)
-            raw = np.frombuffer(f.read(part.count * head.record), np.uint8).reshape(-1, head.record)
-        xyz = np.ascontiguousarray(raw[:, :12]).view("<i4")
-        x, y, z = (xyz[:, i] * head.scale[i] + head.offset[i] for i in range(3))
-        code = raw[:, 16] if head.format >= 6 else raw[:, 15] & 31
-        n = len(raw)
-        ids = (np.int64(part.ordinal) << ID_BITS) + part.first + np.arange(n)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array(x), pa.array(y), pa.array(z), pa.array(code.astype(np.int32)), pa.array([self.zone or head.zone] * n, pa.string()), pa.array([os.path.basename(part.path)] * n, pa.string())],
-            ["id", "easting", "northing", "altitude", "class_code", "zone", "file"],
-        )
+        at = (part.number << ID_BITS) + part.first
+        for raw in chunks(part.path, head, part.first, part.count):
+            xyz, code = fields(raw, head)
+            n = len(raw)
+            x, y, z = (pa.array(xyz[:, i] * head.scale[i] + head.offset[i]) for i in range(3))
+            zone, file = (pa.array([text] * n, pa.string()) for text in (self.zone or head.zone, os.path.basename(part.path)))
+            yield pa.RecordBatch.from_arrays([pa.array(at + np.arange(n, dtype=np.int64)), x, y, z, pa.array(code.astype(np.int32)), zone, file], ["id", "easting", "northing", "altitude", "class_code", "zone", "file"])
+            at += n
 
 
 class Written(WriterCommitMessage):
-    def __init__(self, path: str | None):
-        self.path = path
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
-def write_file(path: str, x: np.ndarray, y: np.ndarray, z: np.ndarray, code: np.ndarray, zone: str | None = None, scale: float = 0.001) -> None:
-    """A LAS 1.4 file of format 6, with the zone in its coordinate-system record."""
-    offset = [float(np.floor(a.min())) if len(a) else 0.0 for a in (x, y, z)]
+def header(count: int, scale: tuple, offset: tuple, low: np.ndarray, high: np.ndarray, zone: str | None) -> bytes:
+    """A LAS 1.4 header for points of format 6, with the zone in its coordinate-system record."""
     wkt = f'PROJCS["WGS 84 / UTM zone {zone}"]'.encode() + b"\0" if zone else b""
     vlr = struct.pack("<H16sHH32s", 0, b"LASF_Projection", 2112, len(wkt), b"coordinate system") + wkt if zone else b""
     head = bytearray(375)
     head[:4], head[24:26] = b"LASF", bytes([1, 4])
     struct.pack_into("<H", head, 6, 16)
     struct.pack_into("<HII", head, 94, 375, 375 + len(vlr), int(bool(zone)))
-    struct.pack_into("<BHI", head, 104, 6, 30, 0)
-    struct.pack_into("<6d", head, 131, scale, scale, scale, *offset)
-    bounds = [v for a in (x, y, z) for v in ((float(a.max()), float(a.min())) if len(a) else (0.0, 0.0))]
+    struct.pack_into("<BHI", head, 104, 6, RECORD.itemsize, 0)
+    struct.pack_into("<6d", head, 131, *scale, *offset)
+    bounds = [v * s + o for lo, hi, s, o in zip(low, high, scale, offset) for v in (hi, lo)] if count else [0.0] * 6
     struct.pack_into("<6d", head, 179, *bounds)
-    struct.pack_into("<Q", head, 247, len(x))
-    rows = np.zeros(len(x), np.dtype({"names": ["x", "y", "z", "c"], "formats": ["<i4", "<i4", "<i4", "u1"], "offsets": [0, 4, 8, 16], "itemsize": 30}))
-    for k, a, o in zip("xyz", (x, y, z), offset):
-        rows[k] = np.round((a - o) / scale)
-    rows["c"] = code
-    with open(path, "wb") as f:
-        f.write(bytes(head) + vlr + rows.tobytes())
+    struct.pack_into("<Q", head, 247, count)
+    return bytes(head) + vlr
+
+
+def records(xyz: np.ndarray, code: np.ndarray) -> bytes:
+    rows = np.zeros(len(xyz), RECORD)
+    rows["xyz"], rows["code"] = xyz, code
+    return rows.tobytes()
+
+
+def write_file(path: str, xyz: np.ndarray, code: np.ndarray, zone: str | None = None, scale: float = 0.001) -> None:
+    """A file of these coordinates (a row a point) and class codes."""
+    offset = np.floor(xyz.min(axis=0)) if len(xyz) else np.zeros(3)
+    steps = np.round((xyz - offset) / scale)
+    if not (np.abs(steps) < 2.0**31).all():
+        raise ValueError(f"{path}: coordinates that are no numbers, or too far apart for steps of {scale}")
+    system, inner = opened(path)
+    with system.open_output_stream(inner) as f:
+        f.write(header(len(xyz), (scale,) * 3, tuple(offset), *((steps.min(axis=0), steps.max(axis=0)) if len(xyz) else (offset, offset)), zone))
+        f.write(records(steps, code))
 
 
-class LasWriter(DataSourceWriter):
-    """One file for each task; overwriting clears the folder's .las files once all tasks are done."""
+def copy_file(source: str, target: str) -> None:
+    """A file's coordinates, class codes and zone as LAS 1.4, range by range: once for the bounds, once to write."""
+    head = Header(source)
+    low, high = np.full(3, 2**31 - 1), np.full(3, -(2**31))
+    for raw in chunks(source, head, 0, head.count):
+        xyz, _ = fields(raw, head)
+        low, high = np.minimum(low, xyz.min(axis=0)), np.maximum(high, xyz.max(axis=0))
+    system, inner = opened(target)
+    with system.open_output_stream(inner + ".tmp") as f:
+        f.write(header(head.count, head.scale, head.offset, low, high, head.zone))
+        for raw in chunks(source, head, 0, head.count):
+            f.write(records(*fields(raw, head)))
+    system.move(inner + ".tmp", inner)
+
+
+class LasWriter(DataSourceArrowWriter):
+    """Files of at most ``FILE`` points from each task; a null altitude or class is written as 0.
+
+    Files have their names once all tasks are done; overwriting clears the folder's other .las files then.
+    """
 
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.zone, self.overwrite = plain(options["path"]), options.get("zone"), overwrite
 
-    def write(self, rows: Iterator) -> Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
-        got = [(r["easting"], r["northing"], r["altitude"] or 0.0, r["class_code"] or 0) for r in rows]
-        if not got:
-            return Written(None)
-        os.makedirs(self.path, exist_ok=True)
-        path = os.path.join(self.path, f"part-{TaskContext.get().partitionId():05d}-{TaskContext.get().taskAttemptId()}.las.tmp")
-        x, y, z, c = (np.array(a) for a in zip(*got))
-        write_file(path, x, y, z, c, self.zone)
-        return Written(path)
+        task, written, held = TaskContext.get(), [], []
+        system, inner = opened(self.path)
+
+        def flush() -> None:
+            if held:
+                system.create_dir(inner, recursive=True)
+                path = f"{self.path}/part-{task.partitionId():05d}-{task.taskAttemptId()}-{len(written):04d}.las.tmp"
+                xyz, code = (np.concatenate(part) for part in zip(*held))
+                held.clear()
+                write_file(path, xyz, code, self.zone)
+                written.append(path)
+
+        room = FILE
+        for batch in batches:
+            at = 0
+            while at < len(batch):
+                part = batch.slice(at, room)
+                values = [pc.cast(part.column(c), pa.float64()) for c in ("easting", "northing", "altitude")]
+                if values[0].null_count or values[1].null_count:
+                    raise ValueError("a point without easting or northing can't be written")
+                code = pc.cast(pc.fill_null(part.column("class_code"), 0), pa.int64()).to_numpy(zero_copy_only=False).astype(np.uint8)
+                held.append((np.column_stack([pc.fill_null(v, 0.0).to_numpy(zero_copy_only=False) for v in values]), code))
+                at, room = at + len(part), room - len(part)
+                if not room:
+                    flush()
+                    room = FILE
+        flush()
+        return Written(written)
 
     def commit(self, messages: list[Written | None]) -> None:
-        new = [m.path for m in messages if m and m.path]
-        for old in glob.glob(os.path.join(self.path, "*.las")) if self.overwrite else []:
-            os.remove(old)
-        for path in new:
-            os.replace(path, path.removesuffix(".tmp"))
+        system, inner = opened(self.path)
+        if self.overwrite and system.get_file_info(inner).type == fs.FileType.Directory:
+            for old in system.get_file_info(fs.FileSelector(inner)):
+                if old.is_file and old.base_name.endswith(".las"):
+                    system.delete_file(old.path)
+        for path in (opened(p)[1] for m in messages if m for p in m.paths):
+            system.move(path, path.removesuffix(".tmp"))
 
     def abort(self, messages: list[Written | None]) -> None:
-        for m in messages:
-            if m and m.path and os.path.exists(m.path):
-                os.remove(m.path)
+        for path in (p for m in messages if m for p in m.paths):
+            system, inner = opened(path)
+            if system.get_file_info(inner).is_file:
+                system.delete_file(inner)
 
 
 class LasDataSource(DataSource):
@@ -193,21 +295,19 @@ def register(spark: SparkSession) -> None:
 
 def convert(spark: SparkSession, paths: list[str], target: str):
     """Copy point files into a folder as LAS; (src, dst, ok, error) for each, failures don't stop the rest."""
-    files = spark.createDataFrame([(p,) for p in paths], "src string")
+    files = spark.createDataFrame([(p,) for p in paths], "src string").repartition(max(1, len(paths)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for src in batch.column(0).to_pylist():
-                dst = os.path.join(target, os.path.splitext(os.path.basename(src))[0] + ".las")
+                dst = f"{plain(target)}/{os.path.splitext(os.path.basename(src))[0]}.las"
                 try:
-                    head = Header(src)
-                    reader = LasReader({"path": src})
-                    got = list(reader.read(Range(src, 0, 0, head.count)))[0]
-                    os.makedirs(target, exist_ok=True)
-                    write_file(dst, *(got.column(c).to_numpy(zero_copy_only=False) for c in ("easting", "northing", "altitude", "class_code")), head.zone)
+                    system, inner = opened(target)
+                    system.create_dir(inner, recursive=True)
+                    copy_file(src, dst)
                     out.append((src, dst, True, None))
-                except (OSError, ValueError) as error:
+                except (OSError, ValueError, struct.error) as error:
                     out.append((src, None, False, str(error)))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_(), pa.string()))], ["src", "dst", "ok", "error"])
 

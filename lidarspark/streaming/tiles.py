@@ -21,7 +21,8 @@ def ingest(spark: SparkSession, source: str, table: str, metrics: str, checkpoin
 
     def settle(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
-        touched(spark.read.schema(POINTS).parquet(table).select(*POINTS.names), batch, radius).write.mode("overwrite").parquet(f"{metrics}/batch={number}")
+        new = spark.read.schema(POINTS).parquet(f"{table}/batch={number}")
+        touched(spark.read.schema(POINTS).parquet(table).select(*POINTS.names), new, radius).write.mode("overwrite").parquet(f"{metrics}/batch={number}")
 
     return tiles.writeStream.foreachBatch(settle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -29,8 +30,14 @@ def ingest(spark: SparkSession, source: str, table: str, metrics: str, checkpoin
 def touched(points: DataFrame, new: DataFrame, radius: float) -> DataFrame:
     """Metrics of all points in cells that touch a new point's: theirs may have changed.
 
-    The points that these need lie one cell further out.
+    The points that these need lie one cell further out. The extent of the new points, which one
+    row states, reaches the scan, so that files and row groups beyond it aren't read.
     """
+    ends = new.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("easting", "northing") for f in (F.min, F.max)]).first()
+    for c in ("easting", "northing"):
+        low, high = ends[f"min_{c}"], ends[f"max_{c}"]
+        points = points.where("false") if low is None else points.where(F.col(c).between(low - 3 * radius, high + 3 * radius))
+
     def ring(reach: int) -> DataFrame:
         around = lambda c: F.explode(F.sequence(cell(F.col(c), radius) - reach, cell(F.col(c), radius) + reach))
         return new.select(around("easting").alias("_x"), "northing").select("_x", around("northing").alias("_y")).distinct()

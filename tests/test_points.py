@@ -10,6 +10,7 @@ import struct
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,6 +212,57 @@ def test_las_round_trip(spark, tmp_path):
     vlr = lambda text: [("other", 1, text.encode(), "")]
     assert [las.zone_of(vlr(t)) for t in ("utm ZONE 12s", "UTM zone15", "none")] == ["12S", "15?", None]
     assert struct.unpack_from("<Q", data, 247)[0] > 0
+    copied = spark.read.format("las").load(str(tmp_path / "conv"))
+    assert keys(copied) == keys(back.where(F.col("file") == os.path.basename(one))) and copied.first().zone == "12N"
+
+
+def test_las_ids_stay_when_files_come(spark, tmp_path):
+    las.register(spark)
+    xyz = np.array([[1.0, 2.0, 3.0], [4.5, 5.25, -6.125]])
+    path = str(tmp_path / "some")
+    os.makedirs(path)
+    ids = lambda: {(r.file, r.easting): r.id for r in spark.read.format("las").load(path).collect()}
+    for name in ("m", "z"):
+        las.write_file(f"{path}/{name}.las", xyz, np.array([2, 5]), "12N")
+    before = ids()
+    las.write_file(f"{path}/a.las", xyz, np.array([2, 5]), "12N")
+    after = ids()
+    assert len(before) == 4 and len(after) == len(set(after.values())) == 6 and before.items() <= after.items()
+    many = [f"{k}.las" for k in range(100_000)]
+    assert len(set(las.numbers_of(many))) == len(many)
+
+
+def test_las_parts_and_odd_points(spark, tmp_path, monkeypatch):
+    """Files of a bounded number of points, nulls as zeros, a short file and an empty table."""
+    las.register(spark)
+    monkeypatch.setattr(las, "FILE", 300)
+    monkeypatch.setattr(las, "RANGE", 70)
+    xyz = np.random.default_rng(3).random((1000, 3)).round(3) * 100
+    writer = las.LasWriter({"path": str(tmp_path / "parts"), "zone": "12N"}, overwrite=True)
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Task", (), {"partitionId": lambda self: 0, "taskAttemptId": lambda self: 7})())
+    table = pa.table({"easting": xyz[:, 0], "northing": xyz[:, 1], "altitude": xyz[:, 2], "class_code": np.arange(1000) % 7})
+    for _ in range(2):
+        writer.commit([writer.write(iter(table.to_batches(max_chunksize=110))), None])
+    paths = las.files_of(str(tmp_path / "parts"))
+    assert [las.Header(p).count for p in paths] == [300, 300, 300, 100]
+    las.copy_file(paths[0], str(tmp_path / "copy.las"))
+    for path, want in ((paths[0], xyz[:300]), (str(tmp_path / "copy.las"), xyz[:300]), (paths[3], xyz[900:])):
+        got = pa.Table.from_batches(las.LasReader({"path": path}).read(las.Range(path, 1, 0, len(want)))).to_pydict()
+        assert np.allclose(np.column_stack([got[c] for c in ("easting", "northing", "altitude")]), want, atol=6e-4) and len(set(got["id"])) == len(want)
+        bounds = struct.unpack_from("<6d", open(path, "rb").read(375), 179)
+        assert np.allclose(bounds[::2], want.max(axis=0), atol=6e-4) and np.allclose(bounds[1::2], want.min(axis=0), atol=6e-4)
+    (tmp_path / "short.las").write_bytes(open(paths[0], "rb").read()[:-10])
+    with pytest.raises(ValueError, match="ends before"):
+        list(las.chunks(str(tmp_path / "short.las"), las.Header(paths[0]), 0, 300))
+    with pytest.raises(ValueError):
+        las.write_file(str(tmp_path / "far.las"), np.array([[0.0, 0.0, 0.0], [1e9, 0.0, 0.0]]), np.array([0, 0]))
+    las.write_file(str(tmp_path / "none.las"), np.zeros((0, 3)), np.zeros(0, int))
+    assert las.Header(str(tmp_path / "none.las")).count == 0
+    monkeypatch.undo()
+    odd = spark.createDataFrame([(1.0, 2.0, None, None)], "easting double, northing double, altitude double, class_code int")
+    odd.write.format("las").mode("append").save(str(tmp_path / "odd"))
+    odd.where("false").write.format("las").mode("append").save(str(tmp_path / "odd"))
+    assert spark.read.format("las").load("file:" + str(tmp_path / "odd")).drop("id", "file").collect() == [(1.0, 2.0, 0.0, 0, None)]
 
 
 def test_tables(spark, tmp_path):
@@ -274,6 +326,13 @@ def test_stream_of_tiles(spark, tmp_path):
     got = tiles.latest(spark, str(tmp_path / "metrics")).select("id", "n", "slope").toPandas().sort_values("id", ignore_index=True)
     want = terrain.terrain_metrics(cloud, 1.0).select("id", "n", "slope").toPandas().sort_values("id", ignore_index=True)
     pd.testing.assert_frame_equal(got, want)
+    table = spark.read.schema(POINTS).parquet(str(tmp_path / "table"))
+    assert tiles.touched(table, table.where("false"), 1.0).count() == 0
+    near = table.where("id = 5")
+    some = tiles.touched(table, near, 1.0)
+    assert "GreaterThanOrEqual(easting" in some._jdf.queryExecution().executedPlan().toString()
+    alone = {r.id: r for r in terrain.terrain_metrics(cloud, 1.0).collect()}
+    assert 0 < some.count() < table.count() and all(r.n == alone[r.id].n for r in some.collect())
 
 
 def test_coverage_is_the_plain_version(spark):
