@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from math import ceil, pi
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,32 +56,41 @@ def ground(cells: DataFrame, points: DataFrame, start: float = 1.0) -> DataFrame
     return cells.join(best, "cell", "left").withColumn("z", F.coalesce("z", F.lit(0.0)))
 
 
-def _normals(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in groups:
-        out = []
-        for node, own in rows.groupby("node", sort=False):
-            xyz = own[["n_easting", "n_northing", "n_altitude"]].to_numpy()
-            if len(xyz) < 6:
-                near = xyz[own["d2"].to_numpy().argmin()]
-                out.append((node, *near, 0.0, 0.0, 1.0))
-                continue
-            mid = xyz.mean(axis=0)
-            _, v = np.linalg.eigh((xyz - mid).T @ (xyz - mid) / len(xyz))
-            n = v[:, 0] / np.linalg.norm(v[:, 0])
-            out.append((node, *mid, *(n if n[2] >= 0 else -n)))
-        yield pd.DataFrame(out, columns=["node", "px", "py", "pz", "nx", "ny", "nz"])
+def _normals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Planes of all nodes of a batch at once, from the points of each, the nearest first."""
+    for batch in batches:
+        spots = batch.column("spots")
+        n = spots.value_lengths().to_numpy(zero_copy_only=False)
+        flat = spots.flatten()
+        xyz = np.column_stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("n_easting", "n_northing", "n_altitude")])
+        first = np.cumsum(n) - n
+        if len(n):
+            mid = np.add.reduceat(xyz, first) / n[:, None]
+            off = xyz - np.repeat(mid, n, axis=0)
+            spread = np.add.reduceat(off[:, :, None] * off[:, None, :], first) / n[:, None, None]
+            normal = np.linalg.eigh(spread)[1][:, :, 0]
+            normal /= np.linalg.norm(normal, axis=1)[:, None]
+            normal[normal[:, 2] < 0] *= -1
+            few = n < 6
+            mid[few], normal[few] = xyz[first[few]], (0.0, 0.0, 1.0)
+        else:
+            mid = normal = np.zeros((0, 3))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), *map(pa.array, mid.T.copy()), *map(pa.array, normal.T.copy())], ["node", "px", "py", "pz", "nx", "ny", "nz"])
 
 
 def planes(spark, grid: Grid, points: DataFrame, step: float = 10.0, k: int = 64) -> DataFrame:
     """(node, gx, gy, px, py, pz, nx, ny, nz): a plane at each node of a coarse lattice over the grid.
 
-    Principal axes of the k nearest points need eigenvectors, which numpy gives; k rows a node.
+    Principal axes of the k nearest points need eigenvectors, which numpy gives for a batch of nodes
+    at once; a node with fewer than 6 points takes its nearest one and a level plane.
+    Points without an altitude aren't used.
     """
     n, m = (max(1, ceil((hi - lo) / step)) for lo, hi in ((grid.xmin, grid.xmax), (grid.ymin, grid.ymax)))
     nodes = spark.range(n * m).select(F.col("id").alias("node"), F.expr(f"cast(id % {n} as int)").alias("gx"), F.expr(f"cast(id div {n} as int)").alias("gy"))
     nodes = nodes.withColumn("easting", spaced("gx", grid.xmin, grid.xmax, n)).withColumn("northing", spaced("gy", grid.ymin, grid.ymax, m))
-    near = knn_join(nodes, points, k, step / 2, key="node", itself=True).select("node", "n_easting", "n_northing", "n_altitude", "d2")
-    fitted = near.groupBy("node").applyInPandas(lambda own: next(_normals(iter([own]))), "node long, px double, py double, pz double, nx double, ny double, nz double")
+    near = knn_join(nodes, points.where("altitude is not null"), k, step / 2, key="node", itself=True)
+    spots = near.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("rank", "n_easting", "n_northing", "n_altitude"))).alias("spots"))  # k a node
+    fitted = spots.mapInArrow(_normals, "node long, px double, py double, pz double, nx double, ny double, nz double")
     flat = [F.coalesce(c, d).alias(c) for c, d in (("px", F.col("easting")), ("py", F.col("northing")), ("pz", F.lit(0.0)), ("nx", F.lit(0.0)), ("ny", F.lit(0.0)), ("nz", F.lit(1.0)))]
     return nodes.join(fitted, "node", "left").select("node", "gx", "gy", *flat)
 

@@ -210,13 +210,13 @@ edges AS (SELECT src, dst, sqrt(d2) AS dist FROM near QUALIFY row_number() OVER
 
 @query(f"{_KNN} SELECT src, dst, round(dist, 6) AS dist FROM edges")
 def knn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(paths.knn_edges(cloud(spark, sf_dir), 8, start=2.0), 6, "dist")
+    return rounded(paths.knn_edges(cloud(spark, sf_dir), 8), 6, "dist")
 
 
 @query(f"{_KNN} SELECT src, dst, {_sql_round('dist * (1e0 + 5e0 * (1e0 - ((dst * 37) % 101) / 100e0))', 6)} AS cost FROM edges")
 def edge_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _scored(spark, sf_dir)
-    return rounded(paths.costed(paths.knn_edges(points, 8, start=2.0), points, 5.0).select("src", "dst", "cost"), 6, "cost")
+    return rounded(paths.costed(paths.knn_edges(points, 8), points, 5.0).select("src", "dst", "cost"), 6, "cost")
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
