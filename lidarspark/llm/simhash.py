@@ -31,6 +31,8 @@ MAJORITY_ROWS = 1 << 14
 TILE = 4096
 #: Bytes of shingle sets in such a piece.
 TILE_BYTES = 1 << 25
+#: Bytes of rows that are gathered before their whole groups are compared; a larger group is still one piece.
+PIECE_BYTES = 1 << 23
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -121,7 +123,8 @@ def bit_sliced_links(prints: np.ndarray, ends: np.ndarray, radius: int, chunk: i
     lanes = np.zeros((width, blocks * 64), np.uint8)
     lanes[:, :n] = bits.T
     planes = np.packbits(lanes, axis=1, bitorder="little").view(np.uint64)
-    masks = np.where(bits.T.astype(bool), _ONES, np.uint64(0))
+    # one byte a bit, 0 or -1, which widens to a whole word of the query's bit
+    masks = -np.ascontiguousarray(bits.T).view(np.int8)
     levels = int(radius).bit_length() + 1
     first, many = np.arange(n) // 64, (ends - 1) // 64 - np.arange(n) // 64 + 1
     many[ends - 1 <= np.arange(n)] = 0
@@ -136,7 +139,7 @@ def bit_sliced_links(prints: np.ndarray, ends: np.ndarray, radius: int, chunk: i
         valid = np.where(low > 63, np.uint64(0), _ONES << np.minimum(low, np.uint64(63))) & np.where(high > 63, _ONES, ~(_ONES << np.minimum(high, np.uint64(63))))
         counter = [np.zeros(len(row), np.uint64) for _ in range(max(levels, 4))]
         for p in range(0, width, 8):
-            d = [planes[p + k][block] ^ masks[p + k][row] for k in range(8)]
+            d = [planes[p + k][block] ^ masks[p + k][row].astype(np.int64).view(np.uint64) for k in range(8)]
             ones, t1 = _csa(counter[0], d[0], d[1])
             ones, t2 = _csa(ones, d[2], d[3])
             ones, t3 = _csa(ones, d[4], d[5])
@@ -232,13 +235,13 @@ def _changes(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
     return new
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str], held: list[pa.RecordBatch], at_least: int = 1 << 15) -> Iterator[pa.RecordBatch]:
-    """Batches of a sorted stream joined and split so that no group is cut."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], columns: list[str], held: list[pa.RecordBatch], at_least: int = 1 << 15, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches of a sorted stream joined and split so that no group is cut, each of ``at_least`` rows or ``size`` bytes, or the last."""
     rows = 0
     for batch in batches:
         held.append(batch)
         rows += len(batch)
-        if rows >= at_least or sum(b.nbytes for b in held) >= TILE_BYTES:
+        if rows >= at_least or sum(b.nbytes for b in held) >= size:
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             cut_at = int(np.flatnonzero(_changes(whole, columns))[-1])
             if cut_at:
@@ -307,6 +310,14 @@ def _worst_share(similarity: float, most: int = 40) -> float:
     return worst
 
 
+def _places(hashes: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """The place of each hash among the distinct ones, in less memory than the inverse of ``np.unique`` takes."""
+    distinct, places = np.unique(hashes), np.empty(len(hashes), np.int32)
+    for lo in range(0, len(hashes), step):
+        places[lo : lo + step] = np.searchsorted(distinct, hashes[lo : lo + step])
+    return places
+
+
 def similar_links(prints: np.ndarray, ends: np.ndarray, tiles: np.ndarray, cross: np.ndarray, hashes: np.ndarray, off: np.ndarray, radius: int, similarity: float) -> np.ndarray:
     """Labels that join rows of a group over all pairs within the radius whose sets' Jaccard is at least the similarity.
 
@@ -314,7 +325,7 @@ def similar_links(prints: np.ndarray, ends: np.ndarray, tiles: np.ndarray, cross
     compared. Pairs that are joined already needn't be looked up.
     """
     labels, sizes = np.arange(len(prints)), np.diff(off)
-    named = np.unique(hashes, return_inverse=True)[1]
+    named = _places(hashes)
     mark = np.zeros(len(hashes), bool)
     for a, b in bit_sliced_links(prints, ends, radius):
         few, many = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
@@ -371,9 +382,10 @@ def verified(candidates: DataFrame, texts: DataFrame, words: int, radius: int, s
             ends = np.repeat(np.append(starts[1:], len(piece)), np.diff(np.append(starts, len(piece))))
             column = text_array(piece.column("text"))
             sets = [shingle_sets(shingle, column.slice(lo, hi - lo)) for lo, hi in slices(column, BITS_BYTES)]
-            off = np.concatenate([[0], *[counts for _, counts in sets]]).cumsum()
+            off, hashes = np.concatenate([[0], *[counts for _, counts in sets]]).cumsum(), np.concatenate([own for own, _ in sets])
+            del sets, column
             own, i, j = (piece.column(c).to_numpy(zero_copy_only=False) for c in ("t", "i", "j"))
-            labels = similar_links(prints, ends, own, i != j, np.concatenate([hashes for hashes, _ in sets]), off, radius, similarity)
+            labels = similar_links(prints, ends, own, i != j, hashes, off, radius, similarity)
             moved = np.flatnonzero(labels != np.arange(len(piece)))
             column = piece.column("sig")
             yield pa.RecordBatch.from_arrays([column.take(pa.array(moved)), column.take(pa.array(labels[moved]))], ["a", "b"])

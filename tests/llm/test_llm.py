@@ -209,6 +209,22 @@ def test_near_copies_are_exact_groups(spark, monkeypatch, tile):
     assert got == {i: least[r] for i, r, s in zip(ids, root, sets) if s}
 
 
+@pytest.mark.parametrize("n", [0, 1, 1000])
+def test_places(n):
+    hashes = np.random.default_rng(n).integers(2**63, 2**63 + 50, n, dtype=np.uint64)
+    assert (simhash._places(hashes, step=7) == np.unique(hashes, return_inverse=True)[1]).all()
+
+
+@pytest.mark.parametrize("size", [1, 1 << 10, 1 << 30])
+def test_groups_are_whole_in_pieces_of_any_size(size):
+    key = np.sort(np.random.default_rng(3).integers(0, 90, 2000) ** 2 % 61)
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[lo : lo + 70])], ["key"]) for lo in range(0, 2000, 70)]
+    got = [p.column(0).to_pylist() for p in simhash._whole_groups(iter(batches), ["key"], [], 1 << 15, size)]
+    assert sum(got, []) == key.tolist()
+    assert all(not set(a) & set(b) for a, b in zip(got, got[1:]))
+    assert len(got) > 9 if size == 1 else len(got) == 1 if size == 1 << 30 else True
+
+
 # -- 2: URL filters -------------------------------------------------------------------------------
 
 
