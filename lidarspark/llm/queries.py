@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, decontaminate, licenses, pieces, pii, resharding, simhash, suffix_dedup, toxicity, url_filter
+from . import covertree, decontaminate, licenses, packing, pieces, pii, resharding, search, simhash, spelling, suffix_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -69,12 +69,29 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word with its near words, its form and its root."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents of every benchmark item."""
+    return search.search(search.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash, op2_url_filter, op3_pii, op4_sentencepiece, op5_decontamination, op6_licenses, op7_embedding_dedup, op8_resharding, op9_suffix_dedup, op10_toxicity)
+    for f in (op1_simhash, op2_url_filter, op3_pii, op4_sentencepiece, op5_decontamination, op6_licenses, op7_embedding_dedup, op8_resharding, op9_suffix_dedup, op10_toxicity, op11_spelling, op12_search, op13_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": url_filter.judge_sql(),
     "op6_licenses": licenses.scan_sql(),
+    "op11_spelling": spelling.variants_sql(),
+    "op12_search": search.search_sql(),
 }
