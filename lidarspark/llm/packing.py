@@ -112,8 +112,11 @@ def pack_lengths(histogram: dict[int, int], width: int = WIDTH) -> list[tuple[in
         left = histogram[length]
         while left:
             fill = fills[0] if fills else width
-            if fill + length > width:  # none has room
-                put(length, left, (length,))
+            if fill + length > width:  # none has room: new packs, each of which is the shortest until it has none either
+                packs, rest = divmod(left, width // length)
+                for n, size in ((packs, width // length), (min(1, rest), rest)):
+                    if n:
+                        put(size * length, n, (length,) * size)
                 break
             n, pattern = waiting[fill].pop()
             if n > left:

@@ -65,7 +65,7 @@ def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def read_varints(data: bytes) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     ends = np.flatnonzero(raw < 128) + 1
-    starts = np.concatenate([[0], ends[:-1]])
+    starts = np.concatenate([[0], ends])[:-1]
     place = np.arange(len(raw)) - np.repeat(starts, ends - starts)
     return np.add.reduceat((raw & 127).astype(np.int64) << (7 * place), starts) if len(ends) else np.zeros(0, np.int64)
 
