@@ -49,10 +49,10 @@ def spaced(i: str, lo: float, hi: float, n: int):
     return F.lit(lo) + F.col(i) * F.lit((hi - lo) / (n - 1) if n > 1 else 0.0)
 
 
-def ground(cells: DataFrame, points: DataFrame, start: float = 1.0) -> DataFrame:
+def ground(cells: DataFrame, points: DataFrame) -> DataFrame:
     """The cells with z, the height of the point nearest in the plane; 0 without points."""
     probes = cells.select("cell", F.col("x").alias("easting"), F.col("y").alias("northing"))
-    best = knn_join(probes, points, 1, start, key="cell", itself=True, keep=("id", "easting", "northing", "altitude")).select("cell", F.col("n_altitude").alias("z"))
+    best = knn_join(probes, points, 1, key="cell", itself=True, keep=("id", "easting", "northing", "altitude")).select("cell", F.col("n_altitude").alias("z"))
     return cells.join(best, "cell", "left").withColumn("z", F.coalesce("z", F.lit(0.0)))
 
 
@@ -88,7 +88,7 @@ def planes(spark, grid: Grid, points: DataFrame, step: float = 10.0, k: int = 64
     n, m = (max(1, ceil((hi - lo) / step)) for lo, hi in ((grid.xmin, grid.xmax), (grid.ymin, grid.ymax)))
     nodes = spark.range(n * m).select(F.col("id").alias("node"), F.expr(f"cast(id % {n} as int)").alias("gx"), F.expr(f"cast(id div {n} as int)").alias("gy"))
     nodes = nodes.withColumn("easting", spaced("gx", grid.xmin, grid.xmax, n)).withColumn("northing", spaced("gy", grid.ymin, grid.ymax, m))
-    near = knn_join(nodes, points.where("altitude is not null"), k, step / 2, key="node", itself=True)
+    near = knn_join(nodes, points.where("altitude is not null"), k, key="node", itself=True)
     spots = near.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("rank", "n_easting", "n_northing", "n_altitude"))).alias("spots"))  # k a node
     fitted = spots.mapInArrow(_normals, "node long, px double, py double, pz double, nx double, ny double, nz double")
     flat = [F.coalesce(c, d).alias(c) for c, d in (("px", F.col("easting")), ("py", F.col("northing")), ("pz", F.lit(0.0)), ("nx", F.lit(0.0)), ("ny", F.lit(0.0)), ("nz", F.lit(1.0)))]

@@ -20,9 +20,9 @@ def edge_cost(distance: Column, score: Column, penalty: float = 5.0) -> Column:
     return distance * (F.lit(1.0) + F.lit(float(penalty)) * (F.lit(1.0) - score))
 
 
-def knn_edges(points: DataFrame, k: int = 8, start: float | None = None) -> DataFrame:
+def knn_edges(points: DataFrame, k: int = 8) -> DataFrame:
     """(src, dst, dist): each point and its k nearest others; directed, ties by id."""
-    near = knn_join(points.select("id", "easting", "northing"), points, k, start, keep=("id", "easting", "northing"))
+    near = knn_join(points.select("id", "easting", "northing"), points, k, keep=("id", "easting", "northing"))
     return near.select(F.col("id").alias("src"), F.col("n_id").alias("dst"), F.sqrt("d2").alias("dist"))
 
 
@@ -98,7 +98,7 @@ def dijkstra(edges: DataFrame, start: int, goal: int | None = None) -> DataFrame
     return edges.select("src", "dst", "cost", F.lit(0).alias("all")).groupBy("all").applyInPandas(run, "id long, cost double, prev long, hops int")
 
 
-def shortest_path(points: DataFrame, a: tuple[float, float], b: tuple[float, float], k: int = 8, penalty: float = 5.0, start: float | None = None) -> DataFrame:
+def shortest_path(points: DataFrame, a: tuple[float, float], b: tuple[float, float], k: int = 8, penalty: float = 5.0) -> DataFrame:
     """(step, id, easting, northing, altitude, cost) from the point nearest to a to the one nearest to b.
 
     Empty if b can't be reached or there are no points. The path is walked back over the
@@ -110,7 +110,7 @@ def shortest_path(points: DataFrame, a: tuple[float, float], b: tuple[float, flo
     if not all(ends):
         return spark.createDataFrame([], empty)
     first, last = ends[0][0].id, ends[1][0].id
-    links = cut(costed(knn_edges(points, k, start), points, penalty))
+    links = cut(costed(knn_edges(points, k), points, penalty))
     small = links.limit(TASK_EDGES + 1).count() <= TASK_EDGES
     if small:
         walk = dijkstra(links, first, last).withColumnRenamed("hops", "step")

@@ -273,7 +273,7 @@ SELECT (max(hops) OVER () - hops)::INTEGER AS step, id, easting, northing, altit
 @query(_path_sql())
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = spatial.in_box(_scored(spark, sf_dir), Box(518800.0, 518830.0, 4252300.0, 4252305.0))
-    return rounded(paths.shortest_path(region, (518802.0, 4252301.0), (518814.0, 4252304.0), 8, 5.0, start=2.0), 6, "cost")
+    return rounded(paths.shortest_path(region, (518802.0, 4252301.0), (518814.0, 4252304.0), 8, 5.0), 6, "cost")
 
 
 # -- projection ---------------------------------------------------------------------------------------

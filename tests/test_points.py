@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lidarspark.functions import radio, utm
-from lidarspark.operators import coverage, paths, spatial, summaries, terrain
+from lidarspark.operators import density, coverage, paths, spatial, summaries, terrain
 from lidarspark.operators.spatial import Box
 from lidarspark.plans import registry
 from lidarspark.schema import ANTENNAS, POINTS, default_antennas
@@ -114,7 +114,7 @@ def test_knn_in_sparse_and_small_clouds(spark):
     rng = np.random.default_rng(2)
     xy = np.concatenate([rng.random((150, 2)), rng.random((20, 2)) * 300])
     got = {}
-    for r in paths.knn_edges(points(spark, [(*p, 0) for p in xy.tolist()]), 4, start=0.05).collect():
+    for r in paths.knn_edges(points(spark, [(*p, 0) for p in xy.tolist()]), 4).collect():
         got.setdefault(r.src, []).append((r.dist, r.dst))
     for i in range(len(xy)):
         d = np.hypot(*(xy - xy[i]).T)
@@ -125,6 +125,63 @@ def test_knn_in_sparse_and_small_clouds(spark):
     assert paths.knn_edges(points(spark, []), 8).count() == 0
 
 
+def patches(n, corners, seed=5):
+    rng = np.random.default_rng(seed)
+    return np.concatenate([rng.random((n, 2)) * n**0.5 + np.array(c) for c in corners])
+
+
+def test_knn_of_far_patches_costs_what_near_ones_do(spark):
+    """Candidate pairs of two patches 100 km apart, a diagonal strip and dense spots stay within a bound a point."""
+    rng = np.random.default_rng(6)
+    strip = np.arange(4000)[:, None] * [25.0, 25.0] + rng.random((4000, 2))
+    spots = np.concatenate([patches(1500, [(0, 0)]), rng.random((1500, 2)) * 0.01 + 17, patches(1000, [(9e5, 3e5)]) * 2])
+    for xy in (patches(2000, [(0, 0), (70_000, 70_000)]), strip, spots):
+        cloud = points(spark, [(*p, 0) for p in xy.tolist()]).cache()
+        leaves = density.sample_leaves(cloud)
+        there, ask = density.with_leaf(cloud, leaves), density.with_leaf(cloud.select("id", "easting", "northing"), leaves, leaves.radius(9))
+        asked = ask.groupBy("_leaf", "_class").agg(F.min("easting"), F.min("northing"), F.max("easting"), F.max("northing")).collect()
+        sent = {(int(leaf), r["_class"]) for r in asked for leaf in leaves.within(np.array(r[2:]), 2 ** (r["_class"] / 2))}
+        met = spatial._circle_join(ask, there, sent, ("id", "easting", "northing"))
+        assert met.count() < 9 * 12 * len(xy)
+        assert met.groupBy("id").count().where("count >= 9").count() > 0.9 * len(xy)
+        near = {(r.src, r.dst) for r in paths.knn_edges(cloud, 8).collect()}
+        some = rng.choice(len(xy), 200, replace=False)
+        for i in some:
+            d = ((xy - xy[i]) ** 2).sum(axis=1)
+            d[i] = np.inf
+            assert {(i, int(j)) for j in np.lexsort((np.arange(len(xy)), d))[:8]} <= near
+        assert len(near) == 8 * len(xy)
+
+
+def test_knn_of_heaped_and_odd_points(spark):
+    rng = np.random.default_rng(7)
+    xy = np.concatenate([np.full((3000, 2), 5.0), rng.random((500, 2)) * 10])
+    cloud = points(spark, [(*p, 0) for p in xy.tolist()])
+    odd = spark.createDataFrame([(9001, None, 1.0, 0.0), (9002, math.nan, 1.0, 0.0), (9003, 1.0, math.inf, 0.0)], P)
+    got = spatial.knn_join(cloud.select("id", "easting", "northing").union(odd.select("id", "easting", "northing")), cloud.union(odd), 5).groupBy("id").agg(F.sort_array(F.collect_list("n_id")).alias("near")).collect()
+    assert len(got) == len(xy)
+    for r in got[:: 40]:
+        d = ((xy - xy[r.id]) ** 2).sum(axis=1)
+        d[r.id] = np.inf
+        assert r.near == sorted(np.lexsort((np.arange(len(xy)), d))[:5].tolist())
+    far = spark.createDataFrame([(1, 1e6, 0.0), (2, 5.0, 5.0)], "id long, easting double, northing double")
+    found = {(r.id, r.n_id) for r in spatial.knn_join(far, cloud, 3, itself=True).collect()}
+    d = ((xy - [1e6, 0]) ** 2).sum(axis=1)
+    assert found == {(1, int(j)) for j in np.lexsort((np.arange(len(xy)), d))[:3]} | {(2, 0), (2, 1), (2, 2)}
+    assert spatial.knn_join(far.where("false"), cloud, 3).count() == 0 and spatial.knn_join(far, cloud.where("false"), 3).count() == 0
+
+
+def test_leaves_cover_the_plane():
+    xy = patches(3000, [(0, 0), (1e5, 3.0)])
+    leaves = density.cut_leaves(xy, 6000, (0.0, 0.0, 1e5, 60.0))
+    rng = np.random.default_rng(9)
+    spots = np.concatenate([xy, rng.normal(size=(500, 2)) * 1e6])
+    leaf = leaves.find(*spots.T)
+    region = leaves.regions[leaf]
+    assert ((spots >= region[:, :2]) & (spots <= region[:, 2:])).all()
+    assert leaves.counts.sum() == pytest.approx(6000) and (leaves.boxes[:, 2] - leaves.boxes[:, 0]).max() < 60
+
+
 def test_paths(spark):
     rng = np.random.default_rng(3)
     rows = [(i, float(x), float(y), 0.0, float(s)) for i, (x, y, s) in enumerate(rng.random((120, 3)) * [10, 10, 1])]
