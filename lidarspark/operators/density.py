@@ -105,8 +105,11 @@ def cut_leaves(xy: np.ndarray, n: int, extent: tuple[float, float, float, float]
     return Leaves(np.array(axis), np.array(at), np.array(low), np.array(high), np.array(boxes), np.array(regions), np.array(counts), above, extent)
 
 
-def sample_leaves(points: DataFrame) -> Leaves | None:
-    """The tree of a cloud, from an aggregate and a sample of some SAMPLE points; None without points."""
+def sample_leaves(points: DataFrame, most: int | None = None) -> Leaves | None:
+    """The tree of a cloud, from an aggregate and a sample of some SAMPLE points; None without points.
+
+    Its leaves have some ``most`` points at most, by the sample; without a number LEAF sampled ones.
+    """
     there = points.select(F.col("easting").cast("double").alias("x"), F.col("northing").cast("double").alias("y")).where(finite("x") & finite("y"))
     n, *extent = there.agg(F.count("*"), F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
     if not n:
@@ -114,7 +117,7 @@ def sample_leaves(points: DataFrame) -> Leaves | None:
     some = there if n <= SAMPLE else there.sample(fraction=SAMPLE / n, seed=17)
     xy = some.toPandas().to_numpy(np.float64)  # SAMPLE rows, up to chance
     xy = xy if len(xy) else there.limit(1).toPandas().to_numpy(np.float64)
-    return cut_leaves(xy, n, tuple(extent))
+    return cut_leaves(xy, n, tuple(extent), LEAF if most is None else max(1, int(most * len(xy) / n)))
 
 
 def finite(column: str):

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import heapq
+from functools import reduce
+from math import inf
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cuts import cut
+from .density import finite, sample_leaves, with_leaf
 from .spatial import knn_join, nearest_point
 
-#: Edges of a region that one task walks with a heap; larger graphs are relaxed in rounds.
-TASK_EDGES = 2_000_000
+#: Points of a tile, which one task walks with a heap; as the tree's sample tells them.
+TILE = 20_000
 
 
 def edge_cost(distance: Column, score: Column, penalty: float = 5.0) -> Column:
@@ -31,97 +35,180 @@ def costed(edges: DataFrame, points: DataFrame, penalty: float = 5.0) -> DataFra
     return edges.join(scores, "dst").select("src", "dst", "dist", edge_cost(F.col("dist"), F.col("_score"), penalty).alias("cost"))
 
 
-def distances(edges: DataFrame, start: int, every: int = 4, most: int = 100_000) -> DataFrame:
-    """(id, cost, prev) of all points that can be reached: a frontier is relaxed until nothing improves.
-
-    A round joins only the points that got cheaper to their edges; the state is written to the
-    checkpoint folder every few rounds, so that plans stay short and lost executors cost little.
-    Of equally cheap ways the one over the smaller id counts, whenever it is found; only an edge
-    of no cost never replaces another, so that no two points lead to each other.
-    """
-    spark = edges.sparkSession
-    links = cut(edges.select("src", "dst", "cost"))
-    state = spark.createDataFrame([(start, 0.0, None)], "id long, cost double, prev long")
-    frontier = state
-    for i in range(most):
-        step = frontier.select(F.col("id").alias("src"), F.col("cost").alias("so_far")).join(links, "src")
-        offer = step.select(F.col("dst").alias("id"), F.struct((F.col("so_far") + F.col("cost")).alias("cost"), F.col("src").alias("prev"), (F.col("cost") > 0).alias("far")).alias("o")).groupBy("id").agg(F.min("o").alias("o"))
-        known = state.select("id", F.col("cost").alias("old"), F.col("prev").alias("old_prev"))
-        again = (F.col("o.cost") == F.col("old")) & F.col("o.far") & (F.col("o.prev") < F.col("old_prev"))
-        better = cut(offer.join(known, "id", "left").where(F.col("old").isNull() | (F.col("o.cost") < F.col("old")) | again).select("id", F.col("o.cost").alias("cost"), F.col("o.prev").alias("prev")))
-        if better.isEmpty():
-            return state
-        state = state.join(better.select("id"), "id", "left_anti").unionByName(better)
-        if i % every == every - 1:
-            state = cut(state)
-        frontier = better
-    raise RuntimeError("the distances did not settle")
+#: Rows of a tile's walk: edges, labels (a is reached over b at a cost), and offers to another tile's points.
+_EDGE, _LABEL, _OFFER, _OFFER_OF_NO_LENGTH = range(4)
+_ROWS = "tile int, kind int, a long, b long, cost double, other int"
 
 
-def dijkstra(edges: DataFrame, start: int, goal: int | None = None) -> DataFrame:
-    """The same as :func:`distances`, in one task with a heap; for a bounded number of edges.
+def _walk(start: int, goal: int | None, bound: float):
+    """The function that spreads the offers to one tile over its points with a heap.
 
-    With a goal the search ends there, and the path's points alone come back; ``hops`` counts
-    them from the start, and is null without a goal.
+    Costs beyond ``bound``, which the goal is known to have at most, are left. Of equally cheap ways
+    the one over the smaller id counts, whenever it is found; only an edge of no cost never replaces
+    another, so that no two points lead to each other.
     """
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        after: dict[int, list[tuple[int, float]]] = {}
-        for a, b, c in zip(own.src.tolist(), own.dst.tolist(), own.cost.tolist()):
-            after.setdefault(a, []).append((b, c))
-        best: dict[int, tuple[float, int | None]] = {start: (0.0, None)}
-        heap, done = [(0.0, start)], set()
+    def walk(rows: pa.Table) -> pa.Table:
+        tile = rows.column("tile")[0].as_py()
+        kinds = rows.column("kind").to_numpy()
+        columns = ("a", "b", "cost", "other")
+        of = lambda *some: zip(*[rows.filter(pa.array(np.isin(kinds, some))).column(c).to_pylist() for c in columns])
+        after: dict[int, list[tuple[int, float, int]]] = {}
+        for a, b, c, other in of(_EDGE):
+            after.setdefault(a, []).append((b, c, other))
+        best = {a: (c, b, other) for a, b, c, other in of(_LABEL)}
+        heap: list[tuple[float, int]] = []
+
+        def offer(to: int, cost: float, prev: int | None, other: int | None, far: bool) -> None:
+            old = best.get(to)
+            if old is None or cost < old[0]:
+                best[to] = cost, prev, other
+                heapq.heappush(heap, (cost, to))
+            elif far and cost == old[0] and old[1] is not None and prev is not None and prev < old[1]:
+                best[to] = cost, prev, other
+
+        for kind, far in ((_OFFER, True), (_OFFER_OF_NO_LENGTH, False)):
+            for a, b, c, other in of(kind):
+                offer(a, c, b, other, far)
+        least, done, sent = bound, set(), {}
         while heap:
             cost, at = heapq.heappop(heap)
-            if at in done:
+            if cost > least:
+                break
+            if at in done or cost > best[at][0]:
                 continue
             done.add(at)
             if at == goal:
-                break
-            for to, c in after.get(at, ()):
-                way = (cost + c, at)
-                if to not in best or way[0] < best[to][0]:
-                    best[to] = way
-                    heapq.heappush(heap, (way[0], to))
-                elif c > 0 and way[0] == best[to][0] and best[to][1] is not None and at < best[to][1]:
-                    best[to] = way
-        hops: dict[int, int] = {}
+                least = cost
+            for to, c, other in after.get(at, ()):
+                if to == start:
+                    continue
+                if other == tile:
+                    offer(to, cost + c, at, tile, c > 0)
+                else:
+                    way = (cost + c, c <= 0, at)
+                    if to not in sent or way < sent[to][0]:
+                        sent[to] = way, other
+        out = [(tile, _LABEL, a, prev, cost, other) for a, (cost, prev, other) in best.items()]
+        out += [(other, _OFFER_OF_NO_LENGTH if flat else _OFFER, to, at, cost, tile) for to, ((cost, flat, at), other) in sent.items() if cost <= least]
+        names = ("tile", "kind", "a", "b", "cost", "other")
+        kind = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int32())
+        return pa.table({n: pa.array(v, t) for n, v, t in zip(names, zip(*out) if out else [()] * 6, kind)})
+
+    return walk
+
+
+class Reached:
+    """The labels that a search has left: in each round those of the tiles that were walked; the last round of a tile counts."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.rounds, self.last = spark, [], {}
+
+    def add(self, out: DataFrame, tiles: list[int]) -> None:
+        self.last |= dict.fromkeys(tiles, len(self.rounds))
+        self.rounds.append(out.where(F.col("kind") == _LABEL))
+
+    def of(self, tiles: list[int]) -> DataFrame:
+        """The labels of some tiles; the driver knows a number for each tile, of which there are as many as points over TILE."""
+        by_round: dict[int, list[tuple[int]]] = {}
+        for tile in tiles:
+            if tile in self.last:
+                by_round.setdefault(self.last[tile], []).append((tile,))
+        parts = [self.rounds[k].join(F.broadcast(self.spark.createDataFrame(some, "tile int")), "tile") for k, some in by_round.items()]
+        return reduce(DataFrame.unionByName, parts, self.spark.createDataFrame([], _ROWS))
+
+    def fold(self) -> None:
+        """One round in place of all, so that plans stay short."""
+        whole = cut(self.of(list(self.last)))
+        self.rounds, self.last = [whole], dict.fromkeys(self.last, 0)
+
+
+def search(edges: DataFrame, tiles: DataFrame, start: int, goal: int | None = None, most: int = 100_000) -> Reached:
+    """Labels of all points that can be reached from ``start``, or of those no farther than ``goal``.
+
+    ``tiles`` has the tile of each id. A round walks the tiles that got offers, each in a group of
+    its own: its edges, its labels so far, and the offers. What leaves a tile are offers to the
+    next. A tile is walked again only if it was offered something, so that rounds are as many as
+    the tiles that the longest way crosses, and costs are summed along ways as one heap over all
+    would, to the last digit.
+    """
+    spark = edges.sparkSession
+    tiles = tiles.select("id", "tile")
+    ends = edges.select("src", "dst", "cost").join(tiles.withColumnsRenamed({"id": "src"}), "src").join(tiles.withColumnsRenamed({"id": "dst", "tile": "other"}), "dst")
+    links = cut(ends.select("tile", F.lit(_EDGE).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "cost", "other").repartition("tile"))
+    reached, bound = Reached(spark), inf
+    home = tiles.where(F.col("id") == start).select("tile").limit(1).collect()
+    active = [home[0].tile] if home else []
+    offers = spark.createDataFrame([(t, _OFFER, start, None, 0.0, None) for t in active], _ROWS)
+    for i in range(most):
+        if not active:
+            return reached
+        own = links.join(F.broadcast(spark.createDataFrame([(t,) for t in active], "tile int")), "tile")
+        rows = own.unionByName(reached.of(active)).unionByName(offers)
+        out = cut(rows.groupBy("tile").applyInArrow(_walk(start, goal, bound), _ROWS))
+        reached.add(out, active)
         if goal is not None:
-            way, at = [], goal if goal in done else None
-            while at is not None:
-                way.append(at)
-                at = best[at][1]
-            hops = {at: i for i, at in enumerate(reversed(way))}
-            best = {at: best[at] for at in way}
-        return pd.DataFrame({"id": list(best), "cost": [b[0] for b in best.values()], "prev": pd.array([b[1] for b in best.values()], "Int64"), "hops": pd.array([hops.get(at) for at in best], "Int32")})
+            met = out.where((F.col("kind") == _LABEL) & (F.col("a") == goal)).agg(F.min("cost")).first()[0]
+            bound = bound if met is None else min(bound, met)
+        if i % 32 == 31:
+            reached.fold()
+        offers = out.where((F.col("kind") >= _OFFER) & (F.col("cost") <= bound))
+        active = sorted(r.tile for r in offers.select("tile").distinct().collect())
+    raise RuntimeError("the distances did not settle")
+
+
+def distances(edges: DataFrame, tiles: DataFrame, start: int) -> DataFrame:
+    """(id, cost, prev) of all points that can be reached; see :func:`search`."""
+    found = search(edges, tiles, start)
+    return found.of(list(found.last)).select(F.col("a").alias("id"), "cost", F.col("b").alias("prev"))
+
+
+def way_back(reached: Reached, tile: int, goal: int) -> list[tuple[int, float]]:
+    """(id, cost) from the start to the goal: a job for each tile crossed, which returns the path's own rows."""
+    path: list[tuple[int, float]] = []
+    at: int | None = goal
+    while at is not None:
+        last = at
+
+        def follow(rows: pa.Table) -> pa.Table:
+            best = dict(zip(rows.column("a").to_pylist(), zip(rows.column("cost").to_pylist(), rows.column("b").to_pylist(), rows.column("other").to_pylist())))
+            out, here = [], last
+            while here in best:
+                cost, prev, other = best[here]
+                out.append((here, cost, prev, other, len(out)))
+                here = prev if other == rows.column("tile")[0].as_py() else None
+            names = (("id", pa.int64()), ("cost", pa.float64()), ("prev", pa.int64()), ("other", pa.int32()), ("k", pa.int32()))
+            return pa.table({n: pa.array(v, t) for (n, t), v in zip(names, zip(*out) if out else [()] * 5)})
+
+        part = sorted(reached.of([tile]).groupBy("tile").applyInArrow(follow, "id long, cost double, prev long, other int, k int").collect(), key=lambda r: r.k)
+        if not part:
+            return []
+        path += [(r.id, r.cost) for r in part]
+        at, tile = part[-1].prev, part[-1].other
+    return path[::-1]
+
 
-    return edges.select("src", "dst", "cost", F.lit(0).alias("all")).groupBy("all").applyInPandas(run, "id long, cost double, prev long, hops int")
+def tiles_of(points: DataFrame, tile: int = TILE) -> DataFrame:
+    """(id, tile): parts of the cloud of some ``tile`` points at most, by the partition tree of a sample."""
+    leaves = sample_leaves(points, tile)
+    if leaves is None:
+        return points.select("id", F.lit(0).alias("tile"))
+    return with_leaf(points.where(finite("easting") & finite("northing")).select("id", "easting", "northing"), leaves).select("id", F.col("_leaf").alias("tile"))
 
 
-def shortest_path(points: DataFrame, a: tuple[float, float], b: tuple[float, float], k: int = 8, penalty: float = 5.0) -> DataFrame:
+def shortest_path(points: DataFrame, a: tuple[float, float], b: tuple[float, float], k: int = 8, penalty: float = 5.0, tile: int = TILE) -> DataFrame:
     """(step, id, easting, northing, altitude, cost) from the point nearest to a to the one nearest to b.
 
-    Empty if b can't be reached or there are no points. The path is walked back over the
-    predecessors, one indexed hop at a time on the driver: only the path's own rows get there.
+    Empty if b can't be reached or there are no points. The cloud is searched tile by tile, and the
+    path walked back over the tiles it crosses: only its own rows reach the driver.
     """
     spark = points.sparkSession
     ends = [nearest_point(points, *p).select("id").collect() for p in (a, b)]
-    empty = "step int, id long, easting double, northing double, altitude double, cost double"
-    if not all(ends):
-        return spark.createDataFrame([], empty)
-    first, last = ends[0][0].id, ends[1][0].id
-    links = cut(costed(knn_edges(points, k), points, penalty))
-    small = links.limit(TASK_EDGES + 1).count() <= TASK_EDGES
-    if small:
-        walk = dijkstra(links, first, last).withColumnRenamed("hops", "step")
-        return walk.join(points.select("id", "easting", "northing", "altitude"), "id").select("step", "id", "easting", "northing", "altitude", "cost")
-    found = cut(distances(links, first))
-    found.createOrReplaceTempView("_reached")
-    walk = spark.sql(
-        f"""WITH RECURSIVE back(id, cost, prev, hops) MAX RECURSION LEVEL 100000 AS (
-          SELECT id, cost, prev, 0 FROM _reached WHERE id = {last}
-          UNION ALL SELECT r.id, r.cost, r.prev, back.hops + 1 FROM back JOIN _reached r ON back.prev = r.id)
-        SELECT id, cost, hops FROM back"""
-    )
-    longest = walk.agg(F.max("hops").alias("top"))
-    return walk.crossJoin(longest).join(points.select("id", "easting", "northing", "altitude"), "id").select((F.col("top") - F.col("hops")).cast("int").alias("step"), "id", "easting", "northing", "altitude", "cost")
+    walk: list[tuple[int, float]] = []
+    if all(ends):
+        first, last = ends[0][0].id, ends[1][0].id
+        places = cut(tiles_of(points, tile))
+        goal = places.where(F.col("id") == last).first()
+        walk = way_back(search(costed(knn_edges(points, k), points, penalty), places, first, last), goal.tile, last)
+    steps = spark.createDataFrame([(i, at, cost) for i, (at, cost) in enumerate(walk)], "step int, id long, cost double")
+    return points.select("id", "easting", "northing", "altitude").join(F.broadcast(steps), "id").select("step", "id", "easting", "northing", "altitude", "cost")

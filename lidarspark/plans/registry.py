@@ -255,25 +255,28 @@ def grid_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(g.xmin, g.xmax, g.ymin, g.ymax, g.nx, g.ny)], "xmin double, xmax double, ymin double, ymax double, nx int, ny int")
 
 
-def _path_sql(rounds: int = 80) -> str:
-    """Distances by rounds of relaxation over a region's edges, each way with its last point; then the way back."""
-    steps = ["d0 AS MATERIALIZED (SELECT first AS id, 0e0 AS cost, NULL::BIGINT AS prev FROM ends)"]
-    for k in range(rounds):
-        steps.append(f"""d{k + 1} AS MATERIALIZED (SELECT id, min(w).c AS cost, min(w).p AS prev FROM (
-  SELECT id, {{'c': cost, 'p': prev}} AS w FROM d{k} UNION ALL SELECT dst, {{'c': d.cost + e.cost, 'p': src}} FROM d{k} d JOIN costs e ON d.id = e.src WHERE dst <> (SELECT first FROM ends)) GROUP BY id)""")
-    nearest = "(SELECT id FROM points ORDER BY (easting - {0}) * (easting - {0}) + (northing - {1}) * (northing - {1}), id LIMIT 1)"
-    return f"""WITH RECURSIVE points AS (SELECT * FROM ({CLOUD_SQL} FROM events) WHERE easting BETWEEN 518800e0 AND 518830e0 AND northing BETWEEN 4252300e0 AND 4252305e0),
+#: Ends of the path: beside the first points, and the point nearest to a place far beyond the last ones.
+_FROM, _TO = (518802.0, 4252301.0), (518848.0, 4260000.0)
+
+
+def _path_sql() -> str:
+    """Distances over the whole cloud until nothing gets cheaper, the last point of each way, then the way back."""
+    nearest = "(SELECT id FROM points ORDER BY (easting - {0!r}::DOUBLE) * (easting - {0!r}::DOUBLE) + (northing - {1!r}::DOUBLE) * (northing - {1!r}::DOUBLE), id LIMIT 1)"
+    return f"""WITH RECURSIVE points AS ({CLOUD_SQL} FROM events),
 {_KNN.removeprefix(_CLOUD + ", ")},
 costs AS MATERIALIZED (SELECT src, dst, dist * (1e0 + 5e0 * (1e0 - ((dst * 37) % 101) / 100e0)) AS cost FROM edges),
-ends AS MATERIALIZED (SELECT {nearest.format("518802e0", "4252301e0")} AS first, {nearest.format("518814e0", "4252304e0")} AS last), {", ".join(steps)},
-back AS (SELECT d.id, d.cost, d.prev, 0 AS hops FROM d{rounds} d JOIN ends ON d.id = last UNION ALL SELECT d.id, d.cost, d.prev, hops + 1 FROM back JOIN d{rounds} d ON back.prev = d.id)
+ends AS MATERIALIZED (SELECT {nearest.format(*_FROM)} AS first, {nearest.format(*_TO)} AS last),
+d(id, cost) USING KEY (id) AS (
+  SELECT first, 0e0 FROM ends
+  UNION SELECT e.dst, min(d.cost + e.cost) FROM d JOIN costs e ON d.id = e.src LEFT JOIN recurring.d r ON r.id = e.dst WHERE r.id IS NULL OR d.cost + e.cost < r.cost GROUP BY e.dst),
+prevs AS MATERIALIZED (SELECT b.id, any_value(b.cost) AS cost, min(a.id) AS prev FROM d b LEFT JOIN costs e ON e.dst = b.id AND e.cost > 0 AND b.id <> (SELECT first FROM ends) LEFT JOIN d a ON a.id = e.src AND a.cost + e.cost = b.cost GROUP BY b.id),
+back AS (SELECT p.*, 0 AS hops FROM prevs p JOIN ends ON p.id = last UNION ALL SELECT p.*, hops + 1 FROM back JOIN prevs p ON back.prev = p.id)
 SELECT (max(hops) OVER () - hops)::INTEGER AS step, id, easting, northing, altitude, {_sql_round("cost", 6)} AS cost FROM back JOIN points USING (id)"""
 
 
 @query(_path_sql())
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    region = spatial.in_box(_scored(spark, sf_dir), Box(518800.0, 518830.0, 4252300.0, 4252305.0))
-    return rounded(paths.shortest_path(region, (518802.0, 4252301.0), (518814.0, 4252304.0), 8, 5.0), 6, "cost")
+    return rounded(paths.shortest_path(_scored(spark, sf_dir), _FROM, _TO, 8, 5.0), 6, "cost")
 
 
 # -- projection ---------------------------------------------------------------------------------------

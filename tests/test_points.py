@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from lidarspark.functions import radio, utm
 from lidarspark.operators import density, coverage, paths, spatial, summaries, terrain
+from lidarspark.operators.cuts import cut
 from lidarspark.operators.spatial import Box
 from lidarspark.plans import registry
 from lidarspark.schema import ANTENNAS, POINTS, default_antennas
@@ -197,26 +198,68 @@ def test_paths(spark):
             if c + w < best.get(to, math.inf):
                 best[to] = c + w
                 heapq.heappush(heap, (c + w, to))
-    for walk in (paths.dijkstra, paths.distances):
-        assert {r.id: r.cost for r in walk(edges, 7).collect()} == pytest.approx(best)
-    path = paths.shortest_path(cloud, (0.0, 0.0), (10.0, 10.0), 6).orderBy("step").collect()
-    assert path and [r.step for r in path] == list(range(len(path))) and path[-1].cost >= path[0].cost == 0
+    for n in (1, 5):
+        tiles = cloud.selectExpr("id", f"cast(id % {n} as int) as tile")
+        assert {r.id: r.cost for r in paths.distances(edges, tiles, 7).collect()} == pytest.approx(best)
+    for tile in (20, 10_000):
+        path = paths.shortest_path(cloud, (0.0, 0.0), (10.0, 10.0), 6, tile=tile).orderBy("step").collect()
+        assert path and [r.step for r in path] == list(range(len(path))) and path[-1].cost >= path[0].cost == 0
     apart = spark.createDataFrame([(i, float(i % 3) + 1000 * (i // 3), 0.0, 0.0, 1.0) for i in range(6)], P + ", trav_score double")
     assert paths.shortest_path(apart, (0, 0), (1001, 0), 2).count() == 0
     assert paths.shortest_path(apart.where("false"), (0, 0), (1, 0), 2).count() == 0
 
 
+def heap_walk(edges, start):
+    """Costs and last points, by one heap over all; of ties the smaller id over an edge with a length."""
+    after, best, heap, done = {}, {start: (0.0, None)}, [(0.0, start)], set()
+    for a, b, c in edges:
+        after.setdefault(a, []).append((b, c))
+    while heap:
+        cost, at = heapq.heappop(heap)
+        if at in done:
+            continue
+        done.add(at)
+        for to, c in after.get(at, ()):
+            if to not in best or cost + c < best[to][0]:
+                best[to] = cost + c, at
+                heapq.heappush(heap, (cost + c, to))
+            elif c > 0 and cost + c == best[to][0] and best[to][1] is not None and at < best[to][1]:
+                best[to] = best[to][0], at
+    return best
+
+
 def test_equally_cheap_ways(spark):
     # 0 -> 9 costs 2 over 5 (found first), over 1 and 2 (more hops), and over the pair 3, 4 without distance
     edges = [(0, 5, 1.0), (5, 9, 1.0), (0, 1, 0.5), (1, 2, 0.5), (2, 9, 1.0), (0, 3, 1.5), (3, 4, 0.0), (4, 3, 0.0), (4, 9, 0.5), (3, 9, 0.5)]
     graph = spark.createDataFrame(edges, "src long, dst long, cost double")
     want = {0: (0.0, None), 5: (1.0, 0), 1: (0.5, 0), 2: (1.0, 1), 3: (1.5, 0), 4: (1.5, 3), 9: (2.0, 2)}
-    for walk in (paths.dijkstra, paths.distances):
-        assert {r.id: (r.cost, r.prev) for r in walk(graph, 0).collect()} == want
+    for n in (1, 2, 10):
+        tiles = spark.range(10).selectExpr("id", f"cast(id % {n} as int) as tile")
+        assert {r.id: (r.cost, r.prev) for r in paths.distances(graph, tiles, 0).collect()} == want
     rng = np.random.default_rng(4)
-    ties = spark.createDataFrame([(int(a), int(b), float(c)) for a, b, c in zip(rng.integers(0, 40, 300), rng.integers(0, 40, 300), rng.integers(1, 4, 300)) if a != b], "src long, dst long, cost double")
-    assert {tuple(r)[:3] for r in paths.dijkstra(ties, 0).collect()} == {tuple(r) for r in paths.distances(ties, 0).select("id", "cost", "prev").collect()}
-    assert [(r.id, r.hops) for r in paths.dijkstra(graph, 0, 9).orderBy("hops").collect()] == [(0, 0), (1, 1), (2, 2), (9, 3)]
+    ties = [(int(a), int(b), float(c)) for a, b, c in zip(rng.integers(0, 40, 300), rng.integers(0, 40, 300), rng.integers(1, 4, 300)) if a != b]
+    for n in (1, 7):
+        got = paths.distances(spark.createDataFrame(ties, "src long, dst long, cost double"), spark.range(40).selectExpr("id", f"cast(id % {n} as int) as tile"), 0)
+        assert {r.id: (r.cost, r.prev) for r in got.collect()} == heap_walk(ties, 0)
+
+
+def test_path_over_many_tiles(spark):
+    """The same path as one heap finds, over a cloud of 60 tiles; rounds are not many more than tiles crossed."""
+    rng = np.random.default_rng(12)
+    rows = [(i, float(x), float(y), 0.0, float(s)) for i, (x, y, s) in enumerate(np.column_stack([rng.random(6000) * 600, rng.random(6000) * 40, rng.random(6000)]))]
+    cloud = spark.createDataFrame(rows, P + ", trav_score double").cache()
+    edges = cut(paths.costed(paths.knn_edges(cloud, 8), cloud))
+    places = cut(paths.tiles_of(cloud, 150))
+    start, goal = (spatial.nearest_point(cloud, *p).first().id for p in ((0, 0), (600, 40)))
+    reached = paths.search(edges, places, start, goal)
+    assert len({r.tile for r in places.select("tile").distinct().collect()}) > 40
+    want = heap_walk([(r.src, r.dst, r.cost) for r in edges.collect()], start)
+    way, at = [], goal
+    while at is not None:
+        way.append((at, want[at][0]))
+        at = want[at][1]
+    assert paths.way_back(reached, places.where(F.col("id") == goal).first().tile, goal) == way[::-1]
+    assert len(reached.rounds) < 100
 
 
 def test_utm_round_trip(spark):
