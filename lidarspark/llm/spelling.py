@@ -3,8 +3,10 @@
 An edit changes two bigrams of a word at most, and moves those behind it by one place at most. Sort
 the bigrams of a word by how rare they are in the vocabulary, equal ones by place: the first one
 that an edit leaves is among the three first of both words, as at most two stand before it on either
-side. So each word is joined on its three rarest bigrams only, at equal places, or one further in
-the longer word, and among words of fitting lengths; a verification of the distance follows.
+side. So each word is joined on its three rarest bigrams only, among words of fitting lengths, and
+at equal places seen from the end of the word that the edit is not at: all that stands between that
+end and the bigram must agree too, which the key of the join holds. A verification of the distance
+follows.
 
 The alphabet is 90 letters, so that there are 8,100 bigrams at most; only their counts reach the
 driver and the tasks.
@@ -124,11 +126,13 @@ def near_pairs(words: DataFrame) -> DataFrame:
     proof needs a bigram that an edit leaves. It must have been cut.
     """
     rare = cut(rarest_bigrams(words, bigram_ranks(words)))
-    spots = F.explode(F.array(*[F.struct((F.col("place") + i).alias("place"), (F.col("size") + j).alias("size")) for i, j in ((0, 0), (0, 1), (1, 1))]))
-    left = rare.select(F.col("word").alias("a"), F.col("n").alias("n_a"), "gram", F.col("size").alias("size_a"), spots.alias("spot")).select("a", "n_a", "gram", "size_a", F.col("spot.place").alias("place"), F.col("spot.size").alias("size"))
-    right = rare.withColumnsRenamed({"word": "b", "n": "n_b"})
-    fits = (F.col("size_a") < F.col("size")) | (F.col("a") < F.col("b"))
-    met = left.join(right, ["gram", "place", "size"]).where(fits & (F.levenshtein("a", "b", 1) == 1))
+    # an edit behind a shared bigram leaves what stands up to its end, one before it what follows from its start
+    head, tail = F.expr("substring(word, 1, place + 2)"), F.expr("substring(word, place + 1)")
+    keys = lambda more: F.explode(F.array(*[F.xxhash64(F.lit(i), part, F.col("size") + m) for i, part in enumerate((head, tail)) for m in more]))
+    left = rare.select(F.col("word").alias("a"), F.col("n").alias("n_a"), keys((0, 1)).alias("key"))
+    right = rare.select(F.col("word").alias("b"), F.col("n").alias("n_b"), keys((0,)).alias("key"))
+    fits = (F.length("a") < F.length("b")) | (F.col("a") < F.col("b"))
+    met = left.join(right, "key").where(fits & (F.levenshtein("a", "b", 1) == 1))
     return met.select("a", "n_a", "b", "n_b").dropDuplicates(["a", "b"])
 
 
