@@ -11,24 +11,25 @@ further texts can be given.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut
 
-# Equivalent spellings, as (pattern, canonical form) on lower-cased text of single spaces.
+# Equivalent spellings, as (pattern, canonical form, what both hold) on lower-cased text of single spaces.
 SPELLINGS = (
-    ("licence", "license"),
-    ("favour", "favor"),
-    ("whilst", "while"),
-    ("judgement", "judgment"),
-    ("per cent", "percent"),
-    ("non commercial", "noncommercial"),
-    ("sub license", "sublicense"),
-    ("https", "http"),
-    ("version 2 0", "version 2"),
-    ("version 3 0", "version 3"),
+    (r"\blicence", "license", "licen"),
+    (r"\bfavour", "favor", "favo"),
+    (r"\bwhilst\b", "while", "whil"),
+    (r"\bjudgement", "judgment", "judg"),
+    (r"\bper cent\b", "percent", "cent"),
+    (r"\bnon commercial", "noncommercial", "commercial"),
+    (r"\bsub licens", "sublicens", "licen"),
+    (r"\bhttps\b", "http", "http"),
+    (r"\bversion 2 0\b", "version 2", "version"),
+    (r"\bversion 3 0\b", "version 3", "version"),
 )
 
 # Licence notices of one line, with their SPDX identifiers.
@@ -113,7 +114,7 @@ def canonical(text: Column) -> Column:
     """Lower case; copyright lines gone; runs of anything but a-z and 0-9 one space; one spelling."""
     out = F.regexp_replace(F.lower(text), COPYRIGHT, "\n")
     out = F.trim(F.regexp_replace(out, "[^a-z0-9]+", " "))
-    for pattern, plain in SPELLINGS:
+    for pattern, plain, _ in SPELLINGS:
         out = F.regexp_replace(out, pattern, plain)
     return out
 
@@ -136,17 +137,29 @@ KNOWN, KNOWN_NOTICES = 100_000, 1000
 
 
 def known(spark: SparkSession, texts: DataFrame | None = None) -> DataFrame:
-    """(digest, license, notice) of the known texts; of several licences of one digest the first by name.
+    """(digest, license, notice, form) of the known texts; of several licences of one digest the first by name.
 
     texts: further (text, license, notice boolean) rows, of which null texts and licences don't
-    count, and a null notice is none.
+    count, nor notices without a letter or digit; a null notice is none. The canonical form is
+    given for notices.
     """
     rows = [(t, k, False) for k, ts in LICENSES.items() for t in ts] + [(t, k, True) for t, k in NOTICES.items()]
     own = spark.createDataFrame(rows, "text string, license string, notice boolean")
     if texts is not None:
         own = own.union(texts.select("text", "license", F.coalesce("notice", F.lit(False))).where("text is not null and license is not null"))
-    digests = spark.createDataFrame([(d, k, False) for d, k in DIGESTS.items()], "digest string, license string, notice boolean")
-    return own.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license", "notice").union(digests).groupBy("digest", "notice").agg(F.min("license").alias("license"))
+    digests = spark.createDataFrame([(d, k, False, None) for d, k in DIGESTS.items()], "digest string, license string, notice boolean, form string")
+    formed = own.select(canonical(F.col("text")).alias("form"), "license", "notice").where("not notice or form <> ''")
+    every = formed.select(F.sha2("form", 256).alias("digest"), "license", "notice", F.when(F.col("notice"), F.col("form")).alias("form")).union(digests)
+    return every.groupBy("digest", "notice").agg(F.min("license").alias("license"), F.min("form").alias("form"))
+
+
+def part_of(form: str) -> str:
+    """What any line of a canonical form holds in lower case, however it is spelt and set: a part of one of its words."""
+    parts = []
+    for word in form.split():
+        same = [kept for _, plain, kept in SPELLINGS if plain.split()[0] in word]
+        parts += same or [word]
+    return max(parts, key=lambda p: (p == "licen", len(p), p))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: DataFrame | None = None) -> DataFrame:
@@ -156,17 +169,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts:
     lines that are known notices, sorted, comma-separated, empty if none. A null text has a null
     digest and no findings; an empty text has the digest of the empty text. A null doc_id and
     repeated rows are judged like others; an empty table gives an empty result. Further known
-    ``texts`` are described at :func:`known`. Other columns are not read.
+    ``texts`` are described at :func:`known`. Other columns are not read. Only lines that hold
+    a word that some notice can't be written without are brought to their canonical form.
     """
     table = cut(known(docs.sparkSession, texts))
-    wholes, notes = table.where("not notice"), {r.digest: r.license for r in table.where("notice").limit(KNOWN_NOTICES + 1).collect()}
+    listed = table.where("notice").limit(KNOWN_NOTICES + 1).collect()
+    wholes, notes = table.where("not notice"), {r.digest: r.license for r in listed}
     if wholes.count() > KNOWN or len(notes) > KNOWN_NOTICES:
         raise ValueError(f"over {KNOWN} known texts or {KNOWN_NOTICES} notices")
     wholes = F.broadcast(wholes.select(F.col("digest").alias("d"), "license"))
     by_digest = F.from_json(F.lit(json.dumps(notes)), "map<string,string>")
+    parts = sorted({part_of(r.form) for r in listed})
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    # every known notice has this word, so that a line without it has another digest
-    lines = F.filter(F.split("text", "\n"), lambda x: F.lower(x).contains("licen"))
+    lines = F.filter(F.split("text", "\n"), lambda x: reduce(Column.__or__, [F.lower(x).contains(p) for p in parts]))
     found = F.filter(F.transform(lines, lambda x: F.try_element_at(by_digest, F.sha2(canonical(x), 256))), lambda x: x.isNotNull())
     judged = read.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), F.coalesce(found, F.array().cast("array<string>")).alias("found"))
     return judged.join(wholes, F.col("digest") == F.col("d"), "left").select("doc_id", "digest", "license", F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("notices"), F.size("found").cast("long").alias("n_notice_lines"))
@@ -179,7 +194,7 @@ def scan_sql() -> str:
     def canon(x: str) -> str:
         out = f"regexp_replace(lower({x}), {quote(COPYRIGHT)}, chr(10), 'g')"
         out = f"trim(regexp_replace({out}, '[^a-z0-9]+', ' ', 'g'))"
-        for pattern, plain in SPELLINGS:
+        for pattern, plain, _ in SPELLINGS:
             out = f"regexp_replace({out}, {quote(pattern)}, {quote(plain)}, 'g')"
         return f"sha256({out})"
 
@@ -191,7 +206,7 @@ WITH wholes AS (SELECT digest, min(license) AS license FROM (
 notes AS (SELECT DISTINCT {canon("t")} AS line, license AS id FROM (VALUES {values(NOTICES.items())}) v(t, license)),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents),
 found AS (SELECT doc_id, string_agg(DISTINCT id, ',' ORDER BY id) AS notices, count(*) AS n_notice_lines
-  FROM (SELECT doc_id, {canon("l")} AS line FROM lines WHERE contains(lower(l), 'licen')) x JOIN notes USING (line) GROUP BY doc_id),
+  FROM (SELECT doc_id, {canon("l")} AS line FROM lines) x JOIN notes USING (line) GROUP BY doc_id),
 judged AS (SELECT doc_id, {canon("text")} AS digest FROM documents)
 SELECT j.doc_id, j.digest, w.license, coalesce(f.notices, '') AS notices, coalesce(f.n_notice_lines, 0) AS n_notice_lines
 FROM judged j LEFT JOIN wholes w USING (digest) LEFT JOIN found f ON j.doc_id = f.doc_id"""
