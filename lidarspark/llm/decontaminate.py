@@ -1,7 +1,8 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.
 
 Benchmark items are partitioned by their number of distinct word shingles. The smallest class,
-under 8 shingles, is looked up by the shingles themselves; the others are powers of two. For a
+under 8 shingles, is looked up by the shingles themselves, and items of fewer words than a shingle
+by runs of as many words; the others are powers of two. For a
 class whose items have up to m shingles, every document is read as half-overlapping segments of
 2 m shingles, so an item of the class always meets a segment of a size like its own, and a
 containment of 0.8 means a Jaccard similarity of 0.19 or more, however long the document is. An
@@ -33,8 +34,10 @@ _BITS, _SMALL_BITS = 16, 22
 class ItemIndex:
     """The MinHash index of one block of items: values by size class and hash function."""
 
-    def __init__(self, ids: list[int], sets: list[np.ndarray], threshold: float):
+    def __init__(self, ids: list[int], sets: list[np.ndarray], threshold: float, runs: dict[int, dict[int, list[int]]]):
+        """sets: the distinct shingles of each item; runs: of items of n words, fewer than a shingle's, the hash of their words and who has it."""
         rng = np.random.default_rng(3)
+        self.runs = {n: (np.array(sorted(owners), np.uint64), [owners[x] for x in sorted(owners)]) for n, owners in runs.items()}
         self.ids, self.sets, self.threshold = ids, sets, threshold
         self.odd = rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         classes: dict[int, list[int]] = {}
@@ -60,6 +63,15 @@ class ItemIndex:
                 self.seen[c, h] = np.zeros(1 << _BITS, bool)
                 self.seen[c, h][least >> np.uint64(64 - _BITS)] = True
 
+    def search_runs(self, n: int, hashes: np.ndarray, off: np.ndarray) -> list[tuple[int, int, float]]:
+        """The same for items of n words, for documents as hashes of all their runs of n words."""
+        known, owners = self.runs[n]
+        at = np.searchsorted(known, hashes)
+        at[at == len(known)] = 0
+        hit = np.flatnonzero(known[at] == hashes)
+        doc = np.searchsorted(off, hit, "right") - 1
+        return [(d, self.ids[i], 1.0) for d, k in sorted(set(zip(doc.tolist(), at[hit].tolist()))) for i in owners[k]]
+
     def search(self, hashes: np.ndarray, off: np.ndarray) -> list[tuple[int, int, float]]:
         """(document, item, containment) of the verified pairs, for documents as runs of shingle hashes."""
         found: set[tuple[int, int]] = set()
@@ -105,9 +117,9 @@ def _runs(counts: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.nda
 def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, containment) of all items of which a document holds ``threshold`` of the word shingles.
 
-    Shingles are sets; an item or text of fewer than ``words`` words is one shingle, its whole
-    sequence, so that such an item is found only in a text that is no more than it. Items under
-    SMALL shingles are found without exception. Items or texts that are null or without words
+    Shingles are sets. An item of fewer than ``words`` words is looked up in all runs of as many words,
+    and held by whoever has one that is equal, with containment 1. Items under SMALL shingles, these
+    among them, are found without exception. Items or texts that are null or without words
     match nothing; a null doc_id is found under null; rows that repeat come back as often; empty
     tables give an empty result. Only the id and text columns are read.
     """
@@ -121,18 +133,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshol
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
         rows = part.collect()
-        shingle = Shingler(words)
-        hashes, off = shingle(text_array(pa.array([r.text for r in rows], pa.string())))
-        sets = [np.unique(hashes[off[i] : off[i + 1]]) for i in range(len(rows))]
-        index = spark.sparkContext.broadcast(ItemIndex([r.item_id for r in rows], sets, threshold))
+        column = text_array(pa.array([r.text for r in rows], pa.string()))
+        size = np.diff(Shingler(1)(column)[1])
+        hashes, off = Shingler(words)(column)
+        sets = [np.unique(hashes[off[i] : off[i + 1]]) if size[i] >= words else hashes[:0] for i in range(len(rows))]
+        runs: dict[int, dict[int, list[int]]] = {}
+        for n in {int(k) for k in size if 0 < k < words}:
+            hashes, off = Shingler(n)(column)
+            for i in np.flatnonzero(size == n):
+                runs.setdefault(n, {}).setdefault(int(hashes[off[i]]), []).append(int(i))
+        index = spark.sparkContext.broadcast(ItemIndex([r.item_id for r in rows], sets, threshold, runs))
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            own = Shingler(words)
+            own, short = Shingler(words), {n: Shingler(n) for n in index.value.runs}
             for batch in batches:
                 texts, ids = text_array(batch.column(1)), batch.column(0)
                 got: list[tuple[int, int, float]] = []
                 for lo, hi in slices(texts):
-                    got += [(lo + d, i, s) for d, i, s in index.value.search(*own(texts.slice(lo, hi - lo)))]
+                    part = texts.slice(lo, hi - lo)
+                    got += [(lo + d, i, s) for d, i, s in index.value.search(*own(part))]
+                    for n, shingle in short.items():
+                        got += [(lo + d, i, s) for d, i, s in index.value.search_runs(n, *shingle(part))]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array([g[0] for g in got], pa.int64())), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.float64())], ["doc_id", "item_id", "containment"])
 
         found = source.mapInArrow(search, "doc_id long, item_id long, containment double")

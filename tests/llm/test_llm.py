@@ -485,6 +485,18 @@ def test_parts_of_small_items(spark):
     assert got == {(0, 0), (1, 0), (3, 0), (4, 0), (0, 1), (3, 1), (4, 1), (3, 2)}
 
 
+def test_items_under_a_shingle(spark):
+    rng = np.random.default_rng(10)
+    long = [(100 + k, " ".join(rng.choice(list("abcdefghijklmnop"), 604))) for k in range(20)]
+    docs = [*long, (0, "a b c"), (1, "A, b; c d e f g"), (2, "b c"), (3, "c b a"), (4, None), (5, ""), (6, "g f e d x c"), (7, "a b c a b c"), (7, "a b c a b c")]
+    items = [(0, "a b c"), (1, "B C!"), (2, "c"), (3, "d e f g"), (4, ""), (5, None), (6, "e f"), (6, "f e"), (8, "a b c"), *[(20 + n, " ".join(long[n][1].split()[300 : 300 + n])) for n in range(1, 5)]]
+    words = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    runs = lambda t, n: {tuple(words(t)[i : i + n]) for i in range(len(words(t)) - n + 1)}
+    want = sorted((d, i) for d, t in docs for i, q in items if words(q) and tuple(words(q)) in runs(t, len(words(q))))
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == want and {r.containment for r in found} == {1.0}
+
+
 # -- 6: licences ----------------------------------------------------------------------------------
 
 
@@ -519,6 +531,17 @@ def test_whole_licenses(spark, odd):
     assert [(r.doc_id, r.license, r.notices, r.n_notice_lines) for r in got] == [(None, "House", "", 0), (None, None, "House,MIT", 2), (5, None, "", 0)]
 
 
+def test_notices_of_any_words(spark):
+    """Every line whose canonical form is a notice's is found, whatever words it has; spellings change whole words only."""
+    own = [("Released into the public domain.", "PD"), ("Non-commercial use: 5 per cent!", "NC"), ("Do as you favour whilst it lasts", "F"), ("HTTPS", "H"), ("version 2.0", "V"), ("...", "dots"), ("a 1", "A")]
+    lines = ["released INTO the *public* domain", "noncommercial use 5 percent", "do as you favor, while it lasts", "http", "Version 2", "", " - ", "a-1", "super cent", "version 2 05", "https://x", "supercent", "do as you favour whilst it lasted", "version 2.0.1"]
+    texts = spark.createDataFrame([(*r, True) for r in own], "text string, license string, notice boolean")
+    got = {r.doc_id: r.notices for r in licenses.scan(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), texts=texts).collect()}
+    assert [got[i] for i in range(len(lines))] == ["PD", "NC", "F", "H", "V", "", "", "A", "", "", "", "", "", ""]
+    forms = {c: spark.createDataFrame([(c,)], "t string").select(licenses.canonical(F.col("t"))).first()[0] for c in ("version 2 05", "super centre", "License Version 2.0, https x", "sublicence of licences")}
+    assert list(forms.values()) == ["version 2 05", "super centre", "license version 2 http x", "sublicence of licenses"]
+
+
 # -- 7: embeddings --------------------------------------------------------------------------------
 
 
