@@ -34,6 +34,11 @@ def spread_join(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner",
     return dealt.join(repeated, [key, "_slice"], how).drop("_slice")
 
 
+def sent(facts: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """Narrow ``facts``, which have been cut, to be broadcast if they are ``most`` rows or fewer; else as they are."""
+    return F.broadcast(facts) if facts.limit(most + 1).count() <= most else facts
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shingler, cut, mix64, partitions, slices, spread_join, text_array, text_bytes, union
+from .common import Shingler, cut, mix64, partitions, sent, slices, spread_join, text_array, text_bytes, union
 from .components import connected_components
 
 #: Bytes of text whose shingles are spread into bits at once: 64 or 256 bytes for each shingle.
@@ -197,7 +197,7 @@ def dealt(keyed: DataFrame, group: list[str], name: str, tiles) -> DataFrame:
 
 
 def linked(keyed: DataFrame, radius: int, tile: int = TILE, width: int | None = None) -> DataFrame:
-    """Links ``(a, b)`` that join all prints of a bucket within the radius, as spanning forests.
+    """Links ``(a, b)`` that join all prints of a bucket within the radius, as stars, and the piece (``tab, key, i, j``) of each.
 
     keyed: (tab int, key long, print binary), prints distinct within a bucket. Buckets over
     ``tile`` rows are dealt out as pairs of tiles, so that no task holds more than two. Only the
@@ -219,10 +219,10 @@ def linked(keyed: DataFrame, radius: int, tile: int = TILE, width: int | None =
             for a, b in bit_sliced_links(np.ascontiguousarray(prints[:, :width]), ends, radius):
                 labels = union(labels, a, b)
             moved = np.flatnonzero(labels != np.arange(len(piece)))
-            column = piece.column("print")
-            yield pa.RecordBatch.from_arrays([column.take(pa.array(moved)), column.take(pa.array(labels[moved]))], ["a", "b"])
+            column, moved_rows = piece.column("print"), pa.array(moved)
+            yield pa.RecordBatch.from_arrays([column.take(moved_rows), column.take(pa.array(labels[moved])), *[piece.column(c).take(moved_rows) for c in group]], ["a", "b", *group])
 
-    return pairs.repartition(n, *group).sortWithinPartitions(*group).mapInArrow(compare, "a binary, b binary")
+    return pairs.repartition(n, *group).sortWithinPartitions(*group).mapInArrow(compare, "a binary, b binary, tab int, key long, i int, j int")
 
 
 def _changes(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
@@ -318,13 +318,13 @@ def _places(hashes: np.ndarray, step: int = 1 << 20) -> np.ndarray:
     return places
 
 
-def similar_links(prints: np.ndarray, ends: np.ndarray, tiles: np.ndarray, cross: np.ndarray, hashes: np.ndarray, off: np.ndarray, radius: int, similarity: float) -> np.ndarray:
-    """Labels that join rows of a group over all pairs within the radius whose sets' Jaccard is at least the similarity.
+def similar_links(prints: np.ndarray, ends: np.ndarray, tiles: np.ndarray, cross: np.ndarray, hashes: np.ndarray, off: np.ndarray, radius: int, similarity: float, labels: np.ndarray) -> np.ndarray:
+    """``labels`` after joining rows of a group over all pairs within the radius whose sets' Jaccard is at least the similarity.
 
     hashes[off[i]:off[i + 1]] is the set of row i. Where ``cross``, only rows of two tiles are
     compared. Pairs that are joined already needn't be looked up.
     """
-    labels, sizes = np.arange(len(prints)), np.diff(off)
+    sizes = np.diff(off)
     named = _places(hashes)
     mark = np.zeros(len(hashes), bool)
     for a, b in bit_sliced_links(prints, ends, radius):
@@ -362,17 +362,58 @@ def shingle_sets(shingle: Shingler, texts: pa.Array) -> tuple[np.ndarray, np.nda
     return hashes[first], np.bincount(text[first], minlength=len(texts))
 
 
+def _sets_of(shingle: Shingler, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle sets of all texts one after the other, and the n+1 offsets."""
+    sets = [shingle_sets(shingle, texts.slice(lo, hi - lo)) for lo, hi in slices(texts, BITS_BYTES)]
+    return np.concatenate([own for own, _ in sets]), np.concatenate([[0], *[counts for _, counts in sets]]).cumsum()
+
+
+def star_links(links: DataFrame, rows: DataFrame, texts: DataFrame, words: int, similarity: float, tile: int = TILE) -> DataFrame:
+    """Those links ``(a, b)`` whose sets' exact Jaccard is at least the similarity.
+
+    rows: (sig, name, size) of all ends; texts: (name, text). The members a of a star meet its
+    centre b in one piece, or in several if they are over ``tile`` or TILE_BYTES of shingles.
+    """
+    n, group = partitions(links.sparkSession), ["centre", "part"]
+    members = links.select(F.col("b").alias("centre"), F.col("a").alias("sig")).join(rows, "sig")
+    parts = members.groupBy("centre").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("size") * 8 / TILE_BYTES)).cast("int").alias("parts"))
+    parts = cut(parts)
+    hot = parts.where("parts > 1")
+    dealt_members = members.join(hot, "centre", "left").select("centre", F.coalesce(F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int"), F.lit(0)).alias("part"), F.lit(1).alias("kind"), "sig", "name")
+    centres = parts.join(rows, parts["centre"] == rows["sig"]).select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "sig", "name")
+    pairs = dealt_members.union(centres).join(texts, "name").select(*group, "kind", "sig", "text")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(words)
+        for piece in _whole_groups(batches, group, []):
+            hashes, off = _sets_of(shingle, text_array(piece.column("text")))
+            named, sizes = _places(hashes), np.diff(off)
+            mark, same = np.zeros(len(hashes), bool), np.zeros(len(piece), bool)
+            starts = np.flatnonzero(_changes(piece, group))
+            for lo, hi in zip(starts, np.append(starts[1:], len(piece))):
+                mark[named[off[lo] : off[lo + 1]]] = True
+                if hi > lo + 1:
+                    shared = np.add.reduceat(mark[named[off[lo + 1] : off[hi]]], off[lo + 1 : hi] - off[lo + 1], dtype=np.int64)
+                    same[lo + 1 : hi] = shared / (sizes[lo] + sizes[lo + 1 : hi] - shared) >= similarity
+                mark[named[off[lo] : off[lo + 1]]] = False
+            found = pa.array(np.flatnonzero(same))
+            yield pa.RecordBatch.from_arrays([piece.column("sig").take(found), piece.column("centre").take(found)], ["a", "b"])
+
+    return pairs.repartition(n, *group).sortWithinPartitions(*group, "kind").mapInArrow(compare, "a binary, b binary")
+
+
 def verified(candidates: DataFrame, texts: DataFrame, words: int, radius: int, similarity: float, tile: int = TILE) -> DataFrame:
     """Links ``(a, b)`` of texts in a group whose exact Jaccard is at least the similarity, as spanning forests.
 
-    candidates: (component binary, sig binary, print binary, name binary, size int), one row for
-    each sig; texts: (name, text), one row for each name. Groups over ``tile`` rows or TILE_BYTES
-    of shingles are dealt out as pairs of tiles; only candidates' texts are sent there.
+    candidates: (component long, sig binary, print binary, name binary, size int, known binary),
+    one row for each sig of a group, of which those with one ``known`` are joined already; texts:
+    (name, text), one row for each name. Groups over ``tile`` rows or TILE_BYTES of shingles are
+    dealt out as pairs of tiles; only candidates' texts are sent there.
     """
     n = partitions(candidates.sparkSession)
     group = ["component", "i", "j"]
     tiles = F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("size") * 8 / TILE_BYTES))
-    pairs = dealt(candidates, ["component"], "sig", tiles).join(texts, "name").select(*group, "t", "sig", "print", "text")
+    pairs = dealt(candidates, ["component"], "sig", tiles).join(texts, "name").select(*group, "t", "sig", "print", "known", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
@@ -380,12 +421,11 @@ def verified(candidates: DataFrame, texts: DataFrame, words: int, radius: int, s
             prints = np.frombuffer(b"".join(piece.column("print").to_pylist()), np.uint8).reshape(len(piece), -1)
             starts = np.flatnonzero(_changes(piece, group))
             ends = np.repeat(np.append(starts[1:], len(piece)), np.diff(np.append(starts, len(piece))))
-            column = text_array(piece.column("text"))
-            sets = [shingle_sets(shingle, column.slice(lo, hi - lo)) for lo, hi in slices(column, BITS_BYTES)]
-            off, hashes = np.concatenate([[0], *[counts for _, counts in sets]]).cumsum(), np.concatenate([own for own, _ in sets])
-            del sets, column
+            hashes, off = _sets_of(shingle, text_array(piece.column("text")))
             own, i, j = (piece.column(c).to_numpy(zero_copy_only=False) for c in ("t", "i", "j"))
-            labels = similar_links(prints, ends, own, i != j, hashes, off, radius, similarity)
+            first: dict[tuple[int, bytes], int] = {}
+            labels = np.array([first.setdefault(k, at) for at, k in enumerate(zip(ends.tolist(), piece.column("known").to_pylist()))])
+            labels = similar_links(prints, ends, own, i != j, hashes, off, radius, similarity, labels)
             moved = np.flatnonzero(labels != np.arange(len(piece)))
             column = piece.column("sig")
             yield pa.RecordBatch.from_arrays([column.take(pa.array(moved)), column.take(pa.array(labels[moved]))], ["a", "b"])
@@ -401,8 +441,10 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, keys:
     (3e-6). The radius is the mean distance at the similarity, for the sizes of sets where it is
     largest, and three standard deviations: at similarity 0.8 exactly, 0.22 % of pairs of 4 and 5
     shingles are beyond it and 4 in a million pairs of large sets of one size. Every link is then
-    verified on the sets themselves, so that no two texts below the similarity are linked. Case,
-    punctuation and white space don't count. Null and wordless texts are alone.
+    verified on the sets themselves, so that no two texts below the similarity are linked: first
+    those to the centre of the rows of a bucket that candidates join, then, only where these leave
+    such rows apart, all others among them. Case, punctuation and white space don't count. Null
+    and wordless texts are alone.
     """
     share = _worst_share(similarity)
     radius = int(256 * share + 3 * (256 * share * (1 - share)) ** 0.5)
@@ -431,9 +473,24 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, keys:
     printed = cut(named.mapInArrow(prints, "doc_id long, sig binary, print binary, mins array<long>, name binary, size int"))
     # texts of equal sets are one row from here on; a print carries its set's name
     keyed = printed.select(F.posexplode("mins").alias("tab", "key"), F.concat("print", "sig").alias("print")).distinct()
-    roots = connected_components(linked(keyed, radius, width=32)).select(F.substring("node", 33, 16).alias("sig"), "component")
+    sig = lambda c: F.substring(c, 33, 16).alias(c)
+    stars = cut(linked(keyed, radius, width=32).select(F.xxhash64("tab", "key", "i", "j", "b").alias("star"), sig("a"), sig("b")))
+    links = stars.select("a", "b").distinct()
+    ends = stars.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     one = printed.groupBy("sig").agg(F.min(F.struct("name", "print", "size")).alias("o")).select("sig", "o.*")
-    links = verified(one.join(roots, "sig"), named.select("name", "text").dropDuplicates(["name"]), words, radius, similarity)
+    one = cut(one.join(ends, "sig"))
+
+    def texts_of(rows: DataFrame) -> DataFrame:
+        return named.select("name", "text").join(sent(cut(rows.select("name").distinct())), "name", "left_semi").dropDuplicates(["name"])
+
+    sure = cut(star_links(links, one.select("sig", "name", "size"), texts_of(one), words, similarity))
+    roots = connected_components(sure)
+    members = stars.select("star", F.explode(F.array("a", "b")).alias("sig")).distinct().join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("star", "sig", F.coalesce("component", "sig").alias("known"))
+    # of stars of the same members one is enough
+    apart = members.groupBy("star").agg(F.count("*").alias("n"), F.sum(F.xxhash64("sig").cast("decimal(38)")).alias("s"), F.sum(F.xxhash64(F.lit(1), "sig").cast("decimal(38)")).alias("t"), (F.min("known") != F.max("known")).alias("apart")).where("apart")
+    apart = apart.groupBy("n", "s", "t").agg(F.min("star").alias("star")).select("star")
+    rest = cut(members.join(apart, "star").join(one, "sig").select(F.col("star").alias("component"), "sig", "print", "name", "size", "known"))
+    links = sure.unionByName(verified(rest, texts_of(rest), words, radius, similarity))
     return group_rows(printed.select("doc_id", F.col("sig").alias("print")), links).select("doc_id", "component_id")
 
 
@@ -447,8 +504,12 @@ def drop_near_copies(docs: DataFrame, text_col: str = "text", **options) -> Data
     """
     groups = near_copies(docs, text_col=text_col, **options)
     gone = groups.where("doc_id is not null and component_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("_least")).where("doc_id <> _least").select(F.col("doc_id").alias("_gone"))
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    twice = cut(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_twice")).agg(F.count("*").alias("_n")).where("_n > 1").select("_twice"))
+    kept = docs.join(sent(cut(gone)), docs["doc_id"] == F.col("_gone"), "left_anti")
+    if twice.isEmpty():
+        return kept
     plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     order = F.struct(F.col(text_col).isNotNull().alias("a"), F.col(text_col).alias("b"), F.xxhash64(*plain).alias("c"))
-    one = kept.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("_row")).select("_row.*")
-    return one.unionByName(kept.where("doc_id is null"))
+    again = kept.join(sent(twice), kept["doc_id"] == F.col("_twice"), "left_semi")
+    one = again.groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("_row")).select("_row.*")
+    return kept.join(sent(twice), kept["doc_id"] == F.col("_twice"), "left_anti").unionByName(one)
