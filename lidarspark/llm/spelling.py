@@ -70,8 +70,8 @@ def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(id_col, text_col).mapInArrow(tally, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _bigrams(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Number of the word, place and code of each bigram, and the words' lengths; letters are below 256."""
+def _bigrams(words: pa.Array) -> tuple[np.ndarray, ...]:
+    """Number of the word, place and code of each bigram; the words' lengths and odd letters; letters are below 256."""
     listed = words.to_pylist()
     data = np.frombuffer("".join(listed).encode("latin-1"), np.uint8).astype(np.int64)
     size = np.fromiter(map(len, listed), np.int64, len(listed))
@@ -80,7 +80,8 @@ def _bigrams(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     starts_one[ends - 1] = False
     at = np.flatnonzero(starts_one)
     word = np.repeat(np.arange(len(listed)), size - 1)
-    return word, at - (ends - size)[word], data[at] << 8 | data[at + 1], size
+    odd = np.bitwise_xor.reduceat(np.left_shift(1, data & 63), ends - size)
+    return word, at - (ends - size)[word], data[at] << 8 | data[at + 1], size, odd
 
 
 def bigram_ranks(words: DataFrame) -> np.ndarray:
@@ -103,20 +104,23 @@ def bigram_ranks(words: DataFrame) -> np.ndarray:
 
 
 def rarest_bigrams(words: DataFrame, ranks: np.ndarray, keep: int = 3) -> DataFrame:
-    """``(word, n, gram, place, size)``: the ``keep`` rarest bigrams of each word of over ``keep`` code points."""
+    """``(word, n, gram, place, size, odd)``: the ``keep`` rarest bigrams of each word of over ``keep`` code points.
+
+    Bit b of odd is set if the letters whose code is b mod 64 are odd in number: an edit changes two bits at most.
+    """
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            word, place, gram, size = _bigrams(batch.column(0))
+            word, place, gram, size, odd = _bigrams(batch.column(0))
             order = np.argsort(word << 16 | ranks[gram], kind="stable")
             first = np.cumsum(size - 1) - (size - 1)
             chosen = order[(first[:, None] + np.arange(keep)).ravel()]
             rows = pa.array(word[chosen])
-            yield pa.RecordBatch.from_pydict({"word": batch.column(0).take(rows), "n": batch.column(1).take(rows)} | {k: pa.array(v[chosen], pa.int32()) for k, v in (("gram", gram), ("place", place), ("size", size[word]))})
+            yield pa.RecordBatch.from_pydict({"word": batch.column(0).take(rows), "n": batch.column(1).take(rows)} | {k: pa.array(v[chosen], pa.int32()) for k, v in (("gram", gram), ("place", place), ("size", size[word]))} | {"odd": pa.array(odd[word[chosen]])})
 
-    return words.where(F.length("word") > keep).select("word", "n").mapInArrow(pick, "word string, n long, gram int, place int, size int")
+    return words.where(F.length("word") > keep).select("word", "n").mapInArrow(pick, "word string, n long, gram int, place int, size int, odd long")
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
@@ -129,9 +133,9 @@ def near_pairs(words: DataFrame) -> DataFrame:
     # an edit behind a shared bigram leaves what stands up to its end, one before it what follows from its start
     head, tail = F.expr("substring(word, 1, place + 2)"), F.expr("substring(word, place + 1)")
     keys = lambda more: F.explode(F.array(*[F.xxhash64(F.lit(i), part, F.col("size") + m) for i, part in enumerate((head, tail)) for m in more]))
-    left = rare.select(F.col("word").alias("a"), F.col("n").alias("n_a"), keys((0, 1)).alias("key"))
-    right = rare.select(F.col("word").alias("b"), F.col("n").alias("n_b"), keys((0,)).alias("key"))
-    fits = (F.length("a") < F.length("b")) | (F.col("a") < F.col("b"))
+    left = rare.select(F.col("word").alias("a"), F.col("n").alias("n_a"), F.col("size").alias("size_a"), F.col("odd").alias("odd_a"), keys((0, 1)).alias("key"))
+    right = rare.select(F.col("word").alias("b"), F.col("n").alias("n_b"), F.col("size").alias("size_b"), F.col("odd").alias("odd_b"), keys((0,)).alias("key"))
+    fits = ((F.col("size_a") < F.col("size_b")) | (F.col("a") < F.col("b"))) & (F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b"))) <= 2)
     met = left.join(right, "key").where(fits & (F.levenshtein("a", "b", 1) == 1))
     return met.select("a", "n_a", "b", "n_b").dropDuplicates(["a", "b"])
 
