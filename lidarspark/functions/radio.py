@@ -14,10 +14,10 @@ FLOOR_MW = 1e-12
 
 
 def parse_pattern(raw: Any) -> list[tuple[float, float]]:
-    """(angle mod 360, gain) pairs in order of angle, from any accepted shape; bad entries are skipped.
+    """(angle mod 360, gain) pairs in order of angle, equal angles as given, from any accepted shape; bad entries are skipped.
 
-    A map of angle to gain; or a list of pairs, of maps with angle and gain, of maps of two
-    values, or of texts such as "10,3", "10:3" and "10 3". Anything else, a text too, is empty.
+    A map of angle to gain; or a list of pairs, of maps with angle and gain, of other maps, whose two
+    first values count, or of texts such as "10,3", "10:3" and "10 3". Anything else, a text too, is empty.
     """
     pairs: list[tuple[Any, Any]] = []
     if isinstance(raw, dict):
@@ -27,8 +27,8 @@ def parse_pattern(raw: Any) -> list[tuple[float, float]]:
             if isinstance(entry, dict):
                 if "angle" in entry and "gain" in entry:
                     pairs.append((entry["angle"], entry["gain"]))
-                elif len(entry) == 2:
-                    pairs.append(tuple(entry.values()))
+                elif len(entry) >= 2:
+                    pairs.append(tuple(entry.values())[:2])
             elif isinstance(entry, str):
                 parts = entry.replace(",", " ").replace(":", " ").split()
                 if len(parts) >= 2:
@@ -41,27 +41,40 @@ def parse_pattern(raw: Any) -> list[tuple[float, float]]:
             out.append((float(angle) % 360.0, float(gain)))
         except (TypeError, ValueError):
             continue
-    return sorted(out)
+    return sorted(out, key=lambda pair: pair[0])
 
 
 def normal_pattern(pattern: Column) -> Column:
     """The same for a column of [angle, gain] arrays: an array of structs in order of angle."""
     whole = F.filter(pattern, lambda p: (F.size(p) >= 2) & p[0].isNotNull() & p[1].isNotNull())
-    return F.array_sort(F.transform(whole, lambda p: F.struct(F.pmod(p[0], F.lit(360.0)).alias("angle"), p[1].alias("gain"))))
+    placed = F.transform(whole, lambda p, i: F.struct(F.pmod(p[0], F.lit(360.0)).alias("angle"), i.alias("place"), p[1].alias("gain")))
+    return F.transform(F.array_sort(placed), lambda p: F.struct(p["angle"].alias("angle"), p["gain"].alias("gain")))
+
+
+def segments(pattern: Column, lift: Column) -> Column:
+    """A normal pattern as (angle, gain, slope), each from its angle to the next, closed at 360 degrees by the first entry.
+
+    ``lift`` is added to the gains. The first segment holds the first gain below the first angle.
+    """
+    after = lambda i: F.when(i + 1 < F.size(pattern), F.get(pattern, i + 1)).otherwise(F.struct((pattern[0]["angle"] + 360.0).alias("angle"), pattern[0]["gain"].alias("gain")))
+    part = lambda angle, gain, slope: F.struct(angle.alias("angle"), (gain + lift).alias("gain"), slope.alias("slope"))
+    rising = lambda p, i: F.coalesce((after(i)["gain"] - p["gain"]) / F.nullif(after(i)["angle"] - p["angle"], F.lit(0.0)), F.lit(0.0))
+    parts = F.transform(pattern, lambda p, i: part(p["angle"], p["gain"], rising(p, i)))
+    return F.when(F.size(pattern) > 0, F.concat(F.array(part(F.lit(-1.0), pattern[0]["gain"], F.lit(0.0))), parts))
+
+
+def at_angle(parts: Column, angle: Column) -> Column:
+    """Gain at an angle of :func:`segments`, in one pass over them; null without any."""
+    a = F.pmod(angle, F.lit(360.0))
+    return F.aggregate(parts, F.lit(None).cast("double"), lambda held, s: F.when(s["angle"] <= a, s["gain"] + (a - s["angle"]) * s["slope"]).otherwise(held))
 
 
 def interpolate(pattern: Column, angle: Column) -> Column:
     """Gain at an angle of a normal pattern: linear, closed at 360 degrees by the first entry.
 
-    Angles below the first entry take its gain; so do empty patterns give null.
+    Angles below the first entry take its gain; empty patterns give null.
     """
-    wrapped = F.concat(pattern, F.array(F.struct((pattern[0]["angle"] + 360.0).alias("angle"), pattern[0]["gain"].alias("gain"))))
-    a = F.pmod(angle, F.lit(360.0))
-    before = F.element_at(F.filter(wrapped, lambda p: p["angle"] <= a), -1)
-    after = F.get(F.filter(wrapped, lambda p: p["angle"] > a), F.lit(0))
-    span = after["angle"] - before["angle"]
-    inside = F.when(span.isNull() | (span == 0), before["gain"]).otherwise(before["gain"] + (a - before["angle"]) / F.when(span != 0, span) * (after["gain"] - before["gain"]))
-    return F.when(F.size(pattern) > 0, F.when(a < pattern[0]["angle"], pattern[0]["gain"]).otherwise(inside))
+    return at_angle(segments(pattern, F.lit(0.0)), angle)
 
 
 def azimuth(dx: Column, dy: Column) -> Column:
@@ -77,12 +90,15 @@ def elevation(dx: Column, dy: Column, dz: Column) -> Column:
     return F.degrees(F.atan2(dz, F.sqrt(dx * dx + dy * dy)))
 
 
-def antenna_gain(az_pattern: Column, el_pattern: Column, gain: Column, rel_az: Column, el: Column) -> Column:
-    """Total gain in dB: the azimuth pattern lifted to the antenna's gain, plus the elevation pattern."""
+def lobes(az_pattern: Column, el_pattern: Column, gain: Column) -> tuple[Column, Column]:
+    """Segments of both patterns, once for each antenna: the azimuth lifted to the antenna's gain, the elevation about zero."""
     top = lambda p: F.array_max(F.transform(p, lambda x: x["gain"]))
-    across = F.coalesce(interpolate(az_pattern, rel_az) + (gain - top(az_pattern)), gain)
-    offset = F.when(F.abs(top(el_pattern)) <= 2.0, F.lit(0.0)).otherwise(-top(el_pattern))
-    return across + F.coalesce(interpolate(el_pattern, el) + offset, F.lit(0.0))
+    return segments(az_pattern, gain - top(az_pattern)), segments(el_pattern, F.when(F.abs(top(el_pattern)) <= 2.0, F.lit(0.0)).otherwise(-top(el_pattern)))
+
+
+def antenna_gain(across: Column, along: Column, gain: Column, rel_az: Column, el: Column) -> Column:
+    """Total gain in dB of an antenna's :func:`lobes`."""
+    return F.coalesce(at_angle(across, rel_az), gain) + F.coalesce(at_angle(along, el), F.lit(0.0))
 
 
 def knife_edge_loss(h: Column, d1: Column, d2: Column, wavelength: Column) -> Column:

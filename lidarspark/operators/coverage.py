@@ -106,22 +106,33 @@ def nearest_node(cells: DataFrame, grid: Grid, step: float = 10.0) -> DataFrame:
     return cells.withColumn("node", index("y", grid.ymin, grid.ymax, m) * n + index("x", grid.xmin, grid.xmax, n))
 
 
+def ceilings(points: DataFrame, radius: float) -> DataFrame:
+    """(jx, jy, ceiling): the greatest height of points in each cell of the radius and its eight neighbours; cells without any are absent."""
+    side = lambda c: F.floor(F.col(c) / F.lit(float(radius))).cast("long")
+    tops = points.select(side("easting").alias("px"), side("northing").alias("py"), "altitude").groupBy("px", "py").agg(F.max("altitude").alias("top"))
+    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+    return tops.withColumn("jx", around("px")).withColumn("jy", around("py")).groupBy("jx", "jy").agg(F.max("top").alias("ceiling"))
+
+
 def diffraction(pairs: DataFrame, points: DataFrame, samples: int = 8, radius: float = 0.6, clearance: float = 0.05, extra_db: float = 15.0) -> DataFrame:
     """(tx, cell, loss): the worst knife-edge loss over samples of each ray; rays without obstacles are absent.
 
-    The samples of a ray meet the points near them by an equi-join on cells of the radius.
+    A sample first meets the ceiling of its cell, one row; the few that lie below it then meet the
+    points near them, by an equi-join on the cells that reach above the sample.
     """
-    t = F.expr(f"transform(sequence(0, {samples - 1}), i -> 0.1d + i * {0.8 / (samples - 1)!r}d)")
-    ray = pairs.select("tx", "cell", "tx_x", "tx_y", "tx_h", "x", "y", "z", "lam", "d", F.explode(t).alias("t"))
-    at = ray.withColumn("sx", F.col("tx_x") + F.col("t") * (F.col("x") - F.col("tx_x"))).withColumn("sy", F.col("tx_y") + F.col("t") * (F.col("y") - F.col("tx_y"))).withColumn("sz", F.col("tx_h") + F.col("t") * (F.col("z") - F.col("tx_h")))
     r = F.lit(float(radius))
     side = lambda c: F.floor(c / r).cast("long")
-    around = lambda c: F.explode(F.sequence(side(F.col(c)) - 1, side(F.col(c)) + 1))
-    at = at.withColumn("jx", around("sx")).withColumn("jy", around("sy"))
+    t = F.expr(f"transform(sequence(0, {samples - 1}), i -> 0.1d + i * {0.8 / (samples - 1)!r}d)")
+    ray = pairs.select("tx", "cell", "tx_x", "tx_y", "tx_h", "x", "y", "z", "lam", "d", F.explode(t).alias("t"))
+    along = lambda a, b: F.col(a) + F.col("t") * (F.col(b) - F.col(a))
+    at = ray.select("tx", "cell", "t", "lam", "d", along("tx_x", "x").alias("sx"), along("tx_y", "y").alias("sy"), along("tx_h", "z").alias("sz"))
+    low = at.withColumn("jx", side(F.col("sx"))).withColumn("jy", side(F.col("sy"))).join(ceilings(points, radius), ["jx", "jy"]).where(F.col("ceiling") > F.col("sz") + clearance)
+    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+    low = low.drop("ceiling").withColumn("jx", around("jx")).withColumn("jy", around("jy"))
     there = points.select(side(F.col("easting")).alias("jx"), side(F.col("northing")).alias("jy"), F.col("easting").alias("ox"), F.col("northing").alias("oy"), F.col("altitude").alias("oz"))
     dx, dy = F.col("ox") - F.col("sx"), F.col("oy") - F.col("sy")
-    hit = at.join(there, ["jx", "jy"]).where((dx * dx + dy * dy <= r * r) & (F.col("oz") > F.col("sz") + clearance))
-    top = hit.groupBy("tx", "cell", "t", "sz", "d", "lam").agg(F.max("oz").alias("top"))
+    hit = low.join(there, ["jx", "jy"]).where((dx * dx + dy * dy <= r * r) & (F.col("oz") > F.col("sz") + clearance))
+    top = hit.groupBy("tx", "cell", "t").agg(F.max("oz").alias("top"), *[F.first(c).alias(c) for c in ("sz", "d", "lam")])
     d1 = F.col("d") * F.col("t")
     loss = radio.knife_edge_loss(F.col("top") - F.col("sz"), d1, F.col("d") - d1, F.col("lam")) + extra_db
     return top.withColumn("loss", loss).groupBy("tx", "cell").agg(F.max("loss").alias("loss"))
@@ -149,19 +160,20 @@ def fields(rays: DataFrame) -> DataFrame:
     rr, ri = radio.field(power, c("gain"), c("w"), F.greatest(back, c("far")), back, c("loss"))
     share = F.when(c("reflect"), size * sign * F.exp(-(bend * bend))).otherwise(0.0)
     re, im = dr + share * rr, di + share * ri
-    key = ["tx", "cell", "iy", "ix", "x", "y", "z"]
-    return r.select(*key, ((re * re + im * im) * 1000.0).alias("mw")).groupBy(*key).agg(F.avg("mw").alias("mw"))
+    place = ["iy", "ix", "x", "y", "z"]
+    return r.select("tx", "cell", *place, ((re * re + im * im) * 1000.0).alias("mw")).groupBy("tx", "cell").agg(*[F.first(p).alias(p) for p in place], F.avg("mw").alias("mw"))
 
 
 def rays(cells: DataFrame, txs: DataFrame) -> DataFrame:
     """Every cell with every transmitter: a handful of transmitters, which a setup lists by hand."""
-    tx = txs.select("tx", F.col("x").alias("tx_x"), F.col("y").alias("tx_y"), F.col("h_m").alias("tx_h"), *[x for x in txs.columns if x not in ("tx", "x", "y", "h_m")])
+    across, along = radio.lobes(F.col("az"), F.col("el"), F.col("gain_db"))
+    tx = txs.select("tx", F.col("x").alias("tx_x"), F.col("y").alias("tx_y"), F.col("h_m").alias("tx_h"), across.alias("across"), along.alias("along"), *[x for x in txs.columns if x not in ("tx", "x", "y", "h_m", "az", "el")])
     both = cells.crossJoin(F.broadcast(tx))
     dx, dy, dz = F.col("x") - F.col("tx_x"), F.col("y") - F.col("tx_y"), F.col("z") - F.col("tx_h")
     lam = F.lit(radio.LIGHT) / F.col("freq_hz")
     both = both.withColumn("d", F.sqrt(dx * dx + dy * dy + dz * dz)).withColumn("lam", lam).withColumn("far", F.lit(2.0) * F.col("aperture_m") * F.col("aperture_m") / lam)
     rel = radio.relative_azimuth(radio.azimuth(dx, dy), F.col("heading_deg"))
-    return both.withColumn("gain", radio.antenna_gain(F.col("az"), F.col("el"), F.col("gain_db"), rel, radio.elevation(dx, dy, dz)))
+    return both.withColumn("gain", radio.antenna_gain(F.col("across"), F.col("along"), F.col("gain_db"), rel, radio.elevation(dx, dy, dz))).drop("across", "along")
 
 
 def smooth(power: DataFrame, grid: Grid, aperture_m: float) -> DataFrame:

@@ -365,8 +365,9 @@ def _gain_sql(antenna: dict, rel: str, el: str) -> str:
 )
 def antenna_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     angles = cloud(spark, sf_dir).selectExpr("id", "(id * 7.3e0) % 360e0 as rel", "(id % 121) - 60e0 as el")
-    specs = F.broadcast(default_antennas(spark).select("name", "gain_db", radio.normal_pattern(F.col("azimuth_pattern")).alias("az"), radio.normal_pattern(F.col("elevation_pattern")).alias("elp")))
-    gain = radio.antenna_gain(F.col("az"), F.col("elp"), F.col("gain_db"), F.col("rel"), F.col("el"))
+    across, along = radio.lobes(radio.normal_pattern(F.col("azimuth_pattern")), radio.normal_pattern(F.col("elevation_pattern")), F.col("gain_db"))
+    specs = F.broadcast(default_antennas(spark).select("name", "gain_db", across.alias("across"), along.alias("along")))
+    gain = radio.antenna_gain(F.col("across"), F.col("along"), F.col("gain_db"), F.col("rel"), F.col("el"))
     return rounded(angles.crossJoin(specs).select("id", "name", gain.alias("gain")), 6, "gain")
 
 

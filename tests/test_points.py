@@ -285,6 +285,7 @@ def test_patterns(spark):
     for raw in ({"0": 1, "-10": 2}, [[0, 1], [-10, 2]], [{"angle": 0, "gain": 1}, {"angle": 350, "gain": 2}], [{"a": 0, "g": 1}, {"a": 350, "g": 2}], ["0,1", "350:2"], ["0 1", "bad", "-10 2", [None, 1]]):
         assert radio.parse_pattern(raw) == want
     assert radio.parse_pattern("0,1") == [] == radio.parse_pattern(None)
+    assert radio.parse_pattern([{"a": 5, "b": 9, "c": 7}, [5, 1], {"x": 4}, [725, 3]]) == [(5.0, 9.0), (5.0, 1.0), (5.0, 3.0)]
     p = spark.createDataFrame([([[-30.0, -18.0], [-10.0, -3.0], [0.0, 0.0], [10.0, -3.0], [30.0, -12.0]],)], "p array<array<double>>")
     at = lambda a: radio.interpolate(radio.normal_pattern(F.col("p")), F.lit(a))
     assert p.select(at(350.0), at(90.0)).first()[:] == pytest.approx((-3.0, -13.2))
