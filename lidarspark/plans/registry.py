@@ -16,8 +16,9 @@ from ..operators import coverage, paths, spatial, summaries, terrain
 from ..operators.cuts import cut, scratch
 from ..operators.spatial import Box
 from ..schema import ANTENNAS, CLASS_LABELS, classifications, default_antennas
-from ..sources import las, tables
+from ..sources import las, snapshots, tables
 from ..sources.tables import CLOUD_SQL, antenna_list, cloud
+from ..streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -577,6 +578,56 @@ def append_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_points(spark, path).selectExpr("id", "cast(cell_x as long) as cell_x", "cast(cell_y as long) as cell_y", "altitude")
 
 
+def _stored(spark: SparkSession, sf_dir: str, rows: int) -> str:
+    """A snapshot of the cloud, in files of so many points."""
+    path = scratch(spark, "snapshots")
+    snapshots.append(cloud(spark, sf_dir), path, rows=rows)
+    return path
+
+
+@query(f"{_CLOUD} SELECT * FROM points WHERE {_BOX}")
+def snapshot_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box from the files that reach into it."""
+    return snapshots.read(spark, _stored(spark, sf_dir, 1000), BOX)
+
+
+@query(f"{_CLOUD} SELECT id, easting, northing, CASE WHEN id % 50 = 7 THEN id / 4e0 ELSE altitude END AS altitude, zone_id, class_code FROM points WHERE id % 90 <> 4")
+def snapshot_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New heights by id, then points without some, each in a snapshot of its own."""
+    path = _stored(spark, sf_dir, 2000)
+    snapshots.update(spark, path, cloud(spark, sf_dir).where("id % 50 = 7").selectExpr("id", "id / 4e0 as altitude"), rows=2000)
+    snapshots.merge(spark, path, gone=cloud(spark, sf_dir).where("id % 90 = 4").select("id"), rows=2000)
+    return snapshots.read(spark, path)
+
+
+@query(f"{_CLOUD} SELECT id, easting, northing, altitude, true AS few FROM points")
+def snapshot_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cloud in many small appends, put together; ``few`` tells that one small file is left at most."""
+    path, points = scratch(spark, "snapshots"), cloud(spark, sf_dir)
+    for k in range(4):
+        snapshots.append(points.where(F.col("id") % 4 == k), path, rows=200_000)
+    snapshots.compact(spark, path, 200_000, rows=400_000)
+    small = snapshots.files(spark, path).where("rows < 100000").count()
+    return snapshots.read(spark, path).select("id", "easting", "northing", "altitude", F.lit(small <= 1).alias("few"))
+
+
+_CHANGED = f"WITH points AS (SELECT id, easting + CASE WHEN id % 11 = 5 THEN 0.3e0 ELSE 0e0 END AS easting, northing, altitude, zone_id, class_code FROM ({CLOUD_SQL} FROM events) WHERE id % 7 <> 3)"
+
+
+@query(f"{_MOMENTS.replace(_CLOUD, _CHANGED)} SELECT p.*, {_ROUNDED} FROM points p LEFT JOIN metrics m USING (id)")
+def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored cloud after a stream of points that come, go and move, with the metrics kept up."""
+    path, source, points = scratch(spark, "store"), scratch(spark, "changes"), cloud(spark, sf_dir)
+    changes.create(points.where("id % 10 <> 0"), path, rows=20_000)
+    come = points.where("id % 10 = 0").selectExpr("*", "false as gone", "1L as seq")
+    go = points.where("id % 7 = 3").selectExpr("*", "true as gone", "2L as seq")
+    move = points.where("id % 11 = 5 and id % 7 <> 3").withColumn("easting", F.col("easting") + 0.3).selectExpr("*", "false as gone", "3L as seq")
+    for batch in (come, go, move):
+        batch.coalesce(1).write.mode("append").parquet(source)  # a file, whose batch comes after the one before
+    changes.follow(spark, source, path, scratch(spark, "stream"), files=1, rows=20_000).awaitTermination()
+    return rounded(snapshots.read(spark, path), 6, *_METRICS)
+
+
 @query("SELECT * FROM (VALUES ('points', 13, 0::BIGINT), ('zones', 2, 1::BIGINT), ('classifications', 2, 24::BIGINT)) t(name, n_columns, n)")
 def create_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An empty store, created again after a zone was added: what is there stays."""

@@ -27,25 +27,30 @@ def ingest(spark: SparkSession, source: str, table: str, metrics: str, checkpoin
     return tiles.writeStream.foreachBatch(settle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def touched(points: DataFrame, new: DataFrame, radius: float) -> DataFrame:
-    """Metrics of all points in cells that touch a new point's: theirs may have changed.
+def around(points: DataFrame, places: DataFrame, radius: float) -> tuple[DataFrame, DataFrame]:
+    """The points in cells that touch a place's, and those one cell further out, which their metrics need.
 
-    The points that these need lie one cell further out. The extent of the new points, which one
-    row states, reaches the scan, so that files and row groups beyond it aren't read.
+    The extent of the places, which one row states, reaches the scan, so that files and row groups
+    beyond it aren't read.
     """
-    ends = new.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("easting", "northing") for f in (F.min, F.max)]).first()
+    ends = places.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("easting", "northing") for f in (F.min, F.max)]).first()
     for c in ("easting", "northing"):
         low, high = ends[f"min_{c}"], ends[f"max_{c}"]
         points = points.where("false") if low is None else points.where(F.col(c).between(low - 3 * radius, high + 3 * radius))
 
     def ring(reach: int) -> DataFrame:
-        around = lambda c: F.explode(F.sequence(cell(F.col(c), radius) - reach, cell(F.col(c), radius) + reach))
-        return new.select(around("easting").alias("_x"), "northing").select("_x", around("northing").alias("_y")).distinct()
+        side = lambda c: F.explode(F.sequence(cell(F.col(c), radius) - reach, cell(F.col(c), radius) + reach))
+        return places.select(side("easting").alias("_x"), "northing").select("_x", side("northing").alias("_y")).distinct()
 
     here = points.withColumn("_x", cell(F.col("easting"), radius)).withColumn("_y", cell(F.col("northing"), radius))
-    halo = here.join(ring(2), ["_x", "_y"], "left_semi").drop("_x", "_y")
-    own = here.join(ring(1), ["_x", "_y"], "left_semi").select("id")
-    return terrain_metrics(halo, radius).join(own, "id", "left_semi")
+    own, halo = (here.join(ring(n), ["_x", "_y"], "left_semi").drop("_x", "_y") for n in (1, 2))
+    return own, halo
+
+
+def touched(points: DataFrame, new: DataFrame, radius: float) -> DataFrame:
+    """Metrics of all points in cells that touch a new point's: theirs may have changed."""
+    own, halo = around(points, new, radius)
+    return terrain_metrics(halo, radius).join(own.select("id"), "id", "left_semi")
 
 
 def latest(spark: SparkSession, metrics: str) -> DataFrame:

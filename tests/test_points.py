@@ -20,10 +20,10 @@ from lidarspark.operators import density, coverage, paths, spatial, summaries, t
 from lidarspark.operators.cuts import cut
 from lidarspark.operators.spatial import Box
 from lidarspark.plans import registry
-from lidarspark.schema import ANTENNAS, POINTS, default_antennas
+from lidarspark.schema import ANTENNAS, POINTS, PROCESSED, default_antennas
 from lidarspark.session import Survey
-from lidarspark.sources import las, tables
-from lidarspark.streaming import tiles
+from lidarspark.sources import las, snapshots, tables
+from lidarspark.streaming import changes, tiles
 
 SF = "/root/testdata/sf0.001"
 P = "id long, easting double, northing double, altitude double"
@@ -383,6 +383,109 @@ def test_tables(spark, tmp_path):
     assert summaries.cloud_summary(cloud.where("false")).first()[:] == (0,) + (0.0,) * 9
 
 
+def grid_cloud(spark, n=200):
+    """A point each half metre over a square of n / 2 metres."""
+    return spark.range(n * n).selectExpr("id", f"id % {n} * 0.5d as easting", f"floor(id / {n}) * 0.5d as northing", "cast(id % 7 as double) as altitude")
+
+
+def test_snapshots_open_few_files(spark, tmp_path):
+    path, cloud = str(tmp_path / "s"), grid_cloud(spark)
+    snapshots.append(cloud, path, rows=400)
+    index = snapshots.files(spark, path)
+    assert index.count() == 100 and index.agg(F.sum("rows")).first()[0] == 40_000
+    for box in (Box(40.0, 50.0, 40.0, 50.0), Box(3.0, 13.0, 71.0, 81.0), Box(-9.0, 1.0, 99.0, 120.0)):
+        got = snapshots.read(spark, path, box)
+        assert sorted(r.id for r in got.collect()) == sorted(r.id for r in spatial.in_box(cloud, box).collect())
+        # the layout by cell columns, whose files Spark opens all 100 of for their statistics
+        assert len(got.inputFiles()) <= 12
+    assert snapshots.read(spark, path, Box(1e6, 1e7, 0.0, 1.0)).count() == 0
+    assert spark.range(1).select(*[snapshots.z_key(F.lit(float(x)), F.lit(float(y)), 1.0).alias(f"z{x}{y}") for x, y in ((0, 0), (1, 0), (0, 1), (1, 1))]).first()[:] == tuple(0x3 << 60 | k for k in range(4))
+
+
+def test_snapshots_change_touched_files_only(spark, tmp_path, monkeypatch):
+    path, cloud = str(tmp_path / "s"), grid_cloud(spark, 60)
+    assert snapshots.versions(spark, path) == [] and snapshots.last_batch(spark, path) == -1
+    first = snapshots.append(cloud, path, rows=200)
+    names = lambda v=None: {r.file for r in snapshots.files(spark, path, v).collect()}
+    low = spark.createDataFrame([(0, -1.0), (1, -2.0), (10**9, 5.0)], "id long, altitude double")
+    second = snapshots.update(spark, path, low, rows=200)
+    assert len(names(first) - names(second)) == 1 == len(names(second) - names(first))
+    heights = {r.id: r.altitude for r in snapshots.read(spark, path).collect()}
+    assert heights == {r.id: r.altitude for r in cloud.collect()} | {0: -1.0, 1: -2.0}
+    assert snapshots.update(spark, path, low.withColumn("altitude", F.lit(9.0)), box=Box(-1.0, 1.0, -1.0, 1.0), rows=200) == 3
+    moved = spark.createDataFrame([(5, 29.0, 29.0, 1.0), (9999, 0.25, 0.25, 2.0)], "id long, easting double, northing double, altitude double")
+    third = snapshots.merge(spark, path, moved, spark.createDataFrame([(7,), (8,), (12345,)], "id long"), batch=4, rows=200)
+    assert snapshots.read(spark, path).count() == 3600 - 2 + 1 and snapshots.last_batch(spark, path) == 4
+    assert {r.id for r in snapshots.read(spark, path, Box(28.9, 29.1, 28.9, 29.1)).collect()} >= {5}
+    # a job that dies before its index is complete leaves the snapshot before
+    before = snapshots.read(spark, path).count()
+    real = snapshots.INDEX
+    monkeypatch.setattr(snapshots, "INDEX", real.replace("rows bigint", "none_such bigint"))
+    with pytest.raises(Exception):
+        snapshots.append(cloud, path, rows=200)
+    monkeypatch.setattr(snapshots, "INDEX", real)
+    os.makedirs(f"{path}/index/{third + 1:08d}/_temporary", exist_ok=True)
+    assert snapshots.versions(spark, path)[-1] == third and snapshots.read(spark, path).count() == before
+    fourth = snapshots.append(cloud.limit(3).withColumn("id", F.col("id") + 50_000), path)
+    assert fourth == third + 1 and snapshots.last_batch(spark, path) == 4
+    # compaction leaves large files alone
+    large = {f: os.stat(f"{path}/{f}").st_mtime_ns for f in (r.file for r in snapshots.files(spark, path).where("rows >= 100").collect())}
+    snapshots.append(cloud.limit(5).withColumn("id", F.col("id") + 60_000), path)
+    content = sorted(map(tuple, snapshots.read(spark, path).collect()))
+    assert snapshots.compact(spark, path, 100) is not None
+    assert {f: os.stat(f"{path}/{f}").st_mtime_ns for f in large} == large and large.keys() <= names()
+    assert snapshots.files(spark, path).where("rows < 100").count() <= 1 and sorted(map(tuple, snapshots.read(spark, path).collect())) == content
+    assert snapshots.compact(spark, path, 1) is None
+    assert snapshots.vacuum(spark, path) > 0 and len(snapshots.versions(spark, path)) == 1
+    assert sorted(map(tuple, snapshots.read(spark, path).collect())) == content
+    empty = str(tmp_path / "e")
+    snapshots.append(cloud.where("false"), empty)
+    assert snapshots.read(spark, empty).count() == 0 and snapshots.read(spark, empty).columns == cloud.columns
+    snapshots.merge(spark, empty, cloud.limit(2))
+    assert snapshots.read(spark, empty).count() == 2
+    with pytest.raises(ValueError):
+        snapshots.read(spark, str(tmp_path / "none"))
+
+
+def test_stream_of_changes(spark, tmp_path):
+    """Inserts, moves and deletions leave the metrics that a computation over the last points gives; no batch counts twice."""
+    rng = np.random.default_rng(3)
+    rows = [(i, float(x), float(y), float(z), 1, 2) for i, (x, y, z) in enumerate(rng.random((400, 3)) * [12, 12, 1])]
+    path, source = str(tmp_path / "store"), str(tmp_path / "in")
+    changes.create(spark.createDataFrame(rows[:300], POINTS), path, rows=60)
+    known = {r[0]: r for r in rows[:300]}
+    batches = [
+        [(*r, False, 0) for r in rows[300:]],
+        [(i, None, None, None, None, None, True, 5) for i in range(0, 90, 3)] + [(7, *rows[7][1:], True, 1), (7, 1.0, 1.0, 1.0, 1, 2, False, 2), (4444, None, None, None, None, None, True, 1), (None, 1.0, 1.0, 1.0, 1, 1, False, 1)],
+        [(i, 12.0 - known[i][1], known[i][2], 0.5, 1, 2, None, 9) for i in range(1, 60, 3)] + [(0, 6.0, 6.0, 2.0, 1, 2, False, 1), (1, None, 3.0, 1.0, 1, 1, False, 99)],
+    ]
+    want = known | {r[0]: r for r in rows[300:]}
+    for batch in batches[1:]:
+        for *r, gone, _ in batch:
+            if r[0] is None or not gone and r[1] is None:
+                continue
+            want.pop(r[0], None)
+            if not gone:
+                want[r[0]] = tuple(r)
+    for k, batch in enumerate(batches):
+        spark.createDataFrame(batch, changes.CHANGES).coalesce(1).write.mode("append").parquet(source)
+        changes.follow(spark, source, path, str(tmp_path / "check"), files=1, rows=60).awaitTermination()
+        assert snapshots.last_batch(spark, path) == k
+    version = snapshots.versions(spark, path)[-1]
+    final = spark.createDataFrame(list(want.values()), POINTS)
+    fresh = terrain.with_metrics(final, terrain.terrain_metrics(final)).select(*PROCESSED.names)
+    got, expected = (sorted(map(tuple, df.collect())) for df in (snapshots.read(spark, path), fresh))
+    assert [r[:6] for r in got] == [r[:6] for r in expected] and any(r[6] is None for r in got) or len(got) == len(expected)
+    for g, e in zip(got, expected):
+        assert g[0] == e[0] and (g[6:] == e[6:] or g[6:] == pytest.approx(e[6:], abs=1e-9))
+    # the last batch again, as after a failure before its checkpoint was written
+    commits = sorted((tmp_path / "check" / "commits").glob("[0-9]*"))
+    commits[-1].unlink()
+    (commits[-1].parent / f".{commits[-1].name}.crc").unlink()
+    changes.follow(spark, source, path, str(tmp_path / "check"), files=1, rows=60).awaitTermination()
+    assert snapshots.versions(spark, path)[-1] == version
+
+
 def test_antenna_files(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"gain_db": 3.0, "azimuth_pattern": [[0, 3]]}))
     (tmp_path / "b.json").write_text(json.dumps({"name": "AMY-9M16", "gain_db": 9.0}))
