@@ -490,14 +490,30 @@ def client_height(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- files and stores: written to a folder of their own, read again ---------------------------------------
 
 
-@query(f"{_CLOUD} SELECT round(easting, 3) AS easting, round(northing, 3) AS northing, round(altitude, 3) AS altitude, class_code, '12N' AS zone, 1 AS files FROM points")
+_FILED_POINTS = f"{_CLOUD} SELECT round(easting, 3) AS easting, round(northing, 3) AS northing, round(altitude, 3) AS altitude, class_code, '12N' AS zone"
+
+
+@query(f"{_FILED_POINTS}, true AS several FROM points")
 def las_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cloud as LAS files written side by side, read again in ranges of their points."""
     las.register(spark)
     path = scratch(spark, "las")
-    cloud(spark, sf_dir).select("easting", "northing", "altitude", "class_code").coalesce(1).write.format("las").option("zone", "12N").mode("append").save(path)
+    cloud(spark, sf_dir).select("easting", "northing", "altitude", "class_code").repartition(6).write.format("las").option("zone", "12N").mode("append").save(path)
     back = spark.read.format("las").option("range", 3000).option("strict", "true").load(path)
-    files = F.lit(len(las.files_of(path)))
-    return rounded(back.select("easting", "northing", "altitude", "class_code", "zone", files.alias("files")), 3, "easting", "northing", "altitude")
+    several = F.lit(len(las.files_of(path)) >= 6)
+    return rounded(back.select("easting", "northing", "altitude", "class_code", "zone", several.alias("several")), 3, "easting", "northing", "altitude")
+
+
+@query(f"{_FILED_POINTS} FROM points")
+def las_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LAS files put into a folder before and after a restart of the stream that follows it: each point once."""
+    las.register(spark)
+    path, target, checkpoint = scratch(spark, "las"), scratch(spark, "points"), scratch(spark, "stream")
+    for part in ("id % 3 = 0", "id % 3 <> 0"):
+        cloud(spark, sf_dir).where(part).select("easting", "northing", "altitude", "class_code").repartition(3).write.format("las").option("zone", "12N").mode("append").save(path)
+        stream = spark.readStream.format("las").option("range", 3000).option("strict", "true").load(path)
+        stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target).awaitTermination()
+    return rounded(spark.read.parquet(target).select("easting", "northing", "altitude", "class_code", "zone"), 3, "easting", "northing", "altitude")
 
 
 @query(f"WITH done AS ({_latlon_sql()}) SELECT id, easting, northing, zone, latitude, longitude, false AS failed FROM done UNION ALL SELECT id, easting, northing, nullif(zone, ''), NULL, NULL, true FROM ({_CLOUD}, text AS ({_TEXT}) SELECT * FROM text WHERE id % 97 = 0 OR id % 101 = 0)")

@@ -2,7 +2,8 @@
 
 Layout by the public ASPRS LAS 1.4 standard. Partitions are ranges of points, so one large file
 is read by many tasks, and no task holds more than a range or one file of ``FILE`` points.
-Register with :func:`register`, then ``spark.read.format("las")``. Paths are local ones, which the
+Register with :func:`register`, then ``spark.read.format("las")``, or ``readStream`` for a folder
+that files are put into. Paths are local ones, which the
 executors must see too, or URIs of a file system that Arrow knows (``s3://``, ``gs://``, ``hdfs://``).
 """
 
@@ -13,17 +14,21 @@ import os
 import re
 import struct
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 SCHEMA = "id bigint, easting double, northing double, altitude double, class_code int, zone string, file string"
 #: Points of a partition, points of a written file at most, and bits of an id that number the points of a file.
 RANGE, FILE, ID_BITS = 1_000_000, 4_000_000, 34
+#: Numbers of files.
+NUMBERS = 1 << (63 - ID_BITS)
 #: A point of format 6: what is written of it.
 RECORD = np.dtype({"names": ["xyz", "code"], "formats": ["3<i4", "u1"], "offsets": [0, 16], "itemsize": 30})
 
@@ -94,17 +99,20 @@ def files_of(path: str) -> list[str]:
     return found
 
 
+def number_of(name: str) -> int:
+    return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little") % NUMBERS
+
+
 def numbers_of(paths: list[str]) -> list[int]:
     """A number for each file, by the hash of its name, so that files that come later don't renumber points.
 
     Where two names share a hash, which takes tens of thousands of files, the later name moves to the next free number.
     """
-    limit = 1 << (63 - ID_BITS)
     taken: dict[int, str] = {}
     for path in sorted(paths, key=os.path.basename):
-        at = int.from_bytes(hashlib.blake2b(os.path.basename(path).encode(), digest_size=8).digest(), "little") % limit
+        at = number_of(os.path.basename(path))
         while at in taken:
-            at = (at + 1) % limit
+            at = (at + 1) % NUMBERS
         taken[at] = path
     number = {path: at for at, path in taken.items()}
     return [number[path] for path in paths]
@@ -139,10 +147,15 @@ class LasReader(DataSourceReader):
         self.range, self.strict = int(options.get("range", RANGE)), options.get("strict", "false").lower() == "true"
 
     def partitions(self) -> list[Range]:
-        out = []
         paths = files_of(self.path)
-        for number, path in zip(numbers_of(paths), paths):
-            head = Header(path)
+        return self.ranges(paths, numbers_of(paths))
+
+    def ranges(self, paths: list[str], numbers: list[int]) -> list[Range]:
+        """The ranges of some files; their headers are read many at a time."""
+        out = []
+        with ThreadPoolExecutor(32) as pool:
+            heads = list(pool.map(Header, paths))
+        for number, path, head in zip(numbers, paths, heads):
             if head.count >> ID_BITS:
                 raise ValueError(f"{path}: {head.count} points; a file can have {1 << ID_BITS} at most")
             zone = self.zone or head.zone
@@ -163,6 +176,57 @@ class LasReader(DataSourceReader):
             at += n
 
 
+class LasStream(LasReader, DataSourceStreamReader):
+    """The files of a folder in the order of their arrival, each once.
+
+    The order is kept in a log beside them (option ``log``: another folder): an entry has the names
+    of the files that were new, at most as many as option ``files`` says, and an offset is a number
+    of entries. So a batch that is repeated has the files and ids it had, whatever came since. A file
+    must have its name only when it is complete, and not change.
+    """
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.log, self.most = options.get("log") or f"{plain(self.path)}/_arrived", int(options.get("files", 10_000))
+
+    def entries(self) -> list[list[str]]:
+        system, inner = opened(self.log)
+        if system.get_file_info(inner).type != fs.FileType.Directory:
+            return []
+        names = sorted(f.base_name for f in system.get_file_info(fs.FileSelector(inner)) if re.fullmatch(r"\d{10}", f.base_name))
+        return [system.open_input_stream(f"{inner}/{n}").read().decode().split("\n") for n in names]
+
+    def initialOffset(self) -> dict:
+        return {"entries": 0}
+
+    def latestOffset(self) -> dict:
+        known = self.entries()
+        try:
+            here = [p.rsplit("/", 1)[1] for p in files_of(self.path)]
+        except FileNotFoundError:
+            here = []
+        new = sorted(set(here) - {n for entry in known for n in entry})[: self.most]
+        if new:
+            system, inner = opened(self.log)
+            system.create_dir(inner, recursive=True)
+            with system.open_output_stream(f"{inner}/.next") as f:
+                f.write("\n".join(new).encode())
+            system.move(f"{inner}/.next", f"{inner}/{len(known):010d}")
+        return {"entries": len(known) + bool(new)}
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        taken: dict[int, str] = {}
+        numbers: dict[str, int] = {}
+        known = self.entries()[: end["entries"]]
+        for name in (n for entry in known for n in entry):
+            at = number_of(name)
+            while at in taken:
+                at = (at + 1) % NUMBERS
+            taken[at], numbers[name] = name, at
+        names = [n for entry in known[start["entries"] :] for n in entry]
+        return self.ranges([f"{plain(self.path).rstrip('/')}/{n}" for n in names], [numbers[n] for n in names])
+
+
 class Written(WriterCommitMessage):
     def __init__(self, paths: list[str]):
         self.paths = paths
@@ -225,6 +289,7 @@ class LasWriter(DataSourceArrowWriter):
 
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.zone, self.overwrite = plain(options["path"]), options.get("zone"), overwrite
+        self.job = uuid4().hex
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
@@ -235,7 +300,7 @@ class LasWriter(DataSourceArrowWriter):
         def flush() -> None:
             if held:
                 system.create_dir(inner, recursive=True)
-                path = f"{self.path}/part-{task.partitionId():05d}-{task.taskAttemptId()}-{len(written):04d}.las.tmp"
+                path = f"{self.path}/part-{task.partitionId():05d}-{task.taskAttemptId()}-{len(written):04d}-{self.job}.las.tmp"
                 xyz, code = (np.concatenate(part) for part in zip(*held))
                 held.clear()
                 write_file(path, xyz, code, self.zone)
@@ -266,12 +331,18 @@ class LasWriter(DataSourceArrowWriter):
                     system.delete_file(old.path)
         for path in (opened(p)[1] for m in messages if m for p in m.paths):
             system.move(path, path.removesuffix(".tmp"))
+        self.clear()
 
     def abort(self, messages: list[Written | None]) -> None:
-        for path in (p for m in messages if m for p in m.paths):
-            system, inner = opened(path)
-            if system.get_file_info(inner).is_file:
-                system.delete_file(inner)
+        self.clear()
+
+    def clear(self) -> None:
+        """Deletes what this job's attempts have left, reported or not."""
+        system, inner = opened(self.path)
+        if system.get_file_info(inner).type == fs.FileType.Directory:
+            for file in system.get_file_info(fs.FileSelector(inner)):
+                if file.is_file and file.base_name.endswith(f"-{self.job}.las.tmp"):
+                    system.delete_file(file.path)
 
 
 class LasDataSource(DataSource):
@@ -285,6 +356,9 @@ class LasDataSource(DataSource):
     def reader(self, schema) -> LasReader:
         return LasReader(dict(self.options))
 
+    def streamReader(self, schema) -> LasStream:
+        return LasStream(dict(self.options))
+
     def writer(self, schema, overwrite: bool) -> LasWriter:
         return LasWriter(dict(self.options), overwrite)
 

@@ -333,6 +333,49 @@ def test_las_ids_stay_when_files_come(spark, tmp_path):
     assert len(set(las.numbers_of(many))) == len(many)
 
 
+def test_las_stream_reads_each_file_once(spark, tmp_path):
+    las.register(spark)
+    folder, out = tmp_path / "las", str(tmp_path / "out")
+    folder.mkdir()
+
+    def put(name, n):
+        las.write_file(str(folder / name), np.arange(3 * n).reshape(n, 3).astype(float), np.zeros(n, np.uint8), "12N")
+
+    def run():
+        stream = spark.readStream.format("las").option("range", 40).load(str(folder))
+        stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start(out).awaitTermination()
+        return {r.file: (r["count"], r.ids) for r in spark.read.parquet(out).groupBy("file").agg(F.count("*").alias("count"), F.count_distinct("id").alias("ids")).collect()}
+
+    put("m.las", 100)
+    put("b.las", 70)
+    (folder / "half.las.tmp").write_bytes(b"LASF")
+    assert run() == {"m.las": (100, 100), "b.las": (70, 70)}
+    assert run() == {"m.las": (100, 100), "b.las": (70, 70)}
+    put("a.las", 30)  # before the others by name, after them by arrival
+    put("z.las", 0)
+    assert run() == {"m.las": (100, 100), "b.las": (70, 70), "a.las": (30, 30)}
+    commits = sorted((tmp_path / "check" / "commits").glob("[0-9]*"))
+    commits[-1].unlink()
+    (commits[-1].parent / f".{commits[-1].name}.crc").unlink()
+    put("c.las", 20)  # comes before the last batch is repeated, and isn't in it
+    assert run() == {"m.las": (100, 100), "b.las": (70, 70), "a.las": (30, 30)}
+    assert run() == {"m.las": (100, 100), "b.las": (70, 70), "a.las": (30, 30), "c.las": (20, 20)}
+    assert spark.read.parquet(out).select("id").distinct().count() == 220
+    ids = {r.id for r in spark.read.format("las").load(str(folder)).select("id").collect()}
+    assert ids == {r.id for r in spark.read.parquet(out).select("id").collect()}
+    reader = las.LasStream({"path": str(folder), "files": "1", "log": str(tmp_path / "log")})
+    assert [reader.latestOffset()["entries"] for _ in range(6)] == [1, 2, 3, 4, 5, 5] and len(reader.partitions({"entries": 5}, {"entries": 5})) == 0
+
+
+def test_las_writer_leaves_nothing_behind(spark, tmp_path):
+    las.register(spark)
+    rows = spark.createDataFrame([(float(i), 1.0, 0.0, 2) if i != 77 else (None, 1.0, 0.0, 2) for i in range(100)], "easting double, northing double, altitude double, class_code int")
+    with pytest.raises(Exception):
+        rows.repartition(4).write.format("las").mode("append").save(str(tmp_path / "x"))
+    rows.dropna().write.format("las").mode("append").save(str(tmp_path / "x"))
+    assert {p.suffix for p in (tmp_path / "x").iterdir()} == {".las"}
+
+
 def test_las_parts_and_odd_points(spark, tmp_path, monkeypatch):
     """Files of a bounded number of points, nulls as zeros, a short file and an empty table."""
     las.register(spark)
