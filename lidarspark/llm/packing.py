@@ -21,43 +21,86 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, text_array
+from .common import cut, partitions, slices, text_array
 
 #: Tokens of a sequence, and the id that ends a document.
 WIDTH, END = 4096, 2
-#: Words whose ids a task keeps, and the longest of them in characters.
-CACHE, CACHED_CHARS = 1 << 18, 64
-#: Characters of a text that are cut into words in one step.
-STEP_CHARS = 1 << 20
+#: Words whose ids a task keeps, twice at most, and the longest of them in characters.
+CACHE, CACHED_CHARS = 1 << 19, 64
+#: Characters that are cut into words in one step, and words that are encoded in one.
+STEP_CHARS, MANY = 1 << 20, 200
+#: A special token of the tokenizer, whose text is never anything else's.
+MARK = "<|startoftext|>"
 #: White space at which a text may be cut: the tokenizer drops it, and no token reaches over it.
 _GAP = re.compile("[ \n\t\r]+")
 
 
-class WordIds(dict):
-    """Ids of a word as little-endian 32-bit words, encoded when first asked for."""
+class WordIds:
+    """Ids of words as little-endian 32-bit words, and of texts, which are those of their words one after the other.
+
+    Words are encoded when first met, many at once. When CACHE words are known, they become the old
+    ones, of which those that come again are kept.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: str) -> bytes:
-        made = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= CACHED_CHARS:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = made
-        return made
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a text: those of its words, one after the other."""
-        out, at = [], 0
-        while at < len(text):
-            gap = _GAP.search(text, at + STEP_CHARS) if at + STEP_CHARS < len(text) else None
-            end = gap.start() if gap else len(text)
-            out.append(b"".join(map(self.__getitem__, _GAP.split(text[at:end]))))
-            at = end
-        return b"".join(out)
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> None:
+        """Words are parted by a special token, which no other text becomes; those that hold it go alone."""
+        plain = [w for w in words if MARK not in w]
+        for lo in range(0, len(plain), MANY):
+            part = plain[lo : lo + MANY]
+            ids = np.array(self.tokenizer.encode_batch_fast([MARK.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends, raw = np.flatnonzero(ids == self.tokenizer.token_to_id(MARK)) * 4, ids.tobytes()
+            self.known.update(zip(part, [raw[i:j] for i, j in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)])]))
+        for w in words:
+            if MARK in w:
+                self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode_parts(self, parts: list[str]) -> list[bytes]:
+        """The ids of texts that hold bounded characters together."""
+        split = [_GAP.split(p) for p in parts]
+        words = set().union(*split)
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > CACHE:
+            self.known, self.old = {}, self.known
+            new = words
+        again = new.intersection(self.old)
+        self.known.update((w, self.old[w]) for w in again)
+        self._learn(list(new.difference(again)))
+        out = [b"".join(map(self.known.__getitem__, s)) for s in split]
+        for w in new:
+            if len(w) > CACHED_CHARS:
+                del self.known[w]
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        parts, owners, size = [], [], 0
+        out: list[list[bytes]] = [[] for _ in texts]
+
+        def flush() -> None:
+            for i, ids in zip(owners, self.encode_parts(parts)):
+                out[i].append(ids)
+            parts.clear()
+            owners.clear()
+
+        for i, text in enumerate(texts):
+            at = 0
+            while at < len(text):
+                gap = _GAP.search(text, at + STEP_CHARS) if at + STEP_CHARS < len(text) else None
+                end = gap.start() if gap else len(text)
+                parts.append(text[at:end])
+                owners.append(i)
+                size, at = size + end - at, end
+                if size >= STEP_CHARS:
+                    flush()
+                    size = 0
+        flush()
+        return [b"".join(ids) for ids in out]
 
 
 _words: dict[str, WordIds] = {}
@@ -84,8 +127,10 @@ def pieces_of(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         words = word_ids(path)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), text_array(batch.column(1))):
-                data = memoryview(words.encode(text.as_py()) + closing)
+            texts = text_array(batch.column(1))
+            coded = (ids for lo, hi in slices(texts) for ids in words.encode(texts.slice(lo, hi - lo).to_pylist()))
+            for doc, ids in zip(batch.column(0).to_pylist(), coded):
+                data = memoryview(ids + closing)
                 n = len(data) // 4
                 rows += [(doc, s, min(width, n - s), zlib.crc32(data[4 * s : 4 * (s + width)]), n) for s in range(0, n, width)]
             columns = list(zip(*rows)) or [()] * 5

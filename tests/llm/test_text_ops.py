@@ -246,11 +246,15 @@ def test_packing_of_odd_rows(spark, odd, empty):
 
 
 def test_long_texts_are_encoded_in_steps(monkeypatch):
-    monkeypatch.setattr(packing, "STEP_CHARS", 7)
-    monkeypatch.setattr(packing, "CACHE", 5)
-    words = packing.WordIds(packing.default_path())
-    text = "some words, and\tmore of them " * 9 + "longword" * 20 + "\nend"
-    assert np.frombuffer(words.encode(text), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    for step, cache, many in ((7, 5, 2), (50, 12, 3), (1 << 20, 1 << 18, 200)):
+        monkeypatch.setattr(packing, "STEP_CHARS", step)
+        monkeypatch.setattr(packing, "CACHE", cache)
+        monkeypatch.setattr(packing, "MANY", many)
+        words = packing.WordIds(packing.default_path())
+        texts = ["some words, and\tmore of them " * 9 + "longword" * 20 + "\nend", "", " ", "x<|startoftext|>y some <|endoftext|>", "<|startoftext|> <|startoftext|>", "words, and them " * 30]
+        for _ in range(2):
+            got = [np.frombuffer(ids, "<u4").tolist() for ids in words.encode(texts)]
+            assert got == [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_pack_lengths_is_shortest_first():
