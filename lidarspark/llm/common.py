@@ -34,6 +34,13 @@ def spread_join(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner",
     return dealt.join(repeated, [key, "_slice"], how).drop("_slice")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From here on the session sends Python ``rows`` rows at once at most, as texts may be long; a smaller setting stays."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= rows:
+        spark.conf.set(setting, str(rows))
+
+
 def sent(facts: DataFrame, most: int = 1 << 20) -> DataFrame:
     """Narrow ``facts``, which have been cut, to be broadcast if they are ``most`` rows or fewer; else as they are."""
     return F.broadcast(facts) if facts.limit(most + 1).count() <= most else facts

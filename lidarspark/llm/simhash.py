@@ -222,7 +222,8 @@ def linked(keyed: DataFrame, radius: int, tile: int = TILE, width: int | None =
             column, moved_rows = piece.column("print"), pa.array(moved)
             yield pa.RecordBatch.from_arrays([column.take(moved_rows), column.take(pa.array(labels[moved])), *[piece.column(c).take(moved_rows) for c in group]], ["a", "b", *group])
 
-    return pairs.repartition(n, *group).sortWithinPartitions(*group).mapInArrow(compare, "a binary, b binary, tab int, key long, i int, j int")
+    # by print, so that the centre of rows that meet in several buckets is the same in all
+    return pairs.repartition(n, *group).sortWithinPartitions(*group, "print").mapInArrow(compare, "a binary, b binary, tab int, key long, i int, j int")
 
 
 def _changes(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
