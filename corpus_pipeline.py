@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lidarspark.llm import decontaminate, pieces, pii, simhash, toxicity
-from lidarspark.llm.common import cut, table
+from lidarspark.llm.common import bounded_batches, cut, table
 from lidarspark.llm.queries import TEST_KEY
 
 
@@ -15,6 +15,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is scored like any other; repeated rows go or stay together.
     """
+    bounded_batches(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -23,6 +24,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Texts without words and rows without a doc_id stay; of rows that repeat a doc_id one stays.
     """
+    bounded_batches(spark)
     return simhash.drop_near_copies(docs)
 
 
@@ -31,6 +33,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts hold none; rows without a doc_id stay.
     """
+    bounded_batches(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -39,12 +42,14 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     The key is the session's (``pii.KEY_SETTING``), or the one for tests.
     """
+    bounded_batches(spark)
     hidden = pii.pseudonymise_docs(docs, pii.key_of(spark, TEST_KEY))
     return hidden.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_pieces and the decoded text of every row; nulls for a null text."""
+    bounded_batches(spark)
     return pieces.encode(docs, pieces.default_model())
 
 
