@@ -265,13 +265,33 @@ def test_mined_rules_are_all_rules(spark):
     rng = np.random.default_rng(12)
     rows = [(sorted(rng.choice([f"t{k}" for k in range(9)], rng.integers(0, 7), replace=False).tolist()), str(rng.choice(["allow", "block"], p=[0.3, 0.7]))) for _ in range(150)]
     want = {}
-    for a, b in [(a, b) for a in range(9) for b in range(a, 9)]:
-        held = [label for tokens, label in rows if {f"t{a}", f"t{b}"} <= set(tokens)]
+    for some in [{f"t{a}", f"t{b}", f"t{c}"} for a in range(9) for b in range(a, 9) for c in range(b, 9)]:
+        held = [label for tokens, label in rows if some <= set(tokens)]
         for label in ("allow", "block"):
             if held.count(label) >= 8 and held.count(label) / len(held) >= 0.6:
-                want[tuple(sorted({f"t{a}", f"t{b}"})), label] = held.count(label) / len(held)
+                want[tuple(sorted(some)), label] = held.count(label) / len(held)
     got = {(tuple(r.tokens), r.label): r.confidence for r in url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, label string"), 0.05, 0.6).collect()}
-    assert got == pytest.approx(want) and {len(t) for t, _ in got} == {1, 2}
+    assert got == pytest.approx(want) and {len(t) for t, _ in got} == {1, 2, 3}
+
+
+def test_three_tokens_decide(spark):
+    """Blocked are the URLs with all of a, b and c, or with none but one of them; neither a token nor a pair tells."""
+    labels, pages = [], []
+    for k in range(160):
+        some = [c for i, c in enumerate("abc") if k >> i & 1]
+        labels.append((f"http://h.biz/{'/'.join(some)}?q=1&r=2", "block" if len(some) % 2 else "allow"))
+    for k in range(8):
+        pages.append((k, f"http://other.org/{'/'.join(c for i, c in enumerate('abc') if k >> i & 1)}?r=2"))
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "url string, label string")).collect()}
+    assert got[7] == "block" and got[3] == got[5] == got[6] == "allow"
+
+
+def test_token_classes(spark):
+    rows = [(["a", "b", "c"], "block"), (["a", "b"], "allow"), (["b", "a", "a", "d"], "allow"), (["c"], "block")]
+    got = {r.token: r["class"] for r in url_filter.token_classes(spark.createDataFrame(rows, "tokens array<string>, label string").coalesce(1), 0.4).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c"}
+    assert spark.sql(f"select {url_filter.combinations_of('array(1, 2, 3, 4)', 3)} as c").first().c == [[1, 2, 3], [1, 2, 4], [1, 3, 4], [2, 3, 4]]
+    assert spark.sql(f"select {url_filter.combinations_of('array(1, 2)', 3)} as c").first().c == []
 
 
 # -- 3: PII ---------------------------------------------------------------------------------------
