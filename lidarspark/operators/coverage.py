@@ -78,6 +78,18 @@ def _normals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), *map(pa.array, mid.T.copy()), *map(pa.array, normal.T.copy())], ["node", "px", "py", "pz", "nx", "ny", "nz"])
 
 
+def lattice(spark, grid: Grid, step: float = 10.0) -> DataFrame:
+    """(node, gx, gy, easting, northing) of a coarse lattice over the grid, x running fastest."""
+    n, m = (max(1, ceil((hi - lo) / step)) for lo, hi in ((grid.xmin, grid.xmax), (grid.ymin, grid.ymax)))
+    nodes = spark.range(n * m).select(F.col("id").alias("node"), F.expr(f"cast(id % {n} as int)").alias("gx"), F.expr(f"cast(id div {n} as int)").alias("gy"))
+    return nodes.withColumn("easting", spaced("gx", grid.xmin, grid.xmax, n)).withColumn("northing", spaced("gy", grid.ymin, grid.ymax, m))
+
+
+def near_nodes(spark, grid: Grid, points: DataFrame, step: float = 10.0, k: int = 64) -> DataFrame:
+    """The k nearest points with an altitude of each node of the lattice."""
+    return knn_join(lattice(spark, grid, step), points.where("altitude is not null"), k, key="node", itself=True)
+
+
 def planes(spark, grid: Grid, points: DataFrame, step: float = 10.0, k: int = 64) -> DataFrame:
     """(node, gx, gy, px, py, pz, nx, ny, nz): a plane at each node of a coarse lattice over the grid.
 
@@ -85,10 +97,7 @@ def planes(spark, grid: Grid, points: DataFrame, step: float = 10.0, k: int = 64
     at once; a node with fewer than 6 points takes its nearest one and a level plane.
     Points without an altitude aren't used.
     """
-    n, m = (max(1, ceil((hi - lo) / step)) for lo, hi in ((grid.xmin, grid.xmax), (grid.ymin, grid.ymax)))
-    nodes = spark.range(n * m).select(F.col("id").alias("node"), F.expr(f"cast(id % {n} as int)").alias("gx"), F.expr(f"cast(id div {n} as int)").alias("gy"))
-    nodes = nodes.withColumn("easting", spaced("gx", grid.xmin, grid.xmax, n)).withColumn("northing", spaced("gy", grid.ymin, grid.ymax, m))
-    near = knn_join(nodes, points.where("altitude is not null"), k, key="node", itself=True)
+    nodes, near = lattice(spark, grid, step), near_nodes(spark, grid, points, step, k)
     spots = near.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("rank", "n_easting", "n_northing", "n_altitude"))).alias("spots"))  # k a node
     fitted = spots.mapInArrow(_normals, "node long, px double, py double, pz double, nx double, ny double, nz double")
     flat = [F.coalesce(c, d).alias(c) for c, d in (("px", F.col("easting")), ("py", F.col("northing")), ("pz", F.lit(0.0)), ("nx", F.lit(0.0)), ("ny", F.lit(0.0)), ("nz", F.lit(1.0)))]

@@ -7,6 +7,7 @@ the expressions of the Spark side; figures are rounded where the engines' last d
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ from ..operators import coverage, paths, spatial, summaries, terrain
 from ..operators.cuts import cut, scratch
 from ..operators.spatial import Box
 from ..schema import ANTENNAS, CLASS_LABELS, classifications, default_antennas
-from ..sources import las, snapshots, tables
+from ..session import Survey
+from ..sources import las, snapshots, sql, tables
 from ..sources.tables import CLOUD_SQL, antenna_list, cloud
 from ..streaming import changes
 
@@ -103,9 +105,14 @@ def zone_get_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.get_or_create_zones(modes, spark.createDataFrame([(1, "AIR"), (2, "RAIL")], "id int, label string"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{v}')" for k, v in CLASS_LABELS.items()) + ") t(code, label)")
+_LABELS = "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{v}')" for k, v in CLASS_LABELS.items()) + ") t(code, label)"
+
+
+@query(f"{_LABELS} UNION ALL SELECT DISTINCT p_size, concat('Own class ', p_size) FROM part WHERE p_size NOT IN (SELECT code FROM ({_LABELS}))")
 def classification_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.insert_or_ignore(classifications(spark), classifications(spark), "code")
+    """Classes that parts bring along are added; those that are there stay as they are."""
+    own = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_size as code", "concat('Own class ', p_size) as label")
+    return summaries.insert_or_ignore(classifications(spark), own, "code")
 
 
 # -- summaries ---------------------------------------------------------------------------------------
@@ -372,9 +379,33 @@ def antenna_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(angles.crossJoin(specs).select("id", "name", gain.alias("gain")), 6, "gain")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(repr(a[c]) if c != "notes" else "'" + a[c].replace("'", "''") + "'" for c in ("name", "model", "type", "notes", "gain_db", "hp_bw_deg", "vp_bw_deg", "freq_hz_min", "freq_hz_max")).replace('"', "'") + ")" for a in ANTENNAS) + ") t(name, model, type, notes, gain_db, hp_bw_deg, vp_bw_deg, freq_hz_min, freq_hz_max)")
+#: Antennas of a fleet: one for each nation, of which the first two bear the names of built-in ones.
+_FLEET = """SELECT CASE n_nationkey WHEN 0 THEN 'AMY-9M16' WHEN 1 THEN 'AM-5G20-90' ELSE n_name END AS name, concat('model ', n_regionkey) AS model, 'dish' AS type,
+CASE WHEN n_nationkey % 3 = 0 THEN 'remeasured' END AS notes, 10e0 + n_nationkey AS gain_db, 5e0 + n_regionkey AS hp_bw_deg, 7e0 AS vp_bw_deg, 1e9 + n_nationkey AS freq_hz_min, 2e9 + n_nationkey AS freq_hz_max"""
+_LISTED = ("name", "model", "type", "notes", "gain_db", "hp_bw_deg", "vp_bw_deg", "freq_hz_min", "freq_hz_max")
+
+
+def _quoted(v) -> str:
+    return "''" if v is None else repr(v) + "::DOUBLE" if isinstance(v, float) else "'" + v.replace("'", "''") + "'"
+
+
+def _fleet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The specs of the fleet as files of one antenna each, read with the built-in ones; each has a pattern by its nation's numbers."""
+    spark.read.parquet(f"{sf_dir}/nation.parquet").createOrReplaceTempView("_nation")
+    specs = spark.sql(f"{_FLEET}, array(array(0e0, 0e0), array(90e0, -1e0 * n_nationkey), array(270e0, -1e0 * n_regionkey)) AS azimuth_pattern FROM _nation")
+    folder = scratch(spark, "antennas")
+    specs.repartition(1).write.option("maxRecordsPerFile", 1).json(folder)  # a file a nation
+    return tables.antenna_configs(spark, folder)
+
+
+_BUILT = "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(_quoted(a[c]) for c in _LISTED) + ")" for a in ANTENNAS) + f") t({', '.join(_LISTED)})"
+_ALL_ANTENNAS = f"fleet AS ({_FLEET} FROM nation), antennas AS (SELECT * REPLACE (coalesce(notes, '') AS notes) FROM fleet UNION ALL SELECT * FROM ({_BUILT}) WHERE name NOT IN (SELECT name FROM fleet))"
+
+
+@query(f"WITH {_ALL_ANTENNAS} SELECT * FROM antennas")
 def antenna_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return antenna_list(default_antennas(spark))
+    """The listing of the fleet's antennas beside and in place of the built-in ones."""
+    return antenna_list(_fleet_files(spark, sf_dir))
 
 
 @query(
@@ -404,9 +435,12 @@ def _sites(spark: SparkSession) -> DataFrame:
     return bare.join(F.broadcast(specs), "ant_config", "left").withColumn("gain_db", F.coalesce("gain_db", F.lit(0.0))).withColumns({k: F.lit(v) for k, v in defaults.items()})
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({s[0]}, '{s[7]}', {16.0!r}::DOUBLE, {len(next(a for a in ANTENNAS if a['name'] == s[7])['azimuth_pattern'])})" for s in SITES) + ") t(tx, ant_config, gain_db, n_azimuth)")
+@query(f"WITH {_ALL_ANTENNAS} SELECT s_suppkey AS tx, 'NATION_' || (s_nationkey + CASE WHEN s_suppkey % 10 = 0 THEN 100 ELSE 0 END) AS ant_config, coalesce(gain_db, 0e0) AS gain_db, CASE WHEN gain_db IS NULL THEN -1 ELSE 3 END AS n_azimuth FROM supplier LEFT JOIN antennas ON name = 'NATION_' || (s_nationkey + CASE WHEN s_suppkey % 10 = 0 THEN 100 ELSE 0 END)")
 def tx_antenna_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sites(spark).select("tx", "ant_config", "gain_db", F.size("az").alias("n_azimuth"))
+    """Transmitters of all suppliers with the spec of their nation's antenna; unknown names are kept without one."""
+    specs = cut(_fleet_files(spark, sf_dir).select(F.col("name").alias("ant_config"), "gain_db", radio.normal_pattern(F.col("azimuth_pattern")).alias("az")))
+    bare = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey as tx", "concat('NATION_', s_nationkey + case when s_suppkey % 10 = 0 then 100 else 0 end) as ant_config")
+    return bare.join(specs, "ant_config", "left").select("tx", "ant_config", F.coalesce("gain_db", F.lit(0.0)).alias("gain_db"), F.coalesce(F.size("az"), F.lit(-1)).alias("n_azimuth"))
 
 
 def _rays(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -528,26 +562,16 @@ def utm_csv_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("id", F.col("id").cast("long"))
 
 
-#: Two specs as files: one beside the built-in ones, one in place of one.
-_FILED = (("ZZ-own", "own dish", "dish", None, 23.5, 7.0, 7.5, 5e9, 6e9), ("AMY-9M16", "AMY-9M16 rev B", "yagi", "remeasured", 15.5, 30.0, 30.0, 902e6, 928e6))
-_LISTED = ("name", "model", "type", "notes", "gain_db", "hp_bw_deg", "vp_bw_deg", "freq_hz_min", "freq_hz_max")
-
-
-def _quoted(v) -> str:
-    return "''" if v is None else repr(v) + "::DOUBLE" if isinstance(v, float) else "'" + v.replace("'", "''") + "'"
-
-
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_quoted, r)) + ")" for r in [*_FILED, *[tuple(a[c] for c in _LISTED) for a in ANTENNAS if a["name"] != "AMY-9M16"]]) + f") t({', '.join(_LISTED)})")
+@query(f"WITH {_ALL_ANTENNAS} SELECT type, count(*) AS n, sum(gain_db) AS gain_db, min(freq_hz_min) AS freq_hz_min, max(freq_hz_max) AS freq_hz_max, count(*) FILTER (WHERE notes <> '') AS noted FROM antennas GROUP BY type")
 def antenna_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = scratch(spark, "antennas")
-    for row in _FILED:
-        spark.createDataFrame([row], "name string, model string, type string, notes string, gain_db double, hp_bw_deg double, vp_bw_deg double, freq_hz_min double, freq_hz_max double").coalesce(1).write.mode("append").json(folder)
-    return antenna_list(tables.antenna_configs(spark, folder))
+    """The antennas of files and built-in ones by kind."""
+    kinds = antenna_list(_fleet_files(spark, sf_dir)).groupBy("type")
+    return kinds.agg(F.count("*").alias("n"), F.sum("gain_db").alias("gain_db"), F.min("freq_hz_min").alias("freq_hz_min"), F.max("freq_hz_max").alias("freq_hz_max"), F.count_if(F.col("notes") != "").alias("noted"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('AM-2G16-90', {i}, {a!r}::DOUBLE, {g!r}::DOUBLE)" for i, (a, g) in enumerate(next(a for a in ANTENNAS if a["name"] == "AM-2G16-90")["azimuth_pattern"])) + ") t(name, k, angle, gain)")
+@query("SELECT n_name AS name, k, CASE k WHEN 0 THEN 0e0 WHEN 1 THEN 90e0 ELSE 270e0 END AS angle, CASE k WHEN 0 THEN 0e0 WHEN 1 THEN -1e0 * n_nationkey ELSE -1e0 * n_regionkey END AS gain FROM nation, (SELECT unnest(range(3))::INTEGER AS k) WHERE n_name = 'NATION_7'")
 def antenna_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tables.antenna_named(tables.antenna_configs(spark), "AM-2G16-90")
+    found = tables.antenna_named(_fleet_files(spark, sf_dir), "NATION_7")
     return found.select("name", F.posexplode("azimuth_pattern").alias("k", "p")).select("name", "k", F.col("p")[0].alias("angle"), F.col("p")[1].alias("gain"))
 
 
@@ -644,13 +668,113 @@ def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(snapshots.read(spark, path), 6, *_METRICS)
 
 
-@query("SELECT * FROM (VALUES ('points', 13, 0::BIGINT), ('zones', 2, 1::BIGINT), ('classifications', 2, 24::BIGINT)) t(name, n_columns, n)")
+@query(f"{_CLOUD} SELECT 'points' AS name, 13 AS n_columns, count(*) AS n FROM points UNION ALL SELECT 'zones', 2, count(*) FROM region UNION ALL SELECT 'classifications', 2, {len(CLASS_LABELS)}")
 def create_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An empty store, created again after a zone was added: what is there stays."""
+    """An empty store, created again after a zone for each region and the cloud were added: what is there stays."""
     folder = scratch(spark, "store")
     tables.create(spark, folder)
-    spark.createDataFrame([(1, "12N")], "id int, label string").write.mode("append").parquet(f"{folder}/zones")
+    spark.read.parquet(f"{sf_dir}/region.parquet").selectExpr("r_regionkey as id", "r_name as label").write.mode("append").parquet(f"{folder}/zones")
+    bare = cloud(spark, sf_dir).withColumns({m: F.lit(None).cast("double") for m in _METRICS})
+    bare.write.mode("append").parquet(f"{folder}/points")
     tables.create(spark, folder)
     found = [spark.read.parquet(f"{folder}/{name}") for name in ("points", "zones", "classifications")]
     rows = [t.agg(F.lit(name).alias("name"), F.lit(len(t.columns)).alias("n_columns"), F.count("*").alias("n")) for name, t in zip(("points", "zones", "classifications"), found)]
     return rows[0].union(rows[1]).union(rows[2])
+
+
+# -- regions, sessions and SQL functions over the cloud -----------------------------------------------------
+
+
+def _inside(x0: str, x1: str, y0: str, y1: str) -> str:
+    return f"easting BETWEEN {x0} AND {x1} AND northing BETWEEN {y0} AND {y1}"
+
+
+@query(f"""{_CLOUD}, m AS (SELECT round((min(easting) + max(easting)) / 2e0, 3) AS cx, round((min(northing) + max(northing)) / 2e0, 3) AS cy FROM points)
+SELECT 'size' AS region, id FROM points, m WHERE {_inside("cx - 3e0", "cx + 3e0", "cy - 3e0", "cy + 3e0")}
+UNION ALL SELECT 'radius', id FROM points, m WHERE {_inside("cx - 4.5e0", "cx + 4.5e0", "cy - 4.5e0", "cy + 4.5e0")}
+UNION ALL SELECT 'span', id FROM points, m WHERE {_inside("cx - 9e0", "cx + 6e0", "cy - 3e0", "cy + 12e0")}""")
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of the regions about the middle of the cloud: by size, by radius, and spanning two places with a margin."""
+    points = cloud(spark, sf_dir)
+    x, y = points.agg(*[F.round((F.min(c) + F.max(c)) / 2.0, 3) for c in ("easting", "northing")]).first()
+    boxes = {"size": Box.around(x, y, 6.0 / 2), "radius": Box.around(x, y, 4.5), "span": Box.spanning((x + 4.0, y - 1.0), (x - 7.0, y + 10.0), 2.0)}
+    found = [spatial.in_box(points, box).select(F.lit(name).alias("region"), "id") for name, box in boxes.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query(f"{_CLOUD}, r AS (SELECT * FROM points WHERE {_inside('518810e0', '518826e0', '4252300e0', '4252308e0')}) SELECT count(*) AS n, round(avg(altitude), 6) AS cz, greatest(8, ceil((max(easting) - min(easting) + 4e0) / 1.5e0))::INTEGER AS nx, greatest(8, ceil((max(northing) - min(northing) + 4e0) / 1.5e0))::INTEGER AS ny, 2 AS txs, 0 AS cleared FROM r")
+def survey_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session: region, grid, two transmitters, and the same session without them."""
+    survey = Survey(cloud(spark, sf_dir)).load_box(518818.0, 4252304.0, 8.0)
+    survey = replace(survey, region=Box(518810.0, 518826.0, 4252300.0, 4252308.0)).set_grid(1.5, 2.0)
+    survey = survey.add_tx(518812.0, 4252302.0, ant_config="AM-2G16-90").add_tx(518820.0, 4252303.0)
+    grid, cleared = survey.grid, survey.clear_txs()
+    told = survey.summary().select("n", "cz", F.lit(grid.nx).alias("nx"), F.lit(grid.ny).alias("ny"), F.lit(survey.txs.count()).alias("txs"), F.lit(0 if cleared.txs is None else 1).alias("cleared"))
+    return rounded(told.withColumn("txs", F.col("txs").cast("int")), 6, "cz")
+
+
+@query(f"{_CLOUD}, s AS (SELECT *, ((id * 37) % 101) / 100e0 AS trav_score FROM points) SELECT id, trav_score FROM s WHERE trav_score >= 0.75e0 AND class_code = 2")
+def scored_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points by score and class from a table that is laid out by cell and score, compacted once."""
+    path, packed = scratch(spark, "scored"), scratch(spark, "packed")
+    tables.write_points(_scored(spark, sf_dir), path, files=8)
+    tables.compact(spark, path, packed, 2)
+    return tables.read_points(spark, packed).where("trav_score >= 0.75 and class_code = 2").select("id", "trav_score")
+
+
+@query(f"{_FILED_POINTS}, true AS ok FROM points")
+def las_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LAS files copied into another folder one by one, of which one that isn't there is told."""
+    las.register(spark)
+    source, target = scratch(spark, "las"), scratch(spark, "converted")
+    cloud(spark, sf_dir).select("easting", "northing", "altitude", "class_code").repartition(4).write.format("las").option("zone", "12N").mode("append").save(source)
+    paths = las.files_of(source)
+    told = cut(las.convert(spark, [*paths, f"{source}/missing.las"], target))
+    ok = told.where("ok").count() == len(paths) and told.where("not ok and error is not null").count() == 1
+    back = spark.read.format("las").load(target)
+    return rounded(back.select("easting", "northing", "altitude", "class_code", "zone", F.lit(ok).alias("ok")), 3, "easting", "northing", "altitude")
+
+
+@query(f"{_CLOUD} SELECT id, easting, northing, altitude, zone_id, class_code FROM points WHERE {_inside('518815.5e0', '518822.5e0', '4252298.5e0', '4252305.5e0')}")
+def sql_points_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql.register(cloud(spark, sf_dir), "_points")
+    return spark.sql("SELECT * FROM points_in(518819, 4252302, 3.5)")
+
+
+@query(f"{_CLOUD}, near AS (SELECT id, (easting - 518820e0) * (easting - 518820e0) + (northing - 4252302e0) * (northing - 4252302e0) AS d2 FROM points) SELECT row_number() OVER (ORDER BY d2, id)::INTEGER AS rank, id, round(d2, 8) AS d2 FROM near QUALIFY rank <= 25")
+def sql_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql.register(cloud(spark, sf_dir), "_points")
+    return rounded(spark.sql("SELECT * FROM nearest_to(518820, 4252302, 25)"), 8, "d2")
+
+
+@query(f"{_CLOUD}, {_PAIRS} SELECT id, count(*) AS n FROM pairs GROUP BY id")
+def sql_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql.register(cloud(spark, sf_dir), "_points")
+    return spark.sql("SELECT id, count(*) AS n FROM neighbours_within(1.0) GROUP BY id")
+
+
+@query(f"""{_CLOUD}, g AS ({_EXTENT}), k AS (SELECT *, greatest(1, ceil((xmax - xmin) / 10e0))::BIGINT AS n, greatest(1, ceil((ymax - ymin) / 10e0))::BIGINT AS m FROM g),
+nodes AS (SELECT gy * n + gx AS node, xmin + gx * CASE WHEN n > 1 THEN (xmax - xmin) / (n - 1) ELSE 0e0 END AS x, ymin + gy * CASE WHEN m > 1 THEN (ymax - ymin) / (m - 1) ELSE 0e0 END AS y FROM k, (SELECT unnest(range(n)) AS gx FROM k), (SELECT unnest(range(m)) AS gy FROM k)),
+near AS (SELECT node, easting, northing, altitude FROM nodes, points QUALIFY row_number() OVER (PARTITION BY node ORDER BY (easting - x) * (easting - x) + (northing - y) * (northing - y), id) <= 64)
+SELECT node, count(*) AS n, round(avg(easting), 5) AS px, round(avg(northing), 5) AS py, round(avg(altitude), 9) AS pz, true AS unit, true AS upward, true AS eigen, true AS least FROM near GROUP BY node""")
+def plane_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coarse planes, and whether each normal is of unit length, points up, and is the eigenvector of the least eigenvalue."""
+    points = cloud(spark, sf_dir)
+    grid = whole_grid(points)
+    found = cut(coverage.planes(spark, grid, points))
+    near = coverage.near_nodes(spark, grid, points)
+    off = near.join(found.select("node", "px", "py", "pz"), "node").select("node", *[(F.col(a) - F.col(b)).alias(c) for a, b, c in (("n_easting", "px", "x"), ("n_northing", "py", "y"), ("n_altitude", "pz", "z"))])
+    spread = off.groupBy("node").agg(F.count("*").alias("n"), *[F.avg(F.col(a) * F.col(b)).alias(f"s{a}{b}") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")])
+    v = {"x": F.col("nx"), "y": F.col("ny"), "z": F.col("nz")}
+    s = lambda a, b: F.col("s" + "".join(sorted(a + b)))
+    image = {a: s(a, "x") * v["x"] + s(a, "y") * v["y"] + s(a, "z") * v["z"] for a in "xyz"}
+    value = image["x"] * v["x"] + image["y"] * v["y"] + image["z"] * v["z"]
+    told = found.join(spread, "node").withColumn("value", value)
+    small = F.lit(1e-7) * (F.col("sxx") + F.col("syy") + F.col("szz") + 1e-9)
+    residual = F.sqrt(sum(((image[a] - F.col("value") * v[a]) * (image[a] - F.col("value") * v[a]) for a in "xyz"), F.lit(0.0)))
+    # without the least eigenvalue on its diagonal the matrix has no negative one: neither sum of minors is negative
+    left = {a: s(a, a) - F.col("value") for a in "xyz"}
+    minors = sum((left[a] * left[b] - s(a, b) * s(a, b) for a, b in ("xy", "xz", "yz")), F.lit(0.0))
+    length = F.sqrt(v["x"] * v["x"] + v["y"] * v["y"] + v["z"] * v["z"])
+    rows = told.select("node", "n", "px", "py", "pz", (F.abs(length - 1.0) < 1e-9).alias("unit"), (v["z"] >= 0).alias("upward"), (residual < small).alias("eigen"), ((left["x"] + left["y"] + left["z"] > -small) & (minors > -small * (F.col("sxx") + F.col("syy") + F.col("szz")))).alias("least"))
+    return rounded(rounded(rows, 5, "px", "py"), 9, "pz")  # a mean of 64 heights to the millimetre has 9 digits

@@ -22,7 +22,7 @@ from lidarspark.operators.spatial import Box
 from lidarspark.plans import registry
 from lidarspark.schema import ANTENNAS, POINTS, PROCESSED, default_antennas
 from lidarspark.session import Survey
-from lidarspark.sources import las, snapshots, tables
+from lidarspark.sources import las, snapshots, sql, tables
 from lidarspark.streaming import changes, tiles
 
 SF = "/root/testdata/sf0.001"
@@ -431,6 +431,22 @@ def grid_cloud(spark, n=200):
     return spark.range(n * n).selectExpr("id", f"id % {n} * 0.5d as easting", f"floor(id / {n}) * 0.5d as northing", "cast(id % 7 as double) as altitude")
 
 
+def test_sql_functions_reach_the_scan(spark, tmp_path):
+    cloud = grid_cloud(spark, 40)
+    cloud.write.parquet(str(tmp_path / "p"))
+    sql.register(spark.read.parquet(str(tmp_path / "p")), "_grid")
+    plan = lambda q: spark.sql(q)._jdf.queryExecution().executedPlan().toString()
+    box = plan("SELECT id FROM points_in(5, 5, 1)")
+    assert "PushedFilters: [IsNotNull(easting), IsNotNull(northing), GreaterThanOrEqual(easting,4.0)" in box
+    assert "altitude" not in box.split("ReadSchema")[1].split(">")[0]
+    assert "GreaterThanOrEqual(alt" in plan("SELECT * FROM points_between(2, 3)")
+    assert "TakeOrderedAndProject" in plan("SELECT * FROM nearest_to(5, 5, 4)") and "Cartesian" not in plan("SELECT * FROM neighbours_within(1.0)") and "NestedLoop" not in plan("SELECT * FROM neighbours_within(1.0)")
+    spans = spark.sql("SELECT id FROM points_spanning(5, 6, 3, 2, 0.5)").count()
+    assert spans == spatial.in_box(cloud, Box.spanning((5.0, 6.0), (3.0, 2.0), 0.5)).count() > 0
+    assert spark.sql("SELECT * FROM points_in(5, 5, NULL)").count() == 0
+    assert [r.id for r in spark.sql("SELECT id FROM nearest_to(0.1, 0, 2) ORDER BY rank").collect()] == [0, 1]
+
+
 def test_snapshots_open_few_files(spark, tmp_path):
     path, cloud = str(tmp_path / "s"), grid_cloud(spark)
     snapshots.append(cloud, path, rows=400)
