@@ -506,11 +506,12 @@ def drop_near_copies(docs: DataFrame, text_col: str = "text", **options) -> Data
     groups = near_copies(docs, text_col=text_col, **options)
     gone = groups.where("doc_id is not null and component_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("_least")).where("doc_id <> _least").select(F.col("doc_id").alias("_gone"))
     twice = cut(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_twice")).agg(F.count("*").alias("_n")).where("_n > 1").select("_twice"))
-    kept = docs.join(sent(cut(gone)), docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone, again = sent(cut(gone)), sent(twice)
+    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
     if twice.isEmpty():
         return kept
     plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
     order = F.struct(F.col(text_col).isNotNull().alias("a"), F.col(text_col).alias("b"), F.xxhash64(*plain).alias("c"))
-    again = kept.join(sent(twice), kept["doc_id"] == F.col("_twice"), "left_semi")
-    one = again.groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("_row")).select("_row.*")
-    return kept.join(sent(twice), kept["doc_id"] == F.col("_twice"), "left_anti").unionByName(one)
+    repeated = kept.join(again, kept["doc_id"] == again["_twice"], "left_semi")
+    one = repeated.groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("_row")).select("_row.*")
+    return kept.join(again, kept["doc_id"] == again["_twice"], "left_anti").unionByName(one)
