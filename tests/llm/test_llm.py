@@ -862,3 +862,41 @@ def test_pipeline(spark):
     assert {r.doc_id: r.decoded for r in got} == want and all(r.ids == sp.encode(r.decoded) for r in got)
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert len(set(want)) == len(want) < len(texts)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    docs = table(spark, "documents", SMALL)
+    for name in ("labels", "benchmark"):
+        table(spark, name, SMALL).write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs.where("false").write.parquet(str(tmp_path / "documents.parquet"))
+    assert cp.run(spark, str(tmp_path)).count() == 0
+    for _, stage in cp.STAGES:
+        assert stage(spark, docs.where("false"), SMALL).count() == 0
+
+
+def test_stages_keep_odd_rows_and_columns(spark):
+    rows = [(i, t, "en", "web", len(t or ""), "_", 7, None) for i, t in ODD]
+    odd_docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row string, _gone int, _twice string").withColumn("_id", F.lit(1)).withColumn("_n", F.lit(2))
+    kept = simhash.drop_near_copies(odd_docs)
+    assert kept.columns == odd_docs.columns
+    # 6 repeats the text of 1, 5 repeats itself
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, 3, 4, 5, None, 7, 8, 9], key=str)
+    labels, bench = table(spark, "labels", SMALL), table(spark, "benchmark", SMALL)
+    clashing = odd_docs.withColumn("score", F.lit("s")).withColumn("held_out", F.lit(9)).withColumn("pii", F.lit("p")).withColumn("_leak", F.lit(0))
+    assert toxicity.drop_toxic(clashing.unionByName(clashing.where("false")), labels).columns == clashing.columns
+    assert toxicity.toxicity(clashing, labels).count() == len(ODD)
+    assert toxicity.drop_toxic(clashing.where("false"), labels).count() == 0
+    assert decontaminate.decontaminate(clashing, bench).count() == len(ODD) and decontaminate.decontaminate(clashing.where("false"), bench).count() == 0
+    hidden = pii.pseudonymise_docs(clashing, b"k")
+    assert hidden.columns == clashing.columns and {r.pii for r in hidden.collect()} == {"p"}
+    assert pii.pseudonymise_docs(clashing, b"k", counts=True).schema["pii"].dataType.typeName() == "map"
+
+
+def test_plan_of_clashing_columns(spark, odd, tmp_path):
+    clashing = odd.withColumn("size", F.lit("x")).withColumn("h", F.lit(1)).withColumn("block", F.lit("y"))
+    planned = resharding.plan(clashing, shards=3)
+    assert planned.count() == len(ODD) and planned.agg(F.sum("size")).first()[0] == sum(len((t or "").encode()) + 8 for _, t in ODD)
+    path = str(tmp_path / "none")
+    assert resharding.rewrite(clashing.where("false"), planned.where("false"), path).count() == 0
