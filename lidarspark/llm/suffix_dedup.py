@@ -341,7 +341,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kep
     """
     spark = docs.sparkSession
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    source = source.withColumn("digest", F.unhex(F.md5("text")))
+    source = source.withColumn("digest", F.unhex(F.sha2("text", 256)))
     small = cut(source.select("doc_id", "doc", "digest", F.octet_length("text").cast("long").alias("n")))
     total = small.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // (block_bytes or BLOCK)))
