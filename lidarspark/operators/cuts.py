@@ -33,3 +33,15 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name for a table that is written and read again, in the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what the session has cut and put into scratch tables so far; what was made from it can't be read again.
+
+    For the end of a job. Within one, ``spark.cleaner.referenceTracking.cleanCheckpoints`` lets Spark
+    delete cuts that nothing refers to.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in system.listStatus(folder):
+        system.delete(status.getPath(), True)

@@ -61,8 +61,9 @@ def ndjson(points: DataFrame) -> DataFrame:
 
 
 def heatmap_json(raster: DataFrame, method: str = "Spark", seconds: float = 0.0) -> DataFrame:
-    """One row of JSON: the axes and the powers, x fastest. A raster is a picture, of bounded size."""
-    xs = F.array_sort(F.collect_set("x"))
-    ys = F.array_sort(F.collect_set("y"))
-    rssi = F.transform(F.array_sort(F.collect_list(F.struct("iy", "ix", "rssi_dbm"))), lambda r: r["rssi_dbm"])
-    return raster.agg(xs.alias("xs"), ys.alias("ys"), rssi.alias("rssi")).select(F.to_json(F.struct(F.lit("heatmap").alias("type"), F.struct("xs", "ys", "rssi").alias("grid"), F.lit(method).alias("simulation_method"), F.lit(seconds).alias("simulation_time"))).alias("json"))
+    """(iy, json): a line for each row of the raster with its y, its xs and its powers, and a first one, iy -1, that says what they are."""
+    spark = raster.sparkSession
+    head = spark.range(1).select(F.lit(-1).alias("iy"), F.to_json(F.struct(F.lit("heatmap").alias("type"), F.lit(method).alias("simulation_method"), F.lit(seconds).alias("simulation_time"))).alias("json"))
+    row = raster.groupBy("iy").agg(F.first("y").alias("y"), F.array_sort(F.collect_list(F.struct("ix", "x", "rssi_dbm"))).alias("r"))
+    line = F.struct("iy", "y", F.transform("r", lambda c: c["x"]).alias("xs"), F.transform("r", lambda c: c["rssi_dbm"]).alias("rssi"))
+    return head.unionByName(row.select("iy", F.to_json(line).alias("json")))

@@ -494,13 +494,13 @@ def coarse_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_direct_sql().replace("SELECT iy, ix, round(", "SELECT 'heatmap' AS type, (iy * (SELECT nx FROM g) + ix)::BIGINT AS at, round(any_value(x), 4) AS x, round(any_value(y), 4) AS y, round(").replace("power AS (SELECT tx, iy, ix,", "power AS (SELECT tx, iy, ix, x, y,"))
 def heatmap_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The JSON of the raster, read again: a row for each cell in its order."""
+    """The JSON lines of the raster, read again: a row for each cell in its order."""
     points = cloud(spark, sf_dir)
-    made = summaries.heatmap_json(coverage.coverage(points, _sites(spark), whole_grid(points), reflections=False))
-    read = made.select(F.from_json("json", "type string, grid struct<xs:array<double>,ys:array<double>,rssi:array<double>>").alias("j")).select("j.type", "j.grid.*")
-    cells = read.select("type", "xs", "ys", F.posexplode("rssi").alias("at", "rssi_dbm")).withColumn("at", F.col("at").cast("long"))
-    nx = F.size("xs")
-    placed = cells.select("type", "at", F.get("xs", (F.col("at") % nx).cast("int")).alias("x"), F.get("ys", F.floor(F.col("at") / nx).cast("int")).alias("y"), "rssi_dbm")
+    made = cut(summaries.heatmap_json(coverage.coverage(points, _sites(spark), whole_grid(points), reflections=False)))
+    head = F.broadcast(made.where("iy = -1").select(F.get_json_object("json", "$.type").alias("type")))  # one row
+    read = made.where("iy >= 0").select(F.from_json("json", "iy int, y double, xs array<double>, rssi array<double>").alias("j")).select("j.*")
+    cells = read.select("iy", "y", "xs", F.posexplode("rssi").alias("ix", "rssi_dbm")).crossJoin(head)
+    placed = cells.select("type", (F.col("iy") * F.size("xs") + F.col("ix")).cast("long").alias("at"), F.get("xs", "ix").alias("x"), "y", "rssi_dbm")
     return rounded(placed, 4, "x", "y", "rssi_dbm")
 
 

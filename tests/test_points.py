@@ -545,6 +545,17 @@ def test_stream_of_changes(spark, tmp_path):
     assert snapshots.versions(spark, path)[-1] == version
 
 
+def test_cleared_cuts(spark):
+    from lidarspark.operators import cuts
+
+    made = cut(spark.range(5))
+    folder = cuts.shared_folder(spark).removeprefix("file:")
+    spark.range(3).write.parquet(cuts.scratch(spark, "x"))
+    assert made.count() == 5 and len(os.listdir(folder)) >= 2
+    cuts.clear(spark)
+    assert os.listdir(folder) == [] and cut(spark.range(4)).count() == 4
+
+
 def test_antenna_files(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"gain_db": 3.0, "azimuth_pattern": [[0, 3]]}))
     (tmp_path / "b.json").write_text(json.dumps({"name": "AMY-9M16", "gain_db": 9.0}))
