@@ -702,6 +702,14 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
+@query(f"{_CLOUD} SELECT 'all' AS name, id FROM points WHERE {_BOX} UNION ALL SELECT 'ground', id FROM points WHERE {_BOX} AND class_code = 2 UNION ALL SELECT 'high', id FROM points WHERE {_BOX} AND altitude >= 1301e0")
+def spatial_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views of a box: all of it, its ground, and what is high."""
+    box = f"easting between {BOX.xmin!r} and {BOX.xmax!r} and northing between {BOX.ymin!r} and {BOX.ymax!r}"
+    tables.views(cloud(spark, sf_dir), {"_box": box, "_box_ground": f"{box} and class_code = 2", "_box_high": f"{box} and altitude >= 1301e0"})
+    return spark.sql("SELECT 'all' AS name, id FROM _box UNION ALL SELECT 'ground', id FROM _box_ground UNION ALL SELECT 'high', id FROM _box_high")
+
+
 @query(f"{_CLOUD}, r AS (SELECT * FROM points WHERE {_inside('518810e0', '518826e0', '4252300e0', '4252308e0')}) SELECT count(*) AS n, round(avg(altitude), 6) AS cz, greatest(8, ceil((max(easting) - min(easting) + 4e0) / 1.5e0))::INTEGER AS nx, greatest(8, ceil((max(northing) - min(northing) + 4e0) / 1.5e0))::INTEGER AS ny, 2 AS txs, 0 AS cleared FROM r")
 def survey_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A session: region, grid, two transmitters, and the same session without them."""
