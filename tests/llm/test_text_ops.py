@@ -141,6 +141,16 @@ def test_search_matches_brute_force(spark):
     assert index.where("term is null").count() == 7
 
 
+def test_items_in_many_blocks(spark, monkeypatch):
+    docs, items = table(spark, "documents").limit(300), table(spark, "benchmark").limit(12)
+    index = search.build_index(docs)
+    whole = rows_of(search.search(index, items), "item_id", "rank", "doc_id", "score")
+    monkeypatch.setattr(search, "BLOCK_BYTES", 500)
+    assert len(list(search._blocks(items))) > 3
+    assert rows_of(search.search(index, items), "item_id", "rank", "doc_id", "score") == whole
+    assert whole == plain_search([tuple(r) for r in docs.select("doc_id", "text").collect()], [tuple(r) for r in items.collect()])
+
+
 def test_best_documents_by_heap():
     rng = np.random.default_rng(4)
     for trial in range(60):
