@@ -9,13 +9,14 @@ sampled or not. The tree is some thousand leaves on the driver, whatever the siz
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import inf, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Points that the tree is cut from, and those of a leaf, at most.
 SAMPLE, LEAF = 1 << 16, 32
@@ -127,7 +128,7 @@ def finite(column: str):
 
 def with_leaf(df: DataFrame, leaves: Leaves, radius: np.ndarray | None = None) -> DataFrame:
     """``df`` with ``_leaf``; given the leaves' radii, also with ``_class``: 2 ** (class / 2) is what a place searches first."""
-    columns = f"{'_leaf int' if radius is None else '_leaf int, _class int'}"
+    columns, leaves = "_leaf int" if radius is None else "_leaf int, _class int", replace(leaves, above=[])  # tasks don't need the nodes above
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,6 +139,4 @@ def with_leaf(df: DataFrame, leaves: Leaves, radius: np.ndarray | None = None) -
                 more.append(pa.array(np.ceil(2 * np.log2(radius[leaf] + leaves.beyond(leaf, x, y))), pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *columns.replace(" int", "").split(", ")])
 
-    from pyspark.sql.types import StructType
-
     return df.mapInArrow(place, StructType([*df.schema.fields, *StructType.fromDDL(columns).fields]))

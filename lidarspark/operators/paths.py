@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cuts import cut
+from .cuts import cut, scratch
 from .density import finite, sample_leaves, with_leaf
 from .spatial import knn_join, nearest_point
 
 #: Points of a tile, which one task walks with a heap; as the tree's sample tells them.
 TILE = 20_000
+#: Bytes of a row group of edges, and tiles that are named to the scan one by one.
+ROW_GROUP, FEW_TILES = 1 << 23, 200
 
 
 def edge_cost(distance: Column, score: Column, penalty: float = 5.0) -> Column:
@@ -135,7 +137,11 @@ def search(edges: DataFrame, tiles: DataFrame, start: int, goal: int | None = No
     spark = edges.sparkSession
     tiles = tiles.select("id", "tile")
     ends = edges.select("src", "dst", "cost").join(tiles.withColumnsRenamed({"id": "src"}), "src").join(tiles.withColumnsRenamed({"id": "dst", "tile": "other"}), "dst")
-    links = cut(ends.select("tile", F.lit(_EDGE).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "cost", "other").repartition("tile"))
+    # sorted by tile in small row groups, so that a round reads about the tiles it walks
+    path = scratch(spark, "edges")
+    laid = ends.select("tile", F.lit(_EDGE).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "cost", "other").repartitionByRange("tile", "a").sortWithinPartitions("tile")
+    laid.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    links = spark.read.parquet(path)
     reached, bound = Reached(spark), inf
     home = tiles.where(F.col("id") == start).select("tile").limit(1).collect()
     active = [home[0].tile] if home else []
@@ -143,7 +149,8 @@ def search(edges: DataFrame, tiles: DataFrame, start: int, goal: int | None = No
     for i in range(most):
         if not active:
             return reached
-        own = links.join(F.broadcast(spark.createDataFrame([(t,) for t in active], "tile int")), "tile")
+        reach = F.col("tile").isin(active) if len(active) <= FEW_TILES else F.col("tile").between(active[0], active[-1])
+        own = links.where(reach).join(F.broadcast(spark.createDataFrame([(t,) for t in active], "tile int")), "tile").select("tile", "kind", "a", "b", "cost", "other")
         rows = own.unionByName(reached.of(active)).unionByName(offers)
         out = cut(rows.groupBy("tile").applyInArrow(_walk(start, goal, bound), _ROWS))
         reached.add(out, active)
