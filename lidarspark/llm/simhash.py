@@ -328,7 +328,7 @@ def similar_links(prints: np.ndarray, ends: np.ndarray, tiles: np.ndarray, cross
     sizes = np.diff(off)
     named = _places(hashes)
     mark = np.zeros(len(hashes), bool)
-    for a, b in bit_sliced_links(prints, ends, radius):
+    for a, b in bit_sliced_links(prints, ends, radius, 1 << 12):  # rows alike are pairs by the million
         few, many = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
         may = (few / many >= similarity) & ~(cross[a] & (tiles[a] == tiles[b]))
         a, b = a[may], b[may]
@@ -490,7 +490,13 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, keys:
     # of stars of the same members one is enough
     apart = members.groupBy("star").agg(F.count("*").alias("n"), F.sum(F.xxhash64("sig").cast("decimal(38)")).alias("s"), F.sum(F.xxhash64(F.lit(1), "sig").cast("decimal(38)")).alias("t"), (F.min("known") != F.max("known")).alias("apart")).where("apart")
     apart = apart.groupBy("n", "s", "t").agg(F.min("star").alias("star")).select("star")
-    rest = cut(members.join(apart, "star").join(one, "sig").select(F.col("star").alias("component"), "sig", "print", "name", "size", "known"))
+    # stars that share most of their rows are compared as one, others each by itself, whichever is fewer pairs
+    placed = connected_components(stars.join(apart, "star").select("a", "b")).withColumnRenamed("node", "sig")
+    placed = cut(members.join(apart, "star").join(placed, "sig").select("star", "sig", "known", "component"))
+    squares = placed.groupBy("component", "star").agg(F.count("*").alias("n")).groupBy("component").agg(F.sum(F.col("n") * F.col("n")).alias("squares"))
+    whole = placed.groupBy("component").agg(F.count_distinct("sig").alias("n")).join(squares, "component").where(F.col("n") * F.col("n") <= F.col("squares")).select("component", F.lit(True).alias("whole"))
+    rest = placed.join(whole, "component", "left").select(F.when(F.col("whole"), F.xxhash64("component")).otherwise(F.col("star")).alias("component"), "sig", "known").distinct()
+    rest = cut(rest.join(one, "sig").select("component", "sig", "print", "name", "size", "known"))
     links = sure.unionByName(verified(rest, texts_of(rest), words, radius, similarity))
     return group_rows(printed.select("doc_id", F.col("sig").alias("print")), links).select("doc_id", "component_id")
 
