@@ -33,6 +33,8 @@ STEP_CHARS, MANY = 1 << 20, 200
 MARK = "<|startoftext|>"
 #: White space at which a text may be cut: the tokenizer drops it, and no token reaches over it.
 _GAP = re.compile("[ \n\t\r]+")
+#: What ``str.split`` takes for white space and the tokenizer doesn't.
+_NO_GAPS = "\x1c\x1d\x1e\x1f"
 
 
 class WordIds:
@@ -49,34 +51,33 @@ class WordIds:
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> None:
-        """Words are parted by a special token, which no other text becomes; those that hold it go alone."""
-        plain = [w for w in words if MARK not in w]
+    def _coded(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words, which are parted by a special token that no other text becomes; those that hold it go alone."""
+        plain, out = [w for w in words if MARK not in w], {}
         for lo in range(0, len(plain), MANY):
             part = plain[lo : lo + MANY]
             ids = np.array(self.tokenizer.encode_batch_fast([MARK.join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends, raw = np.flatnonzero(ids == self.tokenizer.token_to_id(MARK)) * 4, ids.tobytes()
-            self.known.update(zip(part, [raw[i:j] for i, j in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)])]))
-        for w in words:
-            if MARK in w:
-                self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+            out.update(zip(part, [raw[i:j] for i, j in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)])]))
+        out.update((w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in words if MARK in w)
+        return out
 
     def encode_parts(self, parts: list[str]) -> list[bytes]:
         """The ids of texts that hold bounded characters together."""
-        split = [_GAP.split(p) for p in parts]
-        words = set().union(*split)
-        new = words.difference(self.known)
+        split = [_GAP.split(p) if any(c in p for c in _NO_GAPS) else p.split() for p in parts]
+        words = list(set().union(*split))
+        own = dict(zip(words, map(self.known.get, words)))
+        new = [w for w, ids in own.items() if ids is None]
         if len(self.known) + len(new) > CACHE:
-            self.known, self.old = {}, self.known
-            new = words
-        again = new.intersection(self.old)
-        self.known.update((w, self.old[w]) for w in again)
-        self._learn(list(new.difference(again)))
-        out = [b"".join(map(self.known.__getitem__, s)) for s in split]
-        for w in new:
-            if len(w) > CACHED_CHARS:
-                del self.known[w]
-        return out
+            self.old, self.known = self.known, {w: ids for w, ids in own.items() if ids is not None}
+        again = {w: self.old[w] for w in new if w in self.old}
+        made = self._coded([w for w in new if w not in again])
+        for found in (again, made):
+            own.update(found)
+            self.known.update(found)
+        for w in [w for w in made if len(w) > CACHED_CHARS]:
+            del self.known[w]
+        return [b"".join(map(own.__getitem__, s)) for s in split]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts, owners, size = [], [], 0
