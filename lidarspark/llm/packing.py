@@ -26,11 +26,11 @@ from .common import cut, partitions, slices, text_array
 #: Tokens of a sequence, and the id that ends a document.
 WIDTH, END = 4096, 2
 #: Words whose ids a task keeps, twice at most, and the longest of them in characters.
-CACHE, CACHED_CHARS = 1 << 19, 64
+CACHE, CACHED_CHARS = 3 << 18, 64
 #: Characters that are cut into words in one step, and words that are encoded in one.
-STEP_CHARS, MANY = 1 << 20, 200
-#: A special token of the tokenizer, whose text is never anything else's.
-MARK = "<|startoftext|>"
+STEP_CHARS, MANY = 1 << 20, 400
+#: A sign that is a token of its own between spaces, and that of no word without it.
+MARK = "^"
 #: White space at which a text may be cut: the tokenizer drops it, and no token reaches over it.
 _GAP = re.compile("[ \n\t\r]+")
 #: What ``str.split`` takes for white space and the tokenizer doesn't.
@@ -48,18 +48,19 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _coded(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words, which are parted by a special token that no other text becomes; those that hold it go alone."""
-        plain, out = [w for w in words if MARK not in w], {}
+        """The ids of words, which are parted by the sign; those that hold it go alone, and so do all if it is more than a token."""
+        plain, out = [w for w in words if MARK not in w and len(self.mark) == 1], {}
         for lo in range(0, len(plain), MANY):
             part = plain[lo : lo + MANY]
-            ids = np.array(self.tokenizer.encode_batch_fast([MARK.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends, raw = np.flatnonzero(ids == self.tokenizer.token_to_id(MARK)) * 4, ids.tobytes()
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends, raw = np.flatnonzero(ids == self.mark[0]) * 4, ids.tobytes()
             out.update(zip(part, [raw[i:j] for i, j in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)])]))
-        out.update((w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in words if MARK in w)
+        out.update((w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in words if MARK in w or len(self.mark) != 1)
         return out
 
     def encode_parts(self, parts: list[str]) -> list[bytes]:

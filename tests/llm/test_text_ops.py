@@ -261,7 +261,7 @@ def test_long_texts_are_encoded_in_steps(monkeypatch):
         monkeypatch.setattr(packing, "CACHE", cache)
         monkeypatch.setattr(packing, "MANY", many)
         words = packing.WordIds(packing.default_path())
-        texts = ["some words, and\tmore of them " * 9 + "longword" * 20 + "\nend", "", " ", "x<|startoftext|>y some <|endoftext|>", "<|startoftext|> <|startoftext|>", "words, and them " * 30]
+        texts = ["some words, and\tmore of them " * 9 + "longword" * 20 + "\nend", "", " ", "x<|startoftext|>y some <|endoftext|>", "<|startoftext|> <|startoftext|>", "words, and them " * 30, "a^b ^ ^^ c", "^"]
         for _ in range(2):
             got = [np.frombuffer(ids, "<u4").tolist() for ids in words.encode(texts)]
             assert got == [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
