@@ -28,7 +28,7 @@ def edge_cost(distance: Column, score: Column, penalty: float = 5.0) -> Column:
 
 def knn_edges(points: DataFrame, k: int = 8) -> DataFrame:
     """(src, dst, dist): each point and its k nearest others; directed, ties by id."""
-    near = knn_join(points.select("id", "easting", "northing"), points, k, keep=("id", "easting", "northing"))
+    near = knn_join(points.select("id", "easting", "northing"), points, k, keep=("id",))
     return near.select(F.col("id").alias("src"), F.col("n_id").alias("dst"), F.sqrt("d2").alias("dist"))
 
 

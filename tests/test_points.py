@@ -182,6 +182,23 @@ def test_knn_of_heaped_and_odd_points(spark):
     assert spatial.knn_join(far.where("false"), cloud, 3).count() == 0 and spatial.knn_join(far, cloud.where("false"), 3).count() == 0
 
 
+def test_knn_search_gives_a_row_a_probe(spark):
+    """A search returns each probe once with at most k, so that no other pair is shuffled, sorted or written."""
+    xy = patches(500, [(0, 0), (900, 40)])
+    cloud = points(spark, [(*p, 0) for p in xy.tolist()])
+    leaves = density.sample_leaves(cloud)
+    there, ask = density.with_leaf(cloud, leaves), density.with_leaf(cloud.select("id", "easting", "northing"), leaves, leaves.radius(9))
+    classes = [r["_class"] for r in ask.select("_class").distinct().collect()]
+    sent = {(leaf, c) for leaf in range(len(leaves.counts)) for c in classes}
+    found = {r.id: r for r in spatial._nearest(ask, there, sent, ("id",), 8, "id").collect()}
+    assert len(found) == len(xy)
+    for i in range(0, len(xy), 20):
+        d = ((xy - xy[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        want = [int(j) for j in np.lexsort((np.arange(len(xy)), d))[:8]]
+        assert found[i].n_id == want[: len(found[i].n_id)] and found[i].d2 == d[found[i].n_id].tolist()
+
+
 def test_leaves_cover_the_plane():
     xy = patches(3000, [(0, 0), (1e5, 3.0)])
     leaves = density.cut_leaves(xy, 6000, (0.0, 0.0, 1e5, 60.0))
