@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import radio
-from .spatial import knn_join, nearest_point
+from .spatial import TILE_RADII, cell, knn_join, nearest_point, reached
 
 #: Columns of a transmitter, in SQL types.
 TX = "tx int, x double, y double, h_m double, power_dbm double, freq_hz double, heading_deg double, gain_db double, az array<struct<angle:double,gain:double>>, el array<struct<angle:double,gain:double>>, aperture_m double, eps_r double, roughness_m double, reflect boolean, rx_aperture_m double, n_freq int, frac double"
@@ -115,36 +115,32 @@ def nearest_node(cells: DataFrame, grid: Grid, step: float = 10.0) -> DataFrame:
     return cells.withColumn("node", index("y", grid.ymin, grid.ymax, m) * n + index("x", grid.xmin, grid.xmax, n))
 
 
-def ceilings(points: DataFrame, radius: float) -> DataFrame:
-    """(jx, jy, ceiling): the greatest height of points in each cell of the radius and its eight neighbours; cells without any are absent."""
-    side = lambda c: F.floor(F.col(c) / F.lit(float(radius))).cast("long")
-    tops = points.select(side("easting").alias("px"), side("northing").alias("py"), "altitude").groupBy("px", "py").agg(F.max("altitude").alias("top"))
-    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
-    return tops.withColumn("jx", around("px")).withColumn("jy", around("py")).groupBy("jx", "jy").agg(F.max("top").alias("ceiling"))
+def tops(held: DataFrame) -> DataFrame:
+    """(jx, jy, ceiling): the greatest height of the points that reach into each tile; tiles without any are absent."""
+    return held.groupBy("jx", "jy").agg(F.max("oz").alias("ceiling"))
 
 
 def diffraction(pairs: DataFrame, points: DataFrame, samples: int = 8, radius: float = 0.6, clearance: float = 0.05, extra_db: float = 15.0) -> DataFrame:
     """(tx, cell, loss): the worst knife-edge loss over samples of each ray; rays without obstacles are absent.
 
-    A sample first meets the ceiling of its cell, one row; the few that lie below it then meet the
-    points near them, by an equi-join on the cells that reach above the sample.
+    A sample is in one tile, a point in each that it reaches into. A sample first meets the ceiling of
+    its tile, one row; those that lie below it then meet the points there. A higher point never has
+    a lower loss, so that the points' losses go into one aggregate by ray.
     """
-    r = F.lit(float(radius))
-    side = lambda c: F.floor(c / r).cast("long")
+    r, wide = F.lit(float(radius)), TILE_RADII * radius
     t = F.expr(f"transform(sequence(0, {samples - 1}), i -> 0.1d + i * {0.8 / (samples - 1)!r}d)")
     ray = pairs.select("tx", "cell", "tx_x", "tx_y", "tx_h", "x", "y", "z", "lam", "d", F.explode(t).alias("t"))
     along = lambda a, b: F.col(a) + F.col("t") * (F.col(b) - F.col(a))
     at = ray.select("tx", "cell", "t", "lam", "d", along("tx_x", "x").alias("sx"), along("tx_y", "y").alias("sy"), along("tx_h", "z").alias("sz"))
-    low = at.withColumn("jx", side(F.col("sx"))).withColumn("jy", side(F.col("sy"))).join(ceilings(points, radius), ["jx", "jy"]).where(F.col("ceiling") > F.col("sz") + clearance)
-    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
-    low = low.drop("ceiling").withColumn("jx", around("jx")).withColumn("jy", around("jy"))
-    there = points.select(side(F.col("easting")).alias("jx"), side(F.col("northing")).alias("jy"), F.col("easting").alias("ox"), F.col("northing").alias("oy"), F.col("altitude").alias("oz"))
+    at = at.withColumn("jx", cell(F.col("sx"), wide)).withColumn("jy", cell(F.col("sy"), wide))
+    held = points.select(reached(F.col("easting"), wide, radius).alias("jx"), F.col("easting").alias("ox"), F.col("northing").alias("oy"), F.col("altitude").alias("oz"))
+    held = held.select("jx", reached(F.col("oy"), wide, radius).alias("jy"), "ox", "oy", "oz")
+    low = at.join(tops(held), ["jx", "jy"]).where(F.col("ceiling") > F.col("sz") + clearance).drop("ceiling")
     dx, dy = F.col("ox") - F.col("sx"), F.col("oy") - F.col("sy")
-    hit = low.join(there, ["jx", "jy"]).where((dx * dx + dy * dy <= r * r) & (F.col("oz") > F.col("sz") + clearance))
-    top = hit.groupBy("tx", "cell", "t").agg(F.max("oz").alias("top"), *[F.first(c).alias(c) for c in ("sz", "d", "lam")])
+    hit = low.join(held, ["jx", "jy"]).where((dx * dx + dy * dy <= r * r) & (F.col("oz") > F.col("sz") + clearance))
     d1 = F.col("d") * F.col("t")
-    loss = radio.knife_edge_loss(F.col("top") - F.col("sz"), d1, F.col("d") - d1, F.col("lam")) + extra_db
-    return top.withColumn("loss", loss).groupBy("tx", "cell").agg(F.max("loss").alias("loss"))
+    loss = radio.knife_edge_loss(F.col("oz") - F.col("sz"), d1, F.col("d") - d1, F.col("lam")) + extra_db
+    return hit.select("tx", "cell", loss.alias("loss")).groupBy("tx", "cell").agg(F.max("loss").alias("loss"))
 
 
 def fields(rays: DataFrame) -> DataFrame:

@@ -199,6 +199,29 @@ def test_knn_search_gives_a_row_a_probe(spark):
         assert found[i].n_id == want[: len(found[i].n_id)] and found[i].d2 == d[found[i].n_id].tolist()
 
 
+def test_rays_meet_points_by_tile(spark):
+    """Losses are those of all samples with all points; ceilings are a row for each tile, not for each cell and its neighbours."""
+    rng = np.random.default_rng(11)
+    xyz = np.column_stack([rng.random((1500, 2)) * 20, rng.random(1500) * 4])
+    cloud = points(spark, xyz.tolist())
+    ends = [(0, c, 1.0, 1.0, 3.0, *(rng.random(2) * 20).tolist(), 2.0) for c in range(30)]
+    rays = spark.createDataFrame(ends, "tx int, cell long, tx_x double, tx_y double, tx_h double, x double, y double, z double").withColumn("lam", F.lit(0.125)).withColumn("d", F.expr("sqrt(pow(x - tx_x, 2) + pow(y - tx_y, 2) + pow(z - tx_h, 2))"))
+    got = {r.cell: r.loss for r in coverage.diffraction(rays, cloud).collect()}
+    want = {}
+    for _, c, ax, ay, az, bx, by, bz in ends:
+        d = math.dist((ax, ay, az), (bx, by, bz))
+        for t in 0.1 + np.arange(8) * 0.8 / 7:
+            at = np.array([ax, ay, az]) + t * (np.array([bx, by, bz]) - [ax, ay, az])
+            near = xyz[(((xyz[:, :2] - at[:2]) ** 2).sum(axis=1) <= 0.36) & (xyz[:, 2] > at[2] + 0.05)]
+            for h in near[:, 2] - at[2]:
+                w = h * math.sqrt(2 * d / (0.125 * d * t * (d - d * t))) - 0.1
+                want[c] = max(want.get(c, 0), 15 + max(0, 6.9 + 20 * math.log10(math.sqrt(w * w + 1) + w)))
+    assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-9 for c in want)
+    tile = spatial.TILE_RADII * 0.6
+    held = cloud.select(spatial.cell(F.col("easting"), tile).alias("jx"), spatial.cell(F.col("northing"), tile).alias("jy"), F.col("altitude").alias("oz"))
+    assert coverage.tops(held).count() <= 81
+
+
 def test_leaves_cover_the_plane():
     xy = patches(3000, [(0, 0), (1e5, 3.0)])
     leaves = density.cut_leaves(xy, 6000, (0.0, 0.0, 1e5, 60.0))
