@@ -19,6 +19,8 @@ from ..operators.spatial import Box, cell, in_box
 
 #: Metres of a cell of the curve, and rows of a file, about.
 SIDE, ROWS = 1.0, 4_000_000
+#: Tasks that write at least, if there are as many files, and files of a task beyond them.
+TASKS, FILES_A_TASK = 200, 64
 INDEX = "file string, rows bigint, bytes bigint, xmin double, xmax double, ymin double, ymax double, batch bigint"
 
 
@@ -65,8 +67,10 @@ def _write(spark: SparkSession, path: str, points: DataFrame, rows: int, side: f
     """The index rows of ``points`` as new files along the curve."""
     folder, points = f"data/{uuid4().hex}", cut(points)
     key = z_key(F.col("easting"), F.col("northing"), side).alias("_z")
-    laid = points.select("*", key).repartitionByRange(max(1, -(-points.count() // rows)), "_z", "id").sortWithinPartitions("_z", "id").drop("_z")
-    laid.write.parquet(f"{path}/{folder}")
+    wanted = max(1, -(-points.count() // rows))
+    tasks = min(wanted, max(TASKS, wanted // FILES_A_TASK))  # what a task tells the driver is paid once for several files
+    laid = points.select("*", key).repartitionByRange(tasks, "_z", "id").sortWithinPartitions("_z", "id").drop("_z")
+    (laid.write.option("maxRecordsPerFile", rows) if tasks < wanted else laid.write).parquet(f"{path}/{folder}")
     back = spark.read.schema(points.schema).parquet(f"{path}/{folder}").select("easting", "northing", F.concat(F.lit(f"{folder}/"), F.col("_metadata.file_name")).alias("file"), F.col("_metadata.file_size").alias("bytes"))
     ends = [f(c).alias(f"{a}{f.__name__}") for c, a in (("easting", "x"), ("northing", "y")) for f in (F.min, F.max)]
     found = back.groupBy("file").agg(F.count("*").alias("rows"), F.max("bytes").alias("bytes"), *ends)
@@ -92,11 +96,23 @@ def append(points: DataFrame, path: str, batch: int | None = None, rows: int = R
     return _commit(spark, path, files(spark, path).drop("batch").unionByName(_write(spark, path, points, rows, side)), batch)
 
 
+def _folders(spark: SparkSession, path: str, names: list[str]) -> list[str]:
+    """The files, with a folder in place of its files where all it holds are named: many paths are listed by a task each."""
+    own: dict[str, list[str]] = {}
+    for name in names:
+        own.setdefault(name.rsplit("/", 1)[0], []).append(name)
+    out = []
+    for folder, some in own.items():
+        system, where = _system(spark, f"{path}/{folder}/part-*")
+        out += [folder] if len(some) > 1 and len(some) == len(system.globStatus(where) or ()) else some
+    return out
+
+
 def open_files(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
     """The points of some files of the index; their columns if there are none of them."""
     some = [r.file for r in index.where("rows > 0").select("file").collect()]  # names of files, not of points
     if some:
-        return spark.read.parquet(*[f"{path}/{f}" for f in some])
+        return spark.read.parquet(*[f"{path}/{f}" for f in _folders(spark, path, some)])
     any_file = files(spark, path).select("file").first()
     if any_file is None:
         raise ValueError(f"{path}: no snapshot")

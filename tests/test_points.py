@@ -222,6 +222,19 @@ def test_rays_meet_points_by_tile(spark):
     assert coverage.tops(held).count() <= 81
 
 
+def test_snapshot_tasks_write_several_files(spark, tmp_path, monkeypatch):
+    """Many files come from few tasks, in files of no more rows than asked for, and are read by their folder."""
+    monkeypatch.setattr(snapshots, "TASKS", 2)
+    path = str(tmp_path / "table")
+    rng = np.random.default_rng(4)
+    snapshots.append(points(spark, [(*p, 0) for p in (rng.random((2000, 2)) * 40).tolist()]), path, rows=50)
+    index = snapshots.files(spark, path).collect()
+    assert len(index) >= 40 and max(r.rows for r in index) <= 50 and sum(r.rows for r in index) == 2000
+    assert len({r.file.split("/part-")[1][:5] for r in index}) == 2
+    assert len(snapshots._folders(spark, path, [r.file for r in index])) == 1 and len(snapshots._folders(spark, path, [r.file for r in index[:3]])) == 3
+    assert snapshots.read(spark, path).select("id").distinct().count() == 2000
+
+
 def test_leaves_cover_the_plane():
     xy = patches(3000, [(0, 0), (1e5, 3.0)])
     leaves = density.cut_leaves(xy, 6000, (0.0, 0.0, 1e5, 60.0))
