@@ -274,6 +274,15 @@ def test_mined_rules_are_all_rules(spark):
     assert got == pytest.approx(want) and {len(t) for t, _ in got} == {1, 2, 3}
 
 
+def test_url_rules_of_any_number_of_tokens(spark):
+    """Four tokens decide only together: no rule of three of them is sure, the one of four is found if asked for."""
+    sets = [["a", "b", "c", "d"]] * 4 + [[x for x in "abcd" if x != gone] for gone in "abcd"] * 3
+    rows = [(tokens, "block" if len(tokens) == 4 else "allow") for tokens in sets]
+    labelled = spark.createDataFrame(rows, "tokens array<string>, label string")
+    rules = lambda together: {tuple(r.tokens) for r in url_filter.mine(labelled, 0.05, 0.8, together=together).where("label = 'block'").collect()}
+    assert rules(3) == set() and rules(None) == {("a", "b", "c", "d")}
+
+
 def test_three_tokens_decide(spark):
     """Blocked are the URLs with all of a, b and c, or with none but one of them; neither a token nor a pair tells."""
     labels, pages = [], []
