@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.cuts import cut
 from ..operators.spatial import cell
 from ..operators.terrain import terrain_metrics
 from ..schema import POINTS
@@ -38,13 +39,14 @@ def around(points: DataFrame, places: DataFrame, radius: float) -> tuple[DataFra
         low, high = ends[f"min_{c}"], ends[f"max_{c}"]
         points = points.where("false") if low is None else points.where(F.col(c).between(low - 3 * radius, high + 3 * radius))
 
-    def ring(reach: int) -> DataFrame:
-        side = lambda c: F.explode(F.sequence(cell(F.col(c), radius) - reach, cell(F.col(c), radius) + reach))
-        return places.select(side("easting").alias("_x"), "northing").select("_x", side("northing").alias("_y")).distinct()
-
-    here = points.withColumn("_x", cell(F.col("easting"), radius)).withColumn("_y", cell(F.col("northing"), radius))
-    own, halo = (here.join(ring(n), ["_x", "_y"], "left_semi").drop("_x", "_y") for n in (1, 2))
-    return own, halo
+    span = lambda c: F.explode(F.sequence(F.col(c) - 2, F.col(c) + 2))
+    cells = places.select(cell(F.col("easting"), radius).alias("_cx"), cell(F.col("northing"), radius).alias("_cy")).distinct()
+    ring = cells.withColumn("_x", span("_cx")).withColumn("_y", span("_cy"))
+    close = (F.abs(F.col("_x") - F.col("_cx")) <= 1) & (F.abs(F.col("_y") - F.col("_cy")) <= 1)
+    ring = ring.groupBy("_x", "_y").agg(F.max(close).alias("_own"))
+    # both are read from one join
+    met = cut(points.withColumn("_x", cell(F.col("easting"), radius)).withColumn("_y", cell(F.col("northing"), radius)).join(ring, ["_x", "_y"]).drop("_x", "_y"))
+    return met.where("_own").drop("_own"), met.drop("_own")
 
 
 def touched(points: DataFrame, new: DataFrame, radius: float) -> DataFrame:
