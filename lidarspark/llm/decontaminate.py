@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shingler, slices, text_array
+from .common import Shingler, lean, shingled, slices, text_array
 
 #: MinHash functions. A pair at Jaccard j is missed with probability (1 - j)**HASHES: 4e-5 at 0.19, 1e-6 at 0.25.
 HASHES = 48
@@ -151,12 +151,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, threshol
                 got: list[tuple[int, int, float]] = []
                 for lo, hi in slices(texts):
                     part = texts.slice(lo, hi - lo)
-                    got += [(lo + d, i, s) for d, i, s in index.value.search(*own(part))]
+                    got += [(lo + d, i, s) for d, i, s in index.value.search(*shingled(own, part))]
                     for n, shingle in short.items():
-                        got += [(lo + d, i, s) for d, i, s in index.value.search_runs(n, *shingle(part))]
+                        got += [(lo + d, i, s) for d, i, s in index.value.search_runs(n, *shingled(shingle, part))]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array([g[0] for g in got], pa.int64())), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.float64())], ["doc_id", "item_id", "containment"])
 
-        found = source.mapInArrow(search, "doc_id long, item_id long, containment double")
+        found = source.mapInArrow(lean(search), "doc_id long, item_id long, containment double")
         out = found if out is None else out.union(found)
     return out
 

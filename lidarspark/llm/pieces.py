@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, text_array
+from .common import cut, lean, text_array
 
 SPACE = "▁"
 #: A word of a line: a run of spaces with what follows up to the next space.
@@ -290,7 +290,7 @@ def word_counts(docs: DataFrame, model: Model, text_col: str = "text", flush: in
                     yield out()
         yield out()
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(lean(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(counts: DataFrame, most: int = DICTIONARY) -> DataFrame:
@@ -376,7 +376,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 counts = pa.array([None if b is None else len(b) // 4 for b in blobs], pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 500), lists, counts, pa.array(decoded, pa.string())], ["doc_id", "ids", "n_pieces", "decoded"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_pieces int, decoded string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "doc_id long, ids array<int>, n_pieces int, decoded string")
 
 
 def default_model() -> str:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shingler, cut, mix64, partitions, sent, slices, spread_join, text_array, text_bytes, union
+from .common import Shingler, cut, lean, mix64, partitions, sent, slices, spread_join, text_array, text_bytes, union
 from .components import connected_components
 
 #: Bytes of text whose shingles are spread into bits at once: 64 or 256 bytes for each shingle.
@@ -223,7 +223,7 @@ def linked(keyed: DataFrame, radius: int, tile: int = TILE, width: int | None =
             yield pa.RecordBatch.from_arrays([column.take(moved_rows), column.take(pa.array(labels[moved])), *[piece.column(c).take(moved_rows) for c in group]], ["a", "b", *group])
 
     # by print, so that the centre of rows that meet in several buckets is the same in all
-    return pairs.repartition(n, *group).sortWithinPartitions(*group, "print").mapInArrow(compare, "a binary, b binary, tab int, key long, i int, j int")
+    return pairs.repartition(n, *group).sortWithinPartitions(*group, "print").mapInArrow(lean(compare), "a binary, b binary, tab int, key long, i int, j int")
 
 
 def _changes(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
@@ -278,7 +278,7 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4, id_col:
             rows = np.concatenate(done) if done else np.zeros((0, 8), np.uint8)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "print"])
 
-    printed = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(prints, "doc_id long, print binary"))
+    printed = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(prints), "doc_id long, print binary"))
     distinct = printed.select("print").distinct()
     tables = block_tables(printed.select(F.approx_count_distinct("print")).first()[0], radius)
 
@@ -288,7 +288,7 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4, id_col:
             for t, key in enumerate(_pigeonhole(rows, tables)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, np.int32)), pa.array(key), batch.column(0)], ["tab", "key", "print"])
 
-    links = linked(distinct.mapInArrow(keys, "tab int, key long, print binary"), radius)
+    links = linked(distinct.mapInArrow(lean(keys), "tab int, key long, print binary"), radius)
     return group_rows(printed, links).select("doc_id", F.lower(F.hex("print")).alias("fingerprint"), "component_id")
 
 
@@ -400,7 +400,7 @@ def star_links(links: DataFrame, rows: DataFrame, texts: DataFrame, words: int,
             found = pa.array(np.flatnonzero(same))
             yield pa.RecordBatch.from_arrays([piece.column("sig").take(found), piece.column("centre").take(found)], ["a", "b"])
 
-    return pairs.repartition(n, *group).sortWithinPartitions(*group, "kind").mapInArrow(compare, "a binary, b binary")
+    return pairs.repartition(n, *group).sortWithinPartitions(*group, "kind").mapInArrow(lean(compare), "a binary, b binary")
 
 
 def verified(candidates: DataFrame, texts: DataFrame, words: int, radius: int, similarity: float, tile: int = TILE) -> DataFrame:
@@ -431,7 +431,7 @@ def verified(candidates: DataFrame, texts: DataFrame, words: int, radius: int, s
             column = piece.column("sig")
             yield pa.RecordBatch.from_arrays([column.take(pa.array(moved)), column.take(pa.array(labels[moved]))], ["a", "b"])
 
-    return pairs.repartition(n, *group).sortWithinPartitions(*group).mapInArrow(compare, "a binary, b binary")
+    return pairs.repartition(n, *group).sortWithinPartitions(*group).mapInArrow(lean(compare), "a binary, b binary")
 
 
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, keys: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -471,7 +471,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, keys:
                 )
 
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.unhex(F.md5(F.col(text_col))).alias("name"))
-    printed = cut(named.mapInArrow(prints, "doc_id long, sig binary, print binary, mins array<long>, name binary, size int"))
+    printed = cut(named.mapInArrow(lean(prints), "doc_id long, sig binary, print binary, mins array<long>, name binary, size int"))
     # texts of equal sets are one row from here on; a print carries its set's name
     keyed = printed.select(F.posexplode("mins").alias("tab", "key"), F.concat("print", "sig").alias("print")).distinct()
     sig = lambda c: F.substring(c, 33, 16).alias(c)

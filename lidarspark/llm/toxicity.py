@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_array
+from .common import lean, text_array
 
 #: Labelled rows that are learned from at most, taken in the order of a hash of doc_id.
 TRAIN_ROWS = 20_000
@@ -249,7 +249,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
                 got = shared.value(texts.slice(lo, 512).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 512), pa.array(got)], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(score), "doc_id long, score double")
     return scored.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
@@ -269,4 +269,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Da
                 got = shared.value(texts.slice(lo, 512).to_pylist())
                 yield batch.slice(lo, 512).filter(pa.array(got < 0.5))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

@@ -15,7 +15,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lidarspark.llm import covertree, decontaminate, licenses, pieces, pii, resharding, simhash, suffix_dedup, toxicity, url_filter
-from lidarspark.llm.common import Roller, Shingler, text_array
+from lidarspark.llm import common
+from lidarspark.llm.common import Roller, Shingler, shingled, text_array
 from lidarspark.llm.components import connected_components
 
 SMALL, SF001 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -909,3 +910,31 @@ def test_plan_of_clashing_columns(spark, odd, tmp_path):
     assert planned.count() == len(ODD) and planned.agg(F.sum("size")).first()[0] == sum(len((t or "").encode()) + 8 for _, t in ODD)
     path = str(tmp_path / "none")
     assert resharding.rewrite(clashing.where("false"), planned.where("false"), path).count() == 0
+
+
+def test_shingles_of_many_texts_take_bounded_memory(monkeypatch):
+    texts = text_array(pa.array([f"Wort {i} of a text, that goes on {i * i} and ends. " * (i % 7) for i in range(9_000)]))
+    whole, own = Shingler(5), Shingler(5)
+    (a, a_off), (b, b_off) = whole(texts), shingled(own, texts)
+    assert np.array_equal(a, b) and np.array_equal(a_off, b_off)
+    assert [len(x) for x in shingled(own, texts.slice(0, 0))] == [0, 1]
+    # decontamination hashes them so, too
+    grown = []
+    monkeypatch.setattr(decontaminate, "Shingler", lambda n: grown.append(Shingler(n)) or grown[-1])
+
+    class Rows:
+        """A table that keeps the function that would be mapped over it."""
+
+        select = where = lambda self, *_: self
+        agg = lambda self, *_: self
+        first = lambda self: (1, 9)
+        collect = lambda self: [type("R", (), {"text": "Wort 5 of a text, that goes on 25", "item_id": 1})]
+        mapInArrow = lambda self, f, _: f
+        sparkSession = type("S", (), {"sparkContext": type("C", (), {"broadcast": staticmethod(lambda x: type("B", (), {"value": x}))})})
+
+    monkeypatch.setattr(decontaminate, "F", __import__("unittest.mock").mock.MagicMock())
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    found = list(decontaminate.contaminated(Rows(), Rows())(iter([pa.RecordBatch.from_arrays([pa.array(range(9_000)), texts], ["doc_id", "text"])])))
+    assert sum(map(len, found)) >= 1 and given == [1]
+    assert max(len(s.roller.up) for s in grown) <= 1 << 20
