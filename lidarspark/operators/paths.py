@@ -15,8 +15,9 @@ from .cuts import cut, scratch
 from .density import finite, sample_leaves, with_leaf
 from .spatial import knn_join, nearest_point
 
-#: Points of a tile, which one task walks with a heap; as the tree's sample tells them.
-TILE = 20_000
+#: Points of a tile, which one task walks with a heap; as the tree's sample tells them. A round costs some
+#: jobs and the rounds are as many as tiles in a row, so that tiles are as large as a task holds with ease.
+TILE = 100_000
 #: Bytes of a row group of edges, and tiles that are named to the scan one by one.
 ROW_GROUP, FEW_TILES = 1 << 23, 200
 
@@ -55,9 +56,11 @@ def _walk(start: int, goal: int | None, bound: float):
         kinds = rows.column("kind").to_numpy()
         columns = ("a", "b", "cost", "other")
         of = lambda *some: zip(*[rows.filter(pa.array(np.isin(kinds, some))).column(c).to_pylist() for c in columns])
-        after: dict[int, list[tuple[int, float, int]]] = {}
-        for a, b, c, other in of(_EDGE):
-            after.setdefault(a, []).append((b, c, other))
+        edges = rows.filter(pa.array(kinds == _EDGE)).combine_chunks()
+        edges = edges.take(pa.array(np.argsort(edges.column("a").to_numpy(), kind="stable")))
+        sources, firsts = np.unique(edges.column("a").to_numpy(), return_index=True)
+        after = dict(zip(sources.tolist(), zip(firsts.tolist(), np.append(firsts[1:], len(edges)).tolist())))
+        ends, costs, others = (edges.column(c).to_numpy() for c in ("b", "cost", "other"))
         best = {a: (c, b, other) for a, b, c, other in of(_LABEL)}
         heap: list[tuple[float, int]] = []
 
@@ -82,7 +85,8 @@ def _walk(start: int, goal: int | None, bound: float):
             done.add(at)
             if at == goal:
                 least = cost
-            for to, c, other in after.get(at, ()):
+            lo, hi = after.get(at, (0, 0))
+            for to, c, other in zip(ends[lo:hi].tolist(), costs[lo:hi].tolist(), others[lo:hi].tolist()):
                 if to == start:
                     continue
                 if other == tile:
@@ -154,13 +158,13 @@ def search(edges: DataFrame, tiles: DataFrame, start: int, goal: int | None = No
         rows = own.unionByName(reached.of(active)).unionByName(offers)
         out = cut(rows.groupBy("tile").applyInArrow(_walk(start, goal, bound), _ROWS))
         reached.add(out, active)
-        if goal is not None:
-            met = out.where((F.col("kind") == _LABEL) & (F.col("a") == goal)).agg(F.min("cost")).first()[0]
-            bound = bound if met is None else min(bound, met)
+        # by tile, the least offer and what the goal costs
+        told = out.groupBy("tile").agg(F.min(F.when(F.col("kind") >= _OFFER, F.col("cost"))).alias("least"), F.min(F.when((F.col("kind") == _LABEL) & (F.col("a") == F.lit(goal).cast("long")), F.col("cost"))).alias("met")).collect()
+        bound = min([bound, *(r.met for r in told if r.met is not None)])
         if i % 32 == 31:
             reached.fold()
         offers = out.where((F.col("kind") >= _OFFER) & (F.col("cost") <= bound))
-        active = sorted(r.tile for r in offers.select("tile").distinct().collect())
+        active = sorted(r.tile for r in told if r.least is not None and r.least <= bound)
     raise RuntimeError("the distances did not settle")
 
 

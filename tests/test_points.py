@@ -744,3 +744,16 @@ def test_coverage_and_planes_span_the_cloud(spark):
     assert (got.x.min(), got.x.max(), got.y.min(), got.y.max()) == pytest.approx((g.xmin, g.xmax, g.ymin, g.ymax))
     assert registry.QUERIES["coarse_planes"](spark, SF).count() == math.ceil((g.xmax - g.xmin) / 10) * math.ceil((g.ymax - g.ymin) / 10)
     assert got.groupby(["iy", "ix"]).size().max() == 1
+
+
+def test_a_round_of_a_search_asks_the_driver_once(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, j, 1.0, 1.0) for i in range(30) for j in (i - 1, i + 1) if 0 <= j < 30], "src long, dst long, dist double, cost double")
+    tiles = spark.range(30).selectExpr("id", "cast(id div 10 as int) as tile")
+    asked, rounds, kind, add = [], [], type(edges), paths.Reached.add
+    for name in ("collect", "first"):
+        monkeypatch.setattr(kind, name, lambda self, *a, f=getattr(kind, name): asked.append(1) or f(self, *a))
+    monkeypatch.setattr(paths.Reached, "add", lambda self, *a: rounds.append(1) or add(self, *a))
+    found = paths.search(edges, tiles, 0, 29)
+    assert len(asked) == 1 + len(rounds) and 3 <= len(rounds) <= 5
+    assert paths.way_back(found, 2, 29) == [(i, float(i)) for i in range(30)]
+    assert paths.TILE >= 100_000
