@@ -2,8 +2,9 @@
 
 Features of a text: densities of words of a lexicon (a fixed list, and words and word stems
 that mark toxic training texts), their nearness to the second person, capitals, punctuation,
-repeated characters and obfuscated spellings. The trees are grown on the driver over a bounded
-sample of labelled rows; scoring is one pass over the documents without a shuffle.
+repeated characters and obfuscated spellings. Words are counted and features taken where the texts
+are; the trees are grown on the driver over the features of a bounded sample of labelled rows;
+scoring is one pass over the documents without a shuffle.
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from math import lgamma, log
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, text_array
+from .common import cut, lean, text_array
 
 #: Labelled rows that are learned from at most, taken in the order of a hash of doc_id.
 TRAIN_ROWS = 20_000
@@ -75,27 +77,37 @@ def features(text: str, learned: frozenset[str], stems: frozenset[str]) -> list[
 # -- learning, on the driver, over the bounded sample -------------------------------------------
 
 
-def learn_lexicon(texts: list[str], labels: list[int], most: int = 3000) -> tuple[frozenset[str], frozenset[str]]:
-    """Words and word stems whose texts are toxic far more often than chance would let any of them be."""
-    base = min(0.5, max(1e-3, sum(labels) / max(1, len(labels))))
+def count_words(texts: list[str], labels: list[int]) -> tuple[list[Counter], list[Counter]]:
+    """In how many texts of label 0 and of label 1 each word is, and each stem."""
     words: list[Counter] = [Counter(), Counter()]
     roots: list[Counter] = [Counter(), Counter()]
     for t, y in zip(texts, labels):
         own = set(tokens(t))
         words[y].update(own)
         roots[y].update({w[:k] for w in own for k in STEMS if len(w) >= k})
+    return words, roots
+
+
+def marking(counts: Iterator[tuple[str, int, int]], tried: int, base: float, most: int = 3000) -> frozenset[str]:
+    """Of ``tried`` words those of (word, toxic texts, all texts) whose texts are toxic far more often than chance would let any of them be."""
+    out = []
+    for w, k, n in counts:
+        # in logarithms: the number of ways to choose k of n texts outgrows a double
+        ways = lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+        if k >= 4 and k >= 0.9 * n and ways + k * log(base) + log(tried) < log(0.05):
+            out.append((k, w))
+    return frozenset(w for _, w in sorted(out, reverse=True)[:most])
+
+
+def base_rate(toxic: int, texts: int) -> float:
+    return min(0.5, max(1e-3, toxic / max(1, texts)))
 
-    def marked(counts: list[Counter]) -> frozenset[str]:
-        tried, out = max(1, len(counts[0].keys() | counts[1].keys())), []
-        for w, k in counts[1].items():
-            n = k + counts[0][w]
-            # in logarithms: the number of ways to choose k of n texts outgrows a double
-            ways = lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
-            if k >= 4 and k >= 0.9 * n and ways + k * log(base) + log(tried) < log(0.05):
-                out.append((k, w))
-        return frozenset(w for _, w in sorted(out, reverse=True)[:most])
 
-    return marked(words), marked(roots)
+def learn_lexicon(texts: list[str], labels: list[int], most: int = 3000) -> tuple[frozenset[str], frozenset[str]]:
+    """Words and word stems that mark toxic texts."""
+    base = base_rate(sum(labels), len(labels))
+    words, roots = (marking(((w, k, k + c[0][w]) for w, k in c[1].items()), max(1, len(c[0].keys() | c[1].keys())), base, most) for c in count_words(texts, labels))
+    return words, roots
 
 
 class Trees:
@@ -185,13 +197,12 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Scorer:
-    def __init__(self, texts: list[str], labels: list[int], folds: list[int]):
-        """folds: rows of fold 0 calibrate, the others grow the trees."""
-        grow = [i for i, f in enumerate(folds) if f] or list(range(len(texts)))
-        hold = [i for i, f in enumerate(folds) if not f] or grow
-        self.learned, self.stems = learn_lexicon([texts[i] for i in grow], [labels[i] for i in grow])
-        x = np.array([features(t, self.learned, self.stems) for t in texts]).reshape(-1, len(NAMES))
-        y = np.array(labels, float)
+    def __init__(self, learned: frozenset[str], stems: frozenset[str], x: np.ndarray, labels: np.ndarray, grows: np.ndarray):
+        """x: the features of all rows; rows that don't grow the trees calibrate; if either are none, all do both."""
+        self.learned, self.stems = learned, stems
+        grow = np.flatnonzero(grows) if grows.any() else np.arange(len(x))
+        hold = np.flatnonzero(~grows) if not grows.all() else grow
+        y = labels.astype(float)
         self.trees = Trees().fit(x[grow], y[grow])
         self.xs, self.ps = isotonic(self.trees.margin(x[hold]), y[hold])
 
@@ -228,9 +239,35 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int
         if i in sizes and total + sizes[i] <= size:
             held.append(i)
             total += sizes[i]
-    own = among(held).withColumn("fold", fold_of(F.col("doc_id")))
-    got = sorted({(r.doc_id, r.text, r.fold) for r in own.toLocalIterator()})
-    return Scorer([t for _, t, _ in got], [picked[i] for i, _, _ in got], [int(f != 1) for _, _, f in got])
+    calibrates = lambda i: crc32(str(i).encode()) % 5 == 1  # noqa: E731, fold_of
+    none_grows = all(map(calibrates, held))
+    known = spark.createDataFrame([(i, picked[i], none_grows or not calibrates(i)) for i in held], "doc_id long, toxic int, grows boolean")
+    texts = among(held).groupBy("doc_id").agg(F.sort_array(F.collect_set("text")).alias("texts"))
+    sample = cut(texts.join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "grows", F.posexplode("texts").alias("place", "text")))
+
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for kind, (clean, toxic) in enumerate(count_words(text_array(batch.column(1)).to_pylist(), batch.column(0).to_pylist())):
+                own = sorted(clean.keys() | toxic.keys())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), pa.array(own, pa.string()), pa.array([toxic[w] for w in own], pa.int64()), pa.array([clean[w] + toxic[w] for w in own], pa.int64())], ["kind", "word", "k", "n"])
+
+    grown = sample.where("grows")
+    counted = cut(grown.select("toxic", "text").mapInArrow(lean(words_of), "kind int, word string, k long, n long").groupBy("kind", "word").agg(F.sum("k").alias("k"), F.sum("n").alias("n")))
+    tried = {r.kind: r.tried for r in counted.groupBy("kind").agg(F.count("*").alias("tried")).collect()}
+    base = base_rate(*grown.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first())
+    often = counted.where((F.col("k") >= 4) & (F.col("k") >= F.lit(0.9) * F.col("n"))).collect()
+    learned, stems = (marking(((r.word, r.k, r.n) for r in often if r.kind == kind), tried.get(kind, 1), base) for kind in (0, 1))
+
+    def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [features(t, learned, stems) for t in text_array(batch.column(4)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(got, pa.list_(pa.float64()))], ["doc_id", "place", "toxic", "grows", "x"])
+
+    got = sample.select("doc_id", "place", "toxic", "grows", "text").mapInArrow(lean(features_of), "doc_id long, place int, toxic int, grows boolean, x array<double>").toArrow()
+    ids, place, labels_of, grows = (got[c].to_numpy() for c in ("doc_id", "place", "toxic", "grows"))
+    order = np.lexsort((place, ids))
+    x = np.array(got["x"].combine_chunks().flatten(), float).reshape(-1, len(NAMES))
+    return Scorer(learned, stems, x[order], labels_of[order], grows[order].astype(bool))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:

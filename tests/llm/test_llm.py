@@ -65,6 +65,28 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_stars_take_few_jobs(spark):
+    links = spark.createDataFrame([(3000 if i % 2 == 0 else 0, i) for i in range(1, 2000)], "a long, b long").repartition(8, "b")
+    context = spark.sparkContext
+    context.setJobGroup("stars", "stars")
+    try:
+        got = {r.node: r.component for r in connected_components(links).collect()}
+        jobs = len(context.statusTracker().getJobIdsForGroup("stars"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {i: 0 if i % 2 else 2 for i in range(1, 2000)} | {0: 0, 3000: 2}
+    assert jobs <= 22, jobs
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 17])
+def test_components_of_any_chunk(spark, chunk):
+    pairs = [(str(i), str(i * 7 % 50)) for i in range(50)] + [("b", "a"), ("b", "a"), ("c", None), ("d", "d")]
+    names = sorted({x for p in pairs if None not in p for x in p})
+    want = components(len(names), [(names.index(a), names.index(b)) for a, b in pairs if b is not None])
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "a string, b string").repartition(5), chunk=chunk).collect()}
+    assert got == {n: names[want[i]] for i, n in enumerate(names) if any(n in p and p[0] != p[1] and p[1] for p in pairs)}
+
+
 # -- 1: SimHash -----------------------------------------------------------------------------------
 
 
@@ -841,6 +863,13 @@ def test_toxicity(spark, odd, empty):
     assert kept.columns == odd.columns and kept.count() == len(ODD)
 
 
+def test_sample_of_texts_stays_in_tasks(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "vile thing" if i % 2 else f"fine weather {i}") for i in range(400)], "doc_id long, text string")
+    monkeypatch.setattr(toxicity, "tokens", None)  # the driver's; tasks have their own
+    scorer = toxicity.train(docs.union(docs), docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"))
+    assert scorer.learned == {"vile", "thing"} and "vile" in scorer.stems
+
+
 def test_lexicon_of_common_words():
     toxic = ["vile thing"] * 4000
     learned, _ = toxicity.learn_lexicon(toxic + ["vile weather"] * 300 + ["fine weather"] * 15000, [1] * 4000 + [0] * 15300)
