@@ -13,14 +13,16 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, lean, text_array
+from .common import cut, lean, slices, text_array
 
 SPACE = "▁"
 #: A word of a line: a run of spaces with what follows up to the next space.
@@ -29,6 +31,8 @@ _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 DICTIONARY = 1 << 18
 #: Longest word, in characters, that goes into the lattice table.
 WORD_CHARS = 48
+#: Bytes of text that are encoded at once; their words take some 15 times as much as Python strings.
+ENCODED_BYTES = 1 << 20
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -171,16 +175,19 @@ class Model:
         made = [pairs[k] for k in keys.tolist()]
         return keys, np.array([self.table[p] for p in made], np.int64), np.array([ranks[self.cost[p]] for p in made], np.int64), {c: i for c, i in symbols.items() if len(c) == 1}
 
+    @cached_property
+    def merges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """:meth:`merge_table`, with the symbols by code point (-1: none), up to the last that has one."""
+        keys, made, rank, characters = self.merge_table()
+        known = np.full(max(map(ord, characters), default=0) + 1, -1, np.int64)
+        known[[ord(c) for c in characters]] = list(characters.values())
+        return keys, made, rank, known
+
     def fold_many(self, words: list[str], chunk: int = 4096, longest: int = 64) -> list[bytes]:
         """The ids of many words, as :meth:`fold` gives them; BPE merges step by step in all words of a chunk at once."""
         if self.kind != "bpe":
             return [np.array(self.fold(w), np.int32).tobytes() for w in words]
-        if not hasattr(self, "_merges"):
-            keys, made, rank, characters = self.merge_table()
-            known = np.full(0x110000, -1, np.int64)
-            known[[ord(c) for c in characters]] = list(characters.values())
-            self._merges = keys, made, rank, known
-        keys, made, rank, known = self._merges
+        keys, made, rank, known = self.merges
         none = np.iinfo(np.int64).max
         out: list[bytes] = [b""] * len(words)
 
@@ -212,7 +219,7 @@ class Model:
             rows = order[lo : lo + chunk]
             sizes = size[rows]
             point = np.frombuffer("".join([words[i] for i in rows.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-            symbol = known[point]
+            symbol = np.where(point < len(known), known[np.minimum(point, len(known) - 1)], -1)
             symbols = np.full((len(rows), int(sizes[-1]) + 1), -1, np.int64)
             symbols[np.arange(symbols.shape[1]) < sizes[:, None]] = np.where(symbol < 0, -2 - point, symbol)
             costs, joined = look(symbols[:, :-1], symbols[:, 1:])
@@ -265,11 +272,37 @@ class Model:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-class Looked(dict):
-    """The ids of the dictionary's words, and of the words of the texts at hand."""
+class Dictionary:
+    """The ids of many words, in flat buffers: some 45 bytes a word in every Python worker, where a dict takes some 170."""
+
+    def __init__(self, words: pa.Array, ids: pa.Array):
+        # Python's hashes differ from one process to the next: each makes its own, some thousands of words at a time
+        own = [np.fromiter(map(hash, words.slice(lo, 1 << 13).to_pylist()), np.int64) for lo in range(0, len(words), 1 << 13)]
+        hashes = np.concatenate([np.zeros(0, np.int64), *own])
+        order = np.argsort(hashes)
+        self.hashes, self.words, ids = hashes[order], words.take(pa.array(order)), ids.take(pa.array(order))
+        self.flat, self.off = ids.flatten().to_numpy().astype(np.int32).tobytes(), np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())]).astype(np.int32)
+
+    def __reduce__(self):
+        return Dictionary, (self.words, pa.ListArray.from_arrays(pa.array(self.off), pa.array(np.frombuffer(self.flat, np.int32))))
+
+    def __len__(self) -> int:
+        return len(self.words)
 
-    def __missing__(self, word: str) -> bytes:
-        return self.rare[word]
+    def look(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of those of ``words`` that it holds; of words of one hash it may find the first only."""
+        if not len(self):
+            return {}
+        asked = np.fromiter(map(hash, words), np.int64, len(words))
+        order = np.argsort(asked)
+        asked = asked[order]
+        at = np.minimum(np.searchsorted(self.hashes, asked), len(self) - 1)
+        hit = self.hashes[at] == asked
+        at, found = at[hit], list(map(words.__getitem__, order[hit].tolist()))
+        # words of one hash need not be equal
+        same = pc.equal(self.words.take(pa.array(at)), pa.array(found, self.words.type)).to_numpy(zero_copy_only=False)
+        begin, end = (4 * self.off[at + k] for k in (0, 1))
+        return {w: self.flat[a:b] for w, a, b, yes in zip(found, begin.tolist(), end.tolist(), same.tolist()) if yes}
 
 
 def word_counts(docs: DataFrame, model: Model, text_col: str = "text", flush: int = 200_000) -> DataFrame:
@@ -354,27 +387,32 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     model = Model(path)
     words = cut(fold_words(spark, frequent_words(cut(word_counts(docs, model, text_col)), dictionary), model))
-    known = {r.word: np.array(r.ids, np.int32).tobytes() for r in words.toLocalIterator()}
+    folded = words.select("word", "ids").toArrow().combine_chunks()
+    known = Dictionary(*(pa.concat_arrays(folded.column(c).chunks) if folded.num_rows else pa.array([], folded.schema.field(c).type) for c in ("word", "ids")))
+    if model.kind == "bpe":
+        model.merges  # made here once, not in every worker
     shared = spark.sparkContext.broadcast((model, known))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(rows: pa.Array, column: pa.Array) -> pa.RecordBatch:
         model, known = shared.value
-        ids = Looked(known)
+        words = [None if t is None else model.words(t) for t in column.to_pylist()]
+        own = list(set(chain.from_iterable(w for w in words if w)))
+        ids = known.look(own)
+        ids.update(zip(rare := [w for w in own if w not in ids], model.fold_many(rare)))
+        blobs = [None if w is None else b"".join(map(ids.__getitem__, w)) for w in words]
+        sizes = np.array([0 if b is None else len(b) // 4 for b in blobs], np.int64)
+        flat = np.frombuffer(b"".join(b for b in blobs if b), np.int32)
+        off = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        null = pa.array([b is None for b in blobs], pa.bool_())
+        lists = pa.ListArray.from_arrays(pa.array(off), pa.array(flat), mask=null)
+        decoded = [None if b is None else model.decode(np.frombuffer(b, np.int32).tolist()) for b in blobs]
+        counts = pa.array([None if b is None else len(b) // 4 for b in blobs], pa.int32())
+        return pa.RecordBatch.from_arrays([rows, lists, counts, pa.array(decoded, pa.string())], ["doc_id", "ids", "n_pieces", "decoded"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(1)
-            for lo in range(0, len(column), 500):
-                texts = column.slice(lo, 500).to_pylist()
-                words = [None if t is None else model.words(t) for t in texts]
-                ids.rare = dict(zip(rare := list(set(chain.from_iterable(w for w in words if w)) - known.keys()), model.fold_many(rare)))
-                blobs = [None if w is None else b"".join(map(ids.__getitem__, w)) for w in words]
-                sizes = np.array([0 if b is None else len(b) // 4 for b in blobs], np.int64)
-                flat = np.frombuffer(b"".join(b for b in blobs if b), np.int32)
-                off = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                null = pa.array([b is None for b in blobs], pa.bool_())
-                lists = pa.ListArray.from_arrays(pa.array(off), pa.array(flat), mask=null)
-                decoded = [None if b is None else model.decode(np.frombuffer(b, np.int32).tolist()) for b in blobs]
-                counts = pa.array([None if b is None else len(b) // 4 for b in blobs], pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 500), lists, counts, pa.array(decoded, pa.string())], ["doc_id", "ids", "n_pieces", "decoded"])
+            for lo, hi in slices(text_array(batch.column(1)), ENCODED_BYTES):
+                yield encoded(batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo))
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "doc_id long, ids array<int>, n_pieces int, decoded string")
 

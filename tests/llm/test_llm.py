@@ -486,6 +486,73 @@ def test_long_merges():
     assert model._merge_long(list(word)) == parts == model._merge(list(word))
 
 
+def test_dictionary(monkeypatch):
+    import pickle
+
+    rng = np.random.default_rng(2)
+    ids = {f"w{i}é" * (i % 3): rng.integers(0, 99, i % 5).astype(np.int32).tobytes() for i in range(3000)}
+
+    def made(part):
+        return pieces.Dictionary(pa.array(list(part), pa.string()), pa.array([np.frombuffer(b, np.int32) for b in part.values()], pa.list_(pa.int32())))
+
+    asked = [*ids, "other", "w1", "漢"]
+    assert made(ids).look(asked) == pickle.loads(pickle.dumps(made(ids))).look(asked) == ids
+    assert made({}).look(asked) == made(ids).look([]) == {}
+    # words of one hash may be missed, and are folded then, but get no other word's ids
+    monkeypatch.setattr(pieces, "hash", len, raising=False)
+    few = made(ids).look(asked)
+    assert 0 < len(few) < 100 and few.items() <= ids.items()
+
+
+def test_encoding_takes_bounded_memory(monkeypatch):
+    import pickle
+    import tracemalloc
+    from unittest.mock import MagicMock
+
+    import sentencepiece
+
+    model = pieces.Model(pieces.default_model())
+    common_words = [f"{pieces.SPACE}wort{i}" for i in range(60_000)]
+    ids = [np.frombuffer(b, np.int32).tolist() for b in model.fold_many(common_words)]
+    kept = []
+
+    class Rows:
+        """A table that keeps the function that would be mapped over it, and the words that were folded."""
+
+        select = lambda self, *_: self
+        mapInArrow = lambda self, f, _: f
+        toArrow = lambda self: pa.table({"word": pa.array(common_words), "ids": pa.array(ids, pa.list_(pa.int32()))})
+        toLocalIterator = lambda self: (MagicMock(word=w, ids=i) for w, i in zip(common_words, ids))
+        sparkSession = type("S", (), {"sparkContext": type("C", (), {"broadcast": staticmethod(lambda x: kept.append(pickle.dumps(x)) or Shared())})})
+
+    class Shared:
+        """What a worker unpickles, once."""
+
+        @property
+        def value(self):
+            self.__dict__.setdefault("own", None)
+            self.own = self.own or pickle.loads(kept[0])
+            return self.own
+
+    for name in ("word_counts", "frequent_words", "fold_words"):
+        monkeypatch.setattr(pieces, name, lambda *_: Rows())
+    monkeypatch.setattr(pieces, "cut", lambda x: x)
+    monkeypatch.setattr(pieces, "F", MagicMock())
+    run = pieces.encode(Rows(), pieces.default_model())
+    texts = [None if i == 7 else " ".join(f"wort{(i * 131 + k) % 60_000}" for k in range(2_000)) for i in range(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(texts)], ["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        sizes = [len(x) for x in run(iter([batch]))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(sizes) == 500 and max(sizes) < 200 and peak < 60e6  # 191 MB with 500 texts at once and a dict
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    out = pa.Table.from_batches(run(iter([batch.slice(0, 20)]))).to_pylist()
+    assert [(r["doc_id"], r["ids"], r["decoded"]) for r in out] == [(i, t and sp.encode(t), t) for i, t in enumerate(texts[:20])]
+
+
 # -- 5: decontamination ---------------------------------------------------------------------------
 
 
